@@ -186,7 +186,7 @@ class ToxicityModel:
         return sigmoid(self.logits(column) * self.calibration[0] + self.calibration[1])
 
     @staticmethod
-    def fit(texts: list[str], labels: list[int], epochs: int = 4, steps: int = 150, batch: int = 512, rate: float = 0.01, seed: int = 5) -> "ToxicityModel | None":
+    def fit(texts: list[str], labels: list[int], epochs: int = 4, steps: int = 100, batch: int = 512, rate: float = 0.01, seed: int = 5) -> "ToxicityModel | None":
         if len(set(labels)) < 2:
             return None
         r = np.random.default_rng(seed)
