@@ -20,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -120,17 +121,39 @@ def merged(spans):
     return F.aggregate(F.array_sort(spans), F.array().cast(kind), add)
 
 
+def blocks(benchmark: DataFrame, item_col: str, item_text_col: str, block_bytes: int) -> Iterator[Benchmark]:
+    """The benchmark in blocks of about block_bytes of text, one at a time."""
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("item_text"))
+    total = items.agg(F.coalesce(F.sum(F.octet_length("item_text") + F.octet_length("item")), F.lit(0))).first()[0]
+    many = max(1, -(-total // block_bytes))
+    for block in range(many):
+        rows = items.where(F.pmod(F.xxhash64("item", "item_text"), F.lit(many)) == block).collect()
+        yield Benchmark([r[0] for r in rows], [r[1] for r in rows])
+
+
+def _clean(shared):
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        _, _, hashes, pointers = words(*text_buffer(pa.array(texts, pa.large_string(), from_pandas=True)), ALNUM)
+        return pd.Series([not x for x in shared.value.scan(hashes, pointers)[0]], dtype=bool)
+
+    return clean
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 16 << 20) -> DataFrame:
+    """The rows of docs, all columns, that no benchmark window occurs in."""
+    for known in blocks(benchmark, item_col, item_text_col, block_bytes):
+        docs = docs.where(_clean(docs.sparkSession.sparkContext.broadcast(known))(F.col(text_col).cast("string")))
+    return docs
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 16 << 20) -> DataFrame:
     """row, doc_id, n_words, hits (disjoint word spans) and sorted item ids of every document."""
     spark = docs.sparkSession
-    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("item_text"))
-    total = items.agg(F.coalesce(F.sum(F.octet_length("item_text") + F.octet_length("item")), F.lit(0))).first()[0]
-    blocks = max(1, -(-total // block_bytes))
     text = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     parts = []
-    for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item", "item_text"), F.lit(blocks)) == block).collect()  # about block_bytes
-        shared = spark.sparkContext.broadcast(Benchmark([r[0] for r in rows], [r[1] for r in rows]))
+    for known in blocks(benchmark, item_col, item_text_col, block_bytes):
+        shared = spark.sparkContext.broadcast(known)
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))

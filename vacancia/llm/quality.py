@@ -18,6 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -102,9 +103,27 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", per_class: int = 2000, max_bytes: int = 32 << 10, seed: int = 3) -> DataFrame:
+def fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label: str = "quality", per_class: int = 2000, max_bytes: int = 32 << 10, seed: int = 3) -> QualityModel | None:
+    return QualityModel.fit(*sample(docs, labels, label, {0: per_class, 1: per_class}, max_bytes, seed, id_col, text_col))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float, id_col: str = "doc_id", text_col: str = "text", **fit) -> DataFrame:
+    """The rows of docs, all columns, whose score is at least threshold."""
+    model = fitted(docs, labels, id_col, text_col, **fit)
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        compressors = model and Compressors(model.dictionaries, model.level, model.chunk)
+        for texts in batches:
+            raw = [(t or "").encode() for t in texts]
+            yield pd.Series(model.score(np.array([compressors.features(t) for t in raw]).reshape(-1, 6)) if model else np.full(len(raw), 0.5))
+
+    return docs.where(score(F.col(text_col).cast("string")) >= threshold)
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **fit) -> DataFrame:
     """doc_id, score of every row of docs; 1 is good."""
-    model = QualityModel.fit(*sample(docs, labels, label, {0: per_class, 1: per_class}, max_bytes, seed, id_col, text_col))
+    model = fitted(docs, labels, id_col, text_col, **fit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressors = model and Compressors(model.dictionaries, model.level, model.chunk)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, minhash, packing, quality, secrets, sharding, substrings, token_files, toxicity
+from . import decontaminate, minhash, packing, quality, secrets, sharding, sketches, substrings, token_files, toxicity
 from .shared import read_table
 
 
@@ -39,6 +39,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.with_decision(scored, 0.3)
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.compare_neighbours(read_table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
     return quality.with_decision(scored, 0.5)
@@ -69,5 +73,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets.spans_text(F.col("base")).cast("binary"), 256).alias("base_sha256"), secrets.spans_text(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_quality, op4_toxicity, op5_sharding, op6_packing, op7_decontamination, op8_substrings, op9_near_duplicates, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_quality, op3_fingerprints, op4_toxicity, op5_sharding, op6_packing, op7_decontamination, op8_substrings, op9_near_duplicates, op10_secrets)}
 ORACLE_SQL: dict[str, str] = {}
