@@ -6,13 +6,12 @@ permutation plus a random fraction, and a slot keeps the least rank. Since ranks
 levels, a document's work stops once every slot has a rank of an earlier level.
 
 Documents of equal sets form a class. Bands of the signature put classes into buckets.
-Each class is first verified against the least class of its buckets, on full sets; linked
-classes form components. Then only pairs of classes from different components can matter:
-while these are many, each class is verified against one class of each bucket, drawn anew
-each round; when they are few, or no round finds links any more, all of them are verified.
-Buckets of any size are thus decided fully without listing the pairs of a group of copies.
-Components grow by alternating large and small stars on edges, as joins; nothing whole
-passes through the driver or one task.
+Each class is first verified, on full sets, against the least class of its buckets, then
+against a few classes drawn from those of its buckets that hold several components, and at
+last every pair of classes of different components that share a bucket is verified. Links
+never matter inside a component, so buckets of any size are decided fully without listing
+the pairs of a group of copies. Components grow by pointer jumping and by large and small
+stars, as joins; nothing whole passes through the driver or one task.
 
 Defined cases: null and empty texts, and texts without words, have an empty set and stand
 alone; equal rows share a component; a null id stands alone with a null component and is
@@ -25,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .hashing import SPACED, document_shingles, mix, words
@@ -120,7 +119,8 @@ def packed_sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame,
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are alike enough."""
+    """The pairs (a, b and other columns) whose sets are alike enough."""
+    columns = pairs.columns
 
     def unpack(raw: bytes) -> np.ndarray:
         wide = np.zeros((len(raw) // 6, 8), np.uint8)
@@ -129,50 +129,71 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, last = [], (None, None)
-            for x, y in zip(batch.column(2), batch.column(3)):
+            keep = []
+            for x, y in zip(batch.column(len(columns)), batch.column(len(columns) + 1)):
                 x, y = unpack(x.as_py()), unpack(y.as_py())
                 both = np.concatenate([x, y])
                 both.sort(kind="stable")
                 same = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * same >= percent * (len(x) + len(y) - same))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(columns).filter(pa.array(keep, pa.bool_()))
 
     left = sets.withColumnsRenamed({"node": "a", "packed": "packed_a"})
     right = sets.withColumnsRenamed({"node": "b", "packed": "packed_b"})
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "packed_a", "packed_b").mapInArrow(test, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select(*columns, "packed_a", "packed_b").mapInArrow(test, pairs.schema)
+
+
+def roots(parents: DataFrame) -> DataFrame:
+    """node, comp: the root above each node of a forest (node, up), up being the lesser, by
+    pointer jumping: a pass halves the depth."""
+    table = written(parents, "forest")
+    while True:
+        up = table.select(F.col("node").alias("u"), F.col("up").alias("top"))
+        changed = Observation("jump")
+        table = written(table.join(up, F.col("up") == F.col("u"), "left").select("node", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("moved")).observe(changed, F.count_if("moved").alias("n")).drop("moved"), "forest")
+        if not changed.get["n"]:
+            return table.select("node", F.col("up").alias("comp"))
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, comp (least node of its component) for the nodes of edges (a, b)."""
-    edges = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    mark = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    before = mark(edges)
-    while before[0]:
+    """node, comp (least node of its component) for the nodes of edges (a, b), by large and
+    small stars in turn until the edges stay as they are."""
+    def kept(e: DataFrame) -> tuple[DataFrame, dict]:
+        seen = Observation("stars")
+        table = written(e.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("hash")), "edges")
+        return table, seen.get
+
+    edges, before = kept(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    while before["n"]:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        edges = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        joined = edges.join(least, "u")
-        edges = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = written(edges, "edges")
-        now = mark(edges)
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        joined = large.join(least, "u")
+        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v"))).distinct()
+        edges, now = kept(small)
         if now == before:
             break
         before = now
-    roots = edges.select(F.col("v").alias("u")).distinct().select("u", F.col("u").alias("v"))
-    return edges.unionAll(roots).select(F.col("u").alias("node"), F.col("v").alias("comp"))
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
+
+
+def open_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, node, n, comp, major of the buckets that hold more than one component; major is
+    the component with the most rows there."""
+    place = buckets.select("key", "node", "n").join(labels.select(F.col("node").alias("l_node"), "comp"), F.col("node") == F.col("l_node"), "left").select("key", "node", "n", F.coalesce("comp", "node").alias("comp"))
+    counts = place.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    mixed = counts.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.count("*").alias("comps")).where("comps > 1").drop("comps")
+    return place.join(mixed, "key")
 
 
-def relabelled(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """rows with comp renewed after links (a, b) between nodes of rows (node, comp)."""
-    label = rows.select("node", "comp").distinct()
-    between = links.join(label.withColumnsRenamed({"node": "a", "comp": "ca"}), "a").join(label.withColumnsRenamed({"node": "b", "comp": "cb"}), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    new = components(between).select(F.col("node").alias("comp"), F.col("comp").alias("new_comp"))
-    return rows.join(new, "comp", "left").withColumn("comp", F.coalesce("new_comp", "comp")).drop("new_comp")
+def relabelled(labels: DataFrame, moved: DataFrame) -> DataFrame:
+    """labels (node, comp) after components moved (node, comp) to others."""
+    m = moved.select(F.col("node").alias("m_node"), F.col("comp").alias("m_comp"))
+    return labels.join(m, F.col("comp") == F.col("m_node"), "left").select("node", F.coalesce("m_comp", "comp").alias("comp"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, rounds: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, draws: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
     rows = written(signed(docs, id_col, text_col), "signatures")
     classes = rows.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("s_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
@@ -183,34 +204,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     wanted = buckets.select("node", "s_id").distinct()
     sets = written(packed_sets(docs, id_col, text_col, wanted), "sets")
-    tested = written(buckets.where((F.col("rep") < F.col("node")) & alike(F.col("n"), F.col("rep_n"))).groupBy("node").agg(F.min("rep").alias("a")).select("a", F.col("node").alias("b")), "pairs")
-    links = written(verified(tested, sets, percent), "links")
-    place = written(relabelled(buckets.select("key", "node", "n", F.col("node").alias("comp")), links), "places")
-
-    for turn in range(rounds):
-        counts = place.groupBy("key", "comp").agg(F.count("*").alias("c"))
-        mixed = counts.groupBy("key").agg(F.sum("c").alias("n_all"), F.sum(F.col("c") * F.col("c")).alias("n_same"), F.max_by("comp", "c").alias("major"), F.count("*").alias("comps")).where("comps > 1")
-        open_keys = written(place.join(mixed.select("key", "major"), "key"), "open")
-        n_open, cross = open_keys.select("node").distinct().count(), mixed.agg(F.coalesce(F.sum((F.col("n_all") * F.col("n_all") - F.col("n_same")) / 2), F.lit(0))).first()[0]
-        if not n_open:
-            break
-        last = cross <= 40 * n_open or turn == rounds - 1
-        if last:  # few pairs are left to decide: all of them
-            x = open_keys.where("comp <> major").select("key", F.col("node").alias("x"), F.col("comp").alias("x_comp"), F.col("n").alias("x_n"))
-            pairs = x.join(open_keys, "key").where((F.col("comp") != F.col("x_comp")) & ((F.col("comp") == F.col("major")) | (F.col("x") < F.col("node"))) & alike(F.col("x_n"), F.col("n")))
-        else:
-            drawn = open_keys.groupBy("key").agg(F.min_by(F.struct("node", "comp", "n"), F.xxhash64("node", F.lit(turn))).alias("d")).select("key", F.col("d.node").alias("x"), F.col("d.comp").alias("x_comp"), F.col("d.n").alias("x_n"))
-            pairs = open_keys.join(drawn, "key").where((F.col("comp") != F.col("x_comp")) & alike(F.col("x_n"), F.col("n")))
-        pairs = written(pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = written(verified(pairs, sets, percent), "links")
-        links = links.unionAll(found)
-        if last:
-            break
-        tested = tested.unionAll(pairs)
-        place = written(relabelled(place, found), "places")
-
-    parts = components(links).withColumnsRenamed({"node": "c_node"})
-    joined = rows.join(parts, rows["node"] == parts["c_node"], "left").select("doc_id", "n_shingles", F.coalesce("comp", "node").alias("comp"))
+    # Every class against the least class of its buckets: links form a forest.
+    first = written(buckets.where((F.col("rep") < F.col("node")) & alike(F.col("n"), F.col("rep_n"))).groupBy("node").agg(F.min("rep").alias("a")).select("a", F.col("node").alias("b")), "pairs")
+    forest = roots(verified(first, sets, percent).select(F.col("b").alias("node"), F.col("a").alias("up")))
+    labels = buckets.select("node").distinct().join(forest, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
+    labels = written(labels, "labels")
+
+    # Then against a few classes, of other components, drawn from its buckets.
+    some = written(open_buckets(buckets, labels), "open")
+    drawn = some.groupBy("key").agg(F.min_by(F.struct("node", "comp", "n"), F.xxhash64("node", "key")).alias("d"))
+    near = some.join(drawn, "key").where((F.col("comp") != F.col("d.comp")) & alike(F.col("n"), F.col("d.n")))
+    few = near.groupBy("node", "comp").agg(F.slice(F.array_sort(F.collect_set("d")), 1, draws).alias("d")).select("node", "comp", F.explode("d").alias("d"))
+    pairs = few.select(F.least("node", "d.node").alias("a"), F.greatest("node", "d.node").alias("b"), F.when(F.col("node") < F.col("d.node"), F.col("comp")).otherwise(F.col("d.comp")).alias("a_comp"), F.when(F.col("node") < F.col("d.node"), F.col("d.comp")).otherwise(F.col("comp")).alias("b_comp")).distinct()
+    tested = written(pairs, "pairs")
+    moved = components(verified(tested, sets, percent).select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b")))
+    labels = written(relabelled(labels, moved), "labels")
+
+    # Last, all pairs of different components that share a bucket and are not decided yet.
+    # One side is never of the bucket's largest component, so a group of copies that holds
+    # together is not paired with itself.
+    some = written(open_buckets(some.select("key", "node", "n"), labels), "open")
+    x = some.where("comp <> major").select("key", F.col("node").alias("x"), F.col("comp").alias("x_comp"), F.col("n").alias("x_n"))
+    meet = (x["key"] == some["key"]) & (F.col("comp") != F.col("x_comp")) & ((F.col("comp") == F.col("major")) | (F.col("x") < F.col("node"))) & alike(F.col("x_n"), F.col("n"))
+    left = x.join(some, meet).select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"), F.when(F.col("x") < F.col("node"), F.col("x_comp")).otherwise(F.col("comp")).alias("a_comp"), F.when(F.col("x") < F.col("node"), F.col("comp")).otherwise(F.col("x_comp")).alias("b_comp")).distinct()
+    rest = left.join(tested.select("a", "b").unionAll(first.select("a", "b")), ["a", "b"], "left_anti").select("a", "b", "a_comp", "b_comp")
+    moved = components(verified(rest, sets, percent).select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b")))
+    labels = relabelled(labels, moved).select(F.col("node").alias("l_node"), "comp")
+
+    joined = rows.join(labels, rows["node"] == labels["l_node"], "left").select("doc_id", "n_shingles", F.coalesce("comp", "node").alias("comp"))
     joined = written(joined, "members")
     least = joined.where("comp is not null and doc_id is not null").groupBy("comp").agg(F.min("doc_id").alias("least"), F.count("*").alias("many")).where("many > 1").select(F.col("comp").alias("l_comp"), "least")
     out = joined.join(least, (F.col("comp") == F.col("l_comp")) & F.col("doc_id").isNotNull(), "left")
