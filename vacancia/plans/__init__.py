@@ -1 +1 @@
-"""."""
+"""Pipelines, and the catalogues of registered queries."""

@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import fixtures
+from .operators import dedup, filters, stats
+from .plans import catalogue
+from .plans import history_queries, text_queries  # noqa: F401  (they register themselves)
 
-def queries():
-    return {}
 
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Role filter, cross-source merge, statistics: kind, name, n."""
+    rows = fixtures.view(spark, sf_dir, "postings")
+    kept = rows.where(filters.title_has_phrase(F.col("title"), ["ring", "widget", "bolt"]))
+    return stats.bundle(dedup.cross_source(kept).drop("merged_rows"), catalogue.AS_OF)
 
-def oracle_sql():
-    return {}
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(catalogue.QUERIES) | {"flagship": flagship}
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(catalogue.ORACLE_SQL)
