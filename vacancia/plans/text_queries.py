@@ -9,6 +9,7 @@ from ..operators import filters, joins, stats
 from ..sources import history, pages, payloads
 from . import pipeline
 from .catalogue import AS_OF, query
+from .history_queries import PLACES, RICH
 
 DAY = "DATE '2000-01-01'"
 FIRST_LISTED = "contains(payload, '\"isListed\":true')"
@@ -179,33 +180,40 @@ def f18_location_in_text(d):
     return d.where("lang = 'en'").select("doc_id", X.location_in(F.col("text")).alias("location"))
 
 
-HREFS = r"""regexp_extract_all(html, '(?is)<a\b[^>]*\bhref\s*=\s*["'']([^"'']*)["''][^>]*>(.*?)</a>', 1)"""
+ANCHORS = r"""regexp_extract_all(html, '(?is)<a\b[^>]*\bhref\s*=\s*["'']([^"'']*)["''][^>]*>(.*?)</a>', {})"""
+LINKS = f"""a AS (SELECT page_id, url, unnest(list_zip({ANCHORS.format(1)}, {ANCHORS.format(2)}, range(0, len({ANCHORS.format(1)})))) AS z FROM pages), b AS (SELECT page_id, url, trim(z[1]) AS href, z[2] AS inner_html, z[3] AS pos FROM a),
+c AS (SELECT page_id, url, href, inner_html, pos, CASE WHEN regexp_matches(split_part(href,'#',1), '^https?://') THEN split_part(href,'#',1) WHEN starts_with(href, '//') THEN concat('https:', split_part(href,'#',1)) WHEN starts_with(href, '/') THEN concat(regexp_extract(url, '^(https?://[^/]+)', 1), split_part(href,'#',1)) ELSE concat(regexp_replace(regexp_extract(url, '^(https?://[^/]+[^?#]*)', 1), '/[^/]*$', '/'), split_part(href,'#',1)) END AS link FROM b WHERE href <> '' AND NOT regexp_matches(lower(href), '^(mailto|javascript|tel):') AND NOT starts_with(href, '/url?')),
+links AS (SELECT page_id, url, link, arg_min(href, pos) AS href, arg_min(regexp_replace(inner_html, '(?s)<[^>]*>', ' ', 'g'), pos) AS text, min(pos) AS pos FROM c WHERE link <> '' AND regexp_replace(link, '/+$', '') <> regexp_replace(split_part(url,'#',1), '/+$', '') GROUP BY 1, 2, 3)"""
 
 
-@query(f"""WITH a AS (SELECT page_id, url, unnest(list_zip({HREFS}, range(0, len({HREFS})))) AS z FROM pages), b AS (SELECT page_id, url, trim(z[1]) AS href FROM a), c AS (SELECT page_id, url, href, CASE WHEN regexp_matches(split_part(href,'#',1), '^https?://') THEN split_part(href,'#',1) WHEN starts_with(href, '//') THEN concat('https:', split_part(href,'#',1)) WHEN starts_with(href, '/') THEN concat(regexp_extract(url, '^(https?://[^/]+)', 1), split_part(href,'#',1)) ELSE concat(regexp_replace(regexp_extract(url, '^(https?://[^/]+[^?#]*)', 1), '/[^/]*$', '/'), split_part(href,'#',1)) END AS link FROM b WHERE href <> '' AND NOT regexp_matches(lower(href), '^(mailto|javascript|tel):') AND NOT starts_with(href, '/url?'))
-SELECT page_id, link, count(*) AS n FROM (SELECT DISTINCT page_id, url, link FROM c) WHERE link <> '' AND regexp_replace(link, '/+$', '') <> regexp_replace(split_part(url,'#',1), '/+$', '') GROUP BY 1, 2""", "pages")
+@query(f"WITH {LINKS} SELECT page_id, link, pos FROM links", "pages")
 def f19_links(p):
-    return pages.links(p).where("not startswith(href, '/url?')").groupBy("page_id", "link").agg(F.count("*").alias("n"))
+    return pages.links(p).where("not startswith(href, '/url?')").select("page_id", "link", F.col("pos").cast("long").alias("pos"))
 
 
-@query(None, "pages", "part")
-def f9_kept_links(p, part):
-    phrases = part.select(F.lower("p_type").alias("phrase")).distinct()
-    return pages.kept_links(pages.links(p), phrases).select("page_id", "link", "text")
+@query(f"WITH {LINKS} SELECT page_id, link FROM links WHERE regexp_matches(concat(lower(href), ' ', lower(text)), 'attion|thanedble|with')", "pages")
+def f9_kept_links(p):
+    phrases = p.select(F.explode(X.link_phrases(F.array(F.lit("Attion | thanedble"), F.lit("with, to")))).alias("phrase")).distinct()
+    return pages.kept_links(pages.links(p), phrases).where("not startswith(href, '/url?')").select("page_id", "link")
 
 
-@query(None, "pages", "postings", "part")
-def j12_new_links(p, rows, part):
-    found = pages.links(p).select("page_url", F.col("link").alias("url"), "text")
-    return joins.new_links(found, rows, joins.board_template(rows)).select("page_url", "url", "platform", "source")
+@query(f"WITH {LINKS} SELECT DISTINCT url AS page_url, regexp_replace(link, '^https?://[^/]+', 'https://jobs.lever.co') AS new_url, 'lever' AS platform, 'board' AS source FROM links WHERE page_id % 2 = 0", "pages")
+def j12_new_links(p):
+    board = F.regexp_replace("link", "^https?://[^/]+", "https://jobs.lever.co").alias("url")
+    found = pages.links(p).where("not startswith(href, '/url?')").select("page_url", "page_id", board)
+    known = found.where("page_id % 2 = 1")
+    template = p.select("url", F.lit("board").alias("source"), F.lit("role").alias("search_role"), F.lit("").alias("company"))
+    fresh = joins.new_links(found.where("page_id % 2 = 0").drop("page_id").distinct(), known.where("false"), template)
+    return fresh.select("page_url", F.col("url").alias("new_url"), "platform", "source")
 
 
-@query(None, "pages")
+@query(f"WITH {LINKS} SELECT page_id, link FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rn FROM links) WHERE rn <= 4", "pages")
 def t4_page_links(p):
-    return filters.capped(pages.links(p), ["page_id"], ["pos"], 80).select("page_id", "pos", "link")
+    found = pages.links(p).where("not startswith(href, '/url?')")
+    return filters.capped(found, ["page_id"], ["pos"], 4).select("page_id", "link")
 
 
-@query(None, "postings")
+@query("SELECT row_id, trim(title) AS title FROM postings", "postings")
 def f20_single_titles(p):
     return p.select("row_id", X.single_title(F.concat(F.trim("title"), F.trim("title"))).alias("title"))
 
@@ -289,10 +297,21 @@ def j7_patch_fill(p, _):
     return joins.patch(rows, pages.page_patches(p), "page_id", ["posted_time"], overwrite=False).select("page_id", "posted_time")
 
 
-@query(None, "postings", "board_payloads")
+KEY_BRAND = "CAST(row_id % 25 AS VARCHAR)"
+BOARD_ROWS = f"""r AS (SELECT row_id, title, concat('Brand ', {KEY_BRAND}) AS company, CASE WHEN row_id % 7 = 0 THEN concat('https://job-boards.greenhouse.io/brand-', {KEY_BRAND}, '/jobs/', CAST(row_id % 200 AS VARCHAR), '/') ELSE url END AS url, location, posted_time, trim(regexp_replace(lower(title), '\\s+', ' ', 'g')) AS t, concat('brand ', {KEY_BRAND}) AS c FROM postings),
+b AS (SELECT concat('https://job-boards.greenhouse.io/', token, '/jobs/', id) AS url, title, concat('Brand ', split_part(token, '-', 2)) AS company, location, posted_time, id, lower(title) AS t, concat('brand ', split_part(token, '-', 2)) AS c FROM (SELECT token, CAST(payload_id AS VARCHAR) AS id, {PNAME} AS title, regexp_extract(payload, '"name":"([^"]*)"', 1) AS location, {POSTED} AS posted_time FROM board_payloads WHERE {FIRST_LISTED} UNION ALL SELECT token, CAST(payload_id + 1000000 AS VARCHAR), concat('senior ', {PNAME}), 'Unknown', '' FROM board_payloads)),
+l AS (SELECT *, row_number() OVER (PARTITION BY t, c ORDER BY id) AS rn FROM b WHERE url NOT IN (SELECT rtrim(url, '/') FROM r)), one AS (SELECT * FROM l WHERE rn = 1),
+f AS (SELECT t, c, min(row_id) AS row_id FROM r WHERE t <> '' GROUP BY 1, 2), k AS (SELECT f.row_id, one.* EXCLUDE (rn) FROM one JOIN f ON one.t = f.t AND one.c = f.c)"""
+
+
+@query(f"""WITH {BOARD_ROWS} SELECT r.row_id, r.url, r.title, r.location, coalesce(nullif(trim(r.posted_time), ''), nullif(b.posted_time, ''), nullif(k.posted_time, ''), '') AS posted_time, CASE WHEN b.url IS NOT NULL THEN 'url' WHEN k.url IS NOT NULL THEN 'key' ELSE '' END AS matched FROM r LEFT JOIN b ON rtrim(r.url, '/') = b.url LEFT JOIN k ON k.row_id = r.row_id
+UNION ALL SELECT NULL, url, title, location, posted_time, 'new' FROM one WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.t = one.t AND f.c = one.c)""", "postings", "board_payloads")
 def j8_board_expansion(p, b):
+    brand = (F.col("row_id") % 25).cast("string")
+    url = F.when(F.col("row_id") % 7 == 0, F.concat(F.lit("https://job-boards.greenhouse.io/brand-"), brand, F.lit("/jobs/"), (F.col("row_id") % 200).cast("string"), F.lit("/"))).otherwise(F.col("url"))
+    rows = p.withColumns({"company": F.concat(F.lit("Brand "), brand), "url": url})
     board = payloads.postings(b, "greenhouse").withColumnRenamed("job_id", "posting_id")
-    return joins.expand_boards(p, board).select("row_id", "url", "title", "location", "posted_time", "matched")
+    return joins.expand_boards(rows, board).select("row_id", "url", "title", "location", "posted_time", "matched")
 
 
 @query("SELECT p_partkey AS page_id, CAST(p_partkey AS VARCHAR) AS job_id, lower(replace(p_brand, '#', '-')) AS token FROM part", "part", "board_payloads")
@@ -355,7 +374,10 @@ def f37_enrichment(p, _):
     return pages.enrich(rows, p, AS_OF).select("row_id", "extractor", "posted_time")
 
 
-@query(None, "postings")
+@query(f"""WITH p AS (SELECT *, lower(trim(title)) AS t, lower(trim(coalesce(company, ''))) AS c FROM postings WHERE source IN ('linkedin','indeed','ats') AND (contains(lower(title), 'ring') OR contains(lower(title), 'widget'))), {PLACES},
+g AS (SELECT t, c, count(*) AS n, arg_max(row_id, ({RICH}, -row_id)) AS row_id, arg_max(title, ({RICH}, -row_id)) AS title, arg_max(coalesce(company,''), ({RICH}, -row_id)) AS company, arg_max(url, ({RICH}, -row_id)) AS url, arg_max(location, ({RICH}, -row_id)) AS own FROM p WHERE t <> '' AND c <> '' GROUP BY t, c),
+m AS (SELECT row_id, title, company, url, CASE WHEN n = 1 THEN own ELSE l.loc END AS location FROM g JOIN l ON g.t = l.t AND g.c = l.c UNION ALL SELECT row_id, title, coalesce(company,''), url, location FROM p WHERE t = '' OR c = '')
+SELECT row_id, title, company, url, location FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY row_id) AS rn FROM m WHERE url NOT IN (SELECT url FROM postings WHERE source = 'yc' AND found_at > TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY)) WHERE rn = 1""", "postings")
 def e1_run(p):
     from ..schema import Params
 

@@ -8,18 +8,19 @@ from pyspark.sql import functions as F
 from ..functions import dates, text as X
 from ..operators.filters import location_matches, title_has_phrase
 
-GREENHOUSE = "struct<jobs:array<struct<id:string,title:string,location:struct<name:string>,isListed:boolean,updated_at:string,content:string,absolute_url:string>>>"
-LEVER = "array<struct<id:string,text:string,categories:struct<location:string>,createdAt:bigint,hostedUrl:string,applyUrl:string,descriptionPlain:string,description:string>>"
-ASHBY = "struct<jobs:array<struct<id:string,isListed:boolean,title:string,location:string,publishedAt:string,jobUrl:string,applyUrl:string,descriptionHtml:string,descriptionPlain:string>>>"
+GREENHOUSE = "struct<id:string,title:string,location:struct<name:string>,isListed:boolean,updated_at:string,content:string,absolute_url:string>"
+LEVER = "struct<id:string,text:string,categories:struct<location:string>,createdAt:bigint,hostedUrl:string,applyUrl:string,descriptionPlain:string,description:string>"
+ASHBY = "struct<id:string,isListed:boolean,title:string,location:string,publishedAt:string,jobUrl:string,applyUrl:string,descriptionHtml:string,descriptionPlain:string>"
 
 
 def jobs(df: DataFrame, shape: str, payload: str = "payload") -> DataFrame:
     """One row per job object of each payload, with its position. Elements that are no
-    objects come out as null structs and are dropped; so are payloads that do not parse."""
+    objects, and payloads that do not parse, are dropped; elements are parsed one by one, so
+    a bad one does not spoil its payload."""
     schema = {"greenhouse": GREENHOUSE, "lever": LEVER, "ashby": ASHBY}[shape]
-    parsed = F.from_json(payload, schema, {"mode": "PERMISSIVE"})
-    items = parsed if shape == "lever" else parsed["jobs"]
-    return df.select(*(c for c in df.columns if c != payload), F.posexplode(items).alias("pos", "job")).where("job is not null")
+    items = F.from_json(payload, "array<string>") if shape == "lever" else F.from_json(payload, "struct<jobs:array<string>>")["jobs"]
+    each = df.select(*(c for c in df.columns if c != payload), F.posexplode(items).alias("pos", "_item")).where(F.startswith(F.ltrim("_item"), F.lit("{")))
+    return each.withColumn("job", F.from_json("_item", schema)).drop("_item").where("job is not null")
 
 
 def _row(company: Column, source: str, **c: Column) -> list[Column]:
