@@ -6,9 +6,10 @@ permutation plus a random fraction, and a slot keeps the least rank. Since ranks
 levels, a document's work stops once every slot has a rank of an earlier level.
 
 Documents of equal sets form a class. Bands of the signature put classes into buckets.
-Each class is first verified, on full sets, against the least class of its buckets, then
-against a few classes drawn from those of its buckets that hold several components, and at
-last every pair of classes of different components that share a bucket is verified. Links
+Each class is first verified, on full sets, against the class of its buckets that meets most
+others there, then against a few classes drawn from its buckets that hold several
+components, and at last every pair of classes of different components that share a bucket,
+and whose signatures do not refute it, is verified. Links
 never matter inside a component, so buckets of any size are decided fully without listing
 the pairs of a group of copies. Components grow by pointer jumping and by large and small
 stars, as joins; nothing whole passes through the driver or one task.
@@ -24,14 +25,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .hashing import SPACED, document_shingles, mix, words
 from .shared import slices, text_buffer, written
 
 BANDS, ROWS = 36, 5
-SIGNED = "doc_id long, n_shingles long, node long, bands array<long>"
+SLOTS = BANDS * ROWS
+WORDS = -(-SLOTS // 16)
+#: Pairs that share fewer slots than this are refuted without their sets: 4.5 standard
+#: deviations below what a pair of just enough likeness (0.75) shares, chance equality of
+#: four bits included, so about one such pair in 300,000 is lost by it.
+MATCH = 0.75 + 0.25 / 16
+LEAST_EQUAL = int(MATCH * SLOTS - 4.5 * (MATCH * (1 - MATCH) * SLOTS) ** 0.5) + WORDS * 16 - SLOTS
+SIGNED = "doc_id long, n_shingles long, node long, bands array<long>, sketch array<long>"
 FRACTION = 24
 
 
@@ -79,6 +87,26 @@ def band_keys(table: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def sketch_words(table: np.ndarray) -> np.ndarray:
+    """Four bits of every slot, sixteen slots to a 64-bit word."""
+    nibbles = (mix(table.astype(np.uint64)) & np.uint64(15)).reshape(len(table), -1)
+    padded = np.zeros((len(table), WORDS * 16), np.uint64)
+    padded[:, : nibbles.shape[1]] = nibbles
+    shifts = np.arange(16, dtype=np.uint64) * np.uint64(4)
+    return (padded.reshape(len(table), WORDS, 16) << shifts).sum(2, dtype=np.uint64).view(np.int64)
+
+
+def equal_slots(x: Column, y: Column) -> Column:
+    """How many slots of two sketches have equal bits (padding counts as equal)."""
+    def word(i: int) -> Column:
+        z = F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 1))
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 2)).bitwiseAND(F.lit(0x1111111111111111))
+        return F.lit(16) - F.bit_count(z)
+
+    return sum((word(i) for i in range(1, WORDS)), word(0))
+
+
 def sets_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Shingle sets of the texts, pointers to them and a hash of each set."""
     _, _, hashes, pointers = words(*text_buffer(column), SPACED)
@@ -94,9 +122,12 @@ def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             sets, at, node = sets_of(batch.column(1))
             n = np.diff(at)
             some = n > 0
-            keys = band_keys(signatures(sets, np.concatenate([[0], np.cumsum(n[some])]), BANDS * ROWS)).ravel()
-            ends = np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(node, mask=~some), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys, pa.int64()))], ["doc_id", "n_shingles", "node", "bands"])
+            table = signatures(sets, np.concatenate([[0], np.cumsum(n[some])]), SLOTS)
+            lists = []
+            for values, width in ((band_keys(table), BANDS), (sketch_words(table), WORDS)):
+                ends = np.concatenate([[0], np.cumsum(some * width)]).astype(np.int32)
+                lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(values.ravel(), pa.int64())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(node, mask=~some), *lists], ["doc_id", "n_shingles", "node", "bands", "sketch"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(sign, SIGNED)
 
@@ -193,21 +224,26 @@ def relabelled(labels: DataFrame, moved: DataFrame) -> DataFrame:
     return labels.join(m, F.col("comp") == F.col("m_node"), "left").select("node", F.coalesce("m_comp", "comp").alias("comp"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, draws: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, draws: int = 8) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
     rows = written(signed(docs, id_col, text_col), "signatures")
-    classes = rows.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("s_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    classes = rows.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("s_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     banded = classes.select("node", "s_id", "n", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.min("node").alias("rep"), F.min_by("n", "node").alias("rep_n"), F.count("*").alias("many")).where("many > 1").drop("many")
+    shared = banded.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
     buckets = written(banded.join(shared, "key"), "buckets")
     alike = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
-    wanted = buckets.select("node", "s_id").distinct()
-    sets = written(packed_sets(docs, id_col, text_col, wanted), "sets")
-    # Every class against the least class of its buckets: links form a forest.
-    first = written(buckets.where((F.col("rep") < F.col("node")) & alike(F.col("n"), F.col("rep_n"))).groupBy("node").agg(F.min("rep").alias("a")).select("a", F.col("node").alias("b")), "pairs")
+    # How many classes a class meets in its buckets, repeats included; a text that others
+    # were copied from meets most.
+    members = written(buckets.groupBy("node").agg(F.min("s_id").alias("s_id"), F.sum("many").alias("meets")), "members")
+    sets = written(packed_sets(docs, id_col, text_col, members.select("node", "s_id")), "sets")
+    # Every class against that of its buckets which meets most; links form a forest.
+    ranked = buckets.select("key", "node", "n").join(members.select("node", "meets"), "node").select("key", "n", F.struct("meets", "node").alias("place"))
+    tops = ranked.groupBy("key").agg(F.max(F.struct("place", "n")).alias("top"))
+    first = ranked.join(tops, "key").where((F.col("top.place") > F.col("place")) & alike(F.col("n"), F.col("top.n"))).groupBy("place").agg(F.max("top.place").alias("up"))
+    first = written(first.select(F.col("up.node").alias("a"), F.col("place.node").alias("b")), "pairs")
     forest = roots(verified(first, sets, percent).select(F.col("b").alias("node"), F.col("a").alias("up")))
-    labels = buckets.select("node").distinct().join(forest, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
+    labels = members.select("node").join(forest, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
     labels = written(labels, "labels")
 
     # Then against a few classes, of other components, drawn from its buckets.
@@ -220,14 +256,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     moved = components(verified(tested, sets, percent).select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b")))
     labels = written(relabelled(labels, moved), "labels")
 
-    # Last, all pairs of different components that share a bucket and are not decided yet.
-    # One side is never of the bucket's largest component, so a group of copies that holds
-    # together is not paired with itself.
-    some = written(open_buckets(some.select("key", "node", "n"), labels), "open")
-    x = some.where("comp <> major").select("key", F.col("node").alias("x"), F.col("comp").alias("x_comp"), F.col("n").alias("x_n"))
-    meet = (x["key"] == some["key"]) & (F.col("comp") != F.col("x_comp")) & ((F.col("comp") == F.col("major")) | (F.col("x") < F.col("node"))) & alike(F.col("x_n"), F.col("n"))
-    left = x.join(some, meet).select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"), F.when(F.col("x") < F.col("node"), F.col("x_comp")).otherwise(F.col("comp")).alias("a_comp"), F.when(F.col("x") < F.col("node"), F.col("comp")).otherwise(F.col("x_comp")).alias("b_comp")).distinct()
-    rest = left.join(tested.select("a", "b").unionAll(first.select("a", "b")), ["a", "b"], "left_anti").select("a", "b", "a_comp", "b_comp")
+    # Last, all pairs of different components that share a bucket and are not decided yet,
+    # each at the first bucket it shares. One side is never of the bucket's largest
+    # component, so a group of copies that holds together is not paired with itself.
+    some = open_buckets(some.select("key", "node", "n"), labels)
+    details = classes.join(members.select("node"), "node", "left_semi").select(F.col("node").alias("d_node"), "bands", "sketch")
+    some = written(some.join(details, F.col("node") == F.col("d_node")).drop("d_node"), "open")
+    x = some.where("comp <> major").select("key", *(F.col(c).alias(f"x_{c}") for c in ("node", "comp", "n", "bands", "sketch")))
+    meet = (x["key"] == some["key"]) & (F.col("comp") != F.col("x_comp")) & ((F.col("comp") == F.col("major")) | (F.col("x_node") < F.col("node"))) & alike(F.col("x_n"), F.col("n"))
+    meet = meet & (equal_slots(F.col("x_sketch"), F.col("sketch")) >= LEAST_EQUAL) & (F.get(F.array_intersect("x_bands", "bands"), F.lit(0)) == x["key"])
+    lower = F.col("x_node") < F.col("node")
+    left = x.join(some, meet).select(F.least("x_node", "node").alias("a"), F.greatest("x_node", "node").alias("b"), F.when(lower, F.col("x_comp")).otherwise(F.col("comp")).alias("a_comp"), F.when(lower, F.col("comp")).otherwise(F.col("x_comp")).alias("b_comp"))
+    decided = tested.select("a", "b").unionAll(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    rest = left.join(decided, ["a", "b"], "left_anti").select("a", "b", "a_comp", "b_comp").distinct()
     moved = components(verified(rest, sets, percent).select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b")))
     labels = relabelled(labels, moved).select(F.col("node").alias("l_node"), "comp")
 
