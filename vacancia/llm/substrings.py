@@ -42,8 +42,8 @@ from .hashing import BASE, BASE_INVERSE, BYTE_VALUES, mix, powers
 from .shared import partitions, slices, text_buffer, written
 
 LEAST, GRAM, HOT = 50, 16, 4096
-BLOCK = 2 << 20
-FLUSH = 24 << 20
+BLOCK = 1 << 20
+FLUSH = 8 << 20
 BLOB = "part int, kind int, blob binary"
 
 
