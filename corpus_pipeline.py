@@ -17,15 +17,14 @@ from vacancia.llm.shared import read_table, written
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier does not reject (score >= 0.3)."""
-    scored = quality.keep_good(docs, read_table(spark, sf_dir, "labels"), 0.3)
-    return scored
+    return quality.keep_good(docs, read_table(spark, sf_dir, "labels"), 0.3)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the one of the least id. Rows of one id
     count once, rows without an id stay."""
     kept = minhash.near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
-    one = docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    one = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
     return one.unionByName(docs.where("doc_id is null"))
 
 

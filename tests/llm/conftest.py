@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-CLASHING = ("row", "key", "part", "kind", "node", "comp", "n", "size", "shard", "slot", "score", "label", "start", "length", "tail", "s_id", "text_hash", "ids", "position")
+CLASHING = ("row", "key", "part", "kind", "node", "comp", "n", "size", "shard", "slot", "score", "label", "start", "length", "tail", "s_id", "text_hash", "ids", "position", "s_text", "d_id", "s_spans")
 
 
 def make_rows() -> list[tuple]:

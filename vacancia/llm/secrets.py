@@ -126,9 +126,12 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", char
 
         return pd.Series([t if s is None else one(t, s) for t, s in zip(text, spans)], dtype=object)
 
-    text = F.col(text_col).cast("string")
-    joined = docs.join(secrets, F.col(id_col).cast("long").eqNullSafe(F.col("s_doc_id")) & (F.xxhash64(text) == F.col("s_text_hash")), "left")
-    new = joined.withColumn(text_col, F.when(F.col("s_spans").isNotNull(), cover(text, F.col("s_spans"))).otherwise(text))
+    # The row travels as one struct, so its columns can have any names.
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("s_row"))
+    text = F.col(f"s_row.`{text_col}`").cast("string")
+    joined = rows.join(secrets, F.col(f"s_row.`{id_col}`").cast("long").eqNullSafe(F.col("s_doc_id")) & (F.xxhash64(text) == F.col("s_text_hash")), "left")
+    new = joined.withColumn("s_text", F.when(F.col("s_spans").isNotNull(), cover(text, F.col("s_spans"))).otherwise(text))
+    values = {c: F.col(f"s_row.`{c}`") for c in docs.columns} | {text_col: F.col("s_text")}
     if chars_col in docs.columns:
-        new = new.withColumn(chars_col, F.when(F.col("s_spans").isNotNull(), F.char_length(text_col).cast(docs.schema[chars_col].dataType)).otherwise(F.col(chars_col)))
-    return new.select(*docs.columns)
+        values[chars_col] = F.when(F.col("s_spans").isNotNull(), F.char_length("s_text").cast(docs.schema[chars_col].dataType)).otherwise(values[chars_col])
+    return new.select(*(v.alias(c) for c, v in values.items()))
