@@ -134,8 +134,12 @@ def blocks(benchmark: DataFrame, item_col: str, item_text_col: str, block_bytes:
 def _clean(shared):
     @F.pandas_udf("boolean")
     def clean(texts: pd.Series) -> pd.Series:
-        _, _, hashes, pointers = words(*text_buffer(pa.array(texts, pa.large_string(), from_pandas=True)), ALNUM)
-        return pd.Series([not x for x in shared.value.scan(hashes, pointers)[0]], dtype=bool)
+        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string(), from_pandas=True)], ["text"])
+        kept: list[bool] = []
+        for part in slices(iter([batch]), "text", 2 << 20):
+            _, _, hashes, pointers = words(*text_buffer(part.column(0)), ALNUM)
+            kept += [not x for x in shared.value.scan(hashes, pointers)[0]]
+        return pd.Series(kept, dtype=bool)
 
     return clean
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, minhash, packing, quality, secrets, sharding, sketches, substrings, token_files, toxicity
+from . import decontaminate, minhash, oracles, packing, quality, secrets, sharding, sketches, substrings, token_files, toxicity
 from .shared import read_table
 
 
@@ -74,4 +74,4 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_files, op2_quality, op3_fingerprints, op4_toxicity, op5_sharding, op6_packing, op7_decontamination, op8_substrings, op9_near_duplicates, op10_secrets)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_decontamination": oracles.OP7, "op8_substrings": oracles.OP8, "op9_near_duplicates": oracles.OP9}
