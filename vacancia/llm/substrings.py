@@ -44,6 +44,7 @@ from .shared import partitions, slices, text_buffer, written
 LEAST, GRAM, HOT = 50, 16, 4096
 BLOCK = 1 << 20
 FLUSH = 8 << 20
+PORTION = 1 << 20
 BLOB = "part int, kind int, blob binary"
 
 
@@ -267,7 +268,7 @@ def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 
 def cut_segments(asked: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
-    """kind 3: row, id, start, windows of asked segments and their bytes, dealt by anchor."""
+    """kind 3: row, id, start, windows, anchor of asked segments and their bytes, dealt by anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns, blob in with_texts(batches):
@@ -299,7 +300,7 @@ def cut_segments(asked: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
             code, found = zstandard.ZstdCompressor(level=1), []
             for p in np.flatnonzero(np.diff(ends)).tolist():
                 some = order[ends[p] : ends[p + 1]]
-                head = pack(row[some], ids[some], start[some], windows[some])
+                head = pack(row[some], ids[some], start[some], windows[some], anchor[some])
                 found.append((p, 3, len(head).to_bytes(4, "little") + head + code.compress(buf[ragged(at[some], windows[some] + LEAST - 1)].tobytes())))
             yield rows_of(found)
 
@@ -402,8 +403,20 @@ def match_segments(cut: DataFrame, parts: int) -> DataFrame:
         now, held = None, []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            row, ids, start, windows = (np.concatenate(c) for c in zip(*(h[0] for h in held)))
+            """Anchors are independent, so a part is taken in portions of whole anchors."""
+            row, ids, start, windows, anchor = (np.concatenate(c) for c in zip(*(h[0] for h in held)))
             raw = np.concatenate([h[1] for h in held])
+            held.clear()
+            length = windows + LEAST - 1
+            begin = np.cumsum(length) - length
+            portions = -(-len(raw) // PORTION)
+            portion = (mix(anchor.astype(np.uint64)) % np.uint64(portions)).astype(np.int64)
+            for i in range(portions):
+                some = np.flatnonzero(portion == i)
+                if len(some):
+                    yield from match(row[some], ids[some], start[some], windows[some], raw[ragged(begin[some], length[some])])
+
+        def match(row: np.ndarray, ids: np.ndarray, start: np.ndarray, windows: np.ndarray, raw: np.ndarray) -> Iterator[pa.RecordBatch]:
             length = windows + LEAST - 1
             # A separating byte ends each segment; other bytes move up by one, 255 does not
             # occur in UTF-8.
@@ -428,7 +441,6 @@ def match_segments(cut: DataFrame, parts: int) -> DataFrame:
         for p, _, blob in by_part(batches):
             if p != now and held:
                 yield from flush()
-                held = []
             now, n = p, int.from_bytes(blob[:4], "little")
             held.append((unpack(blob[4 : 4 + n]), np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[4 + n :]), np.uint8)))
         if held:
