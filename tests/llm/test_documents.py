@@ -154,6 +154,28 @@ def test_repeats(docs, rows, monkeypatch):
         assert Counter((r["doc_id"], r["n_bytes"], sum(s["stop"] - s["start"] for s in r["spans"]), len(r["spans"]), bytes(r["kept"])) for r in got) == want
 
 
+def test_repeats_when_the_scan_is_cut_differently_between_jobs(spark, rows, docs, monkeypatch):
+    write = substrings.written
+
+    def written(df, name):
+        out = write(df, name)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4k" if name == "segments" else "300b")
+        return out
+
+    monkeypatch.setattr(substrings, "written", written)
+    try:
+        got = substrings.remove_repeats(docs).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert Counter((r["doc_id"], r["n_bytes"], sum(s["stop"] - s["start"] for s in r["spans"]), len(r["spans"]), bytes(r["kept"])) for r in got) == brute_repeats(rows)
+
+
+def test_packed_columns_of_any_size():
+    r = np.random.default_rng(5)
+    columns = [r.integers(-(1 << 63), (1 << 63) - 1, 300), np.array([-(1 << 63), (1 << 63) - 1] * 150), np.arange(300)]
+    assert all(np.array_equal(a, b) for a, b in zip(substrings.unpack(substrings.pack(*columns)), columns))
+
+
 def test_repeats_of_nothing(none):
     assert substrings.remove_repeats(none).count() == 0
 

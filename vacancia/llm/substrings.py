@@ -23,8 +23,8 @@ by 88 hash bits, windows in step 4 are compared byte by byte.
 
 Defined cases: null and empty texts have no bytes; rows of one id never remove from each
 other; rows with a null id neither lose nor remove bytes; an empty table gives no row;
-other columns of the input are not read. Rows are told apart by their place in the scan,
-so docs must be read from files.
+other columns of the input are not read. A row is known by its id and a hash of id and
+text, so it does not matter how the scan is cut; rows alike in both get the same spans.
 """
 
 from __future__ import annotations
@@ -66,7 +66,7 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     out = []
     for at in range(8, len(raw), 8 * n) if n else ():
         z = np.ascontiguousarray(raw[at : at + 8 * n].reshape(8, n).T).view("<i8").ravel()
-        out.append(np.cumsum((z >> 1) ^ -(z & 1)))
+        out.append(np.cumsum((z.view("<u8") >> np.uint64(1)).view("<i8") ^ -(z & 1)))
     return out
 
 
@@ -139,7 +139,7 @@ def segments(buf: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 
 def list_segments(docs: DataFrame, parts: int) -> DataFrame:
     """kind 0: columns row, id, start, windows, anchor, content, dealt by anchor; kind 1:
-    decided spans (row, start, stop), dealt by row."""
+    decided spans (row, id, start, stop), dealt by row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -156,7 +156,7 @@ def list_segments(docs: DataFrame, parts: int) -> DataFrame:
                 gone[order] = ids[order] > least[group]
                 found = list(dealt(0, anchor[~gone] % parts, parts, [c[~gone] for c in (row, ids, start, windows, anchor, content)]))
                 if gone.any():
-                    found += dealt(1, home(row[gone], parts), parts, [row[gone], start[gone], (start + windows + LEAST - 1)[gone]])
+                    found += dealt(1, home(row[gone], parts), parts, [row[gone], ids[gone], start[gone], (start + windows + LEAST - 1)[gone]])
                 yield rows_of(found)
 
         for batch in slices(batches, "text"):
@@ -176,7 +176,7 @@ def list_segments(docs: DataFrame, parts: int) -> DataFrame:
 # Step 2.
 
 def compare_segments(listed: DataFrame, parts: int) -> DataFrame:
-    """kind 1: removed spans (row, start, stop); kind 2: segments whose bytes are needed
+    """kind 1: removed spans (row, id, start, stop); kind 2: segments whose bytes are needed
     (row, id, start, windows, anchor, hot); both dealt by row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +196,7 @@ def compare_segments(listed: DataFrame, parts: int) -> DataFrame:
             hot = (contents > HOT)[anchor_no]
             found = []
             if gone.any():
-                found += dealt(1, home(row[gone], parts), parts, [row[gone], start[gone], (start + windows + LEAST - 1)[gone]])
+                found += dealt(1, home(row[gone], parts), parts, [row[gone], ids[gone], start[gone], (start + windows + LEAST - 1)[gone]])
             if asked.any():
                 found += dealt(2, home(row[asked], parts), parts, [c[asked] for c in (row, ids, start, windows, anchor, hot.astype(np.int64))])
             if found:
@@ -222,7 +222,9 @@ def packed_texts(docs: DataFrame, parts: int) -> DataFrame:
 
         for batch in slices(batches, "text"):
             rows = batch.column(0).to_numpy()
-            for r, p, i, t in zip(rows.tolist(), home(rows, parts).tolist(), batch.column(1).to_pylist(), batch.column(2)):
+            # Texts without an id ask for no spans and may go anywhere.
+            dealt_by = np.where(batch.column(1).is_null().to_numpy(zero_copy_only=False), np.arange(len(rows)), rows)
+            for r, p, i, t in zip(rows.tolist(), home(dealt_by, parts).tolist(), batch.column(1).to_pylist(), batch.column(2)):
                 t = (t.as_py() or "").encode()
                 held.setdefault(p, []).append((r, i, t))
                 size += len(t)
@@ -260,6 +262,14 @@ def with_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[list[np
         yield ready, blob
 
 
+def place_of(columns: list[np.ndarray], row: int, i: int | None) -> np.ndarray:
+    """Which records belong to a text; a text without an id has none."""
+    if not columns or i is None:
+        return np.zeros(0, np.int64)
+    a, b = np.searchsorted(columns[0], row, "left"), np.searchsorted(columns[0], row, "right")
+    return a + np.flatnonzero(columns[1][a:b] == i)
+
+
 # Step 3.
 
 def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -275,10 +285,10 @@ def cut_segments(asked: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
             if not columns:
                 continue
             wanted, pieces, base = [], [], 0
-            for r, _, text in texts_in(blob):
-                a, b = np.searchsorted(columns[0], [r, r + 1])
-                if b > a:
-                    wanted.append([c[a:b] for c in columns] + [columns[2][a:b] + base])
+            for r, i, text in texts_in(blob):
+                some = place_of(columns, r, i)
+                if len(some):
+                    wanted.append([c[some] for c in columns] + [columns[2][some] + base])
                     pieces.append(text)
                     base += len(text)
             if not wanted:
@@ -397,7 +407,7 @@ def shared_windows(text: np.ndarray, order: np.ndarray, least: int) -> np.ndarra
 
 
 def match_segments(cut: DataFrame, parts: int) -> DataFrame:
-    """kind 1: removed spans (row, start, stop), dealt by row."""
+    """kind 1: removed spans (row, id, start, stop), dealt by row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -436,7 +446,7 @@ def match_segments(cut: DataFrame, parts: int) -> DataFrame:
                 lead[1:] = np.diff(gone) > 1
                 a, b = gone[lead], gone[np.append(np.flatnonzero(lead)[1:] - 1, len(gone) - 1)]
                 s = segment[a]
-                yield rows_of(list(dealt(1, home(row[s], parts), parts, [row[s], start[s] + offset[a], start[s] + offset[b] + LEAST])))
+                yield rows_of(list(dealt(1, home(row[s], parts), parts, [row[s], ids[s], start[s] + offset[a], start[s] + offset[b] + LEAST])))
 
         for p, _, blob in by_part(batches):
             if p != now and held:
@@ -455,7 +465,8 @@ KEPT = "doc_id long, n_bytes long, spans array<struct<start:int,stop:int>>, kept
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, spans (maximal removed byte runs) and kept bytes of every row."""
     parts = partitions(docs.sparkSession)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
     listed = written(list_segments(rows, parts), "segments")
     compared = written(compare_segments(listed, parts), "compared")
     texts = packed_texts(rows, parts)
@@ -468,10 +479,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             out: list[list] = [[], [], [], []]
             for r, i, text in texts_in(blob):
                 runs: list[dict] = []
-                if columns:
-                    a, b = np.searchsorted(columns[0], [r, r + 1])
-                    order = np.argsort(columns[1][a:b], kind="stable")
-                    for x, y in zip(columns[1][a:b][order].tolist(), columns[2][a:b][order].tolist()):
+                some = place_of(columns, r, i)
+                if len(some):
+                    some = some[np.argsort(columns[2][some], kind="stable")]
+                    for x, y in zip(columns[2][some].tolist(), columns[3][some].tolist()):
                         if runs and x <= runs[-1]["stop"]:
                             runs[-1]["stop"] = max(y, runs[-1]["stop"])
                         else:
