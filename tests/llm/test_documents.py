@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -170,6 +171,35 @@ def test_repeats_when_the_scan_is_cut_differently_between_jobs(spark, rows, docs
     assert Counter((r["doc_id"], r["n_bytes"], sum(s["stop"] - s["start"] for s in r["spans"]), len(r["spans"]), bytes(r["kept"])) for r in got) == brute_repeats(rows)
 
 
+def test_a_hot_passage_is_thinned_out_before_it_meets(spark, tmp_path):
+    """A header of all documents, each time before another text: its last segment differs."""
+    r = random.Random(3)
+    some = lambda n: "".join(r.choice("abcdefghijklmnop ") for _ in range(n))
+    head = some(300)
+    rows = [(i, head + some(200)) for i in range(1500)]
+    made = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    made.write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    got = substrings.remove_repeats(docs).collect()
+    assert Counter((r["doc_id"], r["n_bytes"], sum(s["stop"] - s["start"] for s in r["spans"]), len(r["spans"]), bytes(r["kept"])) for r in got) == brute_repeats(rows)
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
+    listed = substrings.list_segments(keyed, 4).cache()
+    met = Counter(a for x in listed.where("kind = 0").collect() for a in substrings.unpack(x["blob"])[4].tolist())
+    assert max(met.values()) <= 3 * (substrings.CROWD + 1)
+    cut = substrings.cut_segments(listed.where("kind = 2"), substrings.packed_texts(keyed, 4), 4).where("kind = 3").collect()
+    heads = [x["blob"][4 : 4 + int.from_bytes(x["blob"][:4], "little")] for x in cut]
+    met = Counter(a for x in heads for a in substrings.unpack(x)[4].tolist())
+    assert max(met.values()) <= 4  # one a task
+
+
+def test_repeats_with_anchors_hot_in_some_tasks(docs, rows, monkeypatch):
+    want = brute_repeats(rows)
+    for crowd in (0, 2):
+        monkeypatch.setattr(substrings, "CROWD", crowd)
+        got = substrings.remove_repeats(docs).collect()
+        assert Counter((r["doc_id"], r["n_bytes"], sum(s["stop"] - s["start"] for s in r["spans"]), len(r["spans"]), bytes(r["kept"])) for r in got) == want
+
+
 def test_packed_columns_of_any_size():
     r = np.random.default_rng(5)
     columns = [r.integers(-(1 << 63), (1 << 63) - 1, 300), np.array([-(1 << 63), (1 << 63) - 1] * 150), np.arange(300)]

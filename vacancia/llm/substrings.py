@@ -6,12 +6,15 @@ Consecutive windows with one anchor form a segment. The job has four steps:
 
 1. Each task lists the segments of its documents: anchor, hash of the segment's bytes,
    place. Of equal segments in one task only those of the least id go on; the others are
-   decided (removed), which thins out hot passages before the shuffle.
+   decided (removed), which thins out hot passages before the shuffle. An anchor that
+   still has over CROWD segments in one task is hot: its segments skip step 2, which gets
+   one note of it instead, so step 2 sees at most CROWD segments of an anchor a flush.
 2. Dealt by anchor: segments equal to one of a smaller id are removed; where an anchor has
    different segments in several documents, those of the least ids need their bytes.
 3. Dealt by document: the bytes of these few segments are cut from the texts. Segments of
-   an anchor with over HOT different segments are cut into their single windows, dealt by
-   the windows' own bytes, so no anchor's group grows without bound in one task.
+   a hot anchor, noted or with over HOT different segments, are cut into their single
+   windows, dealt by the windows' own bytes. Of equal windows in one portion of texts only
+   those of the least id go on, the others are removed.
 4. Dealt by anchor again: a suffix array of the segments by two-stage sorting (suffixes
    smaller than their successors are sorted directly, the others are induced by scanning
    the buckets of first bytes), and common prefixes of neighbours. Neighbours that share
@@ -41,7 +44,7 @@ from pyspark.sql import functions as F
 from .hashing import BASE, BASE_INVERSE, BYTE_VALUES, mix, powers
 from .shared import partitions, slices, text_buffer, written
 
-LEAST, GRAM, HOT = 50, 16, 4096
+LEAST, GRAM, HOT, CROWD = 50, 16, 4096, 32
 BLOCK = 1 << 20
 FLUSH = 8 << 20
 PORTION = 1 << 20
@@ -138,8 +141,9 @@ def segments(buf: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 
 
 def list_segments(docs: DataFrame, parts: int) -> DataFrame:
-    """kind 0: columns row, id, start, windows, anchor, content, dealt by anchor; kind 1:
-    decided spans (row, id, start, stop), dealt by row."""
+    """kind 0: columns row, id, start, windows, anchor, content, dealt by anchor, a hot
+    anchor's note having no windows; kind 1: decided spans (row, id, start, stop), dealt by
+    row; kind 2: segments of anchors hot in a flush, as in compare_segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -154,7 +158,14 @@ def list_segments(docs: DataFrame, parts: int) -> DataFrame:
                 least = np.minimum.reduceat(ids[order], np.flatnonzero(~same))
                 gone = np.zeros(len(order), bool)
                 gone[order] = ids[order] > least[group]
-                found = list(dealt(0, anchor[~gone] % parts, parts, [c[~gone] for c in (row, ids, start, windows, anchor, content)]))
+                left = np.flatnonzero(~gone)
+                anchors, of, many = np.unique(anchor[left], return_inverse=True, return_counts=True)
+                crowded = (many > CROWD)[of]
+                cool, hot, noted = left[~crowded], left[crowded], anchors[many > CROWD]
+                none = np.zeros(len(noted), np.int64)
+                listed = [np.append(c[cool], x) for c, x in zip((row, ids, start, windows, anchor, content), (none, none, none, none, noted, none))]
+                found = list(dealt(0, listed[4] % parts, parts, listed))
+                found += dealt(2, home(row[hot], parts), parts, [*(c[hot] for c in (row, ids, start, windows, anchor)), np.ones(len(hot), np.int64)])
                 if gone.any():
                     found += dealt(1, home(row[gone], parts), parts, [row[gone], ids[gone], start[gone], (start + windows + LEAST - 1)[gone]])
                 yield rows_of(found)
@@ -181,7 +192,11 @@ def compare_segments(listed: DataFrame, parts: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, (row, ids, start, windows, anchor, content) in columns_by_part(batches):
-            order = np.lexsort((content, anchor))
+            noted = np.unique(anchor[windows == 0])
+            order = np.flatnonzero(windows > 0)
+            if not len(order):
+                continue
+            order = order[np.lexsort((content[order], anchor[order]))]
             row, ids, start, windows, anchor, content = (c[order] for c in (row, ids, start, windows, anchor, content))
             first = np.ones(len(row), bool)
             first[1:] = anchor[1:] != anchor[:-1]
@@ -192,8 +207,9 @@ def compare_segments(listed: DataFrame, parts: int) -> DataFrame:
             contents = np.add.reduceat(other.astype(np.int64), begin)
             apart = np.minimum.reduceat(ids, begin) < np.maximum.reduceat(ids, begin)
             anchor_no = np.cumsum(first) - 1
-            asked = ~gone & ((contents > 1) & apart)[anchor_no]
-            hot = (contents > HOT)[anchor_no]
+            known = np.isin(anchor[begin], noted)
+            asked = ~gone & ((contents > 1) & apart | known)[anchor_no]
+            hot = ((contents > HOT) | known)[anchor_no]
             found = []
             if gone.any():
                 found += dealt(1, home(row[gone], parts), parts, [row[gone], ids[gone], start[gone], (start + windows + LEAST - 1)[gone]])
@@ -278,42 +294,58 @@ def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 
 def cut_segments(asked: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
-    """kind 3: row, id, start, windows, anchor of asked segments and their bytes, dealt by anchor."""
+    """kind 3: row, id, start, windows, anchor of asked segments and their bytes, dealt by
+    anchor; kind 1: removed spans (row, id, start, stop), dealt by row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns, blob in with_texts(batches):
-            if not columns:
-                continue
-            wanted, pieces, base = [], [], 0
-            for r, i, text in texts_in(blob):
-                some = place_of(columns, r, i)
-                if len(some):
-                    wanted.append([c[some] for c in columns] + [columns[2][some] + base])
-                    pieces.append(text)
-                    base += len(text)
-            if not wanted:
-                continue
-            buf = np.frombuffer(b"".join(pieces), np.uint8)
+        wanted, pieces, base = [], [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            buf, found = np.frombuffer(b"".join(pieces), np.uint8), []
             row, ids, start, windows, anchor, hot, at = (np.concatenate(c) for c in zip(*wanted))
             if hot.any():  # single windows, dealt by their own bytes
                 h, c = hot > 0, hot == 0
                 each = ragged(np.zeros(h.sum(), np.int64), windows[h])
-                w_at = np.repeat(at[h], windows[h]) + each
+                w_row, w_ids, w_start, w_at = (np.repeat(x[h], windows[h]) for x in (row, ids, start, at))
+                w_start, w_at = w_start + each, w_at + each
                 values = np.zeros(len(w_at), np.uint64)
                 for j in range(LEAST):
                     values = (values ^ BYTE_VALUES[buf[w_at + j]]) * np.uint64(0x9E3779B97F4A7C15)
-                parts_of = (mix(values) >> np.uint64(16)).astype(np.int64)
-                row, ids, start, windows, anchor, at = (np.concatenate(x) for x in ((row[c], np.repeat(row[h], windows[h])), (ids[c], np.repeat(ids[h], windows[h])), (start[c], np.repeat(start[h], windows[h]) + each), (windows[c], np.ones(len(each), np.int64)), (anchor[c], parts_of), (at[c], w_at)))
+                order = np.argsort(values, kind="stable")
+                same = shared_windows(buf, w_at[order], LEAST)
+                gone = np.zeros(len(order), bool)
+                gone[order] = w_ids[order] > np.minimum.reduceat(w_ids[order], np.flatnonzero(~same))[np.cumsum(~same) - 1]
+                lost, left = np.flatnonzero(gone), np.flatnonzero(~gone)
+                if len(lost):
+                    lead = np.ones(len(lost), bool)
+                    lead[1:] = np.diff(w_at[lost]) != 1
+                    a, b = lost[lead], lost[np.append(np.flatnonzero(lead)[1:] - 1, len(lost) - 1)]
+                    found += dealt(1, home(w_row[a], parts), parts, [w_row[a], w_ids[a], w_start[a], w_start[b] + LEAST])
+                parts_of = (mix(values[left]) >> np.uint64(16)).astype(np.int64)
+                row, ids, start, windows, anchor, at = (np.concatenate(x) for x in ((row[c], w_row[left]), (ids[c], w_ids[left]), (start[c], w_start[left]), (windows[c], np.ones(len(left), np.int64)), (anchor[c], parts_of), (at[c], w_at[left])))
             part = anchor % parts
             order = np.argsort(part, kind="stable")
             ends = np.searchsorted(part[order], np.arange(parts + 1))
-            code, found = zstandard.ZstdCompressor(level=1), []
+            code = zstandard.ZstdCompressor(level=1)
             for p in np.flatnonzero(np.diff(ends)).tolist():
                 some = order[ends[p] : ends[p + 1]]
                 head = pack(row[some], ids[some], start[some], windows[some], anchor[some])
                 found.append((p, 3, len(head).to_bytes(4, "little") + head + code.compress(buf[ragged(at[some], windows[some] + LEAST - 1)].tobytes())))
             yield rows_of(found)
 
+        for columns, blob in with_texts(batches):
+            for r, i, text in texts_in(blob) if columns else ():
+                some = place_of(columns, r, i)
+                if len(some):
+                    wanted.append([c[some] for c in columns] + [columns[2][some] + base])
+                    pieces.append(text)
+                    base += len(text)
+                    if base >= PORTION:
+                        yield from flush()
+                        wanted, pieces, base = [], [], 0
+        if wanted:
+            yield from flush()
+
     return asked.unionAll(texts).repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(run, BLOB)
 
 
@@ -448,7 +480,10 @@ def match_segments(cut: DataFrame, parts: int) -> DataFrame:
                 s = segment[a]
                 yield rows_of(list(dealt(1, home(row[s], parts), parts, [row[s], ids[s], start[s] + offset[a], start[s] + offset[b] + LEAST])))
 
-        for p, _, blob in by_part(batches):
+        for p, k, blob in by_part(batches):
+            if k == 1:
+                yield rows_of([(p, k, blob)])
+                continue
             if p != now and held:
                 yield from flush()
             now, n = p, int.from_bytes(blob[:4], "little")
@@ -470,7 +505,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     listed = written(list_segments(rows, parts), "segments")
     compared = written(compare_segments(listed, parts), "compared")
     texts = packed_texts(rows, parts)
-    matched = match_segments(cut_segments(compared.where("kind = 2"), texts, parts), parts)
+    matched = match_segments(cut_segments(listed.where("kind = 2").unionAll(compared.where("kind = 2")), texts, parts), parts)
     spans = listed.where("kind = 1").unionAll(compared.where("kind = 1")).unionAll(matched)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
