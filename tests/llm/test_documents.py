@@ -200,6 +200,12 @@ def test_repeats_with_anchors_hot_in_some_tasks(docs, rows, monkeypatch):
         assert Counter((r["doc_id"], r["n_bytes"], sum(s["stop"] - s["start"] for s in r["spans"]), len(r["spans"]), bytes(r["kept"])) for r in got) == want
 
 
+def test_segments_are_told_apart_by_64_bits():
+    text = np.random.default_rng(6).integers(1, 200, 20000).astype(np.uint8)
+    content = substrings.segments(text, np.array([0, len(text)]))[4].view(np.uint64)
+    assert all(0.4 < ((content >> np.uint64(bit)) & np.uint64(1)).mean() < 0.6 for bit in range(64))
+
+
 def test_packed_columns_of_any_size():
     r = np.random.default_rng(5)
     columns = [r.integers(-(1 << 63), (1 << 63) - 1, 300), np.array([-(1 << 63), (1 << 63) - 1] * 150), np.arange(300)]

@@ -22,7 +22,7 @@ Consecutive windows with one anchor form a segment. The job has four steps:
 
 The removed spans are then dealt by document to the texts. Records travel as packed,
 compressed columns, one row for each task and part. Segment equality in steps 1 and 2 is
-by 88 hash bits, windows in step 4 are compared byte by byte.
+by 64 hash bits among the segments of an anchor, windows are compared byte by byte.
 
 Defined cases: null and empty texts have no bytes; rows of one id never remove from each
 other; rows with a null id neither lose nor remove bytes; an empty table gives no row;
@@ -113,7 +113,7 @@ def home(row: np.ndarray, parts: int) -> np.ndarray:
 # Step 1.
 
 def segments(buf: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    """doc, start (in buf), windows, anchor (48 bits), content (40 bits) of every segment."""
+    """doc, start (in buf), windows, anchor (48 bits), content (64 bits) of every segment."""
     out = []
     for at in range(0, max(0, len(buf) - LEAST + 1), BLOCK):
         part = buf[at : at + BLOCK + LEAST - 1]
@@ -136,7 +136,7 @@ def segments(buf: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         windows = np.diff(np.append(cut, len(least)))
         windows, cut = windows[inside[cut]], cut[inside[cut]]
         content = mix((sums[cut + windows + LEAST - 1] - sums[cut]) * inverse[cut] + windows.astype(np.uint64))
-        out.append([doc[cut], cut + at, windows, (least[cut] >> np.uint64(16)).astype(np.int64), (content >> np.uint64(24)).astype(np.int64)])
+        out.append([doc[cut], cut + at, windows, (least[cut] >> np.uint64(16)).astype(np.int64), content.astype(np.int64)])
     return [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 5
 
 
