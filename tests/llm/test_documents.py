@@ -186,7 +186,7 @@ def test_a_hot_passage_is_thinned_out_before_it_meets(spark, tmp_path):
     listed = substrings.list_segments(keyed, 4).cache()
     met = Counter(a for x in listed.where("kind = 0").collect() for a in substrings.unpack(x["blob"])[4].tolist())
     assert max(met.values()) <= 3 * (substrings.CROWD + 1)
-    cut = substrings.cut_segments(listed.where("kind = 2"), substrings.packed_texts(keyed, 4), 4).where("kind = 3").collect()
+    cut = substrings.cut_segments(listed.where("kind = 2"), substrings.packed_texts(keyed, 4), 4).where("kind = 4").collect()
     heads = [x["blob"][4 : 4 + int.from_bytes(x["blob"][:4], "little")] for x in cut]
     met = Counter(a for x in heads for a in substrings.unpack(x)[4].tolist())
     assert max(met.values()) <= 4  # one a task

@@ -18,7 +18,8 @@ Consecutive windows with one anchor form a segment. The job has four steps:
 4. Dealt by anchor again: a suffix array of the segments by two-stage sorting (suffixes
    smaller than their successors are sorted directly, the others are induced by scanning
    the buckets of first bytes), and common prefixes of neighbours. Neighbours that share
-   LEAST bytes form runs; windows of other than a run's least id are removed.
+   LEAST bytes form runs; windows of other than a run's least id are removed. The single
+   windows of hot anchors need no suffix array and are sorted by their bytes.
 
 The removed spans are then dealt by document to the texts. Records travel as packed,
 compressed columns, one row for each task and part. Segment equality in steps 1 and 2 is
@@ -295,10 +296,21 @@ def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 def cut_segments(asked: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
     """kind 3: row, id, start, windows, anchor of asked segments and their bytes, dealt by
-    anchor; kind 1: removed spans (row, id, start, stop), dealt by row."""
+    anchor; kind 4: the same of single windows, dealt by their bytes; kind 1: removed spans
+    (row, id, start, stop), dealt by row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, pieces, base = [], [], 0
+        code = zstandard.ZstdCompressor(level=1)
+
+        def cut_out(kind: int, buf: np.ndarray, row: np.ndarray, ids: np.ndarray, start: np.ndarray, windows: np.ndarray, anchor: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+            part = anchor % parts
+            order = np.argsort(part, kind="stable")
+            ends = np.searchsorted(part[order], np.arange(parts + 1))
+            for p in np.flatnonzero(np.diff(ends)).tolist():
+                some = order[ends[p] : ends[p + 1]]
+                head = pack(row[some], ids[some], start[some], windows[some], anchor[some])
+                yield p, kind, len(head).to_bytes(4, "little") + head + code.compress(buf[ragged(at[some], windows[some] + LEAST - 1)].tobytes())
 
         def flush() -> Iterator[pa.RecordBatch]:
             buf, found = np.frombuffer(b"".join(pieces), np.uint8), []
@@ -322,15 +334,9 @@ def cut_segments(asked: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
                     a, b = lost[lead], lost[np.append(np.flatnonzero(lead)[1:] - 1, len(lost) - 1)]
                     found += dealt(1, home(w_row[a], parts), parts, [w_row[a], w_ids[a], w_start[a], w_start[b] + LEAST])
                 parts_of = (mix(values[left]) >> np.uint64(16)).astype(np.int64)
-                row, ids, start, windows, anchor, at = (np.concatenate(x) for x in ((row[c], w_row[left]), (ids[c], w_ids[left]), (start[c], w_start[left]), (windows[c], np.ones(len(left), np.int64)), (anchor[c], parts_of), (at[c], w_at[left])))
-            part = anchor % parts
-            order = np.argsort(part, kind="stable")
-            ends = np.searchsorted(part[order], np.arange(parts + 1))
-            code = zstandard.ZstdCompressor(level=1)
-            for p in np.flatnonzero(np.diff(ends)).tolist():
-                some = order[ends[p] : ends[p + 1]]
-                head = pack(row[some], ids[some], start[some], windows[some], anchor[some])
-                found.append((p, 3, len(head).to_bytes(4, "little") + head + code.compress(buf[ragged(at[some], windows[some] + LEAST - 1)].tobytes())))
+                found += cut_out(4, buf, w_row[left], w_ids[left], w_start[left], np.ones(len(left), np.int64), parts_of, w_at[left])
+                row, ids, start, windows, anchor, at = (x[c] for x in (row, ids, start, windows, anchor, at))
+            found += cut_out(3, buf, row, ids, start, windows, anchor, at)
             yield rows_of(found)
 
         for columns, blob in with_texts(batches):
@@ -442,7 +448,18 @@ def match_segments(cut: DataFrame, parts: int) -> DataFrame:
     """kind 1: removed spans (row, id, start, stop), dealt by row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        now, held, single = None, [], []
+
+        def equal_windows() -> Iterator[pa.RecordBatch]:
+            row, ids, start, *_ = (np.concatenate(c) for c in zip(*(h[0] for h in single)))
+            raw = np.concatenate([h[1] for h in single] + [np.zeros(16, np.uint8)])
+            single.clear()
+            at = np.arange(len(row)) * LEAST
+            order = np.lexsort([word_at(raw, at + j) for j in [*range(0, LEAST - 8, 8), LEAST - 8]])
+            same = shared_windows(raw, at[order], LEAST)
+            gone = order[ids[order] > np.minimum.reduceat(ids[order], np.flatnonzero(~same))[np.cumsum(~same) - 1]]
+            if len(gone):
+                yield rows_of(list(dealt(1, home(row[gone], parts), parts, [row[gone], ids[gone], start[gone], start[gone] + LEAST])))
 
         def flush() -> Iterator[pa.RecordBatch]:
             """Anchors are independent, so a part is taken in portions of whole anchors."""
@@ -486,10 +503,14 @@ def match_segments(cut: DataFrame, parts: int) -> DataFrame:
                 continue
             if p != now and held:
                 yield from flush()
+            if p != now and single:
+                yield from equal_windows()
             now, n = p, int.from_bytes(blob[:4], "little")
-            held.append((unpack(blob[4 : 4 + n]), np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[4 + n :]), np.uint8)))
+            (held if k == 3 else single).append((unpack(blob[4 : 4 + n]), np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[4 + n :]), np.uint8)))
         if held:
             yield from flush()
+        if single:
+            yield from equal_windows()
 
     return cut.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, BLOB)
 
