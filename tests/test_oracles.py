@@ -51,3 +51,14 @@ def test_flagship(spark):
 
 def test_all_registered_names_have_queries():
     assert set(registry.oracle_sql()) <= set(registry.queries())
+
+
+def test_whole_jobs(spark, duck):
+    """All documents have a location; known links take away some of all pages' links."""
+    found = registry.queries()["f18_location_in_all_texts"](spark, SF)
+    assert found.count() == duck.execute("SELECT count(*) FROM documents").fetchone()[0] > registry.queries()["f18_location_in_text"](spark, SF).count()
+    new = registry.queries()["j12_new_links_of_all_pages"](spark, SF).toPandas()
+    some = registry.queries()["j12_new_links"](spark, SF).toPandas()
+    known = some["new_url"].str.len() % 3 == 0
+    assert 0 < known.sum() < len(some) < len(new) + known.sum()
+    assert set(some["new_url"][~known]) <= set(new["new_url"]) and not set(some["new_url"][known]) & set(new["new_url"])

@@ -180,6 +180,11 @@ def f18_location_in_text(d):
     return d.where("lang = 'en'").select("doc_id", X.location_in(F.col("text")).alias("location"))
 
 
+@query("""SELECT doc_id, CASE WHEN contains(lower(text), 'remote') THEN 'Remote' WHEN contains(lower(text), 'hybrid') THEN 'Hybrid' WHEN contains(lower(text), 'on-site') THEN 'On-Site' WHEN contains(lower(text), 'onsite') THEN 'Onsite' WHEN regexp_extract(text, '([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*,\\s*[A-Z]{2})', 1) <> '' THEN regexp_extract(text, '([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*,\\s*[A-Z]{2})', 1) WHEN regexp_matches(text, '(?i)\\b(United States|USA|US)\\b') THEN 'United States' ELSE 'Unknown' END AS location FROM documents""", "documents")
+def f18_location_in_all_texts(d):
+    return d.select("doc_id", X.location_in(F.col("text")).alias("location"))
+
+
 ANCHORS = r"""regexp_extract_all(html, '(?is)<a\b[^>]*\bhref\s*=\s*["'']([^"'']*)["''][^>]*>(.*?)</a>', {})"""
 LINKS = f"""a AS (SELECT page_id, url, unnest(list_zip({ANCHORS.format(1)}, {ANCHORS.format(2)}, range(0, len({ANCHORS.format(1)})))) AS z FROM pages), b AS (SELECT page_id, url, trim(z[1]) AS href, z[2] AS inner_html, z[3] AS pos FROM a),
 c AS (SELECT page_id, url, href, inner_html, pos, CASE WHEN regexp_matches(split_part(href,'#',1), '^https?://') THEN split_part(href,'#',1) WHEN starts_with(href, '//') THEN concat('https:', split_part(href,'#',1)) WHEN starts_with(href, '/') THEN concat(regexp_extract(url, '^(https?://[^/]+)', 1), split_part(href,'#',1)) ELSE concat(regexp_replace(regexp_extract(url, '^(https?://[^/]+[^?#]*)', 1), '/[^/]*$', '/'), split_part(href,'#',1)) END AS link FROM b WHERE href <> '' AND NOT regexp_matches(lower(href), '^(mailto|javascript|tel):') AND NOT starts_with(href, '/url?')),
@@ -207,6 +212,15 @@ def j12_new_links(p):
     return fresh.select("page_url", F.col("url").alias("new_url"), "platform", "source")
 
 
+@query(f"WITH {LINKS}, found AS (SELECT DISTINCT url AS page_url, regexp_replace(link, '^https?://[^/]+', 'https://jobs.lever.co') AS new_url FROM links) SELECT page_url, new_url, 'lever' AS platform, 'board' AS source FROM found WHERE new_url NOT IN (SELECT new_url FROM found WHERE length(new_url) % 3 = 0)", "pages")
+def j12_new_links_of_all_pages(p):
+    board = F.regexp_replace("link", "^https?://[^/]+", "https://jobs.lever.co").alias("url")
+    found = pages.links(p).where("not startswith(href, '/url?')").select("page_url", board).distinct()
+    known = found.where("char_length(url) % 3 = 0")
+    template = p.select("url", F.lit("board").alias("source"), F.lit("role").alias("search_role"), F.lit("").alias("company"))
+    return joins.new_links(found, known, template).select("page_url", F.col("url").alias("new_url"), "platform", "source")
+
+
 @query(f"WITH {LINKS} SELECT page_id, link FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rn FROM links) WHERE rn <= 4", "pages")
 def t4_page_links(p):
     found = pages.links(p).where("not startswith(href, '/url?')")
