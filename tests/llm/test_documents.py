@@ -160,7 +160,7 @@ def test_repeats_when_the_scan_is_cut_differently_between_jobs(spark, rows, docs
 
     def written(df, name):
         out = write(df, name)
-        spark.conf.set("spark.sql.files.maxPartitionBytes", "4k" if name == "segments" else "300b")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4k" if name == "chunks" else "300b")
         return out
 
     monkeypatch.setattr(substrings, "written", written)
@@ -182,14 +182,25 @@ def test_a_hot_passage_is_thinned_out_before_it_meets(spark, tmp_path):
     docs = spark.read.parquet(f"{tmp_path}/d")
     got = substrings.remove_repeats(docs).collect()
     assert Counter((r["doc_id"], r["n_bytes"], sum(s["stop"] - s["start"] for s in r["spans"]), len(r["spans"]), bytes(r["kept"])) for r in got) == brute_repeats(rows)
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
-    listed = substrings.list_segments(keyed, 4).cache()
-    met = Counter(a for x in listed.where("kind = 0").collect() for a in substrings.unpack(x["blob"])[4].tolist())
+    chunks = substrings.store_texts(docs).cache()
+    listed = substrings.list_segments(chunks, 4).cache()
+    met = Counter(a for x in listed.where("kind = 0").collect() for a in substrings.unpack(x["blob"])[3].tolist())
     assert max(met.values()) <= 3 * (substrings.CROWD + 1)
-    cut = substrings.cut_segments(listed.where("kind = 2"), substrings.packed_texts(keyed, 4), 4).where("kind = 4").collect()
-    heads = [x["blob"][4 : 4 + int.from_bytes(x["blob"][:4], "little")] for x in cut]
-    met = Counter(a for x in heads for a in substrings.unpack(x)[4].tolist())
-    assert max(met.values()) <= 4  # one a task
+    cut = substrings.cut_segments(listed.where("kind = 2"), chunks, 4).where("kind = 4").collect()
+    met = Counter(raw[i : i + 50] for x in cut for raw in [substrings.apart(x["blob"])[1].tobytes()] for i in range(0, len(raw), 50))
+    assert max(met.values()) <= 3  # one a chunk
+
+
+def test_no_step_makes_more_rows_than_chunks_times_parts(spark, docs, monkeypatch):
+    monkeypatch.setattr(substrings, "CHUNK", 1 << 14)
+    chunks = substrings.store_texts(docs.select("doc_id", "text")).cache()
+    n, parts = chunks.count(), 13
+    assert n > 5
+    listed = substrings.list_segments(chunks, parts).cache()
+    compared = substrings.compare_segments(listed, parts).cache()
+    cut = substrings.cut_segments(compared.where("kind = 2"), chunks, parts).cache()
+    for table in (listed, compared, cut, substrings.match_segments(cut, parts)):
+        assert all(r["count"] <= 2 * n * parts for r in table.groupBy("kind").count().collect())
 
 
 def test_repeats_with_anchors_hot_in_some_tasks(docs, rows, monkeypatch):
@@ -202,14 +213,27 @@ def test_repeats_with_anchors_hot_in_some_tasks(docs, rows, monkeypatch):
 
 def test_segments_are_told_apart_by_64_bits():
     text = np.random.default_rng(6).integers(1, 200, 20000).astype(np.uint8)
-    content = substrings.segments(text, np.array([0, len(text)]))[4].view(np.uint64)
+    content = next(substrings.segments(text, np.array([0, len(text)])))[4].view(np.uint64)
     assert all(0.4 < ((content >> np.uint64(bit)) & np.uint64(1)).mean() < 0.6 for bit in range(64))
 
 
 def test_packed_columns_of_any_size():
     r = np.random.default_rng(5)
     columns = [r.integers(-(1 << 63), (1 << 63) - 1, 300), np.array([-(1 << 63), (1 << 63) - 1] * 150), np.arange(300)]
-    assert all(np.array_equal(a, b) for a, b in zip(substrings.unpack(substrings.pack(*columns)), columns))
+    for k in (1, 2, 3):
+        assert all(np.array_equal(a, b) for a, b in zip(substrings.unpack(substrings.pack(columns[:k], columns[k:])), columns))
+
+
+def test_repeats_in_texts_that_touch(spark, tmp_path):
+    """Two removed texts side by side are two spans, and a very long text takes several blocks."""
+    some = "".join(random.Random(8).choices("abcdefgh ", k=200))
+    rows = [(1, some), (2, some), (3, some), (4, ""), (5, some + "!"), (6, ("0123456789" * 30 + some) * 12000)]
+    spark.createDataFrame(rows[:5], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/d")
+    got = substrings.remove_repeats(spark.read.parquet(f"{tmp_path}/d")).collect()
+    assert Counter((r["doc_id"], r["n_bytes"], sum(s["stop"] - s["start"] for s in r["spans"]), len(r["spans"]), bytes(r["kept"])) for r in got) == brute_repeats(rows[:5])
+    spark.createDataFrame([rows[0], rows[5]], "doc_id long, text string").write.parquet(f"{tmp_path}/long")
+    got = {r["doc_id"]: r for r in substrings.remove_repeats(spark.read.parquet(f"{tmp_path}/long")).collect()}
+    assert got[6]["n_bytes"] == 6_000_000 and len(got[6]["spans"]) == 12000 and bytes(got[6]["kept"]) == b"0123456789" * 30 * 12000
 
 
 def test_repeats_of_nothing(none):

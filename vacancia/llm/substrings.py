@@ -2,120 +2,215 @@
 
 Every window of LEAST bytes has an anchor: the least hash of its GRAM-byte substrings.
 Equal windows have equal anchors, so windows are dealt out by anchor and equal ones meet.
-Consecutive windows with one anchor form a segment. The job has four steps:
-
-1. Each task lists the segments of its documents: anchor, hash of the segment's bytes,
-   place. Of equal segments in one task only those of the least id go on; the others are
-   decided (removed), which thins out hot passages before the shuffle. An anchor that
-   still has over CROWD segments in one task is hot: its segments skip step 2, which gets
-   one note of it instead, so step 2 sees at most CROWD segments of an anchor a flush.
-2. Dealt by anchor: segments equal to one of a smaller id are removed; where an anchor has
+Consecutive windows with one anchor form a segment. The job has five steps:
+
+1. Each task of the scan stores its texts once, in an Arrow file of chunks of about CHUNK
+   bytes. Texts are never shuffled: later steps deal out small records by chunk and read
+   the chunk's texts from its file. A place is a chunk and a byte position in it.
+2. Each chunk lists its segments: anchor, hash of the segment's bytes, place. Of equal
+   segments in one chunk only those of the least id go on; the others are decided
+   (removed), which thins out hot passages before the shuffle. An anchor that still has
+   over CROWD segments in one chunk is hot: its segments skip step 3, which gets one note
+   of it instead, so step 3 sees at most CROWD segments of an anchor from each chunk.
+3. Dealt by anchor: segments equal to one of a smaller id are removed; where an anchor has
    different segments in several documents, those of the least ids need their bytes.
-3. Dealt by document: the bytes of these few segments are cut from the texts. Segments of
-   a hot anchor, noted or with over HOT different segments, are cut into their single
-   windows, dealt by the windows' own bytes. Of equal windows in one portion of texts only
-   those of the least id go on, the others are removed.
-4. Dealt by anchor again: a suffix array of the segments by two-stage sorting (suffixes
+4. Dealt by chunk: the bytes of these few segments are cut from the texts. Segments of a
+   hot anchor, noted or with over HOT different segments, are cut into their single
+   windows, dealt by the windows' own bytes. Of equal windows in one portion only those of
+   the least id go on, the others are removed.
+5. Dealt by anchor again: a suffix array of the segments by two-stage sorting (suffixes
    smaller than their successors are sorted directly, the others are induced by scanning
    the buckets of first bytes), and common prefixes of neighbours. Neighbours that share
    LEAST bytes form runs; windows of other than a run's least id are removed. The single
    windows of hot anchors need no suffix array and are sorted by their bytes.
 
-The removed spans are then dealt by document to the texts. Records travel as packed,
-compressed columns, one row for each task and part. Segment equality in steps 1 and 2 is
-by 64 hash bits among the segments of an anchor, windows are compared byte by byte.
+The removed spans are then dealt by chunk to the texts. Records travel as packed,
+compressed columns, one row for each chunk and part, so no step makes more rows than
+chunks times parts; there is a part for every PART bytes of text at least. Segment equality
+in steps 2 and 3 is by 64 hash bits among the segments of an anchor (48 bits), windows are
+compared byte by byte.
 
-Defined cases: null and empty texts have no bytes; rows of one id never remove from each
-other; rows with a null id neither lose nor remove bytes; an empty table gives no row;
-other columns of the input are not read. A row is known by its id and a hash of id and
-text, so it does not matter how the scan is cut; rows alike in both get the same spans.
+Defined cases: null and empty texts have no bytes; a text of any length is worked through
+in blocks; rows of one id never remove from each other; rows with a null id neither lose
+nor remove bytes; an empty table gives no row; other columns of the input are not read.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import BASE, BASE_INVERSE, BYTE_VALUES, mix, powers
-from .shared import partitions, slices, text_buffer, written
+from .shared import partitions, slices, text_buffer, work_path, written
+from .token_files import file_system
 
 LEAST, GRAM, HOT, CROWD = 50, 16, 4096, 32
 BLOCK = 1 << 20
-FLUSH = 8 << 20
+CHUNK = 8 << 20
 PORTION = 1 << 20
-BLOB = "part int, kind int, blob binary"
+PART = 16 << 20
+BLOB = "part int, chunk long, kind int, blob binary"
+#: Kinds of rows: listed segments, removed spans, asked segments, cut segments, cut single
+#: windows, and the file and batch of a chunk, which sort after all else of that chunk.
+LISTED, REMOVED, ASKED, CUT, SINGLE, PLACE = 0, 1, 2, 3, 4, 9
 
 
 # Packed columns.
 
-def pack(*columns: np.ndarray) -> bytes:
-    """Columns of 64-bit integers: differences, split into byte planes, compressed."""
-    planes = [np.array([len(columns[0])], "<i8").view(np.uint8)]
-    for c in columns:
-        d = np.diff(c.astype(np.int64), prepend=np.int64(0))
-        z = ((d << 1) ^ (d >> 63)).astype("<i8")
+def pack(steady: Sequence[np.ndarray], random: Sequence[np.ndarray] = ()) -> bytes:
+    """Columns of 64-bit integers, split into byte planes and compressed; of the steady ones
+    the differences."""
+    planes = [np.array([len(steady[0]), len(steady)], "<i8").view(np.uint8)]
+    for i, c in enumerate([*steady, *random]):
+        z = c.astype("<i8")
+        if i < len(steady):
+            d = np.diff(z, prepend=np.int64(0))
+            z = (d << 1) ^ (d >> 63)
         planes.append(np.ascontiguousarray(z.view(np.uint8).reshape(-1, 8).T).ravel())
     return zstandard.ZstdCompressor(level=1).compress(np.concatenate(planes).tobytes())
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    n = int(raw[:8].view("<i8")[0])
+    n, steady = raw[:16].view("<i8").tolist()
     out = []
-    for at in range(8, len(raw), 8 * n) if n else ():
+    for i, at in enumerate(range(16, len(raw), 8 * n) if n else ()):
         z = np.ascontiguousarray(raw[at : at + 8 * n].reshape(8, n).T).view("<i8").ravel()
-        out.append(np.cumsum((z.view("<u8") >> np.uint64(1)).view("<i8") ^ -(z & 1)))
+        out.append(np.cumsum((z.view("<u8") >> np.uint64(1)).view("<i8") ^ -(z & 1)) if i < steady else z)
     return out
 
 
-def dealt(kind: int, part: np.ndarray, parts: int, columns: list[np.ndarray]) -> Iterator[tuple[int, int, bytes]]:
-    order = np.argsort(part, kind="stable")
-    ends = np.searchsorted(part[order], np.arange(parts + 1))
-    columns = [c[order] for c in columns]
-    for p in np.flatnonzero(np.diff(ends)).tolist():
-        yield p, kind, pack(*(c[ends[p] : ends[p + 1]] for c in columns))
+def with_bytes(columns: bytes, raw: bytes) -> bytes:
+    return len(columns).to_bytes(4, "little") + columns + zstandard.ZstdCompressor(level=1).compress(raw)
 
 
-def rows_of(found: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    p, k, b = zip(*found)
-    return pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(k, pa.int32()), pa.array(b, pa.binary())], ["part", "kind", "blob"])
+def apart(blob: bytes) -> tuple[list[np.ndarray], np.ndarray]:
+    n = int.from_bytes(blob[:4], "little")
+    return unpack(blob[4 : 4 + n]), np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[4 + n :]), np.uint8)
+
+
+def groups(key: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each value of key and where it is, in order."""
+    order = np.argsort(key, kind="stable")
+    for some in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+        if len(some):
+            yield int(key[some[0]]), some
+
 
+def rows_of(found: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    part, chunk, kind, blob = zip(*found)
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(chunk, pa.int64()), pa.array(kind, pa.int32()), pa.array(blob, pa.binary())], ["part", "chunk", "kind", "blob"])
 
-def by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, Iterator[bytes]]]:
-    """Blobs of a task's rows, sorted by part and kind, as (part, kind, blob)."""
+
+def rows_in(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, bytes]]:
     for batch in batches:
-        for p, k, b in zip(*(c.to_pylist() if i < 2 else c for i, c in enumerate(batch.columns))):
-            yield p, k, b.as_py()
+        yield from zip(*(c.to_pylist() for c in batch.columns[:3]), (b.as_py() for b in batch.column(3)))
 
 
-def columns_by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """All columns of each part; used where a part is small enough for memory."""
-    now, held = None, []
-    for p, _, blob in by_part(batches):
-        if p != now and held:
-            yield now, [np.concatenate(c) for c in zip(*held)]
-            held = []
-        now = p
-        held.append(unpack(blob))
-    if held:
-        yield now, [np.concatenate(c) for c in zip(*held)]
+def removed(parts: int, chunk: np.ndarray, start: np.ndarray, stop: np.ndarray) -> list[tuple[int, int, int, bytes]]:
+    """Rows of removed spans, which go to their chunks."""
+    return [(c % parts, c, REMOVED, pack(joined_runs(start[some], stop[some]))) for c, some in groups(chunk)]
 
 
-def home(row: np.ndarray, parts: int) -> np.ndarray:
-    return (mix(row.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+def joined_runs(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The union of spans in order; it may run on from one text into the next."""
+    order = np.argsort(start, kind="stable")
+    start, high = start[order], np.maximum.accumulate(stop[order])
+    lead = np.ones(len(start), bool)
+    lead[1:] = start[1:] > high[:-1]
+    return start[lead], high[np.append(np.flatnonzero(lead)[1:] - 1, len(start) - 1)] if len(start) else high
 
 
 # Step 1.
 
-def segments(buf: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    """doc, start (in buf), windows, anchor (48 bits), content (64 bits) of every segment."""
-    out = []
+TEXTS = pa.schema([("doc_id", pa.int64()), ("text", pa.large_string())])
+
+
+def store_texts(docs: DataFrame) -> DataFrame:
+    """Store doc_id and text of docs in Arrow files, one a task, and return the chunks they
+    hold as rows of kind PLACE. An attempt writes a file of its own, and only the rows of
+    attempts that succeed are kept."""
+    top = work_path(docs.sparkSession, "texts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, folder = file_system(top)
+        files.create_dir(folder, recursive=True)
+        task = TaskContext.get().partitionId()
+        name = f"{task:06d}-{uuid.uuid4().hex}.arrow"
+        found = []
+        with files.open_output_stream(f"{folder}/{name}") as sink, pa.ipc.new_file(sink, TEXTS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            for batch in gathered(slices(batches, "text", CHUNK), CHUNK):
+                out.write_batch(batch)
+                chunk = len(found) << 32 | task
+                found.append((0, chunk, PLACE, f"{len(found)} {top}/{name}".encode()))
+        if found:
+            yield rows_of(found)
+
+    return written(docs.mapInArrow(run, BLOB), "chunks")
+
+
+def gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together to at most that many bytes of text, if one does not hold more."""
+    def one(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        return pa.Table.from_batches(held).cast(TEXTS).combine_chunks().to_batches()[0]
+
+    held, size = [], 0
+    for batch in batches:
+        n = batch.column(1).nbytes
+        if held and size + n > most:
+            yield one(held)
+            held, size = [], 0
+        held.append(batch)
+        size += n
+    if held:
+        yield one(held)
+
+
+class Chunks:
+    """Reads chunks; the file of the last one stays open."""
+
+    def __init__(self):
+        self.path = self.file = None
+
+    def read(self, place: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Ids, bytes of all texts, and where each begins."""
+        at, path = place.decode().split(" ", 1)
+        if path != self.path:
+            files, name = file_system(path)
+            self.path, self.file = path, pa.ipc.open_file(files.open_input_file(name))
+        batch = self.file.get_batch(int(at))
+        return batch.column(0), *text_buffer(batch.column(1))
+
+
+def by_chunk(records: DataFrame, chunks: DataFrame, parts: int) -> DataFrame:
+    """Records and places of chunks, dealt by chunk; the place follows the chunk's records."""
+    part = F.pmod("chunk", F.lit(parts)).cast("int")
+    return records.unionAll(chunks).withColumn("part", part).repartitionById(parts, "part").sortWithinPartitions("chunk", "kind")
+
+
+def columns_by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray], bytes]]:
+    """Each chunk, the columns of all its records (none: an empty list) and its place."""
+    held: list[list[np.ndarray]] = []
+    for _, chunk, kind, blob in rows_in(batches):
+        if kind == PLACE:
+            yield chunk, [np.concatenate(c) for c in zip(*held)], blob
+            held = []
+        else:
+            held.append(unpack(blob))
+
+
+# Step 2.
+
+def segments(buf: np.ndarray, offsets: np.ndarray) -> Iterator[list[np.ndarray]]:
+    """doc, start (in buf), windows, anchor (48 bits), content (64 bits) of every segment,
+    by blocks of the buffer."""
     for at in range(0, max(0, len(buf) - LEAST + 1), BLOCK):
         part = buf[at : at + BLOCK + LEAST - 1]
         n = len(part)
@@ -137,225 +232,160 @@ def segments(buf: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         windows = np.diff(np.append(cut, len(least)))
         windows, cut = windows[inside[cut]], cut[inside[cut]]
         content = mix((sums[cut + windows + LEAST - 1] - sums[cut]) * inverse[cut] + windows.astype(np.uint64))
-        out.append([doc[cut], cut + at, windows, (least[cut] >> np.uint64(16)).astype(np.int64), content.astype(np.int64)])
-    return [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 5
+        yield [doc[cut], cut + at, windows, (least[cut] >> np.uint64(16)).astype(np.int64), content.astype(np.int64)]
 
 
-def list_segments(docs: DataFrame, parts: int) -> DataFrame:
-    """kind 0: columns row, id, start, windows, anchor, content, dealt by anchor, a hot
-    anchor's note having no windows; kind 1: decided spans (row, id, start, stop), dealt by
-    row; kind 2: segments of anchors hot in a flush, as in compare_segments."""
+def list_segments(chunks: DataFrame, parts: int) -> DataFrame:
+    """LISTED rows (start, windows, id, anchor, content), dealt by anchor, a hot anchor's note
+    having no windows; REMOVED rows (start, stop); ASKED rows of anchors hot in a chunk, as in
+    compare_segments. The last two go to any part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            row, ids, start, windows, anchor, content = (np.concatenate(c) for c in zip(*held))
-            order = np.argsort(mix(anchor.astype(np.uint64) ^ mix(content.astype(np.uint64))), kind="stable")
-            same = np.zeros(len(order), bool)
-            same[1:] = (anchor[order[1:]] == anchor[order[:-1]]) & (content[order[1:]] == content[order[:-1]])
-            group = np.cumsum(~same) - 1
-            if len(order):
-                least = np.minimum.reduceat(ids[order], np.flatnonzero(~same))
-                gone = np.zeros(len(order), bool)
-                gone[order] = ids[order] > least[group]
-                left = np.flatnonzero(~gone)
-                anchors, of, many = np.unique(anchor[left], return_inverse=True, return_counts=True)
-                crowded = (many > CROWD)[of]
-                cool, hot, noted = left[~crowded], left[crowded], anchors[many > CROWD]
-                none = np.zeros(len(noted), np.int64)
-                listed = [np.append(c[cool], x) for c, x in zip((row, ids, start, windows, anchor, content), (none, none, none, none, noted, none))]
-                found = list(dealt(0, listed[4] % parts, parts, listed))
-                found += dealt(2, home(row[hot], parts), parts, [*(c[hot] for c in (row, ids, start, windows, anchor)), np.ones(len(hot), np.int64)])
-                if gone.any():
-                    found += dealt(1, home(row[gone], parts), parts, [row[gone], ids[gone], start[gone], (start + windows + LEAST - 1)[gone]])
-                yield rows_of(found)
-
-        for batch in slices(batches, "text"):
-            buf, offsets = text_buffer(batch.column(2))
-            doc, start, *rest = segments(buf, offsets)
-            held.append([batch.column(0).to_numpy()[doc], batch.column(1).to_numpy()[doc], start - offsets[doc], *rest])
-            size += len(buf)
-            if size >= FLUSH:
-                yield from flush()
-                held, size = [], 0
-        if held:
-            yield from flush()
-
-    return docs.where("doc_id is not null").mapInArrow(run, BLOB)
+        files = Chunks()
+        for _, chunk, _, place in rows_in(batches):
+            ids, buf, offsets = files.read(place)
+            known, ids = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
+            held, size = [], 0
+            for doc, *rest in segments(buf, offsets):
+                some = known[doc]
+                held.append([c[some] for c in (ids[doc], *rest)])
+                size += BLOCK
+                if size >= CHUNK:  # a chunk of one very long text
+                    yield from listed(chunk, held)
+                    held, size = [], 0
+            if held:
+                yield from listed(chunk, held)
+
+    def listed(chunk: int, held: list) -> Iterator[pa.RecordBatch]:
+        ids, start, windows, anchor, content = (np.concatenate(c) for c in zip(*held))
+        if not len(ids):
+            return
+        order = np.argsort(mix(anchor.astype(np.uint64) ^ mix(content.astype(np.uint64))), kind="stable")
+        other = np.ones(len(order), bool)
+        other[1:] = (anchor[order[1:]] != anchor[order[:-1]]) | (content[order[1:]] != content[order[:-1]])
+        least = np.minimum.reduceat(ids[order], np.flatnonzero(other))
+        gone = np.zeros(len(order), bool)
+        gone[order] = ids[order] > least[np.cumsum(other) - 1]
+        left = np.flatnonzero(~gone)
+        anchors, of, many = np.unique(anchor[left], return_inverse=True, return_counts=True)
+        crowded = (many > CROWD)[of]
+        cool, hot, noted = left[~crowded], left[crowded], anchors[many > CROWD]
+        none = np.zeros(len(noted), np.int64)
+        columns = [np.append(c[cool], x) for c, x in zip((start, windows, ids, anchor, content), (none, none, none, noted, none))]
+        found = [(p, chunk, LISTED, pack([c[some] for c in columns[:3]], [c[some] for c in columns[3:]])) for p, some in groups(columns[3] % parts)]
+        if len(hot):
+            found.append((chunk % parts, chunk, ASKED, pack([start[hot], windows[hot], np.ones(len(hot), np.int64)], [anchor[hot]])))
+        if gone.any():
+            a, b = joined_runs(start[gone], (start + windows + LEAST - 1)[gone])
+            found.append((chunk % parts, chunk, REMOVED, pack([a, b])))
+        yield rows_of(found)
+
+    return chunks.withColumn("part", F.pmod("chunk", F.lit(parts)).cast("int")).repartitionById(parts, "part").mapInArrow(run, BLOB)
 
 
-# Step 2.
+# Step 3.
 
 def compare_segments(listed: DataFrame, parts: int) -> DataFrame:
-    """kind 1: removed spans (row, id, start, stop); kind 2: segments whose bytes are needed
-    (row, id, start, windows, anchor, hot); both dealt by row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, (row, ids, start, windows, anchor, content) in columns_by_part(batches):
-            noted = np.unique(anchor[windows == 0])
-            order = np.flatnonzero(windows > 0)
-            if not len(order):
-                continue
-            order = order[np.lexsort((content[order], anchor[order]))]
-            row, ids, start, windows, anchor, content = (c[order] for c in (row, ids, start, windows, anchor, content))
-            first = np.ones(len(row), bool)
-            first[1:] = anchor[1:] != anchor[:-1]
-            other = first.copy()
-            other[1:] |= content[1:] != content[:-1]
-            gone = ids > np.minimum.reduceat(ids, np.flatnonzero(other))[np.cumsum(other) - 1]
-            begin = np.flatnonzero(first)
-            contents = np.add.reduceat(other.astype(np.int64), begin)
-            apart = np.minimum.reduceat(ids, begin) < np.maximum.reduceat(ids, begin)
-            anchor_no = np.cumsum(first) - 1
-            known = np.isin(anchor[begin], noted)
-            asked = ~gone & ((contents > 1) & apart | known)[anchor_no]
-            hot = ((contents > HOT) | known)[anchor_no]
-            found = []
-            if gone.any():
-                found += dealt(1, home(row[gone], parts), parts, [row[gone], ids[gone], start[gone], (start + windows + LEAST - 1)[gone]])
-            if asked.any():
-                found += dealt(2, home(row[asked], parts), parts, [c[asked] for c in (row, ids, start, windows, anchor, hot.astype(np.int64))])
-            if found:
-                yield rows_of(found)
-
-    return listed.where("kind = 0").repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, BLOB)
-
-
-# Texts by home part.
-
-def packed_texts(docs: DataFrame, parts: int) -> DataFrame:
-    """kind 9: texts dealt by row; packed columns (row, id, length) before the bytes."""
+    """REMOVED rows (start, stop) and ASKED rows: segments whose bytes are needed (start,
+    windows, hot, anchor). Rows of these kinds in listed are passed on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        size = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            code = zstandard.ZstdCompressor(level=1)
-            for p, texts in held.items():
-                head = pack(*np.array([(r, i is None, i or 0, len(t)) for r, i, t in texts], np.int64).T)
-                yield rows_of([(p, 9, len(head).to_bytes(4, "little") + head + code.compress(b"".join(t for *_, t in texts)))])
-
-        for batch in slices(batches, "text"):
-            rows = batch.column(0).to_numpy()
-            # Texts without an id ask for no spans and may go anywhere.
-            dealt_by = np.where(batch.column(1).is_null().to_numpy(zero_copy_only=False), np.arange(len(rows)), rows)
-            for r, p, i, t in zip(rows.tolist(), home(dealt_by, parts).tolist(), batch.column(1).to_pylist(), batch.column(2)):
-                t = (t.as_py() or "").encode()
-                held.setdefault(p, []).append((r, i, t))
-                size += len(t)
-            if size >= FLUSH:
-                yield from flush()
-                held, size = {}, 0
-        yield from flush()
-
-    return docs.mapInArrow(run, BLOB)
-
-
-def texts_in(blob: bytes) -> Iterator[tuple[int, int | None, bytes]]:
-    n = int.from_bytes(blob[:4], "little")
-    rows, missing, ids, lengths = unpack(blob[4 : 4 + n])
-    raw, at = zstandard.ZstdDecompressor().decompress(blob[4 + n :]), 0
-    for r, no, i, size in zip(rows.tolist(), missing.tolist(), ids.tolist(), lengths.tolist()):
-        yield r, None if no else i, raw[at : at + size]
-        at += size
-
-
-def with_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[list[np.ndarray]], bytes]]:
-    """Of each part: the columns of all its records, sorted by row, then each text blob."""
-    now, held, ready = None, [], None
-    for p, k, blob in by_part(batches):
-        if p != now:
-            now, held, ready = p, [], None
-        if k < 9:
-            held.append(unpack(blob))
-            continue
-        if ready is None:
-            ready = [np.concatenate(c) for c in zip(*held)]
-            if ready:
-                order = np.argsort(ready[0], kind="stable")
-                ready = [c[order] for c in ready]
-        yield ready, blob
-
+        held = []
+        for row in rows_in(batches):
+            if row[2] == LISTED:
+                columns = unpack(row[3])
+                held.append([np.full(len(columns[0]), row[1]), *columns])
+            else:
+                yield rows_of([row])
+        if not held:
+            return
+        chunk, start, windows, ids, anchor, content = (np.concatenate(c) for c in zip(*held))
+        held.clear()
+        noted = np.unique(anchor[windows == 0])
+        order = np.flatnonzero(windows > 0)
+        if not len(order):
+            return
+        order = order[np.lexsort((content[order], anchor[order]))]
+        chunk, start, windows, ids, anchor, content = (c[order] for c in (chunk, start, windows, ids, anchor, content))
+        first = np.ones(len(order), bool)
+        first[1:] = anchor[1:] != anchor[:-1]
+        other = first.copy()
+        other[1:] |= content[1:] != content[:-1]
+        gone = ids > np.minimum.reduceat(ids, np.flatnonzero(other))[np.cumsum(other) - 1]
+        begin = np.flatnonzero(first)
+        contents = np.add.reduceat(other.astype(np.int64), begin)
+        several = np.minimum.reduceat(ids, begin) < np.maximum.reduceat(ids, begin)
+        anchor_no = np.cumsum(first) - 1
+        known = np.isin(anchor[begin], noted)
+        asked = np.flatnonzero(~gone & ((contents > 1) & several | known)[anchor_no])
+        hot = ((contents > HOT) | known)[anchor_no].astype(np.int64)
+        found = removed(parts, chunk[gone], start[gone], (start + windows + LEAST - 1)[gone])
+        for c, some in groups(chunk[asked]):
+            some = asked[some]
+            some = some[np.argsort(start[some])]
+            found.append((c % parts, c, ASKED, pack([start[some], windows[some], hot[some]], [anchor[some]])))
+        if found:
+            yield rows_of(found)
 
-def place_of(columns: list[np.ndarray], row: int, i: int | None) -> np.ndarray:
-    """Which records belong to a text; a text without an id has none."""
-    if not columns or i is None:
-        return np.zeros(0, np.int64)
-    a, b = np.searchsorted(columns[0], row, "left"), np.searchsorted(columns[0], row, "right")
-    return a + np.flatnonzero(columns[1][a:b] == i)
+    return listed.repartitionById(parts, "part").mapInArrow(run, BLOB)
 
 
-# Step 3.
+# Step 4.
 
 def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     ends = np.cumsum(length)
     return np.repeat(start - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def cut_segments(asked: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
-    """kind 3: row, id, start, windows, anchor of asked segments and their bytes, dealt by
-    anchor; kind 4: the same of single windows, dealt by their bytes; kind 1: removed spans
-    (row, id, start, stop), dealt by row."""
+def cut_segments(asked: DataFrame, chunks: DataFrame, parts: int) -> DataFrame:
+    """CUT rows: start, windows, id, anchor of asked segments and their bytes, dealt by
+    anchor; SINGLE rows: start, id of single windows and their bytes, dealt by these; REMOVED
+    rows (start, stop)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, pieces, base = [], [], 0
-        code = zstandard.ZstdCompressor(level=1)
-
-        def cut_out(kind: int, buf: np.ndarray, row: np.ndarray, ids: np.ndarray, start: np.ndarray, windows: np.ndarray, anchor: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-            part = anchor % parts
-            order = np.argsort(part, kind="stable")
-            ends = np.searchsorted(part[order], np.arange(parts + 1))
-            for p in np.flatnonzero(np.diff(ends)).tolist():
-                some = order[ends[p] : ends[p + 1]]
-                head = pack(row[some], ids[some], start[some], windows[some], anchor[some])
-                yield p, kind, len(head).to_bytes(4, "little") + head + code.compress(buf[ragged(at[some], windows[some] + LEAST - 1)].tobytes())
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            buf, found = np.frombuffer(b"".join(pieces), np.uint8), []
-            row, ids, start, windows, anchor, hot, at = (np.concatenate(c) for c in zip(*wanted))
-            if hot.any():  # single windows, dealt by their own bytes
-                h, c = hot > 0, hot == 0
-                each = ragged(np.zeros(h.sum(), np.int64), windows[h])
-                w_row, w_ids, w_start, w_at = (np.repeat(x[h], windows[h]) for x in (row, ids, start, at))
-                w_start, w_at = w_start + each, w_at + each
-                values = np.zeros(len(w_at), np.uint64)
-                for j in range(LEAST):
-                    values = (values ^ BYTE_VALUES[buf[w_at + j]]) * np.uint64(0x9E3779B97F4A7C15)
-                order = np.argsort(values, kind="stable")
-                same = shared_windows(buf, w_at[order], LEAST)
-                gone = np.zeros(len(order), bool)
-                gone[order] = w_ids[order] > np.minimum.reduceat(w_ids[order], np.flatnonzero(~same))[np.cumsum(~same) - 1]
-                lost, left = np.flatnonzero(gone), np.flatnonzero(~gone)
-                if len(lost):
-                    lead = np.ones(len(lost), bool)
-                    lead[1:] = np.diff(w_at[lost]) != 1
-                    a, b = lost[lead], lost[np.append(np.flatnonzero(lead)[1:] - 1, len(lost) - 1)]
-                    found += dealt(1, home(w_row[a], parts), parts, [w_row[a], w_ids[a], w_start[a], w_start[b] + LEAST])
-                parts_of = (mix(values[left]) >> np.uint64(16)).astype(np.int64)
-                found += cut_out(4, buf, w_row[left], w_ids[left], w_start[left], np.ones(len(left), np.int64), parts_of, w_at[left])
-                row, ids, start, windows, anchor, at = (x[c] for x in (row, ids, start, windows, anchor, at))
-            found += cut_out(3, buf, row, ids, start, windows, anchor, at)
-            yield rows_of(found)
-
-        for columns, blob in with_texts(batches):
-            for r, i, text in texts_in(blob) if columns else ():
-                some = place_of(columns, r, i)
+        files = Chunks()
+        for chunk, columns, place in columns_by_chunk(batches):
+            if not columns:
+                continue
+            ids, buf, offsets = files.read(place)
+            order = np.argsort(columns[0], kind="stable")
+            start, windows, hot, anchor = (c[order] for c in columns)
+            owner = ids.fill_null(0).to_numpy()[np.searchsorted(offsets, start, side="right") - 1]
+            cool = hot == 0
+            found = []
+            for p, some in groups(anchor[cool] % parts):
+                some = np.flatnonzero(cool)[some]
+                raw = buf[ragged(start[some], windows[some] + LEAST - 1)].tobytes()
+                found.append((p, chunk, CUT, with_bytes(pack([start[some], windows[some], owner[some]], [anchor[some]]), raw)))
+            if found:
+                yield rows_of(found)
+            each = np.flatnonzero(~cool)
+            for some in np.split(each, np.flatnonzero(np.diff(np.cumsum(windows[each]) // (PORTION // 4))) + 1):
                 if len(some):
-                    wanted.append([c[some] for c in columns] + [columns[2][some] + base])
-                    pieces.append(text)
-                    base += len(text)
-                    if base >= PORTION:
-                        yield from flush()
-                        wanted, pieces, base = [], [], 0
-        if wanted:
-            yield from flush()
-
-    return asked.unionAll(texts).repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(run, BLOB)
-
-
-# Step 4.
+                    yield rows_of(single(chunk, buf, ragged(start[some], windows[some]), np.repeat(owner[some], windows[some])))
+
+    def single(chunk: int, buf: np.ndarray, start: np.ndarray, owner: np.ndarray) -> list:
+        values = np.zeros(len(start), np.uint64)
+        for j in range(LEAST):
+            values = (values ^ BYTE_VALUES[buf[start + j]]) * np.uint64(0x9E3779B97F4A7C15)
+        values = mix(values)
+        order = np.argsort(values, kind="stable")
+        same = shared_windows(buf, start[order], LEAST)
+        gone = np.zeros(len(order), bool)
+        gone[order] = owner[order] > np.minimum.reduceat(owner[order], np.flatnonzero(~same))[np.cumsum(~same) - 1]
+        found = []
+        if gone.any():
+            found.append((chunk % parts, chunk, REMOVED, pack(joined_runs(start[gone], start[gone] + LEAST))))
+        left = np.flatnonzero(~gone)
+        for p, some in groups((values[left] % np.uint64(parts)).astype(np.int64)):
+            some = left[some]
+            found.append((p, chunk, SINGLE, with_bytes(pack([start[some], owner[some]]), buf[ragged(start[some], np.full(len(some), LEAST))].tobytes())))
+        return found
+
+    return by_chunk(asked, chunks, parts).mapInArrow(run, BLOB)
+
+
+# Step 5.
 
 def word_at(padded: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The eight bytes from each place on, as a big-endian integer."""
@@ -445,107 +475,99 @@ def shared_windows(text: np.ndarray, order: np.ndarray, least: int) -> np.ndarra
 
 
 def match_segments(cut: DataFrame, parts: int) -> DataFrame:
-    """kind 1: removed spans (row, id, start, stop), dealt by row."""
+    """REMOVED rows (start, stop) of cut segments and windows; those in cut are passed on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, single = None, [], []
-
-        def equal_windows() -> Iterator[pa.RecordBatch]:
-            row, ids, start, *_ = (np.concatenate(c) for c in zip(*(h[0] for h in single)))
-            raw = np.concatenate([h[1] for h in single] + [np.zeros(16, np.uint8)])
-            single.clear()
-            at = np.arange(len(row)) * LEAST
-            order = np.lexsort([word_at(raw, at + j) for j in [*range(0, LEAST - 8, 8), LEAST - 8]])
-            same = shared_windows(raw, at[order], LEAST)
-            gone = order[ids[order] > np.minimum.reduceat(ids[order], np.flatnonzero(~same))[np.cumsum(~same) - 1]]
-            if len(gone):
-                yield rows_of(list(dealt(1, home(row[gone], parts), parts, [row[gone], ids[gone], start[gone], start[gone] + LEAST])))
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            """Anchors are independent, so a part is taken in portions of whole anchors."""
-            row, ids, start, windows, anchor = (np.concatenate(c) for c in zip(*(h[0] for h in held)))
-            raw = np.concatenate([h[1] for h in held])
-            held.clear()
-            length = windows + LEAST - 1
-            begin = np.cumsum(length) - length
-            portions = -(-len(raw) // PORTION)
-            portion = (mix(anchor.astype(np.uint64)) % np.uint64(portions)).astype(np.int64)
-            for i in range(portions):
-                some = np.flatnonzero(portion == i)
-                if len(some):
-                    yield from match(row[some], ids[some], start[some], windows[some], raw[ragged(begin[some], length[some])])
-
-        def match(row: np.ndarray, ids: np.ndarray, start: np.ndarray, windows: np.ndarray, raw: np.ndarray) -> Iterator[pa.RecordBatch]:
-            length = windows + LEAST - 1
-            # A separating byte ends each segment; other bytes move up by one, 255 does not
-            # occur in UTF-8.
-            text = np.zeros(len(raw) + len(row), np.uint8)
-            begin = np.cumsum(length + 1) - length - 1
-            text[ragged(begin, length)] = raw + np.uint8(1)
-            order = suffix_array(text, LEAST)
-            segment = np.repeat(np.arange(len(row)), length + 1)
-            offset = np.arange(len(text)) - begin[segment]
-            order = order[offset[order] < windows[segment[order]]]  # windows only
-            same = shared_windows(text, order, LEAST)
-            owner = ids[segment[order]]
-            gone = order[owner > np.minimum.reduceat(owner, np.flatnonzero(~same))[np.cumsum(~same) - 1]]
-            gone.sort()
-            if len(gone):
-                lead = np.ones(len(gone), bool)
-                lead[1:] = np.diff(gone) > 1
-                a, b = gone[lead], gone[np.append(np.flatnonzero(lead)[1:] - 1, len(gone) - 1)]
-                s = segment[a]
-                yield rows_of(list(dealt(1, home(row[s], parts), parts, [row[s], ids[s], start[s] + offset[a], start[s] + offset[b] + LEAST])))
-
-        for p, k, blob in by_part(batches):
-            if k == 1:
-                yield rows_of([(p, k, blob)])
-                continue
-            if p != now and held:
-                yield from flush()
-            if p != now and single:
-                yield from equal_windows()
-            now, n = p, int.from_bytes(blob[:4], "little")
-            (held if k == 3 else single).append((unpack(blob[4 : 4 + n]), np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[4 + n :]), np.uint8)))
-        if held:
-            yield from flush()
-        if single:
-            yield from equal_windows()
-
-    return cut.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, BLOB)
+        held: dict[int, list] = {CUT: [], SINGLE: []}
+        for row in rows_in(batches):
+            if row[2] in held:
+                columns, raw = apart(row[3])
+                held[row[2]].append(([np.full(len(columns[0]), row[1]), *columns], raw))
+            else:
+                yield rows_of([row])
+        for kind, test in ((CUT, in_portions), (SINGLE, equal_windows)):
+            if held[kind]:
+                columns = [np.concatenate(c) for c in zip(*(h[0] for h in held[kind]))]
+                raw = np.concatenate([h[1] for h in held.pop(kind)])
+                for found in test(columns, raw):
+                    if found:
+                        yield rows_of(found)
+
+    def equal_windows(columns: list[np.ndarray], raw: np.ndarray) -> Iterator[list]:
+        chunk, start, ids = columns
+        padded = np.concatenate([raw, np.zeros(16, np.uint8)])
+        at = np.arange(len(ids)) * LEAST
+        order = np.lexsort([word_at(padded, at + j) for j in [*range(0, LEAST - 8, 8), LEAST - 8]])
+        same = shared_windows(raw, at[order], LEAST)
+        gone = order[ids[order] > np.minimum.reduceat(ids[order], np.flatnonzero(~same))[np.cumsum(~same) - 1]]
+        yield removed(parts, chunk[gone], start[gone], start[gone] + LEAST)
+
+    def in_portions(columns: list[np.ndarray], raw: np.ndarray) -> Iterator[list]:
+        """Anchors are independent, so a part is taken in portions of whole anchors."""
+        chunk, start, windows, ids, anchor = columns
+        length = windows + LEAST - 1
+        begin = np.cumsum(length) - length
+        portions = -(-len(raw) // PORTION)
+        for _, some in groups((mix(anchor.astype(np.uint64)) % np.uint64(portions)).astype(np.int64)):
+            yield match(chunk[some], start[some], windows[some], ids[some], raw[ragged(begin[some], length[some])])
+
+    def match(chunk: np.ndarray, start: np.ndarray, windows: np.ndarray, ids: np.ndarray, raw: np.ndarray) -> list:
+        length = windows + LEAST - 1
+        # A separating byte ends each segment; other bytes move up by one, 255 does not
+        # occur in UTF-8.
+        text = np.zeros(len(raw) + len(ids), np.uint8)
+        begin = np.cumsum(length + 1) - length - 1
+        text[ragged(begin, length)] = raw + np.uint8(1)
+        order = suffix_array(text, LEAST)
+        segment = np.repeat(np.arange(len(ids)), length + 1)
+        offset = np.arange(len(text)) - begin[segment]
+        order = order[offset[order] < windows[segment[order]]]  # windows only
+        same = shared_windows(text, order, LEAST)
+        owner = ids[segment[order]]
+        gone = order[owner > np.minimum.reduceat(owner, np.flatnonzero(~same))[np.cumsum(~same) - 1]]
+        gone.sort()
+        if not len(gone):
+            return []
+        lead = np.ones(len(gone), bool)
+        lead[1:] = np.diff(gone) > 1
+        a, b = gone[lead], gone[np.append(np.flatnonzero(lead)[1:] - 1, len(gone) - 1)]
+        s = segment[a]
+        return removed(parts, chunk[s], start[s] + offset[a], start[s] + offset[b] + LEAST)
+
+    return cut.repartitionById(parts, "part").mapInArrow(run, BLOB)
 
 
 KEPT = "doc_id long, n_bytes long, spans array<struct<start:int,stop:int>>, kept binary"
 
 
+def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts of each chunk without its removed spans."""
+    files = Chunks()
+    for _, columns, place in columns_by_chunk(batches):
+        ids, buf, offsets = files.read(place)
+        gone = np.zeros(len(buf) + 1, np.int64)
+        for c, step in zip(columns, (1, -1)):
+            np.add.at(gone, c, step)
+        gone = np.cumsum(gone[:-1]) > 0
+        edge = np.zeros(len(buf) + 1, bool)  # a run ends with its text
+        edge[offsets] = True
+        start = np.flatnonzero(gone & (edge[:-1] | ~np.append(False, gone[:-1])))
+        stop = np.flatnonzero(gone & (edge[1:] | ~np.append(gone[1:], False))) + 1
+        doc = np.searchsorted(offsets, start, side="right") - 1
+        left = ~gone
+        ends = np.concatenate([[0], np.cumsum(left)])[offsets]
+        spans = pa.StructArray.from_arrays([pa.array((x - offsets[doc]).astype(np.int32)) for x in (start, stop)], ["start", "stop"])
+        lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(len(ids) + 1)).astype(np.int32)), spans)
+        kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(buf[left].tobytes())])
+        yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(offsets)), lists, kept.cast(pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, spans (maximal removed byte runs) and kept bytes of every row."""
-    parts = partitions(docs.sparkSession)
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
-    listed = written(list_segments(rows, parts), "segments")
-    compared = written(compare_segments(listed, parts), "compared")
-    texts = packed_texts(rows, parts)
-    matched = match_segments(cut_segments(listed.where("kind = 2").unionAll(compared.where("kind = 2")), texts, parts), parts)
-    spans = listed.where("kind = 1").unionAll(compared.where("kind = 1")).unionAll(matched)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
-        for columns, blob in with_texts(batches):
-            out: list[list] = [[], [], [], []]
-            for r, i, text in texts_in(blob):
-                runs: list[dict] = []
-                some = place_of(columns, r, i)
-                if len(some):
-                    some = some[np.argsort(columns[2][some], kind="stable")]
-                    for x, y in zip(columns[2][some].tolist(), columns[3][some].tolist()):
-                        if runs and x <= runs[-1]["stop"]:
-                            runs[-1]["stop"] = max(y, runs[-1]["stop"])
-                        else:
-                            runs.append({"start": x, "stop": y})
-                edges = [0, *(e for x in runs for e in (x["start"], x["stop"])), len(text)]
-                for column, value in zip(out, (i, len(text), runs, b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])))):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], span), pa.array(out[3], pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
-
-    return spans.unionAll(texts).repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(run, KEPT)
+    chunks = store_texts(rows)
+    parts = max(partitions(spark), -(-chunks.count() * CHUNK // PART))
+    compared = written(compare_segments(list_segments(chunks, parts), parts), "compared")
+    matched = match_segments(cut_segments(compared.where(F.col("kind") == ASKED), chunks, parts), parts)
+    return by_chunk(compared.where(F.col("kind") == REMOVED).unionAll(matched), chunks, parts).mapInArrow(cover, KEPT)
