@@ -53,9 +53,9 @@ from .token_files import file_system
 
 LEAST, GRAM, HOT, CROWD = 50, 16, 4096, 32
 BLOCK = 1 << 20
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 PORTION = 1 << 20
-PART = 16 << 20
+PART = 12 << 20
 BLOB = "part int, chunk long, kind int, blob binary"
 #: Kinds of rows: listed segments, removed spans, asked segments, cut segments, cut single
 #: windows, and the file and batch of a chunk, which sort after all else of that chunk.
@@ -120,11 +120,11 @@ def removed(parts: int, chunk: np.ndarray, start: np.ndarray, stop: np.ndarray)
 
 
 def joined_runs(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The union of spans in order; it may run on from one text into the next."""
+    """The union of spans in order; spans that only touch, as those of two texts may, stay apart."""
     order = np.argsort(start, kind="stable")
     start, high = start[order], np.maximum.accumulate(stop[order])
     lead = np.ones(len(start), bool)
-    lead[1:] = start[1:] > high[:-1]
+    lead[1:] = start[1:] >= high[:-1]
     return start[lead], high[np.append(np.flatnonzero(lead)[1:] - 1, len(start) - 1)] if len(start) else high
 
 
@@ -545,17 +545,17 @@ def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     files = Chunks()
     for _, columns, place in columns_by_chunk(batches):
         ids, buf, offsets = files.read(place)
-        gone = np.zeros(len(buf) + 1, np.int64)
-        for c, step in zip(columns, (1, -1)):
-            np.add.at(gone, c, step)
-        gone = np.cumsum(gone[:-1]) > 0
-        edge = np.zeros(len(buf) + 1, bool)  # a run ends with its text
-        edge[offsets] = True
-        start = np.flatnonzero(gone & (edge[:-1] | ~np.append(False, gone[:-1])))
-        stop = np.flatnonzero(gone & (edge[1:] | ~np.append(gone[1:], False))) + 1
+        start, stop = joined_runs(*(columns or [np.zeros(0, np.int64)] * 2))
         doc = np.searchsorted(offsets, start, side="right") - 1
-        left = ~gone
-        ends = np.concatenate([[0], np.cumsum(left)])[offsets]
+        lead = np.ones(len(start), bool)
+        lead[1:] = (start[1:] > stop[:-1]) | (doc[1:] != doc[:-1])
+        first = np.flatnonzero(lead)
+        start, stop, doc = start[first], stop[np.append(first[1:], len(start)) - 1] if len(first) else stop, doc[first]
+        gone = np.zeros(len(buf) + 1, np.int8)
+        gone[start] += 1
+        gone[stop] -= 1
+        left = np.cumsum(gone[:-1], dtype=np.int8) == 0
+        ends = offsets - np.concatenate([[0], np.cumsum(np.bincount(doc, stop - start, len(ids)))]).astype(np.int64)
         spans = pa.StructArray.from_arrays([pa.array((x - offsets[doc]).astype(np.int32)) for x in (start, stop)], ["start", "stop"])
         lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(len(ids) + 1)).astype(np.int32)), spans)
         kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(buf[left].tobytes())])
