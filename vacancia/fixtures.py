@@ -78,7 +78,10 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in VIEWS:
         return table(spark, sf_dir, name)
     for t in TABLES[name]:
-        table(spark, sf_dir, t).createOrReplaceTempView(t)
+        df = table(spark, sf_dir, t)
+        if name == "job_pages":  # wide pages made from a narrow file of one split
+            df = df.repartition(spark.sparkContext.defaultParallelism)
+        df.createOrReplaceTempView(t)
     return spark.sql(VIEWS[name])
 
 

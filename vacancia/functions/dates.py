@@ -24,12 +24,17 @@ def posted_instant(c: Column) -> Column:
     return F.when(F.contains(s, F.lit("T")) | s.rlike(r"^\d{4}-\d{2}-\d{2}[+-]"), instant).when(date != "", midnight)
 
 
-def posted_text(c: Column) -> Column:
-    """The trimmed string (80 characters at most) where it parses, else null."""
-    s = strip(text(c))
+def trimmed_date(c: Column) -> Column:
+    """A date string as it is compared and stored: entities decoded, 80 characters at most."""
+    s = strip(c.cast("string"))
     for name, value in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         s = F.replace(s, F.lit(name), F.lit(value))
-    s = F.substring(s, 1, 80)
+    return F.substring(s, 1, 80)
+
+
+def posted_text(c: Column) -> Column:
+    """The trimmed string where it parses, else null."""
+    s = trimmed_date(c)
     return F.when(posted_instant(s).isNotNull(), s)
 
 

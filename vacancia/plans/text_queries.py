@@ -255,7 +255,7 @@ def f23_html_text(p):
 
 @query("SELECT page_id, CASE WHEN page_id % 7 = 6 THEN 'A job page without any date, long enough to be kept as the description text.' ELSE '' END AS description FROM job_pages", "job_pages")
 def f25_description(p):
-    return p.select("page_id", pages.description(F.col("html")).alias("description"))
+    return pages.described(p).select("page_id", F.col("job_description").alias("description"))
 
 
 ORDER_DATE = "CAST(CAST(o_orderdate AS DATE) AS VARCHAR)"
@@ -264,20 +264,19 @@ PUBLISHED = f"CASE o_orderkey % 7 WHEN 1 THEN concat({ORDER_DATE}, 'T09:00:00-04
 
 @query(f"SELECT o_orderkey AS page_id, CASE WHEN o_orderkey % 7 IN (1, 2) THEN 'X' ELSE '' END AS title, {PUBLISHED} AS published FROM orders", "job_pages", "orders")
 def f26_embedded_state(p, _):
-    jp, ap = pages.job_post(F.col("html")), pages.ashby_posting(F.col("html"))
-    return p.select("page_id", F.coalesce(pages.get(jp, "$.title"), pages.get(ap, "$.title"), F.lit("")).alias("title"), F.coalesce(pages.get(jp, "$.published_at"), pages.get(ap, "$.publishedDate"), F.lit("")).alias("published"))
+    jp, ap = F.col("_job"), F.col("_posting")
+    return pages.with_state(p).select("page_id", F.coalesce(pages.get(jp, "$.title"), pages.get(ap, "$.title"), F.lit("")).alias("title"), F.coalesce(pages.get(jp, "$.published_at"), pages.get(ap, "$.publishedDate"), F.lit("")).alias("published"))
 
 
 @query(f"SELECT o_orderkey AS page_id, {ORDER_DATE} AS found FROM orders WHERE o_orderkey % 7 = 0", "job_pages", "orders")
 def f27_json_paths(p, _):
-    v = F.try_parse_json(pages.ld_posting(F.col("html")))
-    return p.select("page_id", pages.get(v, "$.datePosted", "$.dateposted").alias("found")).where("found is not null")
+    return pages.with_state(p).select("page_id", pages.get(F.col("_ld"), "$.datePosted", "$.dateposted").alias("found")).where("found is not null")
 
 
 @query(f"SELECT o_orderkey AS page_id, o_orderpriority AS title, concat('C', CAST(o_custkey AS VARCHAR)) AS company, {ORDER_DATE} AS posted_time FROM orders WHERE o_orderkey % 7 = 0", "job_pages", "orders")
 def f28_json_ld(p, _):
-    fields = pages.ld_fields(F.col("html"))
-    return p.select("page_id", *(fields[c].alias(c) for c in ("title", "company", "posted_time"))).where("title is not null")
+    fields = pages.ld_fields(F.col("_ld"))
+    return pages.with_state(p).select("page_id", *(fields[c].alias(c) for c in ("title", "company", "posted_time"))).where("title is not null")
 
 
 RELATIVE = f"CAST({DAY} - CAST(1 + o_custkey % 20 AS INT) AS VARCHAR)"

@@ -18,6 +18,15 @@ EMPLOYMENT_LABELS = {"fulltime": "Full-time", "parttime": "Part-time", "contract
 DEFAULT_PHRASES = ("software engineer", "data scientist", "data analyst", "product manager")
 GENERIC_LOCATIONS = ("remote", "united states", "usa", "us", "anywhere", "worldwide", "hybrid", "on-site", "onsite", "on site")
 LISTING_SUFFIXES = ("/careers", "/jobs", "/open-positions", "/openings", "/job-openings")
+NEXT_DATE_KEYS = ("datePosted", "publishedDate", "published_at", "publishedAt", "firstPublishedAt", "first_published_at", "postedAt", "posted_at", "publicationStartDate", "jobPostedDate", "updated_at", "updatedAt", "created_at", "createdAt")
+META_DATES = ("article:published_time", "og:published_time", "og:updated_time", "date")
+PAY_KEYS = ("pay_buckets_display", "pay_transparency_display", "pay_transparency_description", "salary_range", "compensation")
+ADDRESS_PARTS = ("addressLocality", "addressRegion", "addressCountry")
+CONTAINERS = (
+    r"<div\b[^>]*jobs-description-content__text[^>]*>([\s\S]*?)</div>", r"<div\b[^>]*jobs-description__text[^>]*>([\s\S]*?)</div>", r"<div\b[^>]*jobs-box__html-content[^>]*>([\s\S]*?)</div>",
+    r"<div\b[^>]*class=[\"'][^\"']*job-description[^>]*>([\s\S]*?)</div>", r"<div\b[^>]*class=[\"'][^\"']*JobDescription[^>]*>([\s\S]*?)</div>", r"<[a-z]+\b[^>]*id=[\"']job-description[\"'][^>]*>([\s\S]*?)</",
+    r"<div\b[^>]*data-job-description[^>]*>([\s\S]*?)</div>", r"<article\b[^>]*job-description[^>]*>([\s\S]*?)</article>", r"<div\b[^>]*id=[\"']content[\"'][^>]*>([\s\S]*?)</div>", r"<main\b[^>]*>([\s\S]*?)</main>",
+)
 REPORT_COLUMNS = ("Title", "Company", "Location", "Salary", "Employment Type", "Seniority", "Freshness", "Posted", "Applicants", "Apply Type", "Source", "Job ID", "Apply Link", "Found At")
 
 POSTING = T.StructType([T.StructField("row_id", T.LongType()), *(T.StructField(c, T.StringType()) for c in CANONICAL), T.StructField("found_at", T.TimestampNTZType())])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, text as X
 from ..operators.filters import first_per
-from ..operators.joins import patch
+from ..schema import ADDRESS_PARTS, CONTAINERS, META_DATES, NEXT_DATE_KEYS, PAY_KEYS
 
 
 def one_per_url(pages: DataFrame, order: str = "page_id") -> DataFrame:
@@ -20,15 +20,16 @@ def with_pages(df: DataFrame, pages: DataFrame, order: str = "page_id") -> DataF
     return df.join(p, F.col("url") == F.col("_u"), "left").drop("_u")
 
 
-ANCHOR = r"""(?is)<a\b[^>]*\bhref\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a>"""
+#: An anchor: quoted or bare address, inner markup.
+ANCHOR = r"""(?is)<a\b[^>]*\bhref\s*=\s*(?:["']([^"']*)["']|([^\s"'>]+))[^>]*>(.*?)</a>"""
 
 
 def links(pages: DataFrame, html: str = "html", url: str = "url", id_col: str = "page_id") -> DataFrame:
     """Anchors of each page: id, page_url, pos, href, link (absolute), text; first per link,
     no mail, script or phone links and none to the page itself."""
-    pairs = F.arrays_zip(F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(1)).alias("href"), F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(2)).alias("inner"))
-    rows = pages.select(id_col, F.col(url).alias("page_url"), F.posexplode(pairs).alias("pos", "a"))
-    rows = rows.select(id_col, "page_url", "pos", X.unwrapped(F.col("a.href")).alias("href"), X.html_text(F.col("a.inner")).alias("text"))
+    groups = (F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(i)).alias(n) for i, n in ((1, "quoted"), (2, "bare"), (3, "inner")))
+    rows = pages.select(id_col, F.col(url).alias("page_url"), F.posexplode(F.arrays_zip(*groups)).alias("pos", "a"))
+    rows = rows.select(id_col, "page_url", "pos", X.unwrapped(F.concat("a.quoted", "a.bare")).alias("href"), X.html_text(F.col("a.inner")).alias("text"))
     rows = rows.where((F.col("href") != "") & ~F.lower("href").rlike("^(mailto|javascript|tel):")).withColumn("link", X.absolute(F.col("href"), F.col("page_url")))
     bare = lambda c: F.regexp_replace(F.split_part(c, F.lit("#"), F.lit(1)), "/+$", "")
     rows = rows.where((F.col("link") != "") & (bare(F.col("link")) != bare(F.col("page_url"))))
@@ -41,8 +42,29 @@ def kept_links(found: DataFrame, phrases: DataFrame) -> DataFrame:
     return found.join(phrases.where(F.char_length("phrase") >= 3).select("phrase").distinct(), F.contains(blob, F.col("phrase")), "left_semi")
 
 
-# Embedded state. Every extractor is a column; scripts are cut out by patterns and read as
-# VARIANT along known paths.
+def result_rows(pages: DataFrame, base: str, html: str = "html", id_col: str = "page_id") -> DataFrame:
+    """Posting rows of result lists: each list item or card with an anchor gives its address
+    (a job view in canonical form), and title, company and location from the markup around
+    it: headings and elements whose class names them. First row per address of a page."""
+    cards = F.regexp_extract_all(html, F.lit(r"(?is)<(li|article)\b[^>]*>(.*?)</\1>"), F.lit(2))
+    rows = pages.select(id_col, F.posexplode(cards).alias("pos", "card"))
+
+    def named(*names: str) -> Column:
+        kinds = "|".join(names)
+        return X.html_text(F.regexp_extract("card", rf"""(?is)<([a-z0-9]+)\b[^>]*\bclass\s*=\s*["'][^"']*(?:{kinds})[^"']*["'][^>]*>(.*?)</\1>""", 2))
+
+    heads = F.transform(F.regexp_extract_all("card", F.lit(r"(?is)<(h[1-6])\b[^>]*>(.*?)</\1>"), F.lit(2)), X.html_text)
+    anchor = lambda i: F.regexp_extract("card", ANCHOR, i)
+    rows = rows.withColumns({"_href": X.unwrapped(F.concat(anchor(1), anchor(2))), "_text": X.html_text(anchor(3)), "_heads": heads, "_company": named("subtitle", "company"), "_place": named("location")})
+    url = F.coalesce(X.filled(X.canonical_job_url(F.col("_href"), base)), X.absolute(F.col("_href"), F.lit(base)))
+    title = X.single_title(F.coalesce(X.filled(F.get("_heads", F.lit(0))), F.col("_text")))
+    company = F.coalesce(X.filled(F.col("_company")), F.get("_heads", F.lit(1)), F.lit(""))
+    made = rows.where("_href <> ''").select(id_col, "pos", url.alias("url"), title.alias("title"), company.alias("company"), F.col("_place").alias("location"), X.job_view_id(url).alias("job_id"))
+    return first_per(made.where("title <> '' and url <> ''"), [id_col, "url"], ["pos"])
+
+
+# Embedded state: scripts are cut out by patterns and read as VARIANT. `with_state` does that
+# once for a page and keeps the results as columns; the extractors below read these.
 
 def script_json(html: Column, marker: str) -> Column:
     """VARIANT of the JSON assigned after marker, up to the closing script tag."""
@@ -50,8 +72,8 @@ def script_json(html: Column, marker: str) -> Column:
     return F.try_parse_json(F.regexp_replace(X.strip(raw), r";\s*$", ""))
 
 
-def next_data(html: Column) -> Column:
-    return F.try_parse_json(F.regexp_extract(html, r"""(?i)<script[^>]+id=["']__NEXT_DATA__["'][^>]*>([\s\S]*?)</script>""", 1))
+def next_text(html: Column) -> Column:
+    return F.regexp_extract(html, r"""(?i)<script[^>]+id=["']__NEXT_DATA__["'][^>]*>([\s\S]*?)</script>""", 1)
 
 
 def ld_blocks(html: Column) -> Column:
@@ -59,101 +81,170 @@ def ld_blocks(html: Column) -> Column:
 
 
 def get(v: Column, *paths: str) -> Column:
-    return F.coalesce(*(X.filled(F.try_variant_get(v, p, "string")) for p in paths))
+    return F.coalesce(*(F.nullif(X.strip(F.try_variant_get(v, p, "string")), F.lit("")) for p in paths))
 
 
-def job_post(html: Column) -> Column:
-    """The jobPost object of a remix page: loaderData's routes are tried by name."""
-    v = script_json(html, r"window\.__remixContext")
-    roots = [f"{top}['{name}'].jobPost" for top in ("$.state.loaderData", "$.loaderData") for name in ("jobs_x", "routes/$url_token_.jobs_.$job_post_id", "root")]
-    return F.coalesce(*(F.try_variant_get(v, p, "variant") for p in roots))
+def items(v: Column, path: str = "$") -> Column:
+    """The elements of a JSON list, else an empty array."""
+    return F.coalesce(F.try_variant_get(v, path, "array<variant>"), F.array().cast("array<variant>"))
 
 
-def ashby_posting(html: Column) -> Column:
-    return F.try_variant_get(script_json(html, r"window\.__appData"), "$.posting", "variant")
+def job_post(remix: Column) -> Column:
+    """The jobPost object of a remix page's state: that of the first route that has one."""
+    found = []
+    for top in ("$.state.loaderData", "$.loaderData"):
+        routes = F.map_values(F.try_variant_get(remix, top, "map<string,variant>"))
+        found.append(F.get(F.filter(F.transform(routes, lambda x: F.try_variant_get(x, "$.jobPost", "variant")), lambda x: x.isNotNull()), F.lit(0)))
+    return F.coalesce(*found)
 
 
 def ld_posting(html: Column) -> Column:
-    """The first JobPosting among the JSON-LD blocks, at the top, in a list or in @graph."""
-    def first(block: Column) -> Column:
+    """The first JobPosting (VARIANT) among the JSON-LD blocks: at the top, in a list of any
+    length, or in a @graph of either."""
+    def inside(block: Column) -> Column:
         v = F.try_parse_json(block)
-        spots = ["$", "$[0]", "$[1]", "$['@graph'][0]", "$['@graph'][1]"]
-        return F.coalesce(*(F.when(F.contains(X.text(F.try_variant_get(v, f"{s}['@type']", "string")), F.lit("JobPosting")), F.try_variant_get(v, s, "variant").cast("string")) for s in spots))
+        top = F.concat(F.array(v), items(v))
+        return F.flatten(F.transform(top, lambda x: F.concat(F.array(x), items(x, "$['@graph']"))))
+
+    def is_posting(x: Column) -> Column:
+        kind = F.coalesce(F.try_variant_get(x, "$['@type']", "string"), F.to_json(F.try_variant_get(x, "$['@type']", "variant")), F.lit(""))
+        return F.contains(kind, F.lit("JobPosting"))
+
+    return F.get(F.filter(F.flatten(F.transform(ld_blocks(html), inside)), is_posting), F.lit(0))
+
+
+def with_state(pages: DataFrame, html: str = "html") -> DataFrame:
+    """pages with `_ld`, `_job`, `_posting` (VARIANT: JSON-LD posting, remix jobPost, app
+    data posting) and `_next` (text), null where a page has none. Each script is cut out and
+    parsed once, and only on pages that hold its marker; the steps are columns of their own,
+    so that the optimiser does not repeat them for each use."""
+    h = F.col(html)
+    has = lambda marker, c: F.when(F.contains(h, F.lit(marker)), c)
+    found = pages.withColumns({"_ld": F.when(F.contains(F.lower(h), F.lit("ld+json")), ld_posting(h)), "_remix": has("__remixContext", script_json(h, r"window\.__remixContext")), "_app": has("__appData", script_json(h, r"window\.__appData")), "_next": has("__NEXT_DATA__", next_text(h))})
+    return found.withColumns({"_job": F.when(F.col("_remix").isNotNull(), job_post(F.col("_remix"))), "_posting": F.try_variant_get("_app", "$.posting", "variant")}).drop("_remix", "_app")
+
+
+STATE = ("_ld", "_job", "_posting", "_next")
+
 
-    return F.get(F.filter(F.transform(ld_blocks(html), first), lambda x: x.isNotNull()), F.lit(0))
+def _iso(value: Column) -> Column:
+    """value, null where it does not begin with a calendar date."""
+    return F.nullif(F.regexp_extract(value, r"^(\s*\d{4}-\d{2}-\d{2}[\s\S]*)$", 1), F.lit(""))
 
 
 def _quoted(html: Column, *keys: str) -> Column:
-    found = [X.filled(F.regexp_extract(html, rf'(?i)"{k}"\s*:\s*"([^"]+)"', 1)) for k in keys]
-    return F.coalesce(*(F.when(f.rlike(r"^\s*\d{4}-\d{2}-\d{2}"), f) for f in found))
+    return F.coalesce(*(F.when(F.contains(F.lower(html), F.lit(f'"{k.lower()}"')), _iso(F.regexp_extract(html, rf'(?i)"{k}"\s*:\s*"([^"]+)"', 1))) for k in keys))
 
 
 def meta_content(html: Column, prop: str) -> Column:
-    return X.filled(F.regexp_extract(html, rf"""(?i)<meta\b[^>]*\b(?:property|name)=["']{prop}["'][^>]*\bcontent=["']([^"']*)["']""", 1))
+    """Content of the first meta tag of that property or name, attributes in any order."""
+    tag = F.regexp_extract(html, rf"""(?i)(<meta\b[^>]*\b(?:property|name)=["']{prop}["'][^>]*>)""", 1)
+    return F.nullif(X.strip(F.regexp_extract(tag, r"""(?i)\bcontent=["']([^"']*)["']""", 1)), F.lit(""))
 
 
-NEXT_PATHS = tuple(f"$.props.pageProps.{top}{key}" for key in ("datePosted", "publishedDate", "published_at", "publishedAt", "firstPublishedAt", "postedAt", "updated_at", "updatedAt", "created_at", "createdAt") for top in ("job.", "jobPosting.", "posting.", ""))
+def next_date(text: Column) -> Column:
+    """The date under the first known key, by priority, at any depth of the page's state."""
+    keys = [k.lower() for k in NEXT_DATE_KEYS]
+    pair = rf'(?i)"({"|".join(dict.fromkeys(keys))})"\s*:\s*"(\s*\d{{4}}-\d{{2}}-\d{{2}}[^"]*)"'
+    names, values = (F.regexp_extract_all(text, F.lit(pair), F.lit(i)) for i in (1, 2))
+    order = F.array(*map(F.lit, dict.fromkeys(keys)))
+    found = F.transform(F.arrays_zip(names.alias("k"), values.alias("v")), lambda x, i: F.struct(F.array_position(order, F.lower(x["k"])).alias("rank"), i.alias("at"), x["v"].alias("v")))
+    return F.when(F.try_parse_json(text).isNotNull(), F.array_min(found)["v"])
 
 
-def date_candidates(html: Column, url: Column, as_of: Column) -> list[tuple[str, Column]]:
-    """Named date extractors in order; those of a platform are null on other hosts."""
+#: How much of a page's visible text is searched for dates, and for dates near a key word.
+VISIBLE, HEAD = 150_000, 40_000
+
+
+def visible_text(html: Column) -> Column:
+    return F.substring(X.html_text(html), 1, VISIBLE)
+
+
+def date_candidates(html: Column, url: Column, visible: Column, as_of: Column) -> list[tuple[str, Column]]:
+    """Named date extractors in order; those of a platform are null on other hosts. They read
+    the columns of with_state, and visible, the page's visible text."""
+    ld, job, next_state = (F.col(c) for c in ("_ld", "_job", "_next"))
     on = lambda domain, c: F.when(F.contains(X.host(url), F.lit(domain)), c)
-    visible = F.substring(X.html_text(html), 1, 150_000)
-    near = F.regexp_extract(visible, r"(?i)(?:posted|published|posting\s+date|date\s+posted|job\s+posted)\s*[:#\s,.–—-]*(\d{4}-\d{2}-\d{2})", 1)
+    updated = _iso(F.regexp_extract(html, r'(?is)"posting"\s*:\s*\{.{0,280000}?"updatedAt"\s*:\s*"([^"]+)"', 1))
+    labelled = F.regexp_extract(visible, r"(?i)(?:posted|published|posting\s+date|date\s+posted|job\s+posted)\s*[:#\s,.–—-]*(\d{4}-\d{2}-\d{2})", 1)
+    words, day, head = "posted|publish|date|listing|opening|job", r"\b(20[12]\d-\d{2}-\d{2})\b", F.substring(visible, 1, HEAD)
+    near = F.coalesce(*(F.nullif(F.regexp_extract(head, p, 1), F.lit("")) for p in (rf"(?is)(?:{words}).{{0,95}}?{day}", rf"(?is){day}.{{0,60}}?(?:{words})")))
     return [
-        ("ashby_state", on("ashbyhq.com", _quoted(html, "updatedAt", "publishedDate"))),
-        ("json_ld", get(F.try_parse_json(ld_posting(html)), "$.datePosted", "$.dateposted")),
-        ("remix", on("greenhouse.io", F.coalesce(get(job_post(html), "$.published_at"), _quoted(html, "published_at")))),
-        ("next_data", get(next_data(html), *NEXT_PATHS)),
+        ("ashby_state", on("ashbyhq.com", F.coalesce(F.when(F.contains(html, F.lit('"posting"')), updated), _quoted(html, "publishedDate")))),
+        ("json_ld", F.when(ld.isNotNull(), get(ld, "$.datePosted", "$.dateposted"))),
+        ("remix", on("greenhouse.io", F.coalesce(F.when(job.isNotNull(), get(job, "$.published_at")), _quoted(html, "published_at")))),
+        ("next_data", F.when(next_state.isNotNull(), next_date(next_state))),
         ("lever_state", on("lever.co", _quoted(html, "listCreatedAt", "postedAt", "createdAt", "updatedAt"))),
         ("date_posted", _quoted(html, "datePosted")),
-        ("meta", F.coalesce(*(F.when(m.rlike(r"^\s*\d{4}-\d{2}-\d{2}"), m) for m in (meta_content(html, p) for p in ("article:published_time", "og:published_time", "og:updated_time", "date"))))),
-        ("visible_date", X.filled(near)),
-        ("relative", dates.relative_date(visible, as_of)),
+        ("meta", F.when(F.contains(F.lower(html), F.lit("<meta")), F.coalesce(*(_iso(meta_content(html, p)) for p in META_DATES)))),
+        ("visible_date", F.nullif(labelled, F.lit(""))),
+        ("relative", F.when(F.contains(visible, F.lit("ago")), dates.relative_date(visible, as_of))),
+        ("near_date", near),
         ("late", on("workable.com", _quoted(html, "published_at"))),
     ]
 
 
 def posted_dates(pages: DataFrame, as_of: str, html: str = "html", url: str = "url") -> DataFrame:
-    """pages with posted_time and extractor: the first candidate that parses."""
-    found = [F.struct(F.lit(name).alias("extractor"), dates.posted_text(c).alias("value")) for name, c in date_candidates(F.col(html), F.col(url), F.lit(as_of).cast("timestamp_ntz"))]
-    best = F.get(F.filter(F.array(*found), lambda x: x["value"].isNotNull()), F.lit(0))
-    return pages.withColumn("_best", best).withColumns({"posted_time": F.col("_best.value"), "extractor": F.col("_best.extractor")}).drop("_best")
-
-
-CONTAINERS = (r"<div\b[^>]*jobs-description-content__text[^>]*>([\s\S]*?)</div>", r"<div\b[^>]*jobs-description__text[^>]*>([\s\S]*?)</div>", r"<div\b[^>]*jobs-box__html-content[^>]*>([\s\S]*?)</div>", r"<div\b[^>]*class=[\"'][^\"']*job-description[^>]*>([\s\S]*?)</div>", r"<div\b[^>]*class=[\"'][^\"']*JobDescription[^>]*>([\s\S]*?)</div>", r"<[a-z]+\b[^>]*id=[\"']job-description[\"'][^>]*>([\s\S]*?)</", r"<div\b[^>]*data-job-description[^>]*>([\s\S]*?)</div>", r"<article\b[^>]*job-description[^>]*>([\s\S]*?)</article>", r"<div\b[^>]*id=[\"']content[\"'][^>]*>([\s\S]*?)</div>", r"<main\b[^>]*>([\s\S]*?)</main>")
-
-
-def description(html: Column, most: int = 8000) -> Column:
-    """JSON-LD description of over 40 characters, else the first container with over 120,
-    else a meta description of over 60, else ''."""
-    def longer(c: Column, n: int) -> Column:
-        return F.when(F.char_length(c) > n, c)
-
+    """pages with posted_time and extractor: the first candidate that parses. Candidates are
+    tried one after the other, as columns of their own, and only while none has parsed, so
+    that neither the optimiser nor a page repeats or adds work. Visible text is searched up
+    to VISIBLE characters, a limit of the rule itself."""
+    found = pages if set(STATE) <= set(pages.columns) else with_state(pages, html)
+    found = found.withColumns({"posted_time": F.lit(None).cast("string"), "extractor": F.lit(None).cast("string"), "_visible": F.lit(None).cast("string")})
+    open_ = F.col("posted_time").isNull()
+    for name, c in date_candidates(F.col(html), F.col(url), F.col("_visible"), F.lit(as_of).cast("timestamp_ntz")):
+        if name == "visible_date":
+            found = found.withColumn("_visible", F.when(open_, visible_text(F.col(html))))
+        found = found.withColumn("_value", F.when(open_, dates.trimmed_date(c)))
+        parsed = F.col("_value").isNotNull() & dates.posted_instant(F.col("_value")).isNotNull()
+        found = found.withColumn("_parsed", parsed).withColumns({"posted_time": F.when(F.col("_parsed"), F.col("_value")).otherwise(F.col("posted_time")), "extractor": F.when(F.col("_parsed"), name).otherwise(F.col("extractor"))})
+    return found.select(*pages.columns, "posted_time", "extractor")
+
+
+def described(pages: DataFrame, html: str = "html", most: int = 8000) -> DataFrame:
+    """pages with job_description: the JSON-LD description of over 40 characters (text, or an
+    object with a value), else the first container with over 120, else a meta description of
+    over 60, else ''. Later places are read only where earlier ones give nothing."""
+    found = pages if set(STATE) <= set(pages.columns) else with_state(pages, html)
     body = F.regexp_replace(html, r"(?is)<(script|style|noscript)\b[^>]*>.*?</(script|style|noscript)>", " ")
-    ld = F.try_variant_get(F.try_parse_json(ld_posting(html)), "$.description", "string")
-    found = [longer(X.html_text(ld), 40), *(longer(X.html_text(F.regexp_extract(body, p, 1)), 120) for p in CONTAINERS), longer(X.strip(meta_content(html, "description")), 60)]
-    return F.coalesce(*(X.clip(c, most) if i < 0 else F.when(c.isNotNull(), X.clip(c, most)) for i, c in enumerate(found)), F.lit(""))
-
-
-def ld_fields(html: Column) -> dict[str, Column]:
-    v = F.try_parse_json(ld_posting(html))
-    salary = F.concat_ws(" – ", get(v, "$.baseSalary.value.minValue"), get(v, "$.baseSalary.value.maxValue"))
+    ld = F.when(F.col("_ld").isNotNull(), X.html_text(get(F.col("_ld"), "$.description.value", "$.description")))
+    found = found.withColumns({"_text": F.when(F.char_length(ld) > 40, ld)})
+    found = found.withColumn("_body", F.when(F.col("_text").isNull(), body))
+    for pattern in CONTAINERS:
+        found = found.withColumn("_raw", F.when(F.col("_text").isNull(), X.html_text(F.regexp_extract("_body", pattern, 1))))
+        found = found.withColumn("_text", F.coalesce("_text", F.when(F.char_length("_raw") > 120, F.col("_raw"))))
+    found = found.withColumn("_raw", F.when(F.col("_text").isNull(), meta_content(F.col(html), "description")))
+    found = found.withColumn("_text", F.coalesce("_text", F.when(F.char_length("_raw") > 60, F.col("_raw")), F.lit("")))
+    return found.select(*pages.columns, X.clip(F.col("_text"), most).alias("job_description"))
+
+
+def _place(v: Column, path: str) -> Column:
+    """A location given as text, as an object with an address or a name, or as an address."""
+    at = [f"{path}.address.{k}" for k in ADDRESS_PARTS]
+    address = F.concat_ws(", ", *(get(v, p) for p in at))
+    return F.coalesce(F.nullif(address, F.lit("")), get(v, f"{path}.address", f"{path}.name", path))
+
+
+def ld_fields(ld: Column) -> dict[str, Column]:
+    low, high = get(ld, "$.baseSalary.value.minValue", "$.baseSalary.value.value"), get(ld, "$.baseSalary.value.maxValue")
+    pay = F.nullif(F.concat_ws(" – ", low, high), F.lit(""))
+    kinds = F.transform(items(ld, "$.employmentType"), lambda x: X.employment_label(x.cast("string")))
+    kind = get(ld, "$.employmentType")
     return {
-        "title": get(v, "$.title"), "company": get(v, "$.hiringOrganization.name", "$.hiringOrganization"), "posted_time": dates.posted_text(get(v, "$.datePosted")),
-        "location": get(v, "$.jobLocation.address.addressLocality", "$.jobLocation[0].address.addressLocality", "$.jobLocation.name", "$.jobLocation"),
-        "salary": X.filled(F.concat_ws(" ", X.filled(salary), F.when(salary != "", get(v, "$.baseSalary.currency")))), "employment_type": F.when(get(v, "$.employmentType").isNotNull(), X.employment_label(get(v, "$.employmentType"))),
+        "title": get(ld, "$.title"), "company": get(ld, "$.hiringOrganization.name", "$.hiringOrganization"), "posted_time": get(ld, "$.datePosted"),
+        "location": F.coalesce(_place(ld, "$.jobLocation[0]"), _place(ld, "$.jobLocation")),
+        "salary": F.coalesce(F.when(pay.isNotNull(), F.concat_ws(" ", pay, get(ld, "$.baseSalary.currency"))), get(ld, "$.baseSalary")),
+        "employment_type": F.coalesce(F.nullif(F.array_join(kinds, ", "), F.lit("")), F.when(kind.isNotNull(), X.employment_label(kind))),
     }
 
 
-def state_fields(html: Column) -> dict[str, Column]:
-    jp, ap = job_post(html), ashby_posting(html)
-    pay = ("pay_buckets_display", "pay_transparency_display", "pay_transparency_description", "salary_range", "compensation")
+def state_fields(job: Column, posting: Column) -> dict[str, Column]:
+    kind = get(posting, "$.employmentType")
     return {
-        "title": F.coalesce(get(jp, "$.title"), get(ap, "$.title")), "company": get(jp, "$.company_name"),
-        "posted_time": F.coalesce(dates.posted_text(get(jp, "$.published_at")), dates.posted_text(get(ap, "$.updatedAt")), dates.posted_text(get(ap, "$.publishedDate"))),
-        "location": F.coalesce(get(jp, "$.job_post_location.name", "$.job_post_location"), get(ap, "$.locationName")), "salary": F.coalesce(get(jp, *(f"$.{k}" for k in pay)), get(ap, "$.compensationTierSummary")),
-        "employment_type": F.when(get(ap, "$.employmentType").isNotNull(), X.employment_label(get(ap, "$.employmentType"))),
+        "title": F.coalesce(get(job, "$.title"), get(posting, "$.title")), "company": get(job, "$.company_name"),
+        "posted_time": F.coalesce(get(job, "$.published_at"), get(posting, "$.updatedAt"), get(posting, "$.publishedDate")),
+        "location": F.coalesce(get(job, "$.job_post_location.name", "$.job_post_location"), get(posting, "$.locationName")), "salary": F.coalesce(get(job, *(f"$.{k}" for k in PAY_KEYS)), get(posting, "$.compensationTierSummary")),
+        "employment_type": F.when(kind.isNotNull(), X.employment_label(kind)),
     }
 
 
@@ -162,8 +253,13 @@ PATCH = ("title", "company", "posted_time", "location", "salary", "employment_ty
 
 def page_patches(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """Field patch of each page: embedded state first, JSON-LD where that has nothing."""
-    state, ld = state_fields(F.col(html)), ld_fields(F.col(html))
-    return pages.select(*keep, *(F.coalesce(state[c], ld[c], F.lit("")).alias(c) for c in PATCH))
+    found = pages if set(STATE) <= set(pages.columns) else with_state(pages, html)
+    some = F.col("_job").isNotNull() | F.col("_posting").isNotNull()
+    state, ld = state_fields(F.col("_job"), F.col("_posting")), ld_fields(F.col("_ld"))
+    raw = found.select(*keep, *(F.when(some, state[c]).alias(f"_s_{c}") for c in PATCH), *(F.when(F.col("_ld").isNotNull(), ld[c]).alias(f"_l_{c}") for c in PATCH))
+    value = {c: (F.col(f"_s_{c}"), F.col(f"_l_{c}")) for c in PATCH}
+    value["posted_time"] = tuple(dates.posted_text(c) for c in value["posted_time"])
+    return raw.select(*keep, *(F.coalesce(*value[c], F.lit("")).alias(c) for c in PATCH))
 
 
 def board_tokens(pages: DataFrame, html: str = "html", id_col: str = "page_id") -> DataFrame:
@@ -176,11 +272,13 @@ def board_tokens(pages: DataFrame, html: str = "html", id_col: str = "page_id")
 
 def enrich(df: DataFrame, pages: DataFrame, as_of: str) -> DataFrame:
     """Fill rows from their pages: patches of embedded state overwrite, then the date
-    cascade and the description fill what is still blank; extractor says what gave the date."""
-    one = posted_dates(one_per_url(pages), as_of).withColumn("job_description", description(F.col("html")))
-    patched = patch(df, page_patches(one), "url", ["posted_time", "location", "salary", "employment_type"], overwrite=True)
-    blank = X.is_blank(F.col("posted_time"))
-    late = one.select(F.col("url").alias("_u"), F.col("posted_time").alias("_pt"), F.col("job_description").alias("_jd"), F.col("extractor").alias("_ex"))
-    joined = patched.join(late, F.col("url") == F.col("_u"), "left")
-    out = {"extractor": F.when(~blank, "state").otherwise(F.col("_ex")), "posted_time": F.coalesce(X.filled(F.col("posted_time")), F.col("_pt"), F.lit("")), "job_description": F.coalesce(X.filled(F.col("job_description")), F.col("_jd"), F.lit(""))}
-    return joined.withColumns(out).drop("_u", "_pt", "_jd", "_ex")
+    cascade and the description fill what is still blank; extractor says what gave the date.
+    Pages are read once and joined once."""
+    one = described(posted_dates(with_state(one_per_url(pages)), as_of)).withColumnsRenamed({"posted_time": "_pt", "job_description": "_jd", "extractor": "_ex"})
+    found = page_patches(one, keep=("url", "_pt", "_jd", "_ex"))
+    found = found.select(F.col("url").alias("_u"), "_pt", "_jd", "_ex", *(F.col(c).alias(f"_p_{c}") for c in PATCH))
+    joined = df.join(found, F.col("url") == F.col("_u"), "left")
+    patched = joined.withColumns({c: F.coalesce(X.filled(F.col(f"_p_{c}")), X.filled(F.col(c)), F.lit("")) for c in ("posted_time", "location", "salary", "employment_type")})
+    blank = F.col("posted_time") == ""
+    out = {"extractor": F.when(~blank, "state").otherwise(F.col("_ex")), "posted_time": F.coalesce(F.nullif("posted_time", F.lit("")), F.col("_pt"), F.lit("")), "job_description": F.coalesce(X.filled(F.col("job_description")), F.col("_jd"), F.lit(""))}
+    return patched.withColumns(out).select(*df.columns, "extractor")
