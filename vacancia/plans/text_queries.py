@@ -368,7 +368,29 @@ def f35_reply_rows(part):
 @query("SELECT p_partkey, p_name AS title, p_brand AS company, concat('https://x.example/', CAST(p_partkey AS VARCHAR)) AS url, concat(p_type, chr(10), 'Work model: Hybrid', chr(10), 'Remote: yes') AS job_description FROM part", "part")
 def f32_detail_rows(part):
     text = F.to_json(F.struct(F.struct(F.col("p_name").alias("jobTitle"), F.concat(F.lit("https://x.example/"), F.col("p_partkey").cast("string")).alias("originalUrl"), F.col("p_type").alias("jobSummary"), F.lit("Hybrid").alias("workModel"), F.lit(True).alias("isRemote")).alias("jobResult"), F.struct(F.col("p_brand").alias("companyName")).alias("companyResult")))
-    return payloads.detail_rows(part.select("p_partkey", text.alias("payload"))).select("p_partkey", "title", "company", "url", "job_description")
+    return payloads.detail_rows(part.select("p_partkey", text.alias("payload")), gap="\n", remote={"true": "yes"}).select("p_partkey", "title", "company", "url", "job_description")
+
+
+@query("""SELECT p_partkey, p_name AS title, coalesce(nullif(p_brand, 'Brand#11'), 'Unknown') AS company, concat('https://x.example/', CAST(p_partkey AS VARCHAR)) AS url, 'Unknown' AS location, concat('2024-01-', lpad(CAST(1 + p_size % 28 AS VARCHAR), 2, '0'), 'T08:30:00') AS posted_time, '5h ago' AS freshness,
+concat(p_type, chr(10), chr(10), 'Work model: Hybrid', chr(10), 'Remote: ', CASE WHEN p_partkey % 2 = 0 THEN 'true' ELSE 'false' END, chr(10), 'Jobright match score: ', CAST(p_partkey AS VARCHAR)) AS job_description FROM part""", "part")
+def f32_detail_rows_in_full(part):
+    def one(*names):
+        job = dict(zip(("title", "url", "summary", "model", "at", "said"), (F.col("p_name"), F.concat(F.lit("https://x.example/"), F.col("p_partkey").cast("string")), F.col("p_type"), F.lit("Hybrid"), F.concat(F.lit("2024-01-"), F.lpad((1 + F.col("p_size") % 28).cast("string"), 2, "0"), F.lit(" 08:30:00")), F.lit("5h ago"))))
+        top, company, name, *keys = names
+        return F.to_json(F.struct(F.struct(*(c.alias(k) for k, c in zip(keys, job.values())), (F.col("p_partkey") % 2 == 0).alias("isRemote")).alias(top), F.struct(F.when(F.col("p_brand") != "Brand#11", F.col("p_brand")).alias(name)).alias(company), F.col("p_partkey").alias("displayScore")))
+
+    camel = one("jobResult", "companyResult", "companyName", "jobTitle", "originalUrl", "jobSummary", "workModel", "publishTime", "publishTimeDesc")
+    snake = one("job_result", "company_result", "company_name", "job_title", "apply_link", "job_summary", "work_model", "publish_time", "publish_time_desc")
+    rows = payloads.detail_rows(part.select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, camel).otherwise(snake).alias("payload")))
+    return rows.select("p_partkey", "title", "company", "url", "location", "posted_time", "freshness", "job_description")
+
+
+@query("SELECT p_partkey AS page_id, concat('https://www.linkedin.com/jobs/view/', CAST(p_partkey AS VARCHAR)) AS url, trim(p_name) AS title, p_brand AS company, p_type AS location, CAST(p_partkey AS VARCHAR) AS job_id FROM part", "part")
+def f19_result_rows(part):
+    k = F.col("p_partkey").cast("string")
+    card = F.concat(F.lit('<li><a class="full-link" href="/jobs/view/'), k, F.lit('?trk=a"><h3> '), "p_name", F.lit(' </h3></a><h4 class="card__subtitle">'), "p_brand", F.lit('</h4><span class="card__location">'), "p_type", F.lit("</span></li>"))
+    html = F.concat(F.lit("<ul>"), card, F.lit("<li>no link</li>"), card, F.lit("</ul>"))
+    return pages.result_rows(part.select(F.col("p_partkey").alias("page_id"), html.alias("html")), "https://www.linkedin.com").select("page_id", "url", "title", "company", "location", "job_id")
 
 
 @query("SELECT row_id, trim(regexp_replace(lower(title), '\\s+', ' ', 'g')) AS collapsed, lower(trim(title)) AS trimmed FROM postings", "postings")

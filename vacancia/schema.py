@@ -27,6 +27,12 @@ CONTAINERS = (
     r"<div\b[^>]*class=[\"'][^\"']*job-description[^>]*>([\s\S]*?)</div>", r"<div\b[^>]*class=[\"'][^\"']*JobDescription[^>]*>([\s\S]*?)</div>", r"<[a-z]+\b[^>]*id=[\"']job-description[\"'][^>]*>([\s\S]*?)</",
     r"<div\b[^>]*data-job-description[^>]*>([\s\S]*?)</div>", r"<article\b[^>]*job-description[^>]*>([\s\S]*?)</article>", r"<div\b[^>]*id=[\"']content[\"'][^>]*>([\s\S]*?)</div>", r"<main\b[^>]*>([\s\S]*?)</main>",
 )
+DETAIL_KEYS = {
+    "title": ("jobTitle", "job_title", "title"), "company": ("companyName", "company_name", "name"), "url": ("originalUrl", "original_url", "applyLink", "apply_link", "applyUrl", "apply_url", "externalUrl", "external_url"),
+    "location": ("jobLocation", "job_location", "location"), "posted_time": ("publishTime", "publish_time"), "freshness": ("publishTimeDesc", "publish_time_desc"), "salary": ("salaryDesc", "salary_desc", "salary"),
+    "employment_type": ("employmentType", "employment_type"), "seniority": ("jobSeniority", "job_seniority", "seniority"), "work_model": ("workModel", "work_model"), "job_description": ("jobSummary", "job_summary", "summary"),
+    "job_id": ("jobId", "job_id", "id"), "applicant_count": ("applicantsCount", "applicants_count"), "is_remote": ("isRemote",),
+}
 REPORT_COLUMNS = ("Title", "Company", "Location", "Salary", "Employment Type", "Seniority", "Freshness", "Posted", "Applicants", "Apply Type", "Source", "Job ID", "Apply Link", "Found At")
 
 POSTING = T.StructType([T.StructField("row_id", T.LongType()), *(T.StructField(c, T.StringType()) for c in CANONICAL), T.StructField("found_at", T.TimestampNTZType())])

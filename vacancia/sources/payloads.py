@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, text as X
 from ..operators.filters import location_matches, title_has_phrase
+from ..schema import DETAIL_KEYS
 
 GREENHOUSE = "struct<id:string,title:string,location:struct<name:string>,isListed:boolean,updated_at:string,content:string,absolute_url:string>"
 LEVER = "struct<id:string,text:string,categories:struct<location:string>,createdAt:bigint,hostedUrl:string,applyUrl:string,descriptionPlain:string,description:string>"
@@ -53,24 +54,26 @@ def postings(df: DataFrame, shape: str, token: str = "token", phrases: list[str]
     return rows.select(*keep, *cols).where("title <> '' and url <> ''")
 
 
-ALIASES = {
-    "title": ("jobTitle", "title"), "company": ("companyName", "company"), "url": ("originalUrl", "applyLink", "url"), "location": ("jobLocation", "location"), "posted_time": ("publishTime", "postedAt"), "job_id": ("jobId", "id"), "job_description": ("jobSummary", "description"), "employment_type": ("employmentType",), "seniority": ("jobSeniority", "seniority"), "salary": ("salaryDesc", "salary"), "applicant_count": ("applicantsCount",), "work_model": ("workModel",), "is_remote": ("isRemote",),
-}
-
-
-def detail_rows(df: DataFrame, payload: str = "payload") -> DataFrame:
-    """Posting rows of detail JSON {jobResult, companyResult}: aliased keys, and work model
-    and remote lines added to the description."""
+def detail_rows(df: DataFrame, payload: str = "payload", gap: str = "\n\n", remote: dict[str, str] | None = None) -> DataFrame:
+    """Posting rows of detail JSON {jobResult, companyResult, displayScore}: aliased keys, and
+    lines for work model, remote and match score added to the description after gap. remote
+    gives the words for true and false; a missing one leaves the line out."""
     v = F.try_parse_json(payload)
-
-    def pick(*names: str) -> Column:
-        return F.coalesce(*(X.filled(F.try_variant_get(v, f"$.{top}.{n}", "string")) for n in names for top in ("jobResult", "companyResult")), F.lit(""))
-
-    cols = {k: pick(*names) for k, names in ALIASES.items()}
-    extra = [F.when(cols["work_model"] != "", F.concat(F.lit("Work model: "), cols["work_model"])), F.when(cols["is_remote"] == "true", F.lit("Remote: yes"))]
-    lines = F.concat_ws("\n", X.filled(cols["job_description"]), *extra)
-    out = [F.when(F.lit(k == "job_description"), lines).otherwise(c).alias(k) for k, c in cols.items() if k not in ("work_model", "is_remote")]
-    return df.select(*(c for c in df.columns if c != payload), *out).where("title <> '' and url <> ''")
+    both = {"job": ("jobResult", "job_result"), "company": ("companyResult", "company_result")}
+    parts = df.select(*(c for c in df.columns if c != payload), *(F.coalesce(*(F.try_variant_get(v, f"$.{k}", "variant") for k in keys)).alias(f"_{n}") for n, keys in both.items()), F.try_variant_get(v, "$.displayScore", "string").alias("_score"))
+
+    def pick(field: str) -> Column:
+        of = F.col("_company" if field == "company" else "_job")
+        return F.coalesce(*(F.nullif(X.strip(F.try_variant_get(of, f"$.{n}", "string")), F.lit("")) for n in DETAIL_KEYS[field]))
+
+    found = parts.where("_job is not null and _company is not null").withColumns({f"_{k}": pick(k) for k in DETAIL_KEYS})
+    say = {"true": "true", "false": "false"} if remote is None else remote
+    told = F.coalesce(*(F.when(F.col("_is_remote") == k, F.lit(f"Remote: {w}")) for k, w in say.items()))
+    lines = F.concat_ws("\n", F.concat(F.lit("Work model: "), "_work_model"), told, F.concat(F.lit("Jobright match score: "), X.filled(F.col("_score"))))
+    posted = F.regexp_replace("_posted_time", r"^(\d{4}-\d{2}-\d{2})\s+(\d{1,2}:\d{2}:\d{2})", "$1T$2")
+    values = {k: F.coalesce(f"_{k}", F.lit("Unknown" if k in ("company", "location") else "")) for k in DETAIL_KEYS if k not in ("work_model", "is_remote")}
+    values |= {"posted_time": F.coalesce(dates.posted_text(posted), F.lit("")), "job_description": F.concat_ws(gap, "_job_description", F.nullif(lines, F.lit("")))}
+    return found.select(*(c for c in df.columns if c != payload), *(c.alias(k) for k, c in values.items())).where("title <> '' and url <> ''")
 
 
 def reply_rows(df: DataFrame, reply: str = "reply") -> DataFrame:
