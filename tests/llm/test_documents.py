@@ -290,6 +290,65 @@ def test_a_chain_of_near_duplicates(spark, tmp_path):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_components(rows)
 
 
+def shown_components(docs, **options):
+    return Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(docs, **options).collect())
+
+
+def edited(r, words, share):
+    out = list(words)
+    for i in r.sample(range(len(words)), int(share * len(words))):
+        out[i] = f"e{r.randrange(1 << 40)}"
+    return out
+
+
+def test_many_near_copies_with_strays(spark, tmp_path, monkeypatch):
+    """A large group of near copies of one text, an eighth of them linked to few or none, part
+    of the group with a footer of its own, and a second group around another text."""
+    r = random.Random(12)
+    base, other, footer = ([f"{x}{i}" for i in range(160)] for x in "wvf")
+    rows = [(0, " ".join(base)), (1, " ".join(other))]
+    for i in range(2, 1000):
+        share = r.choice((0.005, 0.01, 0.02, 0.03, 0.034, 0.04, 0.045, 0.05))
+        words = edited(r, other if i % 7 == 0 else base, share)
+        if i % 5 == 0:
+            words += footer[:90]
+        if i % 11 == 0:
+            words = words[: len(words) - r.randrange(60)]
+        rows.append((i, " ".join(words)))
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    want = brute_components(rows)
+    assert len({c for *_, c in want}) > 50
+    made = []
+    test = minhash.compared
+    monkeypatch.setattr(minhash, "compared", lambda pairs, *rest: made.append(pairs.count()) or test(pairs, *rest))
+    assert shown_components(docs) == want
+    assert sum(made) < 20_000  # of 500,000 pairs
+    assert shown_components(docs, draws=0) == want
+
+
+def test_sets_joined_by_a_shuffle(docs, rows, monkeypatch):
+    make = minhash.packed_sets
+    monkeypatch.setattr(minhash, "packed_sets", lambda *x: make(*x, broadcast_rows=0))
+    assert shown_components(docs) == brute_components(rows)
+
+
+def test_pairs_of_just_enough_likeness_are_found(spark, tmp_path):
+    """300 pairs at exactly 0.75, and 300 just below it."""
+    rows = []
+    for i in range(600):  # 124 shingles in common of 165; then one less of 166
+        k = 128 if i < 300 else 127
+        common = [f"c{i}x{j}" for j in range(k)]
+        for side in (0, 1):
+            own = [f"o{i}x{side}x{j}" for j in range(20 + (i >= 300))]
+            rows.append((2 * i + side, " ".join(common + (own if side else own + ["z"]))))
+    sets = [shingle_set(t) for _, t in rows]
+    level = [100 * len(a & b) - 75 * len(a | b) for a, b in zip(sets[::2], sets[1::2])]
+    assert min(level[:300]) >= 0 and level[0] < 100 and max(level[300:]) < 0
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/d")
+    assert shown_components(spark.read.parquet(f"{tmp_path}/d")) == brute_components(rows)
+
+
 def test_superminhash_estimates_resemblance():
     r = np.random.default_rng(2)
     pool = r.integers(0, 1 << 62, 600).astype(np.uint64)

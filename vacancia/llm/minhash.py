@@ -5,18 +5,34 @@ random permutation of the slots; an element's rank in a slot is its position in
 permutation plus a random fraction, and a slot keeps the least rank. Since ranks come in
 levels, a document's work stops once every slot has a rank of an earlier level.
 
-Documents of equal sets form a class. Bands of the signature put classes into buckets.
-Each class is first verified, on full sets, against the class of its buckets that meets most
-others there, then against a few classes drawn from its buckets that hold several
-components, and at last every pair of classes of different components that share a bucket,
-and whose signatures do not refute it, is verified. Links
-never matter inside a component, so buckets of any size are decided fully without listing
-the pairs of a group of copies. Components grow by pointer jumping and by large and small
-stars, as joins; nothing whole passes through the driver or one task.
+Documents of equal sets form a class. Bands of the signature put classes into buckets, and
+every two classes that share a bucket are decided, exactly and on full sets, without listing
+the pairs of a bucket:
+
+* Each class is verified against the class of its buckets that meets most others there, its
+  hub. A bucket whose classes then form one component is done.
+* In a bucket of several components all classes are compared with one hub h. Let D(x) be the
+  symmetric difference of x and h. Classes x and y are linked if the symmetric difference of
+  D(x) and D(y) has at most k (|x| + |y|) elements, k = (100 - percent) / (100 + percent). If x
+  is not linked to h, it follows that D(x) and D(y) share more than ((1 - k) a + (1 + k) b) / 2
+  elements, where y has a elements that h lacks and lacks b of h. So with elements in order
+  of their frequency, rare ones first, x and y share an element among the first of D(x) and
+  D(y) that leave less than this number over (a prefix filter): classes of different edits do
+  not meet at all.
+* Of the classes that share such an element, those of one component are not compared any
+  more. Each is first verified against a class drawn from them (`draws` times), which unites
+  groups that hold together apart from h; then what is still open is verified by pairs. In
+  either case a pair is left out before if the sizes of the differences, or bit maps of them,
+  prove that it is not linked: every bit that only one has is an element that only one has.
+
+Components grow by large and small stars, as joins; nothing whole passes through the driver
+or one task, and no bucket, partner or candidate is dropped.
 
 Defined cases: null and empty texts, and texts without words, have an empty set and stand
-alone; equal rows share a component; a null id stands alone with a null component and is
-kept; an empty table gives no row; other columns of the input are not read.
+alone; very long texts are worked through whole; equal rows share a component, as do rows of
+one id that are linked; rows of one id whose texts are unlike may have several components;
+a null id stands alone with a null component and is kept; an empty table gives no row;
+other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -27,20 +43,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .hashing import SPACED, document_shingles, mix, words
 from .shared import slices, text_buffer, written
 
 BANDS, ROWS = 36, 5
 SLOTS = BANDS * ROWS
-WORDS = -(-SLOTS // 16)
-#: Pairs that share fewer slots than this are refuted without their sets: 4.5 standard
-#: deviations below what a pair of just enough likeness (0.75) shares, chance equality of
-#: four bits included, so about one such pair in 300,000 is lost by it.
-MATCH = 0.75 + 0.25 / 16
-LEAST_EQUAL = int(MATCH * SLOTS - 4.5 * (MATCH * (1 - MATCH) * SLOTS) ** 0.5) + WORDS * 16 - SLOTS
-SIGNED = "doc_id long, n_shingles long, node long, bands array<long>, sketch array<long>"
+SIGNED = "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, bands array<long>"
 FRACTION = 24
+#: 64-bit words in the bit map of a difference.
+MAP = 16
 
 
 def signatures(sets: np.ndarray, pointers: np.ndarray, slots: int) -> np.ndarray:
@@ -87,103 +100,85 @@ def band_keys(table: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def sketch_words(table: np.ndarray) -> np.ndarray:
-    """Four bits of every slot, sixteen slots to a 64-bit word."""
-    nibbles = (mix(table.astype(np.uint64)) & np.uint64(15)).reshape(len(table), -1)
-    padded = np.zeros((len(table), WORDS * 16), np.uint64)
-    padded[:, : nibbles.shape[1]] = nibbles
-    shifts = np.arange(16, dtype=np.uint64) * np.uint64(4)
-    return (padded.reshape(len(table), WORDS, 16) << shifts).sum(2, dtype=np.uint64).view(np.int64)
-
-
-def equal_slots(x: Column, y: Column) -> Column:
-    """How many slots of two sketches have equal bits (padding counts as equal)."""
-    def word(i: int) -> Column:
-        z = F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))
-        z = z.bitwiseOR(F.shiftrightunsigned(z, 1))
-        z = z.bitwiseOR(F.shiftrightunsigned(z, 2)).bitwiseAND(F.lit(0x1111111111111111))
-        return F.lit(16) - F.bit_count(z)
-
-    return sum((word(i) for i in range(1, WORDS)), word(0))
-
-
-def sets_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Shingle sets of the texts, pointers to them and a hash of each set."""
+def sets_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Shingle sets of the texts, pointers to them and a hash of each set, 128 bits in two."""
     _, _, hashes, pointers = words(*text_buffer(column), SPACED)
     sets, at = document_shingles(hashes, pointers, 5)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(sets ^ np.uint64(0xD1B54A32D192ED03)))])
-    node = mix((sums[at[1:]] - sums[at[:-1]]) + np.diff(at).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return sets, at, node.view(np.int64)
+    n = np.diff(at).astype(np.uint64)
+    out = []
+    for seed in (0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(sets ^ np.uint64(seed)))])
+        out.append(mix((sums[at[1:]] - sums[at[:-1]]) + n * np.uint64(0x9E3779B97F4A7C15)).view(np.int64))
+    return sets, at, *out
 
 
 def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            sets, at, node = sets_of(batch.column(1))
+            sets, at, set_a, set_b = sets_of(batch.column(2))
             n = np.diff(at)
             some = n > 0
             table = signatures(sets, np.concatenate([[0], np.cumsum(n[some])]), SLOTS)
-            lists = []
-            for values, width in ((band_keys(table), BANDS), (sketch_words(table), WORDS)):
-                ends = np.concatenate([[0], np.cumsum(some * width)]).astype(np.int32)
-                lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(values.ravel(), pa.int64())))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(node, mask=~some), *lists], ["doc_id", "n_shingles", "node", "bands", "sketch"])
+            ends = np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)
+            bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(band_keys(table).ravel(), pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(set_a, mask=~some), pa.array(set_b, mask=~some), bands], ["doc_id", "text_hash", "n_shingles", "set_a", "set_b", "bands"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(sign, SIGNED)
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(sign, SIGNED)
 
 
 def packed_sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, broadcast_rows: int = 2_000_000) -> DataFrame:
-    """node and its set (48 bits of each hash, sorted) for the nodes of wanted (node, s_id).
-    Few wanted rows are broadcast, more are joined by a shuffle."""
+    """node and its sorted set for the nodes of wanted (node, s_id, s_hash). Up to
+    broadcast_rows wanted rows, of three numbers, are broadcast; more are joined by a shuffle."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            sets, at, node = sets_of(batch.column(0))
-            raw = (sets >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-            packed = [raw[6 * a : 6 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(packed, pa.binary())], ["node", "packed"])
+            sets, at, *_ = sets_of(batch.column(1))
+            raw = sets.astype("<u8").tobytes()
+            packed = [raw[8 * a : 8 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["node", "packed"])
 
-    few = wanted.select("s_id").distinct()
-    few = F.broadcast(few) if few.count() <= broadcast_rows else few
-    texts = docs.select(F.col(id_col).cast("long").alias("s_id"), F.col(text_col).cast("string").alias("text")).join(few, "s_id", "left_semi").select("text")
-    return texts.mapInArrow(make, "node long, packed binary").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    few = F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted
+    text = F.col(text_col).cast("string")
+    own = docs.select(F.col(id_col).cast("long").alias("t_id"), F.xxhash64(text).alias("t_hash"), text.alias("text"))
+    texts = own.join(few, (F.col("t_id") == F.col("s_id")) & (F.col("t_hash") == F.col("s_hash"))).select("node", "text")
+    return texts.mapInArrow(make, "node long, packed binary").dropDuplicates(["node"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b and other columns) whose sets are alike enough."""
-    columns = pairs.columns
+COMPARED = "a long, b long, linked boolean, n_a int, n_b int, added array<long>, lost array<long>, map array<long>"
 
-    def unpack(raw: bytes) -> np.ndarray:
-        wide = np.zeros((len(raw) // 6, 8), np.uint8)
-        wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-        return wide.view("<u8").ravel()
+
+def compared(pairs: DataFrame, sets: DataFrame, percent: int, differences: bool = False) -> DataFrame:
+    """Of each pair (a, b): whether the sets are linked, their sizes, and, if asked for, the
+    elements of a that b lacks, those of b that a lacks, and a bit map of both."""
+
+    def bit_map(elements: np.ndarray) -> np.ndarray:
+        bits = np.zeros(64 * MAP, bool)
+        bits[mix(elements.view(np.uint64)) % np.uint64(64 * MAP)] = True
+        return np.packbits(bits).view("<i8")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(len(columns)), batch.column(len(columns) + 1)):
-                x, y = unpack(x.as_py()), unpack(y.as_py())
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                same = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * same >= percent * (len(x) + len(y) - same))
-            yield batch.select(columns).filter(pa.array(keep, pa.bool_()))
+            linked, sizes, lists = [], ([], []), ([], [], [])
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = (np.frombuffer(z.as_py(), "<i8") for z in (x, y))
+                if differences:
+                    added, lost = np.setdiff1d(x, y, True), np.setdiff1d(y, x, True)
+                    same, bits = len(x) - len(added), bit_map(np.concatenate([added, lost]))
+                else:
+                    both = np.concatenate([x, y])
+                    both.sort()
+                    same = int((both[1:] == both[:-1]).sum())
+                    added = lost = bits = None
+                linked.append(100 * same >= percent * (len(x) + len(y) - same))
+                for out, value in ((sizes[0], len(x)), (sizes[1], len(y)), (lists[0], added), (lists[1], lost), (lists[2], bits)):
+                    out.append(value)
+            columns = [pa.array(linked, pa.bool_()), *(pa.array(c, pa.int32()) for c in sizes), *(pa.array(c, pa.list_(pa.int64())) for c in lists)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["a", "b", "linked", "n_a", "n_b", "added", "lost", "map"])
 
     left = sets.withColumnsRenamed({"node": "a", "packed": "packed_a"})
     right = sets.withColumnsRenamed({"node": "b", "packed": "packed_b"})
-    return pairs.join(left, "a").join(right, "b").select(*columns, "packed_a", "packed_b").mapInArrow(test, pairs.schema)
-
-
-def roots(parents: DataFrame) -> DataFrame:
-    """node, comp: the root above each node of a forest (node, up), up being the lesser, by
-    pointer jumping: a pass halves the depth."""
-    table = written(parents, "forest")
-    while True:
-        up = table.select(F.col("node").alias("u"), F.col("up").alias("top"))
-        changed = Observation("jump")
-        table = written(table.join(up, F.col("up") == F.col("u"), "left").select("node", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("moved")).observe(changed, F.count_if("moved").alias("n")).drop("moved"), "forest")
-        if not changed.get["n"]:
-            return table.select("node", F.col("up").alias("comp"))
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "packed_a", "packed_b").mapInArrow(test, COMPARED)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -209,72 +204,108 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
 
 
-def open_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """key, node, n, comp, major of the buckets that hold more than one component; major is
-    the component with the most rows there."""
-    place = buckets.select("key", "node", "n").join(labels.select(F.col("node").alias("l_node"), "comp"), F.col("node") == F.col("l_node"), "left").select("key", "node", "n", F.coalesce("comp", "node").alias("comp"))
-    counts = place.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    mixed = counts.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.count("*").alias("comps")).where("comps > 1").drop("comps")
-    return place.join(mixed, "key")
+def with_labels(df: DataFrame, labels: DataFrame, node: str = "node", comp: str = "comp") -> DataFrame:
+    """df with the component of its node; a node without one is its own."""
+    own = labels.select(F.col("node").alias("_l_node"), F.col("comp").alias("_l_comp"))
+    return df.join(own, F.col(node) == F.col("_l_node"), "left").withColumn(comp, F.coalesce("_l_comp", node)).drop("_l_node", "_l_comp")
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels after the components of linked nodes (a, b) have become one."""
+    ends = with_labels(with_labels(links, labels, "a", "c_a"), labels, "b", "c_b")
+    moved = components(ends.select(F.col("c_a").alias("a"), F.col("c_b").alias("b")))
+    new = with_labels(labels.select("node", F.col("comp").alias("old")), moved, "old").select("node", "comp")
+    fresh = moved.join(labels.select("node"), "node", "left_anti")
+    return written(new.unionAll(fresh), "labels")
+
+
+def left_open(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of groups (key, node, n and other columns), with comp, whose key has several components."""
+    places = with_labels(groups, labels)
+    mixed = places.groupBy("key").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low < _high").select("key")
+    return places.join(mixed, "key")
+
+
+def alike(x: str, y: str, percent: int) -> Column:
+    """Whether sets of these sizes can be linked."""
+    return 100 * F.least(x, y) >= percent * F.greatest(x, y)
+
+
+def shared_differences(found: DataFrame, percent: int) -> DataFrame:
+    """key (of hub and element), node, n, na, nl, map, as_x, as_y: the elements of each
+    compared node's difference to its hub by which a node that is not linked to the hub (x)
+    and a node linked to that one (y) meet."""
+    size = F.col("na") + F.col("nl")
+    sized = found.select(F.col("a").alias("node"), F.col("b").alias("hub"), (~F.col("linked")).alias("unlinked"), F.col("n_a").alias("n"), "n_b", F.size("added").alias("na"), F.size("lost").alias("nl"), "map", F.concat("added", "lost").alias("all"))
+    each = sized.select("*", F.explode("all").alias("e")).drop("all")
+    counts = each.groupBy("hub", "e").agg(F.count("*").alias("many"), F.bool_or("unlinked").alias("any_unlinked")).where("many > 1 and any_unlinked").select(F.col("hub").alias("c_hub"), F.col("e").alias("c_e"), "many")
+    met = each.join(counts, (F.col("hub") == F.col("c_hub")) & (F.col("e") == F.col("c_e")))
+    # Elements that no other has come first in the order of frequency, and do not count here.
+    own = Window.partitionBy("node", "hub")
+    met = met.withColumns({"at": F.row_number().over(own.orderBy("many", "e")), "met": F.count("*").over(own)})
+    least = F.floor((percent * F.col("na") + 100 * F.col("nl")) / (100 + percent)) + 1
+    least_unlinked = F.greatest(F.lit(1), F.ceil(((100 + percent) * size - (100 - percent) * (F.col("n") + F.col("n_b"))) / (2 * (100 + percent))))
+    within = F.col("at") + size - F.col("met") <= size + 1 - least
+    within_unlinked = F.col("unlinked") & (F.col("at") + size - F.col("met") <= size + 1 - least_unlinked)
+    return met.where(within | within_unlinked).select(F.xxhash64("hub", "e").alias("key"), "node", "n", "na", "nl", "map", within.alias("as_y"), within_unlinked.alias("as_x"))
+
+
+NODE = ("node", "n", "na", "nl", "map", "comp")
 
 
-def relabelled(labels: DataFrame, moved: DataFrame) -> DataFrame:
-    """labels (node, comp) after components moved (node, comp) to others."""
-    m = moved.select(F.col("node").alias("m_node"), F.col("comp").alias("m_comp"))
-    return labels.join(m, F.col("comp") == F.col("m_node"), "left").select("node", F.coalesce("m_comp", "comp").alias("comp"))
+def candidates(groups: DataFrame, others: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes of different components that meet and may be linked: nodes of
+    groups in the role of x, those of others (key, y_node, ...) in that of y."""
+    x = groups.where("as_x").select(F.col("key").alias("x_key"), *(F.col(c).alias(f"x_{c}") for c in NODE))
+    most = (100 - percent) * (F.col("x_n") + F.col("y_n"))
+    sizes = F.abs(F.col("x_na") - F.col("y_na")) + F.abs(F.col("x_nl") - F.col("y_nl"))
+    bits = sum(F.bit_count(F.get("x_map", F.lit(i)).bitwiseXOR(F.get("y_map", F.lit(i)))) for i in range(MAP))
+    meet = (F.col("x_key") == F.col("key")) & (F.col("x_comp") != F.col("y_comp")) & alike("x_n", "y_n", percent) & ((100 + percent) * sizes <= most) & ((100 + percent) * bits <= most)
+    return x.join(others, meet).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, draws: int = 8) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, draws: int = 3) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, text_hash, component_hash for every row of docs.
+    component_id and component_hash are those of the component's least row by (doc_id, hash
+    of the text), so they tell components apart even where ids repeat."""
     rows = written(signed(docs, id_col, text_col), "signatures")
-    classes = rows.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("s_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    banded = classes.select("node", "s_id", "n", F.explode("bands").alias("key"))
+    classes = rows.where("set_a is not null and doc_id is not null").groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.first("n_shingles").cast("int").alias("n"), F.first("bands").alias("bands"))
+    classes = written(classes.select(F.monotonically_increasing_id().alias("node"), "set_a", "set_b", F.col("least.doc_id").alias("s_id"), F.col("least.text_hash").alias("s_hash"), "n", "bands"), "classes")
+    banded = classes.select("node", "n", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
     buckets = written(banded.join(shared, "key"), "buckets")
-    alike = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
     # How many classes a class meets in its buckets, repeats included; a text that others
     # were copied from meets most.
-    members = written(buckets.groupBy("node").agg(F.min("s_id").alias("s_id"), F.sum("many").alias("meets")), "members")
-    sets = written(packed_sets(docs, id_col, text_col, members.select("node", "s_id")), "sets")
-    # Every class against that of its buckets which meets most; links form a forest.
-    ranked = buckets.select("key", "node", "n").join(members.select("node", "meets"), "node").select("key", "n", F.struct("meets", "node").alias("place"))
-    tops = ranked.groupBy("key").agg(F.max(F.struct("place", "n")).alias("top"))
-    first = ranked.join(tops, "key").where((F.col("top.place") > F.col("place")) & alike(F.col("n"), F.col("top.n"))).groupBy("place").agg(F.max("top.place").alias("up"))
-    first = written(first.select(F.col("up.node").alias("a"), F.col("place.node").alias("b")), "pairs")
-    forest = roots(verified(first, sets, percent).select(F.col("b").alias("node"), F.col("a").alias("up")))
-    labels = members.select("node").join(forest, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
-    labels = written(labels, "labels")
-
-    # Then against a few classes, of other components, drawn from its buckets.
-    some = written(open_buckets(buckets, labels), "open")
-    drawn = some.groupBy("key").agg(F.min_by(F.struct("node", "comp", "n"), F.xxhash64("node", "key")).alias("d"))
-    near = some.join(drawn, "key").where((F.col("comp") != F.col("d.comp")) & alike(F.col("n"), F.col("d.n")))
-    few = near.groupBy("node", "comp").agg(F.slice(F.array_sort(F.collect_set("d")), 1, draws).alias("d")).select("node", "comp", F.explode("d").alias("d"))
-    pairs = few.select(F.least("node", "d.node").alias("a"), F.greatest("node", "d.node").alias("b"), F.when(F.col("node") < F.col("d.node"), F.col("comp")).otherwise(F.col("d.comp")).alias("a_comp"), F.when(F.col("node") < F.col("d.node"), F.col("d.comp")).otherwise(F.col("comp")).alias("b_comp")).distinct()
-    tested = written(pairs, "pairs")
-    moved = components(verified(tested, sets, percent).select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b")))
-    labels = written(relabelled(labels, moved), "labels")
-
-    # Last, all pairs of different components that share a bucket and are not decided yet,
-    # each at the first bucket it shares. One side is never of the bucket's largest
-    # component, so a group of copies that holds together is not paired with itself.
-    some = open_buckets(some.select("key", "node", "n"), labels)
-    details = classes.join(members.select("node"), "node", "left_semi").select(F.col("node").alias("d_node"), "bands", "sketch")
-    some = written(some.join(details, F.col("node") == F.col("d_node")).drop("d_node"), "open")
-    x = some.where("comp <> major").select("key", *(F.col(c).alias(f"x_{c}") for c in ("node", "comp", "n", "bands", "sketch")))
-    meet = (x["key"] == some["key"]) & (F.col("comp") != F.col("x_comp")) & ((F.col("comp") == F.col("major")) | (F.col("x_node") < F.col("node"))) & alike(F.col("x_n"), F.col("n"))
-    meet = meet & (equal_slots(F.col("x_sketch"), F.col("sketch")) >= LEAST_EQUAL) & (F.get(F.array_intersect("x_bands", "bands"), F.lit(0)) == x["key"])
-    lower = F.col("x_node") < F.col("node")
-    left = x.join(some, meet).select(F.least("x_node", "node").alias("a"), F.greatest("x_node", "node").alias("b"), F.when(lower, F.col("x_comp")).otherwise(F.col("comp")).alias("a_comp"), F.when(lower, F.col("comp")).otherwise(F.col("x_comp")).alias("b_comp"))
-    decided = tested.select("a", "b").unionAll(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    rest = left.join(decided, ["a", "b"], "left_anti").select("a", "b", "a_comp", "b_comp").distinct()
-    moved = components(verified(rest, sets, percent).select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b")))
-    labels = relabelled(labels, moved).select(F.col("node").alias("l_node"), "comp")
-
-    joined = rows.join(labels, rows["node"] == labels["l_node"], "left").select("doc_id", "n_shingles", F.coalesce("comp", "node").alias("comp"))
-    joined = written(joined, "members")
-    least = joined.where("comp is not null and doc_id is not null").groupBy("comp").agg(F.min("doc_id").alias("least"), F.count("*").alias("many")).where("many > 1").select(F.col("comp").alias("l_comp"), "least")
-    out = joined.join(least, (F.col("comp") == F.col("l_comp")) & F.col("doc_id").isNotNull(), "left")
-    component = F.coalesce("least", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    members = written(buckets.groupBy("node").agg(F.sum("many").alias("meets")).join(classes.select("node", "s_id", "s_hash"), "node"), "members")
+    sets = written(packed_sets(docs, id_col, text_col, members.select("node", "s_id", "s_hash")), "sets")
+    placed = buckets.select("key", "node", "n").join(members.select("node", "meets"), "node").select("key", "node", "n", F.struct("meets", "node").alias("place"))
+    tops = placed.groupBy("key").agg(F.max(F.struct("place", "n")).alias("top"))
+    first = placed.join(tops, "key").where((F.col("top.place") > F.col("place")) & alike("n", "top.n", percent)).groupBy("node", "place").agg(F.max("top.place").alias("hub"))
+    first = written(first, "hubs")
+    links = compared(first.select(F.col("node").alias("a"), F.col("hub.node").alias("b")), sets, percent).where("linked")
+    labels = components(links.select("a", "b"))
+
+    # Where a bucket holds several components, its classes are compared with one hub.
+    best = placed.join(first.select("node", "hub"), "node", "left").select("key", "node", F.greatest("place", "hub").alias("best"))
+    groups = written(left_open(best, labels), "groups")
+    hubs = groups.groupBy("key").agg(F.max("best").alias("top"))
+    pairs = groups.join(hubs, "key").select(F.col("node").alias("a"), F.col("top.node").alias("b")).where("a <> b").distinct()
+    found = written(compared(pairs, sets, percent, True), "differences")
+    labels = merged(labels, found.where("linked"))
+    met = written(shared_differences(found, percent), "met")
+    for draw in range(draws):
+        groups = left_open(met, labels)
+        some = F.struct(F.xxhash64("node", F.lit(draw)).alias("by"), *NODE)
+        drawn = groups.groupBy("key").agg(F.coalesce(F.max(F.when(F.col("as_x") & F.col("as_y"), some)), F.max(F.when(F.col("as_y"), some))).alias("y")).select("key", *(F.col(f"y.{c}").alias(f"y_{c}") for c in NODE))
+        labels = merged(labels, compared(candidates(groups, drawn, percent), sets, percent).where("linked"))
+    groups = left_open(met, labels)
+    every = groups.where("as_y").select("key", *(F.col(c).alias(f"y_{c}") for c in NODE))
+    labels = merged(labels, compared(candidates(groups, every, percent), sets, percent).where("linked"))
+
+    least = with_labels(classes.select("node", "set_a", "set_b", "s_id", "s_hash"), labels)
+    lowest = least.groupBy("comp").agg(F.min(F.struct("s_id", "s_hash")).alias("least"))
+    least = least.join(lowest, "comp").select(F.col("set_a").alias("l_a"), F.col("set_b").alias("l_b"), "least")
+    out = rows.join(least, F.col("doc_id").isNotNull() & (F.col("set_a") == F.col("l_a")) & (F.col("set_b") == F.col("l_b")), "left")
+    component = F.coalesce("least.s_id", "doc_id")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_hash", F.coalesce("least.s_hash", "text_hash").alias("component_hash"))
