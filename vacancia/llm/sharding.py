@@ -12,8 +12,10 @@ Slots: rows are range-partitioned and sorted by (shard, key), a written table ke
 row's partition and position, and the counts before each (shard, partition) make the slots
 gapless without gathering a shard in one task.
 
-Defined cases: a null text has size 1 and crc 0; repeated rows and null ids are rows like
-others; an empty table gives no row; other columns of the input are not read.
+Defined cases: a null text has size 1 and crc 0; a very long text is one row, so a shard can
+exceed the mean by its size; repeated rows and null ids are rows like others, and ties in
+the key are told apart by the row's position; an empty table gives no row; other columns of
+the input are not read.
 """
 
 from __future__ import annotations
@@ -65,11 +67,11 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
         return sorted({keys[len(keys) * i // pieces] for i in range(1, pieces)}) if keys else []
 
     splitters = sampled(rows, total, want) if total else []
-    for _ in range(rounds):
+    for left in reversed(range(rounds + 1)):  # found always describes the ranges of splitters
         ranged = rows.withColumn("cell", _below(splitters))
         found = ranged.groupBy("cell").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.max("size").alias("largest")).collect()
         heavy = [x for x in found if x["bytes"] > overfull * mean and x["n"] > 1 and x["largest"] < 0.9 * x["bytes"]]
-        if not heavy:
+        if not heavy or not left:
             break
         new = set(splitters)
         over = sum(x["bytes"] for x in heavy)
