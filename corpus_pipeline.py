@@ -21,11 +21,14 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one of the least id. Rows of one id
-    count once, rows without an id stay."""
-    kept = minhash.near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
-    one = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id is null"))
+    """One document of each near-duplicate group: the least by id and hash of the text. Rows
+    alike in id and text count once (the least of their other columns stays), rows of one id
+    with unlike texts all stay, and so do rows without an id, without text or words."""
+    found = minhash.near_duplicates(docs).where("doc_id = component_id and text_hash = component_hash")
+    kept = found.select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).distinct()
+    rows = docs.select(F.col("doc_id").alias("row_id"), F.xxhash64(F.col("text").cast("string")).alias("row_hash"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    one = rows.join(kept, (F.col("row_id") == F.col("kept_id")) & (F.col("row_hash") == F.col("kept_hash")), "left_semi").groupBy("row_id", "row_hash").agg(F.min("row").alias("row"))
+    return one.select("row.*").unionByName(docs.where("doc_id is null"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
