@@ -23,26 +23,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import partitions, written
+from .shared import partitions, range_number, written
 
 KEY = ("key_hash", "key_id", "key_row")
 
 
 def _below(splitters: list[tuple[int, int, int]]) -> Column:
-    """How many splitters are at most the row's key: a binary search as a fold."""
-    if not splitters:
-        return F.lit(0)
-    lists = [F.array(*map(F.lit, (x[i] for x in splitters))) for i in range(3)]
-    n = len(splitters)
-    key = F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate(KEY)))
-
-    def step(low: Column, j: Column) -> Column:
-        mid = low + j
-        at = F.struct(*(F.get(x, mid - 1).alias(f"c{i}") for i, x in enumerate(lists)))
-        return F.when((mid <= n) & (at <= key), mid).otherwise(low)
-
-    powers = [1 << j for j in reversed(range(n.bit_length()))]
-    return F.aggregate(F.array(*map(F.lit, powers)), F.lit(0), step)
+    return range_number([F.col(c) for c in KEY], splitters)
 
 
 def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", cells: int = 32, samples: int = 40_000, overfull: float = 1.5, rounds: int = 6, seed: int = 11) -> DataFrame:

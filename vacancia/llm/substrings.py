@@ -48,8 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import BASE, BASE_INVERSE, BYTE_VALUES, mix, powers
-from .shared import partitions, slices, text_buffer, work_path, written
-from .token_files import file_system
+from .shared import file_system, partitions, slices, text_buffer, work_path, written
 
 LEAST, GRAM, HOT, CROWD = 50, 16, 4096, 32
 BLOCK = 1 << 20

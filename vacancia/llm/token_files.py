@@ -8,9 +8,12 @@ have fixed widths and no nulls, so sequence i lies in batch i // rows at row i %
 is a zero-copy view of the mapped file. A second Arrow file holds doc_id, start (in the
 shard) and n_tokens of each document.
 
-Defined cases: null and empty texts hold the end id alone; null ids come first; documents
-of one id are ordered by their text; an empty table gives no shard; other columns of the
-input are not read. A task writes under a name of its own attempt and renames the file
+Defined cases: null and empty texts hold the end id alone; a very long text runs over as many
+sequences as it needs; null ids come first; documents of one id are ordered by the first
+PREFIX characters of their text, its hash and their place in the scan, and may fill several
+ranges, so a repeated or
+missing id makes no large task; an empty table gives no shard; other columns of the input
+are not read. A task writes under a name of its own attempt and renames the file
 when it is whole, so a lost executor or a second attempt leaves no broken shard.
 """
 
@@ -26,19 +29,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import partitions, slices, work_path
+from .shared import file_system, partitions, slices, work_path
 from .tokens import encoder
 
+PREFIX = 64
 MANIFEST = "shard int, path string, index_path string, n_docs long, n_tokens long"
 
 
-def file_system(uri: str):
-    """The file system and path of a URI; a plain path is local."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri.removeprefix('file:')}")
-
-
 def schema_of(dtype: np.dtype, length: int) -> pa.Schema:
     kind = pa.uint16() if dtype.itemsize == 2 else pa.uint32()
     ids = pa.field("ids", pa.list_(pa.field("item", kind, False), length), False)
@@ -126,7 +123,10 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, id_col: str
         uris = [f"{path}/{name.rpartition('/')[2]}" for name in names]
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [uris[0]], "index_path": [uris[1]], "n_docs": pa.array([sum(map(len, index))], pa.int64()), "n_tokens": pa.array([writer.total], pa.int64())})
 
-    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).repartitionByRange(shards or partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    text = F.col(text_col).cast("string")
+    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.substring(text, 1, PREFIX).alias("prefix"), F.xxhash64(text).alias("hash"), F.monotonically_increasing_id().alias("place"))
+    key = ("doc_id", "prefix", "hash", "place")
+    ordered = keyed.repartitionByRange(shards or partitions(spark), *key).sortWithinPartitions(*key).select("doc_id", "text")
     ordered.mapInArrow(write, MANIFEST).write.parquet(f"{path}/manifest")
     manifest = spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
     # One row for each shard, so one window over all of them stays small.
