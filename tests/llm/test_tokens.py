@@ -67,6 +67,36 @@ def test_packing(docs, rows):
     assert len(by_seq) <= -(-total // 1024) + 1
 
 
+def test_pieces_by_the_library(docs, rows):
+    """start, length, ids_crc32 and doc_tokens of each piece, and its place, through the query."""
+    from collections import Counter
+
+    from vacancia.llm.queries import pack_documents
+
+    got = pack_documents(docs).collect()
+    want = Counter()
+    for (i, _), ids in zip(rows, truth([t for _, t in rows])):
+        ids = [*ids, 0]
+        for at in range(0, len(ids), 1024):
+            part = ids[at : at + 1024]
+            want[i, at, len(part), zlib.crc32(np.array(part, "<u4").tobytes()), len(ids)] += 1
+    assert Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in got) == want
+    taken = Counter()
+    for r in got:
+        for at in range(r["offset"], r["offset"] + r["length"]):
+            taken[r["sequence_id"], at] += 1
+    assert max(taken.values()) == 1 and max(at for _, at in taken) < 1024
+
+
+def test_packing_keeps_columns_and_spreads_equal_rows(spark):
+    same = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(300).cast("long").alias("length"), F.lit("x").alias("sequence_id"), F.lit("y").alias("_pack_group_0"), F.lit("z").alias("pack_group"))
+    got = packing.pack(same, 4000, group_rows=500)
+    assert set(got.columns) == {"doc_id", "length", "sequence_id", "offset", "_pack_group_0", "pack_group"} and dict(got.dtypes)["sequence_id"] == "bigint"
+    groups = [r["count"] for r in got.groupBy(F.shiftright("sequence_id", 40)).count().collect()]
+    assert len(groups) == 8 and max(groups) < 650
+    assert got.where("pack_group = 'z' and _pack_group_0 = 'y'").count() == 4000
+
+
 def test_packing_of_nothing(none):
     assert packing.pack(packing.token_pieces(none, bpe_path(), 0).drop("ids"), 0).count() == 0
 

@@ -1,14 +1,17 @@
 """Operator 6: first-fit decreasing packing with a tournament tree of bin capacities.
 
 Documents become token ids, cut into pieces of the sequence length and one shorter rest.
-Pieces are dealt into randomised groups (by a hash, about `group_rows` documents each) and
-each group is packed by itself: pieces in descending length, each into the first sequence
-with enough room, found by descending a tournament tree whose inner nodes hold the largest
-free capacity below them. A group of more than `chunk_rows` pieces (equal rows share a
-group) is packed in chunks of that many, so a task's memory is bounded.
-
-Defined cases: null and empty texts hold the end id alone; repeated rows are packed each;
-an empty table gives no row; other columns of the input are not read.
+Pieces are dealt into randomised groups (by a hash of their place, about `group_rows`
+documents each, so that equal rows and rows of one id spread out like others) and each group
+is packed by itself: pieces in descending length (ties in the order of `key_cols`), each into
+the first sequence with enough room, found by descending a tournament tree whose inner nodes
+hold the largest free capacity below them. A group of more than `chunk_rows` pieces is packed
+in chunks of that many, so a task's memory is bounded.
+
+Defined cases: null and empty texts hold the end id alone; a very long text gives as many
+full pieces as it needs; repeated rows are packed each; an empty table gives no row; other
+columns of the documents are not read, those of the pieces are kept, but for columns named
+sequence_id and offset, which the result replaces.
 """
 
 from __future__ import annotations
@@ -71,9 +74,11 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 def pack(pieces: DataFrame, n_docs: int, length: int = 1024, size_col: str = "length", key_cols: tuple[str, ...] = ("doc_id",), group_rows: int = 8192, chunk_rows: int = 65536, seed: int = 7) -> DataFrame:
-    """pieces with sequence_id and offset. All columns of pieces are kept."""
+    """pieces with sequence_id and offset. All other columns of pieces are kept."""
     groups = max(1, -(-n_docs // group_rows))
+    pieces = pieces.drop("sequence_id", "offset")
     at = pieces.schema.names.index(size_col)
+    group_col = next(c for i in range(len(pieces.columns) + 1) if (c := f"_pack_group_{i}") not in pieces.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, made, held, rows = None, 0, [], 0
@@ -84,7 +89,7 @@ def pack(pieces: DataFrame, n_docs: int, length: int = 1024, size_col: str = "le
                 return
             table = pa.Table.from_batches(part).combine_chunks()
             bins, offsets = first_fit_decreasing(table.column(at).to_numpy().astype(np.int64), length)
-            table = table.drop_columns(["pack_group"]).append_column("sequence_id", pa.array(bins + made + (group << 40))).append_column("offset", pa.array(offsets))
+            table = table.drop_columns([group_col]).append_column("sequence_id", pa.array(bins + made + (group << 40))).append_column("offset", pa.array(offsets))
             made += int(bins.max()) + 1
             yield from table.to_batches()
 
@@ -103,7 +108,7 @@ def pack(pieces: DataFrame, n_docs: int, length: int = 1024, size_col: str = "le
                     held, rows = [], 0
         yield from flush(held)
 
-    grouped = pieces.withColumn("pack_group", F.pmod(F.xxhash64(*key_cols, F.lit(seed)), F.lit(groups)))
-    sizes = grouped.repartition("pack_group").sortWithinPartitions("pack_group", F.desc(size_col), *key_cols)
+    grouped = pieces.withColumn(group_col, F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)), F.lit(groups)))
+    sizes = grouped.repartition(group_col).sortWithinPartitions(group_col, F.desc(size_col), *key_cols)
     out = pieces.schema.add("sequence_id", "long").add("offset", "long")
     return sizes.mapInArrow(run, out)

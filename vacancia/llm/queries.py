@@ -27,7 +27,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pack_documents(docs: DataFrame) -> DataFrame:
     pieces = packing.token_pieces(docs, bpe_path(), end_id=0)
     sizes = pieces.select("doc_id", "start", F.col("length").cast("long").alias("length"), F.crc32("ids").alias("ids_crc32"), "doc_tokens")
-    return packing.pack(sizes, docs.count())
+    return packing.pack(sizes, docs.count(), key_cols=("doc_id", "start", "ids_crc32"))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
