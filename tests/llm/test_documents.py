@@ -68,6 +68,63 @@ def test_sketches(docs, rows):
     assert prints[10] == prints[12] == prints[11] and prints[2] == prints[3] == {""}
 
 
+def likeness_of_kept(a, b):
+    """Likeness by the definition: of the sets of shingle hashes below the threshold."""
+    a, b = (set(sketches.sketches([t])[0].tolist()) for t in (a, b))
+    low = [{x for x in s if x < sketches.LIMIT} for s in (a, b)]
+    return len(low[0] & low[1]) / len(low[0] | low[1]) if low[0] | low[1] else float(a == b)
+
+
+def test_prints_and_likeness_by_brute_force(spark, docs):
+    got = docs.sparkSession.createDataFrame(sketches.compare_neighbours(docs).where("doc_id is not null").toPandas()).join(docs.where("doc_id is not null and doc_id <> 30").select("doc_id", "text"), "doc_id").orderBy("doc_id").collect()
+    rows = [(r["doc_id"], r["text"] or "") for r in got]
+    assert len(rows) > 40
+    for r, (_, t), (following, n) in zip(got[:-1], rows[:-1], rows[1:]):
+        assert r["n_chars"] == len(t) and set(sketches.parse(r["fingerprint"]).tolist()) == set(sketches.sketches([t])[0].tolist())
+        half = len(t) // 2
+        e = t[: len(t) - half] + n[:half]
+        if following == 31 or r["doc_id"] == 31:
+            continue  # its neighbour is one of the rows of id 30
+        assert r["edited_sha256"] == hashlib.sha256(e.encode()).hexdigest()
+        assert set(sketches.parse(r["edited_fingerprint"]).tolist()) == set(sketches.sketches([e])[0].tolist())
+        assert r["near_edited"] == likeness_of_kept(t, e) and r["near_next"] == likeness_of_kept(t, n)
+
+
+def test_retained_hashes_are_a_fixed_fraction_of_the_shingles():
+    """The likeness of prints is near that of the sets, the nearer the longer the texts."""
+    r = random.Random(9)
+    for n, most in ((200, 0.25), (1000, 0.12), (8000, 0.04)):
+        for share in (0.0, 0.02, 0.1):
+            words = [f"w{r.randrange(1 << 30)}" for _ in range(n)]
+            other = [f"x{r.randrange(1 << 30)}" if r.random() < share else w for w in words]
+            a, b = " ".join(words), " ".join(other)
+            true = len(shingle_set(a) & shingle_set(b)) / len(shingle_set(a) | shingle_set(b))
+            x, y = sketches.sketches([a, b])
+            assert abs(sketches.likeness(x, y) - true) < most
+            assert abs(len(x) * sketches.SCALE / len(shingle_set(a)) - 1) < 4 * most
+
+
+def test_missing_and_repeated_ids_make_no_large_task(spark, tmp_path):
+    from vacancia.llm import token_files
+    from vacancia.llm.queries import bpe_path
+
+    made = spark.range(4000).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 6 == 1, F.lit("same text")).otherwise(F.concat(F.lit("text "), F.col("id").cast("string"))).alias("text"))
+    made.repartition(4).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        placed = sketches.neighbours(docs, "doc_id", "text")
+        sizes = [r["count"] for r in placed.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) >= 6 and max(sizes) <= 2 * sum(sizes) / len(sizes)
+        assert placed.where("tail = 0").agg(F.sum("n")).first()[0] == 4000
+        got = sketches.compare_neighbours(docs)
+        assert got.count() == 4000 and got.where("doc_id is null").count() == 2000
+        shards = token_files.write_token_files(docs, bpe_path(), end_id=2).collect()
+        assert len(shards) == 8 and max(s["n_docs"] for s in shards) <= 1000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_sketch_merge_and_containment():
     words = [f"w{i}" for i in range(4000)]
     whole, part = sketches.sketches([" ".join(words), " ".join(words[:1000])])
