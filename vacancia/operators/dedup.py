@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,20 +27,29 @@ def _keyed(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return both.where(has), both.where(~has).drop("_t", "_c")
 
 
-def _locations(order: str) -> Column:
-    """Distinct locations in the order of their first rows. Collected locations are
-    distinct per group, so a hot key's array holds its locations, not its rows."""
-    return X.merged_locations(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_where"))), lambda x: x["_where"]))
+#: How values are kept in a merge: (value, key) with the value of the least or greatest key.
+LEAST, GREATEST = "least", "greatest"
+
 
+def _merge(df: DataFrame, row: tuple[str, Column], extra: dict[str, tuple[str, Column, Column]], final: dict[str, Column], order: str) -> DataFrame:
+    """One row per title and company: row, a kind and the key that ranks rows, says which;
+    extra are further values (kind, value, key), final the columns made of both.
 
-def _merge(df: DataFrame, order: str, row: Column, extra: dict[str, Column], final: dict[str, Column]) -> DataFrame:
+    Rows are combined by (title, company, location) first and the few results by (title,
+    company), in one pass over df. Collected locations are distinct per group, so a hot key's
+    array holds its locations, not its rows."""
     keyed, rest = _keyed(df)
-    groups = keyed.groupBy("_t", "_c").agg(row.alias("_row"), F.count("*").alias("_n"), *(c.alias(n) for n, c in extra.items()))
-    places = keyed.groupBy("_t", "_c", X.strip(X.text(F.col("location"))).alias("_where")).agg(F.min(order).alias("_at")).groupBy("_t", "_c").agg(_locations(order).alias("_all"))
-    joined = groups.join(places, ["_t", "_c"])
-    one = F.col("_n") == 1
-    values = {c: F.when(one, F.col(f"_row.{c}")).otherwise(v) for c, v in (final | {"location": F.col("_all")}).items()}
-    merged = joined.select(*(values.get(c, F.col(f"_row.{c}")).alias(c) for c in df.columns), F.col("_n").alias("merged_rows"))
+    by = {LEAST: (F.min_by, F.min), GREATEST: (F.max_by, F.max)}
+    kept = {"_row": (row[0], F.struct(*df.columns), row[1])} | extra
+    one = [f(value, key).alias(n) for n, (kind, value, key) in kept.items() for f in (by[kind][0],)]
+    one += [by[kind][1](key).alias(f"_k{n}") for n, (kind, _, key) in kept.items()]
+    parts = keyed.groupBy("_t", "_c", X.strip(X.text(F.col("location"))).alias("_where")).agg(*one, F.count("*").alias("_n"), F.min(order).alias("_at"))
+    again = [by[kind][0](n, f"_k{n}").alias(n) for n, (kind, *_) in kept.items()]
+    places = X.merged_locations(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_where"))), lambda x: x["_where"]))
+    groups = parts.groupBy("_t", "_c").agg(*again, F.sum("_n").alias("_n"), places.alias("_all"))
+    single = F.col("_n") == 1
+    values = {c: F.when(single, F.col(f"_row.{c}")).otherwise(v) for c, v in (final | {"location": F.col("_all")}).items()}
+    merged = groups.select(*(values.get(c, F.col(f"_row.{c}")).alias(c) for c in df.columns), F.col("_n").alias("merged_rows"))
     return merged.unionByName(rest.withColumn("merged_rows", F.lit(1).cast("long")))
 
 
@@ -43,22 +57,22 @@ def cross_source(df: DataFrame, order: str = "row_id") -> DataFrame:
     """One row per title and company: the richest (ties: the first), its blank fields filled
     from the first row that has them, locations merged in order. Rows with a blank key pass.
     merged_rows counts the rows behind each; single rows stay as they are."""
-    first = {f"_f_{c}": F.min_by(c, F.when(~X.is_blank(F.col(c)), F.col(order))) for c in FILL}
+    first = {f"_f_{c}": (LEAST, F.col(c), F.when(~X.is_blank(F.col(c)), F.col(order))) for c in FILL}
     final = {c: F.coalesce(X.filled(F.col(f"_row.{c}")), F.when(F.col(f"_f_{c}").isNotNull(), F.col(f"_f_{c}")), F.col(f"_row.{c}")) for c in FILL}
-    return _merge(df, order, F.max_by(F.struct(*df.columns), F.struct(richness(), -F.col(order))), first, final)
+    return _merge(df, (GREATEST, F.struct(richness().alias("rich"), (-F.col(order)).alias("first"))), first, final, order)
 
 
 def board_rows(df: DataFrame, order: str = "row_id") -> DataFrame:
     """One row per title and company: the first, with the longest description (ties: the
     first) and locations merged in order."""
-    longest = F.max_by("job_description", F.struct(F.char_length(X.text(F.col("job_description"))), -F.col(order)))
+    longest = (GREATEST, F.col("job_description"), F.struct(F.char_length(X.text(F.col("job_description"))).alias("long"), (-F.col(order)).alias("first")))
     final = {"job_description": F.when(F.char_length(X.text(F.col("_d"))) > F.char_length(X.text(F.col("_row.job_description"))), F.col("_d")).otherwise(F.col("_row.job_description"))}
-    return _merge(df, order, F.min_by(F.struct(*df.columns), F.col(order)), {"_d": longest}, final)
+    return _merge(df, (LEAST, F.col(order)), {"_d": longest}, final, order)
 
 
 def in_run(df: DataFrame, order: str = "row_id") -> DataFrame:
     """One row per title and company: the first, with locations merged into it."""
-    return _merge(df, order, F.min_by(F.struct(*df.columns), F.col(order)), {}, {})
+    return _merge(df, (LEAST, F.col(order)), {}, {}, order)
 
 
 def first_by_url(df: DataFrame, order: str = "row_id") -> DataFrame:
@@ -77,23 +91,63 @@ def passes(df: DataFrame, order: str = "pass_no") -> DataFrame:
     return groups.select(*(values.get(c, F.col(f"_row.{c}")).alias(c) for c in df.columns))
 
 
+def _accepted(gap: int):
+    """A fold over rows (url, us, id) sorted by url and instant that keeps the id of each row
+    whose URL has no accepted row younger than gap. Its state is one accepted instant."""
+
+    def jumps(runs: np.ndarray, us: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Which rows are accepted: from `first` of each run, on to the first row gap later."""
+        keep = np.zeros(len(us), bool)
+        low = us.min()
+        span = int(us.max() - low) + gap + 1
+        step = max(1, (1 << 62) // span)  # so many runs fit into one integer key
+        for at in range(0, int(runs[-1]) + 1, step):
+            a, b = np.searchsorted(runs, [at, at + step])
+            key = (runs[a:b] - at) * span + (us[a:b] - low)
+            now = first[at : at + step]
+            now = now[now >= 0] - a
+            while len(now):
+                keep[a + now] = True
+                then = np.searchsorted(key, key[now] + gap)
+                ok = then < len(key)
+                ok[ok] = runs[a + then[ok]] == runs[a + now[ok]]
+                now = then[ok]
+        return keep
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_url, last_us = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            url, us = batch.column(0), batch.column(1).to_numpy()
+            new = np.ones(batch.num_rows, bool)
+            new[1:] = pc.not_equal(url.slice(1), url.slice(0, len(url) - 1)).to_numpy(zero_copy_only=False)
+            runs, begin = np.cumsum(new) - 1, np.flatnonzero(new)
+            first = begin.copy()
+            if url[0].as_py() == last_url:  # the run goes on from the batch before
+                end = begin[1] if len(begin) > 1 else len(us)
+                at = int(np.searchsorted(us[:end], last_us + gap))
+                first[0] = at if at < end else -1
+            keep = jumps(runs, us, first)
+            here = np.flatnonzero(keep & (runs == runs[-1]))
+            if len(here) or runs[-1] > 0 or url[0].as_py() != last_url:
+                last_url, last_us = url[len(url) - 1].as_py(), int(us[here[-1]])
+            yield pa.RecordBatch.from_arrays([batch.column(2).filter(pa.array(keep))], ["_ok"])
+
+    return run
+
+
 def rolling(df: DataFrame, days: int, order: str = "row_id", at: str = "found_at") -> DataFrame:
     """Accepted rows: no accepted row of the URL is younger than `days` days. An accepted
     row starts a new window, so this is a fold over each URL's rows in time.
 
-    A row of a window of `days` days after the first of a calendar block can only be
-    accepted once per window, hence rows are first thinned to the earliest of each URL and
-    instant; the fold's array then holds instants, not rows."""
-    gap = F.lit(max(1, days) * 86_400_000_000)
+    Rows are first thinned to the earliest of each URL and instant, before the shuffle. A
+    URL's instants then stream through the fold in sorted order; none are collected, so a
+    URL of any number of rows needs no more memory than a batch."""
+    gap = max(1, days) * 86_400_000_000
     rows = df.where(~X.is_blank(F.col("url"))).withColumns({"_url": X.strip(F.col("url")), "_us": F.unix_micros(F.col(at).cast("timestamp"))})
-    first = rows.groupBy("_url", "_us").agg(F.min(order).alias("_id"))
-
-    def step(done: Column, x: Column) -> Column:
-        late = done["last"].isNull() | (x["_us"] - done["last"] >= gap)
-        return F.struct(F.when(late, x["_us"]).otherwise(done["last"]).alias("last"), F.when(late, F.concat(done["ids"], F.array(x["_id"]))).otherwise(done["ids"]).alias("ids"))
-
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("ids"))
-    accepted = first.groupBy("_url").agg(F.array_sort(F.collect_list(F.struct("_us", "_id"))).alias("_all")).select(F.explode(F.aggregate("_all", start, step)["ids"]).alias("_ok"))
+    first = rows.where("_us is not null").groupBy("_url", "_us").agg(F.min(order).cast("long").alias("_id"))
+    accepted = first.repartition("_url").sortWithinPartitions("_url", "_us").mapInArrow(_accepted(gap), "_ok long")
     return df.join(accepted, F.col(order) == F.col("_ok"), "left_semi")
 
 

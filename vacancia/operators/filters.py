@@ -61,14 +61,8 @@ def phrases_of(roles: DataFrame, role: str = "role") -> DataFrame:
     return roles.select(F.col(role).alias("role"), F.explode(X.role_phrases(F.col(role))).alias("phrase")).distinct()
 
 
-def title_matches(df: DataFrame, phrases: DataFrame, title: str = "title") -> DataFrame:
-    """Rows whose title contains any phrase (a left semi join). The phrase table is small
-    by nature; Spark broadcasts it if it is under the broadcast threshold."""
-    return df.join(phrases.select("phrase").distinct(), F.contains(X.normal(F.col(title)), F.col("phrase")), "left_semi")
-
-
 def title_has_phrase(title: Column, phrases: list[str]) -> Column:
-    """The same test for a few phrases known when planning; no phrases keep all."""
+    """Whether the title contains one of a few phrases known when planning; no phrases keep all."""
     if not phrases:
         return F.lit(True)
     return (X.normal(title) != "") & reduce(lambda a, b: a | b, (F.contains(X.normal(title), F.lit(p)) for p in phrases))

@@ -26,9 +26,40 @@ def prior_url(candidates: DataFrame, history: DataFrame, as_of: str, days: int,
     return candidates.join(stored, same, "left").drop("_t", "_c", "_s")
 
 
-def phrase_pairs(df: DataFrame, phrases: DataFrame, title: str = "title") -> DataFrame:
-    """Every (row, phrase) with the phrase in the title; phrases is a small query table."""
-    return df.join(phrases, F.contains(X.normal(F.col(title)), F.col("phrase")))
+#: Phrase tables of up to so many rows are broadcast and tried one by one.
+FEW_PHRASES = 2_000
+GRAM = 3
+
+
+def matching_titles(titles: DataFrame, phrases: DataFrame, few: int = FEW_PHRASES) -> DataFrame:
+    """Every (name, phrase) with the phrase in the title, for distinct normal titles (name).
+
+    Up to `few` phrases, which is counted, are broadcast. More are joined by their first three
+    characters with the three-character substrings of the titles, and then tested; phrases
+    shorter than that, of which there can only be few, are always tried one by one."""
+    known = phrases.select("phrase").where("phrase <> ''").distinct()
+    if known.limit(few + 1).count() <= few:
+        return titles.join(F.broadcast(known), F.contains("name", F.col("phrase")))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length("name") - (GRAM - 1)), lambda i: F.substring(F.col("name"), i, F.lit(GRAM))))
+    cut = titles.where(F.char_length("name") >= GRAM).select("name", F.explode(grams).alias("gram"))
+    long = known.where(F.char_length("phrase") >= GRAM).select("phrase", F.substring("phrase", 1, GRAM).alias("p_gram"))
+    found = cut.join(long, F.col("gram") == F.col("p_gram")).where(F.contains("name", F.col("phrase"))).select("name", "phrase")
+    short = known.where(F.char_length("phrase") < GRAM)
+    return found.unionByName(titles.join(short, F.contains("name", F.col("phrase"))).select("name", "phrase"))
+
+
+def phrase_pairs(df: DataFrame, phrases: DataFrame, title: str = "title", few: int = FEW_PHRASES) -> DataFrame:
+    """Every (row, phrase) with the phrase in the title; titles are matched once each."""
+    name = X.normal(F.col(title))
+    found = matching_titles(df.select(name.alias("name")).distinct(), phrases, few).withColumnsRenamed({"name": "_name", "phrase": "_phrase"})
+    return df.join(found, name == F.col("_name")).join(phrases, F.col("_phrase") == F.col("phrase")).drop("_name", "_phrase")
+
+
+def title_matches(df: DataFrame, phrases: DataFrame, title: str = "title", few: int = FEW_PHRASES) -> DataFrame:
+    """Rows whose title contains any phrase."""
+    name = X.normal(F.col(title))
+    found = matching_titles(df.select(name.alias("name")).distinct(), phrases, few).select(F.col("name").alias("_name")).distinct()
+    return df.join(found, name == F.col("_name"), "left_semi")
 
 
 def upsert(left: DataFrame, right: DataFrame, key: str = "url") -> DataFrame:

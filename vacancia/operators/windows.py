@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
 
@@ -38,10 +42,32 @@ def stale_stop(pages: DataFrame, k: int = 3) -> DataFrame:
     return _until(run, F.col("stale_run") == k)
 
 
+def numbered(df: DataFrame, groups: list[str], order: list[str], buckets: int = 1024) -> DataFrame:
+    """df with `_n`, the 0-based position of each row in its group. A group of any size is
+    spread out: the range of its first order column (a number or an instant) is cut into
+    equal buckets, rows are numbered inside a bucket, and the counts of the buckets before
+    are added. The rows of other types of columns fall into one bucket."""
+    kind = df.schema[order[0]].dataType
+    x = F.unix_micros(F.col(order[0]).cast("timestamp")) if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)) else F.col(order[0]) if isinstance(kind, T.NumericType) else F.lit(0)
+    x = F.coalesce(x.cast("double"), F.lit(0.0))
+    rows = df.withColumn("_x", x)
+    own = lambda other: reduce(and_, (F.col(g).eqNullSafe(F.col(f"{other}{g}")) for g in groups))
+    ends = rows.groupBy(*(F.col(g).alias(f"_e_{g}") for g in groups)).agg(F.min("_x").alias("_low"), F.max("_x").alias("_high"))
+    width = F.greatest((F.col("_high") - F.col("_low")) / buckets, F.lit(1e-9))
+    null_first = F.when(F.col(order[0]).isNull(), -1).otherwise(F.least(F.floor((F.col("_x") - F.col("_low")) / width), F.lit(buckets - 1)))
+    placed = rows.join(ends, own("_e_")).withColumn("_bucket", null_first).drop("_low", "_high", *(f"_e_{g}" for g in groups))
+    counts = placed.groupBy(*(F.col(g).alias(f"_c_{g}") for g in groups), F.col("_bucket").alias("_c_bucket")).agg(F.count("*").alias("_many"))
+    # A row for each bucket of a group: at most `buckets` and one.
+    before = Window.partitionBy(*(f"_c_{g}" for g in groups)).orderBy("_c_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.withColumn("_base", F.coalesce(F.sum("_many").over(before), F.lit(0))).drop("_many")
+    inside = F.row_number().over(Window.partitionBy(*groups, "_bucket").orderBy(*order)) - 1
+    joined = placed.withColumn("_inside", inside).join(base, own("_c_") & (F.col("_bucket") == F.col("_c_bucket")))
+    return joined.select(*df.columns, (F.col("_base") + F.col("_inside")).alias("_n"))
+
+
 def batches(df: DataFrame, groups: list[str], order: list[str], size: int = 24) -> DataFrame:
     """batch_no and 1-based position inside each group."""
-    n = F.row_number().over(Window.partitionBy(*groups).orderBy(*order)) - 1
-    return df.withColumn("_n", n).withColumns({"batch_no": F.floor(F.col("_n") / size), "position": (F.col("_n") % size + 1)}).drop("_n")
+    return numbered(df, groups, order).withColumns({"batch_no": F.floor(F.col("_n") / size), "position": (F.col("_n") % size + 1).cast("int")}).drop("_n")
 
 
 def prompts(batched: DataFrame, groups: list[str]) -> DataFrame:

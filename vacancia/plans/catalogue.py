@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def work_folder(spark: SparkSession) -> str:
+    """A new folder for a query that writes: below spark.checkpoint.dir, which driver and
+    executors share, or a temporary one where all runs on one machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    return f"{root.rstrip('/')}/work-{uuid.uuid4().hex}"
+
+
 def query(sql: str | None, *views: str):
     """Register f(view, ...) under its name; the views are passed in order."""
 

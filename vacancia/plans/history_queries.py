@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, text as X
 from ..operators import dedup, filters, joins, stats, windows
+from ..schema import SOURCES
 from ..sources import history
-from .catalogue import AS_OF, query
+from ..streaming import streams
+from .catalogue import AS_OF, query, work_folder
 
 T0 = f"TIMESTAMP '{AS_OF}'"
 SOURCE_ORDER = "(VALUES (0,'linkedin'),(1,'indeed'),(2,'ats'),(3,'jobright'),(4,'yc'),(5,'career_page')) s(pos, source)"
@@ -36,6 +38,36 @@ def s4_append_rows(p):
     return history.to_store(p.where("source = 'yc'"), AS_OF).select("row_id", "url", "location", "posted_time", "freshness", "job_description", "salary", "found_at", F.col("found_date").cast("string").alias("found_date"))
 
 
+@query("SELECT source, count(*) AS n, count(DISTINCT url) AS urls FROM postings GROUP BY source", "postings")
+def s3_union_of_all_sources(p):
+    rows = history.union_sources({s: p.where(F.col("source") == s).drop("source") for s in SOURCES})
+    return rows.groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("url").alias("urls"))
+
+
+@query("SELECT row_id, trim(url) AS url, nullif(trim(location),'') AS location, nullif(trim(posted_time),'') AS posted_time, nullif(trim(freshness),'') AS freshness, nullif(trim(job_description),'') AS job_description, nullif(trim(salary),'') AS salary, found_at, CAST(CAST(found_at AS DATE) AS VARCHAR) AS found_date FROM postings WHERE trim(url) <> ''", "postings")
+def s4_append_all_rows(p):
+    path = work_folder(p.sparkSession)
+    history.append(p, path, batch="a")
+    history.append(p, path, batch="a")  # a retry
+    return history.scan(p.sparkSession, path).select("row_id", "url", "location", "posted_time", "freshness", "job_description", "salary", "found_at", F.col("found_date").cast("string").alias("found_date"))
+
+
+@query("SELECT count(*) AS cleared, 0 AS left_rows FROM postings WHERE trim(url) <> ''", "postings")
+def s6_clear_history(p):
+    spark, path = p.sparkSession, work_folder(p.sparkSession)
+    history.append(p, path)
+    cleared = history.clear(spark, path)
+    return history.scan(spark, path).agg(F.lit(cleared).cast("long").alias("cleared"), F.count("*").cast("int").alias("left_rows"))
+
+
+@query("""SELECT title AS "Title", coalesce(company,'') AS "Company", location AS "Location", posted_time AS "Posted", url AS "Apply Link" FROM postings""", "postings")
+def s9_report_export(p):
+    path = work_folder(p.sparkSession)
+    history.export_report(p, path)
+    back = p.sparkSession.read.option("header", True).csv(f"{path}/rows")
+    return back.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("Title", "Company", "Location", "Posted", "Apply Link")))
+
+
 @query(f"SELECT row_id, found_at FROM postings WHERE found_at >= {T0} - INTERVAL 30 DAY", "postings")
 def s5_retention(p):
     return history.retained(p, AS_OF, 30).select("row_id", "found_at")
@@ -87,9 +119,22 @@ def _roles(part):
     return part.where("p_partkey < 12").select(role.alias("role")).distinct()
 
 
+def _words(part):
+    """The words of all part names: a small table whatever the number of parts."""
+    return part.select(F.explode(F.split(F.lower("p_name"), " ")).alias("role")).distinct()
+
+
 @query(f"SELECT row_id, title FROM postings WHERE EXISTS (SELECT 1 FROM {PHRASE_SQL} f WHERE contains({NORMAL}, f.phrase))", "postings", "part")
 def p6_title_filter(p, part):
-    return filters.title_matches(p, filters.phrases_of(_roles(part))).select("row_id", "title")
+    return joins.title_matches(p, filters.phrases_of(_roles(part))).select("row_id", "title")
+
+
+WORDS_SQL = "(SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS phrase FROM part)"
+
+
+@query(f"SELECT row_id, title FROM postings WHERE EXISTS (SELECT 1 FROM {WORDS_SQL} f WHERE f.phrase <> '' AND contains({NORMAL}, f.phrase))", "postings", "part")
+def p6_title_filter_by_all_words(p, part):
+    return joins.title_matches(p, filters.phrases_of(_words(part))).select("row_id", "title")
 
 
 @query("SELECT row_id, location FROM postings WHERE contains(lower(location), 'nation_1') OR contains(lower(location), 'united states')", "postings")
@@ -156,6 +201,11 @@ def j3_phrase_pairs(p, part):
     return joins.phrase_pairs(p.select("row_id", "title"), filters.phrases_of(_roles(part))).select("row_id", "role", "phrase")
 
 
+@query(f"SELECT row_id, phrase AS role, phrase FROM postings, {WORDS_SQL} f WHERE phrase <> '' AND contains({NORMAL}, f.phrase)", "postings", "part")
+def j3_phrase_pairs_of_all_words(p, part):
+    return joins.phrase_pairs(p.select("row_id", "title"), filters.phrases_of(_words(part)), few=0).select("row_id", "role", "phrase")
+
+
 @query(f"SELECT row_id, {PLATFORM} AS platform FROM postings", "postings")
 def j4_platform(p):
     return p.select("row_id", X.platform(F.col("url")).alias("platform"))
@@ -269,13 +319,27 @@ def d5_passes(p):
     return dedup.passes(p.select("row_id", "url", "title", "company", "location", "apply_type"), "row_id").select("url", "title", "company", "location", "apply_type")
 
 
-@query("""WITH RECURSIVE u AS (SELECT url, found_at, min(row_id) AS row_id FROM postings GROUP BY url, found_at), o AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY found_at, row_id) AS rn FROM u),
+ROLLING = """WITH RECURSIVE u AS (SELECT url, found_at, min(row_id) AS row_id FROM postings GROUP BY url, found_at), o AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY found_at, row_id) AS rn FROM u),
 walk AS (SELECT url, rn, row_id, found_at AS last, true AS ok FROM o WHERE rn = 1 UNION ALL SELECT o.url, o.rn, o.row_id, CASE WHEN o.found_at >= w.last + INTERVAL 365 DAY THEN o.found_at ELSE w.last END, o.found_at >= w.last + INTERVAL 365 DAY FROM walk w JOIN o ON o.url = w.url AND o.rn = w.rn + 1)
-SELECT row_id FROM walk WHERE ok""", "postings")
+SELECT row_id FROM walk WHERE ok"""
+
+
+@query(ROLLING, "postings")
 def d6_rolling(p):
     return dedup.rolling(p, 365).select("row_id")
 
 
+@query(ROLLING, "postings")
+def x1_stream_rolling(p):
+    spark, path = p.sparkSession, work_folder(p.sparkSession)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = p.select("row_id", "url", "found_at")
+    rows.write.parquet(f"{path}/in")
+    accepted = streams.rolling_stream(spark.readStream.schema(rows.schema).parquet(f"{path}/in"), 365)
+    accepted.writeStream.outputMode("append").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start(path=f"{path}/out", format="parquet").awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("row_id")
+
+
 @query("SELECT location, array_to_string(list(source ORDER BY seen_at), ',') AS sources FROM (SELECT location, source, min(row_id) AS seen_at FROM postings GROUP BY 1, 2) GROUP BY location", "postings")
 def d7_ordered_distinct(p):
     first = p.groupBy("location", "source").agg(F.min("row_id").alias("at"))

@@ -8,7 +8,7 @@ from ..functions import dates, text as X
 from ..operators import filters, joins, stats
 from ..sources import history, pages, payloads
 from . import pipeline
-from .catalogue import AS_OF, query
+from .catalogue import AS_OF, query, work_folder
 from .history_queries import PLACES, RICH
 
 DAY = "DATE '2000-01-01'"
@@ -409,12 +409,31 @@ def f37_enrichment(p, _):
     return pages.enrich(rows, p, AS_OF).select("row_id", "extractor", "posted_time")
 
 
-@query(f"""WITH p AS (SELECT *, lower(trim(title)) AS t, lower(trim(coalesce(company, ''))) AS c FROM postings WHERE source IN ('linkedin','indeed','ats') AND (contains(lower(title), 'ring') OR contains(lower(title), 'widget'))), {PLACES},
+RUN = f"""WITH p AS (SELECT *, lower(trim(title)) AS t, lower(trim(coalesce(company, ''))) AS c FROM postings WHERE source IN ('linkedin','indeed','ats') AND (contains(lower(title), 'ring') OR contains(lower(title), 'widget'))), {PLACES},
 g AS (SELECT t, c, count(*) AS n, arg_max(row_id, ({RICH}, -row_id)) AS row_id, arg_max(title, ({RICH}, -row_id)) AS title, arg_max(coalesce(company,''), ({RICH}, -row_id)) AS company, arg_max(url, ({RICH}, -row_id)) AS url, arg_max(location, ({RICH}, -row_id)) AS own FROM p WHERE t <> '' AND c <> '' GROUP BY t, c),
 m AS (SELECT row_id, title, company, url, CASE WHEN n = 1 THEN own ELSE l.loc END AS location FROM g JOIN l ON g.t = l.t AND g.c = l.c UNION ALL SELECT row_id, title, coalesce(company,''), url, location FROM p WHERE t = '' OR c = '')
-SELECT row_id, title, company, url, location FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY row_id) AS rn FROM m WHERE url NOT IN (SELECT url FROM postings WHERE source = 'yc' AND found_at > TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY)) WHERE rn = 1""", "postings")
+SELECT row_id, title, company, url, location FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY row_id) AS rn FROM m WHERE url NOT IN (SELECT url FROM postings WHERE source = 'yc' AND found_at > TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY)) WHERE rn = 1"""
+
+
+@query(RUN, "postings")
 def e1_run(p):
     from ..schema import Params
 
     sources = {s: p.where(F.col("source") == s) for s in ("linkedin", "indeed", "ats")}
     return pipeline.run(sources, p.where("source = 'yc'"), Params(roles=("ring | widget",), include_easy_apply=True, dedup_days=30), AS_OF).select("row_id", "title", "company", "url", "location")
+
+
+@query(RUN, "postings")
+def x3_incremental_run(p):
+    from ..schema import Params
+    from ..streaming import streams
+
+    spark, path = p.sparkSession, work_folder(p.sparkSession)
+    history.append(p.where("source = 'yc'"), f"{path}/history", batch="before")
+    rows = p.where("source in ('linkedin', 'indeed', 'ats')")
+    rows.write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{path}/in")
+    params = Params(roles=("ring | widget",), include_easy_apply=True, dedup_days=30)
+    streams.incremental_run(stream, f"{path}/history", params, AS_OF, f"{path}/checkpoint").awaitTermination()
+    stored = history.scan_other_batches(spark, f"{path}/history", "before")
+    return stored.select("row_id", "title", "company", "url", F.coalesce("location", F.lit("")).alias("location"))

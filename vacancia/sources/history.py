@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,11 +14,26 @@ from ..operators.filters import report
 from ..schema import CANONICAL, POSTING
 
 STORED = T.StructType([*POSTING.fields, T.StructField("found_date", T.DateType())])
+PARTITIONS = ("found_date", "batch")
 
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
     """Late columns of old files read as null; filters on found_date prune partitions."""
-    return spark.read.schema(STORED).parquet(path)
+    return _files(spark, path).drop("batch")
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(T.StructType([*STORED.fields, T.StructField("batch", T.StringType())])).parquet(path)
+
+
+def scan_other_batches(spark: SparkSession, path: str, batch: str) -> DataFrame:
+    """The history without one batch; empty where nothing has been stored yet."""
+    try:
+        return _files(spark, path).where(F.col("batch") != batch).drop("batch")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], STORED)
 
 
 def canonical(df: DataFrame, source: str) -> DataFrame:
@@ -44,10 +62,13 @@ def to_store(df: DataFrame, found_at: str | None = None) -> DataFrame:
     return rows.withColumn("found_date", F.to_date("found_at"))
 
 
-def append(df: DataFrame, path: str, found_at: str | None = None) -> int:
-    """Append rows to the history; the count comes with the write, not from a second job."""
+def append(df: DataFrame, path: str, found_at: str | None = None, batch: str | None = None) -> int:
+    """Append rows to the history; the count comes with the write, not from a second job.
+    A batch that is named and written again takes the place of its first writing, so a retry
+    does not double rows."""
     seen = Observation("append")
-    to_store(df, found_at).observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").partitionBy("found_date").parquet(path)
+    rows = to_store(df, found_at).withColumn("batch", F.lit(batch or uuid.uuid4().hex)).observe(seen, F.count(F.lit(1)).alias("n"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(path)
     return seen.get["n"]
 
 
@@ -58,10 +79,10 @@ def retained(df: DataFrame, as_of: str, days: int = 30) -> DataFrame:
 def expire(spark: SparkSession, path: str, new_path: str, as_of: str, days: int = 30) -> int:
     """Write the retained history to new_path and return how many rows were dropped. The
     old table stays until the caller swaps the paths, so a lost job loses nothing."""
-    old = scan(spark, path)
-    kept = Observation("expire")
-    retained(old, as_of, days).observe(kept, F.count(F.lit(1)).alias("n")).write.mode("overwrite").partitionBy("found_date").parquet(new_path)
-    return old.count() - kept.get["n"]
+    before, after = Observation("before"), Observation("after")
+    old = _files(spark, path).observe(before, F.count(F.lit(1)).alias("n"))
+    retained(old, as_of, days).observe(after, F.count(F.lit(1)).alias("n")).write.mode("overwrite").partitionBy(*PARTITIONS).parquet(new_path)
+    return before.get["n"] - after.get["n"]
 
 
 def clear(spark: SparkSession, path: str) -> int:
@@ -71,11 +92,13 @@ def clear(spark: SparkSession, path: str) -> int:
     return n
 
 
-def export_report(df: DataFrame, path: str, title: str = "Job report") -> int:
-    """The 14-column report as one CSV file with a header, and its total beside it."""
-    rows = report(df)
-    n = rows.count()
-    rows.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/rows")
+def export_report(df: DataFrame, path: str, title: str = "Job report", files: int | None = None) -> int:
+    """The 14-column report as CSV files with a header each, and its total beside them. Tasks
+    write their own files; files=1 makes one of a report that one task can hold."""
+    seen = Observation("report")
+    rows = report(df).observe(seen, F.count(F.lit(1)).alias("n"))
+    (rows.coalesce(files) if files else rows).write.mode("overwrite").options(header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(f"{path}/rows")
+    n = seen.get["n"]
     df.sparkSession.createDataFrame([(title, n)], "title string, total long").write.mode("overwrite").json(f"{path}/total")
     return n
 

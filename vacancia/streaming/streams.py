@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from ..plans import pipeline
+from ..schema import SOURCES, Params
+from ..sources import history
+
 ACCEPTED = "url string, row_id long, found_us long"
 
 
@@ -24,16 +29,18 @@ class RollingWindow(StatefulProcessor):
         self.last = handle.getValueState("last", "us long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["found_us", "row_id"])
-        last = self.last.get()[0] if self.last.exists() else None
+        parts = [(f["found_us"].to_numpy(), f["row_id"].to_numpy()) for f in rows]
+        us, ids = (np.concatenate(c) for c in zip(*parts))
+        order = np.lexsort((ids, us))
+        us, ids = us[order], ids[order]
+        at = int(np.searchsorted(us, self.last.get()[0] + self.gap)) if self.last.exists() else 0
         kept = []
-        for row_id, us in zip(frame["row_id"], frame["found_us"]):
-            if last is None or us - last >= self.gap:
-                last = int(us)
-                kept.append((key[0], int(row_id), last))
+        while at < len(us):  # from one accepted row to the next
+            kept.append(at)
+            at = int(np.searchsorted(us, us[at] + self.gap))
         if kept:
-            self.last.update((last,))
-        yield pd.DataFrame(kept, columns=["url", "row_id", "found_us"]).astype({"url": object, "row_id": "int64", "found_us": "int64"})
+            self.last.update((int(us[kept[-1]]),))
+        yield pd.DataFrame({"url": pd.Series([key[0]] * len(kept), dtype=object), "row_id": ids[kept].astype("int64"), "found_us": us[kept].astype("int64")})
 
     def close(self) -> None:
         pass
@@ -56,3 +63,16 @@ def progress_counts(events: DataFrame, at: str = "ts", kind: str = "event_type",
 def incremental(stream: DataFrame, step, checkpoint: str):
     """Run step(batch DataFrame, batch id) over all new files once, then stop."""
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def incremental_run(stream: DataFrame, path: str, params: Params, as_of: str, checkpoint: str):
+    """The whole run over each batch of newly landed rows: filters, merge, rows unseen in the
+    history's window, append. A batch that is retried leaves what it has written before out
+    of the window and writes in its place, so nothing is stored twice."""
+    def step(rows: DataFrame, batch_id: int) -> None:
+        spark, batch = rows.sparkSession, f"stream-{batch_id}"
+        sources = {s: rows.where(F.col("source") == s) for s in SOURCES}
+        stored = history.scan_other_batches(spark, path, batch)
+        history.append(pipeline.run(sources, stored, params, as_of), path, as_of, batch)
+
+    return incremental(stream, step, checkpoint)
