@@ -100,3 +100,72 @@ def test_gradients():
         down = loss()
         net.p[name][at] = old
         assert abs((up - down) / 2e-3 - g[name][at]) < 2e-3, name
+
+
+def test_forward_pass_by_plain_loops():
+    """Gates, attention and logit of every window, one number at a time."""
+    from math import exp, tanh
+
+    net = toxicity.BiGru(3)
+    texts = pa.array(["one two three two, one!", "", "a" * 40 + " b c"], pa.large_string())
+    corpus = toxicity.Texts(texts)
+    windows, owner = corpus.windows()
+    gates = net.project(net.embed(corpus.word, corpus.grams, corpus.gram_pointers))
+    got = net.forward(gates, windows)
+    p = {k: v.tolist() for k, v in net.p.items()}
+    h, dim = toxicity.HIDDEN, toxicity.DIM
+    sig = lambda x: 1 / (1 + exp(-x))
+    for window, logit in zip(windows.tolist(), got):
+        read = [w for w in window if w >= 0]
+        inputs = []
+        for w in read:
+            grams = corpus.grams[corpus.gram_pointers[w] : corpus.gram_pointers[w + 1]].tolist()
+            inputs.append(p["word"][corpus.word[w]] + [sum(p["gram"][g][i] for g in grams) / len(grams) for i in range(dim)])
+        states = [[0.0] * (2 * h) for _ in read]
+        for d in (0, 1):
+            state = [0.0] * h
+            for t in range(len(read)) if d == 0 else reversed(range(len(read))):
+                x = [sum(inputs[t][i] * p[f"w{d}"][i][k] for i in range(2 * dim)) + p[f"b{d}"][k] for k in range(3 * h)]
+                s = [sum(state[i] * p[f"u{d}"][i][k] for i in range(h)) for k in range(3 * h)]
+                new = []
+                for k in range(h):
+                    z, r = sig(x[k] + s[k]), sig(x[h + k] + s[h + k])
+                    n = tanh(x[2 * h + k] + r * s[2 * h + k])
+                    new.append((1 - z) * n + z * state[k])
+                state = new
+                states[t][h * d : h * (d + 1)] = state
+        weights = [exp(sum(a * b for a, b in zip(p["attend"], s))) for s in states]
+        pooled = [sum(w * s[k] for w, s in zip(weights, states)) / sum(weights) if read else 0.0 for k in range(2 * h)]
+        assert abs(sum(a * b for a, b in zip(pooled, p["out"])) + p["bias"][0] - logit) < 1e-4
+
+
+def test_compressed_sizes_by_a_second_path():
+    """Features and score from plain compressions of each chunk with each dictionary."""
+    import random
+
+    import zstandard
+
+    r = random.Random(2)
+    good = [" ".join(r.choice("river stone quiet garden winter letter".split()) for _ in range(200)) for _ in range(60)]
+    bad = [" ".join(r.choice("buy now click free win cash".split()) for _ in range(200)) for _ in range(60)]
+    model = quality.QualityModel.fit(good + bad, [1] * 60 + [0] * 60)
+    coders = quality.Compressors(model.dictionaries, model.level, model.chunk)
+    for text in ("", "short", good[0] * 5 + bad[0], bad[1] * 9):
+        raw = text.encode()
+        parts = [raw[i : i + model.chunk] for i in range(0, len(raw), model.chunk)]
+        if len(parts) > 1 and len(parts[-1]) < model.chunk // 4:
+            parts = [*parts[:-2], parts[-2] + parts[-1]]
+        sizes = []
+        for d in model.dictionaries:
+            coder = zstandard.ZstdCompressor(level=model.level, dict_data=zstandard.ZstdCompressionDict(d), write_checksum=False, write_content_size=False, write_dict_id=False)
+            sizes.append([len(coder.compress(x)) for x in parts])
+        got = coders.features(raw)
+        if not parts:
+            assert got == [0.0] * 6
+            continue
+        n = [len(x) for x in parts]
+        differences = [(b - g) / m for g, b, m in zip(*sizes, n)]
+        want = [sum(d * m for d, m in zip(differences, n)) / sum(n), min(differences), max(differences), sum(sizes[0]) / sum(n), sum(sizes[1]) / sum(n)]
+        assert np.allclose(got[:5], want)
+        z = sum((f - a) / b * w for f, a, b, w in zip(got, model.shift, model.scale, model.weights)) + model.weights[-1]
+        assert abs(1 / (1 + np.exp(-np.clip(z, -30, 30))) - model.score(np.array([got]))[0]) < 1e-9

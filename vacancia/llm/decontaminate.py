@@ -8,9 +8,11 @@ its words. Items of fewer than SPAN words, too short for the guarantee, are look
 one window of their own length at every position.
 
 The benchmark is a stated query set: it is broadcast in blocks of about `block_bytes` of
-text, each against all documents, and the blocks' hits are merged by document.
+text, each against all documents, and the blocks' hits are merged by document. Words and
+windows are compared by 64 bits of hash.
 
-Defined cases: null and empty texts have no words and no hits; items without words never
+Defined cases: null and empty texts have no words and no hits; very long texts are scanned
+whole; items without words never
 occur; items of one id count once, a null id as ''; repeated documents each keep their
 row; empty tables give no row or no hits; other columns of the input are not read.
 """
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import ALNUM, shingles, words
-from .shared import slices, text_buffer
+from .shared import slices, text_buffer, written
 
 SPAN, GRAM = 10, 5
 SCANNED = "row long, doc_id long, n_words long, hits array<struct<start:int,stop:int>>, items array<string>"
@@ -121,11 +123,19 @@ def merged(spans):
     return F.aggregate(F.array_sort(spans), F.array().cast(kind), add)
 
 
+def _items(benchmark: DataFrame, item_col: str, item_text_col: str) -> DataFrame:
+    return benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("item_text"))
+
+
+def block_count(benchmark: DataFrame, item_col: str, item_text_col: str, block_bytes: int) -> int:
+    total = _items(benchmark, item_col, item_text_col).agg(F.coalesce(F.sum(F.octet_length("item_text") + F.octet_length("item")), F.lit(0))).first()[0]
+    return max(1, -(-total // block_bytes))
+
+
 def blocks(benchmark: DataFrame, item_col: str, item_text_col: str, block_bytes: int) -> Iterator[Benchmark]:
     """The benchmark in blocks of about block_bytes of text, one at a time."""
-    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("item_text"))
-    total = items.agg(F.coalesce(F.sum(F.octet_length("item_text") + F.octet_length("item")), F.lit(0))).first()[0]
-    many = max(1, -(-total // block_bytes))
+    many = block_count(benchmark, item_col, item_text_col, block_bytes)
+    items = _items(benchmark, item_col, item_text_col)
     for block in range(many):
         rows = items.where(F.pmod(F.xxhash64("item", "item_text"), F.lit(many)) == block).collect()
         yield Benchmark([r[0] for r in rows], [r[1] for r in rows])
@@ -155,6 +165,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     """row, doc_id, n_words, hits (disjoint word spans) and sorted item ids of every document."""
     spark = docs.sparkSession
     text = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    if block_count(benchmark, item_col, item_text_col, block_bytes) > 1:
+        text = written(text, "contamination-rows")  # the blocks' results are joined by row
     parts = []
     for known in blocks(benchmark, item_col, item_text_col, block_bytes):
         shared = spark.sparkContext.broadcast(known)

@@ -9,7 +9,7 @@ endpoint near both. The join compares each candidate with the first and last sta
 either class in its own and the two neighbouring buckets of `scope` code points, which
 decides existence exactly without listing pairs.
 
-Defined cases: null and empty texts have no spans; rows of one id and text share one
+Defined cases: null and empty texts have no spans; very long texts are scanned whole; rows of one id and text share one
 result and each keep their row; an empty table gives no row; other columns of the input
 are not read by `find_secrets` and are kept by `redact`.
 """

@@ -8,7 +8,7 @@ logistic calibration. Everything is trained in numpy by gradient descent; of a t
 the windows that score highest are the positive examples, since labels are by text.
 
 The model is fitted on a bounded sample (`per_class` rows of label 0 and 1, texts of at most
-`max_bytes`); every window of every whole text is scored. Defined cases: null and empty
+`max_bytes`); every window of every whole text, however long, is scored. Defined cases: null and empty
 texts, and texts without words, get the score of an empty window; without labelled rows of
 both classes every score is 0.5; repeated rows each keep their row; an empty table gives
 no row; other columns of the input are not read.
