@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as X
+from ..functions import dates, text as X
 from .filters import first_per
 
 
@@ -26,6 +26,16 @@ def prior_url(candidates: DataFrame, history: DataFrame, as_of: str, days: int,
     return candidates.join(stored, same, "left").drop("_t", "_c", "_s")
 
 
+def repost_aware(candidates: DataFrame, history: DataFrame, as_of: str, days: int, posted: str, window: str = "24h") -> DataFrame:
+    """candidates with their freshness (keep, label) by the text column `posted`: a repost
+    counts as one only if no row of the same title, company and source was stored under this
+    very URL as the newest of the window; else its text is read as a first posting."""
+    prior = prior_url(candidates, history, as_of, days)
+    known = F.col("prior_url").isNotNull() & (F.col("prior_url") == F.col("url"))
+    plain = F.when(known, F.regexp_replace(posted, r"(?i)\breposted\b", "Posted")).otherwise(F.col(posted))
+    return prior.withColumn("freshness", dates.freshness(plain, window)).drop("prior_url")
+
+
 #: Phrase tables of up to so many rows are broadcast and tried one by one.
 FEW_PHRASES = 2_000
 GRAM = 3

@@ -71,3 +71,8 @@ def newest(df: DataFrame, limit: int, offset: int = 0, at: str = "found_at", ord
 
 def removed(before: DataFrame, after: DataFrame, key: str = "row_id") -> DataFrame:
     return before.join(after.select(key), key, "left_anti")
+
+
+def newest_per(df: DataFrame, keys: dict, value: str, order: list[str]) -> DataFrame:
+    """value of the newest row of each key; keys gives name and expression."""
+    return df.groupBy(*(c.alias(k) for k, c in keys.items())).agg(F.max_by(value, F.struct(*order)).alias(value))

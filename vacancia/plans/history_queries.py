@@ -410,7 +410,7 @@ def t4_capped(p):
 
 @query(f"SELECT {KEYED}, source, arg_max(url, (found_at, row_id)) AS url FROM postings GROUP BY ALL", "postings")
 def t5_newest_per_key(p):
-    return p.groupBy(X.key(F.col("title")).alias("t"), X.key(F.col("company")).alias("c"), "source").agg(F.max_by("url", F.struct("found_at", "row_id")).alias("url")).select("t", "c", "source", "url")
+    return stats.newest_per(p, {"t": X.key(F.col("title")), "c": X.key(F.col("company")), "source": F.col("source")}, "url", ["found_at", "row_id"])
 
 
 @query("SELECT source, count(*) AS n FROM (SELECT source FROM postings WHERE title = '' UNION ALL SELECT source FROM postings WHERE company IS NULL) GROUP BY source", "postings")

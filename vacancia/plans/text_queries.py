@@ -153,10 +153,8 @@ def f14_freshness_week(part):
 @query(f"""WITH h AS (SELECT lower(trim(title)) AS t, lower(trim(coalesce(company,''))) AS c, source, arg_max(url, (found_at, row_id)) AS prior_url FROM postings WHERE found_at > TIMESTAMP '{AS_OF}' - INTERVAL 200 DAY GROUP BY ALL)
 SELECT row_id, CASE WHEN h.prior_url IS NULL OR h.prior_url <> p.url THEN 'Reposted — Reposted 5 hours ago' ELSE 'Posted 5 hours ago' END AS label FROM (SELECT row_id, url, source, lower(trim(title)) AS t, lower(trim(coalesce(company,''))) AS c FROM postings) p LEFT JOIN h ON p.t = h.t AND p.c = h.c AND p.source = h.source AND p.t <> '' AND p.c <> ''""", "postings")
 def f15_repost_aware(p):
-    prior = joins.prior_url(p.select("row_id", "title", "company", "source", "url"), p, AS_OF, 200)
-    posted = F.lit("Reposted 5 hours ago")
-    plain = F.when(F.col("prior_url").isNull() | (F.col("prior_url") != F.col("url")), posted).otherwise(F.regexp_replace(posted, r"(?i)\breposted\b", "Posted"))
-    return prior.select("row_id", dates.freshness(plain)["label"].alias("label"))
+    rows = p.select("row_id", "title", "company", "source", "url", F.lit("Reposted 5 hours ago").alias("posted"))
+    return joins.repost_aware(rows, p, AS_OF, 200, "posted").select("row_id", F.col("freshness.label").alias("label"))
 
 
 @query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN concat('Over ', CAST(p_size AS VARCHAR), ' applicants') WHEN 1 THEN 'Be among the first 25 applicants' WHEN 2 THEN concat(CAST(p_size AS VARCHAR), '+ applicants') ELSE '' END AS phrase FROM part", "part")
