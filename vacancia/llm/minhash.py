@@ -52,6 +52,8 @@ BANDS, ROWS = 36, 5
 SLOTS = BANDS * ROWS
 SIGNED = "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, bands array<long>"
 FRACTION = 24
+#: Bytes of text that are signed at a time; their permutations take up to 40 times as much.
+SLICE = 2 << 20
 #: 64-bit words in the bit map of a difference.
 MAP = 16
 
@@ -114,7 +116,7 @@ def sets_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 
 def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             sets, at, set_a, set_b = sets_of(batch.column(2))
             n = np.diff(at)
             some = n > 0
@@ -132,7 +134,7 @@ def packed_sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame,
     broadcast_rows wanted rows, of three numbers, are broadcast; more are joined by a shuffle."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             sets, at, *_ = sets_of(batch.column(1))
             raw = sets.astype("<u8").tobytes()
             packed = [raw[8 * a : 8 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]

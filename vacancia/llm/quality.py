@@ -8,7 +8,7 @@ on labelled texts the dictionaries have not seen.
 
 The model is fitted on a bounded sample (`per_class` rows of each label, texts of at most
 `max_bytes`); every whole text is scored. Defined cases: null and empty texts get the
-score of a text without any difference; without labelled rows of both classes every score
+score of a text without any difference; a very long text counts by all its chunks; without labelled rows of both classes every score
 is 0.5; repeated rows each keep their row; an empty table gives no row; other columns of
 the input are not read.
 """
@@ -115,8 +115,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float, id_col: str
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         compressors = model and Compressors(model.dictionaries, model.level, model.chunk)
         for texts in batches:
-            raw = [(t or "").encode() for t in texts]
-            yield pd.Series(model.score(np.array([compressors.features(t) for t in raw]).reshape(-1, 6)) if model else np.full(len(raw), 0.5))
+            yield pd.Series(model.score(np.array([compressors.features((t or "").encode()) for t in texts]).reshape(-1, 6)) if model else np.full(len(texts), 0.5))
 
     return docs.where(score(F.col(text_col).cast("string")) >= threshold)
 
@@ -128,8 +127,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressors = model and Compressors(model.dictionaries, model.level, model.chunk)
         for batch in slices(batches, "text"):
-            texts = [(t.as_py() or "").encode() for t in batch.column(1)]
-            scores = model.score(np.array([compressors.features(t) for t in texts])) if model else np.full(len(texts), 0.5)
+            scores = model.score(np.array([compressors.features((t.as_py() or "").encode()) for t in batch.column(1)])) if model else np.full(batch.num_rows, 0.5)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCORED)

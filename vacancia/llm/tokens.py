@@ -14,7 +14,7 @@ import re
 
 import numpy as np
 
-MAX_PIECES = 700_000
+PIECES_KEPT = 100_000
 RARE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　\r\t]")
 PIECES = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 RUNS = ("  ", "\n\n", " \n", "\n ")
@@ -31,16 +31,21 @@ def encoder(path: str) -> "Encoder":
 
 
 class Pieces(dict):
-    """Ids by piece: "x" stands for " x", and what begins with white space for itself."""
+    """Ids by piece: "x" stands for " x", and what begins with white space for itself. Pieces
+    not met since the last time it was full are forgotten, so it holds 2 * PIECES_KEPT at most."""
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.older = make, {}
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) > MAX_PIECES:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.make(piece)
+        if len(self) >= PIECES_KEPT:
+            self.older = dict(self)
             self.clear()
-        ids = self[piece] = self.make(piece)
+        self[piece] = ids
         return ids
 
 
