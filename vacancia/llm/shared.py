@@ -100,6 +100,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 4 << 2
             end = min(max(end, at + 1), batch.num_rows)
             yield batch.slice(at, end - at)
             at = end
+    pa.default_memory_pool().release_unused()  # the worker lives on and serves other stages
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
