@@ -14,7 +14,7 @@ import re
 
 import numpy as np
 
-PIECES_KEPT = 100_000
+PIECES_KEPT = 250_000
 RARE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　\r\t]")
 PIECES = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 RUNS = ("  ", "\n\n", " \n", "\n ")
