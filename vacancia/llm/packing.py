@@ -42,6 +42,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, length: int = 102
                 rows += [(doc, at, min(length, len(ids) - at), len(ids), ids[at : at + length].tobytes()) for at in range(0, len(ids), length)]
             doc, start, size, total, ids = zip(*rows)
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(size, pa.int32()), pa.array(total, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "start", "length", "doc_tokens", "ids"])
+        code.rest()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(cut, PIECE)
 

@@ -113,6 +113,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, id_col: str
             index.append(pa.record_batch([batch.column(0).cast(pa.int64()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64())], schema=INDEX))
         if writer is None:
             return
+        code.rest()
         writer.close()
         sink.close()
         with files.open_output_stream(f"{names[1]}.{own}") as sink, pa.ipc.new_file(sink, INDEX) as out:

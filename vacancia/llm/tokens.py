@@ -14,7 +14,7 @@ import re
 
 import numpy as np
 
-PIECES_KEPT = 250_000
+PIECES_KEPT = 350_000
 RARE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　\r\t]")
 PIECES = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 RUNS = ("  ", "\n\n", " \n", "\n ")
@@ -97,6 +97,10 @@ class Encoder:
             return [x[1:] if x[0] == " " and x[1:2] not in ("", " ", "\n") else x for x in found]
         return ("\n" + text.replace("\n", " \n")).split(" ")
 
+    def rest(self) -> None:
+        """At the end of a task: the worker lives on, and keeps the recent pieces only."""
+        self.pieces.older = {}
+
     def encode(self, text: str | None) -> bytes:
         """Its ids as little-endian integers of self.dtype; null and '' give b''."""
         if not text:
