@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, minhash, oracles, packing, quality, secrets, sharding, sketches, substrings, token_files, toxicity
+from . import alignment, decontaminate, minhash, oracles, packing, quality, secrets, sentencepieces, sharding, sketches, substrings, token_files, toxicity
 from .shared import read_table
 
 
@@ -15,6 +15,12 @@ def bpe_path() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def piece_path() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_files.write_token_files(read_table(spark, sf_dir, "documents"), bpe_path(), end_id=2)
     return token_files.read_token_files(manifest)
@@ -61,7 +67,7 @@ def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,5 +79,19 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets.spans_text(F.col("base")).cast("binary"), 256).alias("base_sha256"), secrets.spans_text(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_quality, op3_fingerprints, op4_toxicity, op5_sharding, op6_packing, op7_decontamination, op8_substrings, op9_near_duplicates, op10_secrets)}
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_corpus(read_table(spark, sf_dir, "documents"), bpe_path(), piece_path())
+
+
+def sentencepiece_digest(docs: DataFrame) -> DataFrame:
+    encoded = sentencepieces.encode_pieces(docs, piece_path())
+    decoded = sentencepieces.decode_pieces(encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "ids"), piece_path())
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_digest(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_quality, op3_fingerprints, op4_toxicity, op5_sharding, op6_packing, op7_decontamination, op8_substrings, op9_near_duplicates, op10_secrets, op11_alignment, op12_sentencepiece)}
 ORACLE_SQL: dict[str, str] = {"op7_decontamination": oracles.OP7, "op8_substrings": oracles.OP8, "op9_near_duplicates": oracles.OP9}
