@@ -34,3 +34,30 @@ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
 e AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.k = y.k AND x.doc_id <> y.doc_id GROUP BY 1, 2) p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 75 * (na.n + nb.n - c)),
 reach AS (SELECT doc_id AS a, doc_id AS root FROM d UNION SELECT e.b, r.root FROM reach r JOIN e ON e.a = r.a)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(root) AS component_id, d.doc_id = min(root) AS kept FROM d JOIN reach ON reach.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id, n.n"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _leaf(text: str) -> str:
+    return f"sha256({' || '.join(map(_field, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+
+
+# Unsigned crc32 of the decimal id, bit by bit: a byte of the id, then eight shifts (-1).
+CRC = "xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295)"
+
+OP13 = f"""WITH RECURSIVE d AS (SELECT doc_id, 's' || source AS k, {_leaf("text")} AS leaf, CASE WHEN {CRC} % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf("text")} END AS changed FROM documents),
+l AS (SELECT doc_id, coalesce(k, '') AS k, leaf, changed, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d),
+t AS (SELECT k, 0 AS lvl, i, leaf AS h, count(*) OVER (PARTITION BY k) AS n FROM l UNION ALL SELECT k, lvl + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (n + 2) // 3 FROM t WHERE n > 1 GROUP BY k, lvl, i // 3, n),
+s AS (SELECT k, h, row_number() OVER (ORDER BY encode(k)) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (SELECT 0 AS lvl, i, h, n FROM s UNION ALL SELECT lvl + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (n + 2) // 3 FROM u WHERE n > 1 GROUP BY lvl, i // 3, n),
+g AS (SELECT k, 0 AS part, lvl, i AS j, i // 3 AS up, h FROM t WHERE n > 1 UNION ALL SELECT '', 1, lvl, i, i // 3, h FROM u WHERE n > 1),
+a AS (SELECT l.k, l.i, s.i AS si, s.h AS subroot FROM l JOIN s ON s.k = l.k),
+p AS (SELECT a.k, a.i, g.part, g.lvl, g.h, g.j, CASE WHEN g.part = 0 THEN a.i // CAST(power(3, g.lvl) AS BIGINT) ELSE a.si // CAST(power(3, g.lvl) AS BIGINT) END AS own FROM a JOIN g ON (g.part = 0 AND g.k = a.k AND g.up = a.i // CAST(power(3, g.lvl + 1) AS BIGINT)) OR (g.part = 1 AND g.up = a.si // CAST(power(3, g.lvl + 1) AS BIGINT))),
+q AS (SELECT k, i, row_number() OVER (PARTITION BY k, i ORDER BY part, lvl) AS step, coalesce(string_agg(h, '' ORDER BY j) FILTER (WHERE j < own), '') AS before, coalesce(string_agg(h, '' ORDER BY j) FILTER (WHERE j > own), '') AS after FROM p GROUP BY k, i, part, lvl),
+f AS (SELECT k, i, 0 AS step, changed AS h FROM l UNION ALL SELECT f.k, f.i, f.step + 1, sha256(q.before || f.h || q.after) FROM f JOIN q ON q.k = f.k AND q.i = f.i AND q.step = f.step + 1),
+e AS (SELECT k, i, arg_max(h, step) AS folded FROM f GROUP BY 1, 2),
+r AS (SELECT k, i, string_agg(before || after, '' ORDER BY step) AS proof FROM q GROUP BY 1, 2),
+root AS (SELECT h FROM u WHERE n = 1)
+SELECT l.doc_id, l.leaf, a.subroot, root.h AS root, sha256(coalesce(r.proof, '')) AS proof_sha256, e.folded AS folded_root, e.folded = root.h AS verified FROM l JOIN a ON a.k = l.k AND a.i = l.i JOIN e ON e.k = l.k AND e.i = l.i LEFT JOIN r ON r.k = l.k AND r.i = l.i, root"""

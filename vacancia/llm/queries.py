@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, decontaminate, minhash, oracles, packing, quality, secrets, sentencepieces, sharding, sketches, substrings, token_files, toxicity
+from . import alignment, decontaminate, merkle, minhash, oracles, packing, quality, secrets, sentencepieces, sharding, sketches, substrings, token_files, toxicity
 from .shared import read_table
 
 
@@ -93,5 +93,15 @@ def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_digest(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_quality, op3_fingerprints, op4_toxicity, op5_sharding, op6_packing, op7_decontamination, op8_substrings, op9_near_duplicates, op10_secrets, op11_alignment, op12_sentencepiece)}
-ORACLE_SQL: dict[str, str] = {"op7_decontamination": oracles.OP7, "op8_substrings": oracles.OP8, "op9_near_duplicates": oracles.OP9}
+def merkle_manifest(docs: DataFrame) -> DataFrame:
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    text = F.col("text").cast("string")
+    return merkle.manifest(docs, tampered={"text": F.when(even, F.replace(text, F.lit("\n"), F.lit(""))).otherwise(text)})
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_quality, op3_fingerprints, op4_toxicity, op5_sharding, op6_packing, op7_decontamination, op8_substrings, op9_near_duplicates, op10_secrets, op11_alignment, op12_sentencepiece, op13_merkle)}
+ORACLE_SQL: dict[str, str] = {"op7_decontamination": oracles.OP7, "op8_substrings": oracles.OP8, "op9_near_duplicates": oracles.OP9, "op13_merkle": oracles.OP13}
