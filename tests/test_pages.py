@@ -56,6 +56,47 @@ def test_dates_of_markup_and_text(spark):
     assert dates_of(spark, first, ld(POSTING.replace(DAY, "soon")) + '"datePosted": "2020-01-01"') == [("json_ld", DAY), ("near_date", "2020-01-01")]
 
 
+def test_later_dates_where_the_first_does_not_parse(spark):
+    html = [
+        "<p>posted 2024-13-45 and then posted 2024-03-03</p>", "<p>2024-01-01 is a listing. The job date 2024-02-02</p>", "<p>posted by Ann on 2024-03-05</p>", "<p>2024-99-01 job 2024-03-05</p>",
+        ld('{"@type":"JobPosting","title":"no date"}') + ld(POSTING), ld('[{"@type":"JobPosting","datePosted":""},' + POSTING + "]"),
+        "<p>job" + " x" * 60 + " 2024-03-05" + " y" * 40 + " job</p>", "<p>2024-03-05" + " y" * 29 + " job</p>", "<p>a2024-03-05 job 2024-03-056 2031-01-01</p>",
+    ]
+    want = [("visible_date", "2024-03-03"), ("near_date", "2024-01-01"), ("visible_date", DAY), ("near_date", DAY), ("json_ld", DAY), ("json_ld", DAY), (None, None), (None, None), (None, None)]
+    assert dates_of(spark, *html) == want
+
+
+def plain_visible_date(text: str):
+    """The rule for dates in visible text, written out in Python; text is one line."""
+    import datetime
+    import re
+
+    def parsed(day):
+        try:
+            return str(datetime.date.fromisoformat(day))
+        except ValueError:
+            return None
+
+    for m in re.finditer(r"(?:posted|published|posting\s+date|date\s+posted|job\s+posted)\s*[:#\s,.-–—]*(\d{4}-\d{2}-\d{2})", text, re.I):
+        if parsed(m.group(1)):
+            return "visible_date", m.group(1)
+    for m in re.finditer(r"\b(20[12]\d-\d{2}-\d{2})\b", text):
+        around = text[max(0, m.start() - 100) : m.end() + 60].lower()
+        if any(w in around for w in ("posted", "published", "publish", "date", "listing", "opening", "job")) and parsed(m.group(1)):
+            return "near_date", m.group(1)
+    return None, None
+
+
+def test_visible_dates_by_a_plain_rendering(spark):
+    """Texts of random parts in random order, with words near and far."""
+    import random
+
+    r = random.Random(5)
+    parts = ["posted", "Published", "date posted", "job", "listing", "opening", "on", ":", "(", "-", "2024-03-05", "2024-13-45", "2019-02-30", "2031-01-01", "12024-01-02", "2024-01-023", "2023-12-31,", "x" * 58, "y " * 48, "z" * 101, "é"]
+    texts = [" ".join(" ".join(r.choice(parts) for _ in range(r.randint(1, 9))).split()) for _ in range(400)]
+    assert dates_of(spark, *(f"<p>{t}</p>" for t in texts)) == [plain_visible_date(t) for t in texts]
+
+
 @pytest.mark.parametrize("shell", [
     '<div class="jobs-description-content__text">{}</div>', '<div class="jobs-description__text">{}</div>', '<div class="jobs-box__html-content">{}</div>', '<div class="a job-description">{}</div>', '<div class="JobDescription x">{}</div>',
     '<section id="job-description">{}</section>', '<div data-job-description="1">{}</div>', '<article class="job-description">{}</article>', '<div id="content">{}</div>', "<main>{}</main>", '<meta content="{}" name="description">',

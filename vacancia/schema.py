@@ -18,7 +18,7 @@ EMPLOYMENT_LABELS = {"fulltime": "Full-time", "parttime": "Part-time", "contract
 DEFAULT_PHRASES = ("software engineer", "data scientist", "data analyst", "product manager")
 GENERIC_LOCATIONS = ("remote", "united states", "usa", "us", "anywhere", "worldwide", "hybrid", "on-site", "onsite", "on site")
 LISTING_SUFFIXES = ("/careers", "/jobs", "/open-positions", "/openings", "/job-openings")
-NEXT_DATE_KEYS = ("datePosted", "publishedDate", "published_at", "publishedAt", "firstPublishedAt", "first_published_at", "postedAt", "posted_at", "publicationStartDate", "jobPostedDate", "updated_at", "updatedAt", "created_at", "createdAt")
+NEXT_DATE_KEYS = ("dateposted", "publisheddate", "published_at", "publishedat", "firstpublishedat", "first_published_at", "postedat", "posted_at", "publicationstartdate", "jobposteddate", "updated_at", "updatedat", "created_at", "createdat")
 META_DATES = ("article:published_time", "og:published_time", "og:updated_time", "date")
 PAY_KEYS = ("pay_buckets_display", "pay_transparency_display", "pay_transparency_description", "salary_range", "compensation")
 ADDRESS_PARTS = ("addressLocality", "addressRegion", "addressCountry")

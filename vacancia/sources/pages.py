@@ -98,8 +98,8 @@ def job_post(remix: Column) -> Column:
     return F.coalesce(*found)
 
 
-def ld_posting(html: Column) -> Column:
-    """The first JobPosting (VARIANT) among the JSON-LD blocks: at the top, in a list of any
+def ld_postings(html: Column) -> Column:
+    """The JobPostings (array of VARIANT) of the JSON-LD blocks: at the top, in a list of any
     length, or in a @graph of either."""
     def inside(block: Column) -> Column:
         v = F.try_parse_json(block)
@@ -110,21 +110,21 @@ def ld_posting(html: Column) -> Column:
         kind = F.coalesce(F.try_variant_get(x, "$['@type']", "string"), F.to_json(F.try_variant_get(x, "$['@type']", "variant")), F.lit(""))
         return F.contains(kind, F.lit("JobPosting"))
 
-    return F.get(F.filter(F.flatten(F.transform(ld_blocks(html), inside)), is_posting), F.lit(0))
+    return F.filter(F.flatten(F.transform(ld_blocks(html), inside)), is_posting)
 
 
 def with_state(pages: DataFrame, html: str = "html") -> DataFrame:
-    """pages with `_ld`, `_job`, `_posting` (VARIANT: JSON-LD posting, remix jobPost, app
-    data posting) and `_next` (text), null where a page has none. Each script is cut out and
+    """pages with `_lds` (its JSON-LD postings), `_ld`, `_job`, `_posting` (VARIANT: the first of
+    them, remix jobPost, app data posting) and `_next` (text), null where a page has none. Each script is cut out and
     parsed once, and only on pages that hold its marker; the steps are columns of their own,
     so that the optimiser does not repeat them for each use."""
     h = F.col(html)
     has = lambda marker, c: F.when(F.contains(h, F.lit(marker)), c)
-    found = pages.withColumns({"_ld": F.when(F.contains(F.lower(h), F.lit("ld+json")), ld_posting(h)), "_remix": has("__remixContext", script_json(h, r"window\.__remixContext")), "_app": has("__appData", script_json(h, r"window\.__appData")), "_next": has("__NEXT_DATA__", next_text(h))})
-    return found.withColumns({"_job": F.when(F.col("_remix").isNotNull(), job_post(F.col("_remix"))), "_posting": F.try_variant_get("_app", "$.posting", "variant")}).drop("_remix", "_app")
+    found = pages.withColumns({"_lds": F.when(F.contains(F.lower(h), F.lit("ld+json")), ld_postings(h)), "_remix": has("__remixContext", script_json(h, r"window\.__remixContext")), "_app": has("__appData", script_json(h, r"window\.__appData")), "_next": has("__NEXT_DATA__", next_text(h))})
+    return found.withColumns({"_ld": F.get("_lds", F.lit(0)), "_job": F.when(F.col("_remix").isNotNull(), job_post(F.col("_remix"))), "_posting": F.try_variant_get("_app", "$.posting", "variant")}).drop("_remix", "_app")
 
 
-STATE = ("_ld", "_job", "_posting", "_next")
+STATE = ("_lds", "_ld", "_job", "_posting", "_next")
 
 
 def _iso(value: Column) -> Column:
@@ -144,10 +144,9 @@ def meta_content(html: Column, prop: str) -> Column:
 
 def next_date(text: Column) -> Column:
     """The date under the first known key, by priority, at any depth of the page's state."""
-    keys = [k.lower() for k in NEXT_DATE_KEYS]
-    pair = rf'(?i)"({"|".join(dict.fromkeys(keys))})"\s*:\s*"(\s*\d{{4}}-\d{{2}}-\d{{2}}[^"]*)"'
+    pair = rf'(?i)"({"|".join(NEXT_DATE_KEYS)})"\s*:\s*"(\s*\d{{4}}-\d{{2}}-\d{{2}}[^"]*)"'
     names, values = (F.regexp_extract_all(text, F.lit(pair), F.lit(i)) for i in (1, 2))
-    order = F.array(*map(F.lit, dict.fromkeys(keys)))
+    order = F.array(*map(F.lit, NEXT_DATE_KEYS))
     found = F.transform(F.arrays_zip(names.alias("k"), values.alias("v")), lambda x, i: F.struct(F.array_position(order, F.lower(x["k"])).alias("rank"), i.alias("at"), x["v"].alias("v")))
     return F.when(F.try_parse_json(text).isNotNull(), F.array_min(found)["v"])
 
@@ -160,26 +159,55 @@ def visible_text(html: Column) -> Column:
     return F.substring(X.html_text(html), 1, VISIBLE)
 
 
+# The patterns of dates in visible text, the words that make a date count and how
+# far from it they may stand. The range from the full stop to the dash is meant as one.
+LABELLED = r"(?i)(?:posted|published|posting\s+date|date\s+posted|job\s+posted)\s*[:#\s,.-–—]*(\d{4}-\d{2}-\d{2})"
+DAY = r"(?<![\p{L}\p{N}_])20[12]\d-\d{2}-\d{2}(?![\p{L}\p{N}_])"
+NEAR = "(?i)posted|published|publish|date|listing|opening|job"
+BEFORE, AFTER = 100, 60
+
+
+def first_parsed(values: Column) -> Column:
+    """The first of an array of texts that is a date."""
+    return F.get(F.filter(F.transform(values, dates.posted_text), lambda x: x.isNotNull()), F.lit(0))
+
+
+def near_date(head: Column) -> Column:
+    """The first date of a text that parses and has one of the words around it, in one pass over
+    the dates and the texts between them."""
+    found, between = F.regexp_extract_all(head, F.lit(f"({DAY})"), F.lit(1)), F.split(head, DAY, -1)
+
+    def step(state: Column, x: Column) -> Column:
+        at = state["at"] + F.char_length(x["before"])
+        start = F.greatest(at - BEFORE, F.lit(0))
+        around = F.substring(head, start + 1, at + F.char_length(x["day"]) + AFTER - start)
+        value = F.coalesce(state["value"], F.when(around.rlike(NEAR), dates.posted_text(x["day"])))
+        return F.struct((at + F.char_length(x["day"])).alias("at"), value.alias("value"))
+
+    pairs = F.arrays_zip(found.alias("day"), F.slice(between, F.lit(1), F.size(found)).alias("before"))
+    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.lit(None).cast("string").alias("value")), step)["value"]
+
+
 def date_candidates(html: Column, url: Column, visible: Column, as_of: Column) -> list[tuple[str, Column]]:
     """Named date extractors in order; those of a platform are null on other hosts. They read
-    the columns of with_state, and visible, the page's visible text."""
-    ld, job, next_state = (F.col(c) for c in ("_ld", "_job", "_next"))
+    the columns of with_state, and visible, the page's visible text. Of several JSON-LD postings
+    the first that has a date counts, of dates in the text the first that parses."""
+    lds, job, next_state = (F.col(c) for c in ("_lds", "_job", "_next"))
     on = lambda domain, c: F.when(F.contains(X.host(url), F.lit(domain)), c)
     updated = _iso(F.regexp_extract(html, r'(?is)"posting"\s*:\s*\{.{0,280000}?"updatedAt"\s*:\s*"([^"]+)"', 1))
-    labelled = F.regexp_extract(visible, r"(?i)(?:posted|published|posting\s+date|date\s+posted|job\s+posted)\s*[:#\s,.–—-]*(\d{4}-\d{2}-\d{2})", 1)
-    words, day, head = "posted|publish|date|listing|opening|job", r"\b(20[12]\d-\d{2}-\d{2})\b", F.substring(visible, 1, HEAD)
-    near = F.coalesce(*(F.nullif(F.regexp_extract(head, p, 1), F.lit("")) for p in (rf"(?is)(?:{words}).{{0,95}}?{day}", rf"(?is){day}.{{0,60}}?(?:{words})")))
+    posted = F.filter(F.transform(lds, lambda x: get(x, "$.datePosted", "$.dateposted")), lambda x: x.isNotNull())
+    labelled = first_parsed(F.regexp_extract_all(visible, F.lit(LABELLED), F.lit(1)))
     return [
         ("ashby_state", on("ashbyhq.com", F.coalesce(F.when(F.contains(html, F.lit('"posting"')), updated), _quoted(html, "publishedDate")))),
-        ("json_ld", F.when(ld.isNotNull(), get(ld, "$.datePosted", "$.dateposted"))),
+        ("json_ld", F.get(posted, F.lit(0))),
         ("remix", on("greenhouse.io", F.coalesce(F.when(job.isNotNull(), get(job, "$.published_at")), _quoted(html, "published_at")))),
         ("next_data", F.when(next_state.isNotNull(), next_date(next_state))),
         ("lever_state", on("lever.co", _quoted(html, "listCreatedAt", "postedAt", "createdAt", "updatedAt"))),
         ("date_posted", _quoted(html, "datePosted")),
         ("meta", F.when(F.contains(F.lower(html), F.lit("<meta")), F.coalesce(*(_iso(meta_content(html, p)) for p in META_DATES)))),
-        ("visible_date", F.nullif(labelled, F.lit(""))),
+        ("visible_date", labelled),
         ("relative", F.when(F.contains(visible, F.lit("ago")), dates.relative_date(visible, as_of))),
-        ("near_date", near),
+        ("near_date", F.when(visible.isNotNull(), near_date(F.substring(visible, 1, HEAD)))),
         ("late", on("workable.com", _quoted(html, "published_at"))),
     ]
 
