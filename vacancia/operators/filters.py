@@ -11,19 +11,32 @@ from ..functions import dates, text as X
 from ..schema import DASHBOARD_LABELS, PLATFORM_RANK, REPORT_COLUMNS, REPORT_LABELS, SKIPPED_PLATFORMS
 
 
+def found_between(df: DataFrame, since=None, after=None, before=None, until=None, at: str = "found_at", day: str = "found_date") -> DataFrame:
+    """Rows found at or after `since`, strictly after `after`, strictly before `before`, at or
+    before `until` (each a text or a constant column). Where the table has its partition column
+    `day`, the day of `at`, the same bounds hold for that, so that only their partitions are
+    listed and read."""
+    bounds = [(c if isinstance(c, Column) else F.lit(c).cast("timestamp_ntz"), test, low) for c, test, low in ((since, "__ge__", True), (after, "__gt__", True), (before, "__lt__", False), (until, "__le__", False)) if c is not None]
+    for bound, test, low in bounds:
+        df = df.where(getattr(F.col(at), test)(bound))
+        if day in df.columns:
+            df = df.where(F.col(day) >= F.to_date(bound) if low else F.col(day) <= F.to_date(bound))
+    return df
+
+
+def window_start(as_of: str, days: int) -> Column:
+    return F.lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(days=F.lit(max(1, days)))
+
+
 def history_search(df: DataFrame, source: str | None = None, role: str | None = None, date_from: str | None = None, date_to: str | None = None) -> DataFrame:
     """Conjunction of the given predicates. A bare date_to means the end of that day."""
     if source:
         df = df.where(F.col("source") == source)
     if role:
         df = df.where(F.col("search_role") == role)
-    if date_from:
-        df = df.where(F.col("found_at") >= F.lit(date_from).cast("timestamp_ntz"))
-    if date_to and len(date_to) == 10:
-        df = df.where(F.col("found_at") < F.lit(date_to).cast("timestamp_ntz") + F.expr("interval 1 day"))
-    elif date_to:
-        df = df.where(F.col("found_at") <= F.lit(date_to).cast("timestamp_ntz"))
-    return df
+    end = F.lit(date_to).cast("timestamp_ntz") if date_to else None
+    whole_day = date_to and len(date_to) == 10
+    return found_between(df, since=date_from or None, before=end + F.expr("interval 1 day") if whole_day else None, until=None if whole_day else end)
 
 
 def today(df: DataFrame, as_of: str, source: str | None = None, role: str | None = None) -> DataFrame:

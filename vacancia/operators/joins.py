@@ -6,21 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, text as X
-from .filters import first_per
+from .filters import first_per, found_between, window_start
 
 
 def unseen(candidates: DataFrame, history: DataFrame, as_of: str, days: int) -> DataFrame:
     """Candidates whose URL was not stored within the last `days` days (strictly)."""
-    cut = F.lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(days=F.lit(max(1, days)))
-    recent = history.where(F.col("found_at") > cut).select(F.col("url").alias("_seen")).distinct()
+    recent = found_between(history, after=window_start(as_of, days)).select(F.col("url").alias("_seen")).distinct()
     return candidates.join(recent, F.trim("url") == F.col("_seen"), "left_anti")
 
 
 def prior_url(candidates: DataFrame, history: DataFrame, as_of: str, days: int, order: str = "row_id") -> DataFrame:
     """candidates with prior_url: the newest stored URL of the same title, company and
     source in the window; null where title or company is blank or none is stored."""
-    cut = F.lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(days=F.lit(max(1, days)))
-    stored = history.where(F.col("found_at") > cut).groupBy(X.key(F.col("title")).alias("_t"), X.key(F.col("company")).alias("_c"), F.col("source").alias("_s")).agg(F.max_by("url", F.struct("found_at", order)).alias("prior_url"))
+    stored = found_between(history, after=window_start(as_of, days)).groupBy(X.key(F.col("title")).alias("_t"), X.key(F.col("company")).alias("_c"), F.col("source").alias("_s")).agg(F.max_by("url", F.struct("found_at", order)).alias("prior_url"))
     stored = stored.where("_t <> '' and _c <> ''")
     same = (X.key(F.col("title")) == F.col("_t")) & (X.key(F.col("company")) == F.col("_c")) & (F.col("source") == F.col("_s"))
     return candidates.join(stored, same, "left").drop("_t", "_c", "_s")

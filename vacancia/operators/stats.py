@@ -27,6 +27,16 @@ def bundle(df: DataFrame, as_of: str) -> DataFrame:
     return sets.select(F.inline(kind)).where("not (kind = 'source' and name = '')")
 
 
+def bundle_of_counts(counts: DataFrame, as_of: str) -> DataFrame:
+    """bundle from partial counts: found_date, source ('' for none), role, n."""
+    today = F.col("found_date") >= F.to_date(F.lit(as_of[:10]))
+    sets = counts.groupingSets([[], ["source"], ["role"]], "source", "role").agg(F.grouping_id().alias("g"), F.sum("n").alias("n"), F.sum(F.when(today, F.col("n"))).alias("n_today"))
+    one = lambda kind, name, n: F.struct(F.lit(kind).alias("kind"), name.alias("name"), F.coalesce(n, F.lit(0)).alias("n"))
+    kind = F.when(F.col("g") == 3, F.array(one("total", F.lit(""), F.col("n")), one("today", F.lit(""), F.col("n_today"))))
+    kind = kind.when(F.col("g") == 1, F.array(one("source", F.col("source"), F.col("n")))).otherwise(F.array(one("role", F.col("role"), F.col("n"))))
+    return sets.select(F.inline(kind)).where("not (kind = 'source' and name = '')")
+
+
 def zero_filled(df: DataFrame, source_group: dict[str, str] | None = None) -> DataFrame:
     """Counts of the six sources in fixed order; source_group maps platforms to a source."""
     source = X.labelled(F.col("source"), source_group, F.col("source")) if source_group else F.col("source")

@@ -8,6 +8,7 @@ from ..functions import dates, text as X
 from ..operators import dedup, filters, joins, stats, windows
 from ..schema import SOURCES
 from ..sources import history
+from ..sources.snapshots import Snapshots
 from ..streaming import streams
 from .catalogue import AS_OF, query, work_folder
 
@@ -433,3 +434,47 @@ def x2_progress_counts(events):
     from ..streaming.streams import progress_counts
 
     return progress_counts(events).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+# The same jobs over a table of snapshots, which is written from all postings of the given
+# tables, each at the first instant of its month.
+MONTHS = "SELECT * REPLACE (date_trunc('month', found_at) AS found_at) FROM postings"
+
+
+def _snapshots(rows) -> Snapshots:
+    table = Snapshots(rows.sparkSession, work_folder(rows.sparkSession))
+    months = rows.withColumn("found_at", F.date_trunc("month", "found_at").cast("timestamp_ntz"))
+    table.append(months.where("row_id % 2 = 0"), batch="even")
+    table.append(months.where("row_id % 2 = 1"), batch="odd")
+    return table
+
+
+@query(f"WITH m AS ({MONTHS}) SELECT row_id, url, found_at, nullif(trim(location), '') AS location FROM m WHERE trim(url) <> ''", "postings")
+def s4_snapshot_appends(p):
+    table = _snapshots(p)
+    table.append(table.scan().where("row_id % 2 = 1"), batch="odd")  # a retry
+    table.compact()
+    return table.scan().select("row_id", "url", "found_at", "location")
+
+
+@query(f"WITH m AS ({MONTHS}) SELECT row_id, found_at FROM m WHERE found_at >= {T0} - INTERVAL 1000 DAY", "postings")
+def s5_snapshot_expiry(p):
+    table = _snapshots(p)
+    table.expire(AS_OF, 1000)
+    return table.scan().select("row_id", "found_at")
+
+
+@query(f"WITH m AS ({MONTHS}) SELECT row_id, url FROM m p WHERE source = 'linkedin' AND NOT EXISTS (SELECT 1 FROM m h WHERE h.source <> 'linkedin' AND h.url = p.url AND h.found_at > {T0} - INTERVAL 400 DAY)", "postings")
+def j1_unseen_in_snapshots(p):
+    table = _snapshots(p.where("source <> 'linkedin'"))
+    return table.unseen(p.where("source = 'linkedin'"), AS_OF, 400).select("row_id", "url")
+
+
+@query(f"WITH m AS ({MONTHS}) SELECT row_id, found_at FROM m ORDER BY found_at DESC, row_id DESC LIMIT 50 OFFSET 10", "postings")
+def t1_newest_of_snapshots(p):
+    return _snapshots(p).newest(50, 10).select("row_id", "found_at")
+
+
+@query(f"WITH m AS ({MONTHS}) SELECT 'total' AS kind, '' AS name, count(*) AS n FROM m UNION ALL SELECT 'today', '', count(*) FROM m WHERE found_at >= TIMESTAMP '1998-07-01' UNION ALL SELECT 'source', source, count(*) FROM m GROUP BY source UNION ALL SELECT 'role', coalesce(search_role,'Unknown'), count(*) FROM m GROUP BY 2", "postings")
+def a5_bundle_of_snapshots(p):
+    return _snapshots(p).bundle("1998-07-01 12:00:00")

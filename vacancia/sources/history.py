@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
-from ..operators.filters import report
+from ..operators.filters import found_between, report, window_start
 from ..schema import CANONICAL, POSTING
 
 STORED = T.StructType([*POSTING.fields, T.StructField("found_date", T.DateType())])
@@ -73,7 +73,7 @@ def append(df: DataFrame, path: str, found_at: str | None = None, batch: str | N
 
 
 def retained(df: DataFrame, as_of: str, days: int = 30) -> DataFrame:
-    return df.where(F.col("found_at") >= F.lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(days=F.lit(max(1, days))))
+    return found_between(df, since=window_start(as_of, days))
 
 
 def expire(spark: SparkSession, path: str, new_path: str, as_of: str, days: int = 30) -> int:
