@@ -38,9 +38,9 @@ from .shared import slices
 SPACE = "▁"
 TAIL = ".,;:!?|#$%&*)\""
 WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-WORDS_KEPT = 500_000
-PAIRS_KEPT = 400_000
-SLOTS = 21
+WORDS_KEPT = 200_000
+PAIRS_KEPT = 200_000
+SLOTS = 20
 LONG = 48
 ENCODED = "doc_id long, n_tokens long, ids binary"
 
@@ -74,16 +74,8 @@ class PrefixTable:
         self.pairs = {x[j : j + 2] for x in self.ids for j in range(len(x) - 1)}
         # Characters that only longer pieces hold are symbols of their own, without an id.
         self.text += sorted({c for x in self.ids for c in x} - set(self.ids))
-        self.sizes = np.fromiter(map(len, self.text), np.int64, len(self.text))
-        self.automaton = ahocorasick.Automaton()
-        for i, x in enumerate(self.text):
-            if x in self.ids or i >= n:
-                self.automaton.add_word(x, i)
-        self.automaton.make_automaton()
-        alphabet = {c for x in self.text[n:] for c in x} | {c for x in self.ids for c in x}
-        self.gap = next(chr(c) for c in range(0x110000) if chr(c) not in alphabet)
+        self.automaton = None
         self.fits: dict[int, bool] = {}
-        self.slot_keys, self.slot_fits = np.full(1 << SLOTS, -1), np.zeros(1 << SLOTS, bool)
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
@@ -100,6 +92,19 @@ class PrefixTable:
         self.control = np.zeros(n, bool)
         self.control[[i for i in special if i != self.unknown]] = True
 
+    def _prepare(self) -> None:
+        """What only encoding needs."""
+        n = len(self._bytes)
+        self.sizes = np.fromiter(map(len, self.text), np.int64, len(self.text))
+        self.automaton = ahocorasick.Automaton()
+        for i, x in enumerate(self.text):
+            if x in self.ids or i >= n:
+                self.automaton.add_word(x, i)
+        self.automaton.make_automaton()
+        alphabet = {c for x in self.text[n:] for c in x} | {c for x in self.ids for c in x}
+        self.gap = next(chr(c) for c in range(0x110000) if chr(c) not in alphabet)
+        self.slot_keys, self.slot_fits = np.full(1 << SLOTS, -1), np.zeros(1 << SLOTS, bool)
+
     def _merged(self, text: str) -> list[str]:
         """The symbols of a short text by merging: the best pair first, the leftmost of equals."""
         parts = list(text)
@@ -246,6 +251,8 @@ class PrefixTable:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text without begin and end, as little-endian integers of self.dtype."""
+        if self.automaton is None:
+            self._prepare()
         if len(self.words) > WORDS_KEPT:
             self.words, self.older = {}, self.words
         keys = [self._keys(x) if x else [] for x in texts]
@@ -322,7 +329,7 @@ def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = prefix_table(model)
         first, last = (np.array([x], "<u4").tobytes() for x in (table.begin, table.end))
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             ids = [first + np.frombuffer(x, table.dtype).astype("<u4").tobytes() + last for x in table.encode(batch.column(1).to_pylist())]
             counts = pa.array([len(x) // 4 for x in ids], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), counts, pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
@@ -338,7 +345,7 @@ def decode_pieces(rows: DataFrame, model: str, ids_col: str = "ids", text_col: s
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = prefix_table(model)
-        for batch in slices(batches, "ids", 8 << 20):
+        for batch in slices(batches, "ids", 4 << 20):
             texts = table.decode([np.frombuffer(x.as_py() or b"", "<u4") for x in batch.column(len(kept))])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [f.name for f in schema.fields])
 
