@@ -135,6 +135,39 @@ def test_result_rows_of_cards(spark):
     assert [(r["url"], r["title"], r["company"], r["location"], r["job_id"]) for r in got] == [("https://www.linkedin.com/jobs/view/123456", "Software Engineer", "Acme Corp", "Oslo", "123456"), ("https://x.example.com/p?id=2", "Cook", "", "", "")]
 
 
+def cards_of(spark, html):
+    got = pages.result_rows(made(spark, html), "https://www.linkedin.com").orderBy("pos").collect()
+    return [(r["url"].rpartition("/")[2], r["title"], r["company"], r["location"], r["apply_type"]) for r in got]
+
+
+def test_result_rows_of_nested_cards(spark):
+    plain = """<ul class="jobs-search__results-list"><li><a class="base-card__full-link" href="/jobs/view/123456?trk=abc"><h3 class="base-search-card__title">Software Engineer</h3></a>
+      <h4 class="base-search-card__subtitle">Acme Corp</h4></li></ul>"""
+    assert cards_of(spark, plain) == [("123456", "Software Engineer", "Acme Corp", "", "external")]
+    nested = """<ul><li class="job-card-container"><div><a href="/jobs/view/1"><span class="job-card-list__title">Cook</span></a><span class="artdeco-entity-lockup__subtitle">Diner</span>
+      <ul class="job-card-container__metadata-wrapper"><li>Promoted</li><li class="job-card-container__metadata-item">Oslo (Remote)</li></ul>
+      <ul><li class="job-card-container__footer-item">Easy Apply</li></ul></div></li>
+      <li><article class="job-card"><a href="/jobs/view/2" aria-label="Baker with verification at Bread &amp; Co"><img src="x"></a></article></li>
+      <li><a href="/jobs/view/3">Nurse</a><ul><li>Bergen, Norway</li></ul><a href="/jobs/view/4">Second</a></li></ul>"""
+    assert cards_of(spark, nested) == [("1", "Cook", "Diner", "Oslo (Remote)", "easy_apply"), ("2", "Baker", "Bread &amp; Co", "", "external"), ("3", "Nurse", "", "", "external"), ("4", "Second", "", "", "external")]
+    loose = """<div class="x"><div class="promo job-card-wide"><h3>Pilot</h3><p><a href="https://www.linkedin.com/jobs/view/5?a=1">see</a></p><p class="company-name">Air</p></div></div>
+      <p><a href="/jobs/view/6">Bare link</a></p><a href="/other">no job</a><script>"<li><a href='/jobs/view/7'>no</a></li>"</script><!-- <a href="/jobs/view/8">no</a> -->
+      <ul><li><a href="/jobs/view/6?again">Again</a><span class="subtitle">Late Firm</span><li><a href="/jobs/view/9">Open item</a><li>rest</ul>"""
+    assert cards_of(spark, loose) == [("5", "Pilot", "Air", "", "external"), ("6", "Bare link", "Late Firm", "", "external"), ("9", "Open item", "", "", "external")]
+
+
+def test_balanced_elements():
+    from vacancia.sources.markup import spans
+
+    html = '<ul><li>a<ul><li>b<br></li></ul></li><li>c<p>d</ul></b><div title="a>b"/><i>é'
+    got = [(e["name"], html[e["start"] : e["end"]], e["parent"]) for e in spans(html)]
+    assert got == [
+        ("ul", "<ul><li>a<ul><li>b<br></li></ul></li><li>c<p>d</ul>", -1), ("li", "<li>a<ul><li>b<br></li></ul></li>", 0), ("ul", "<ul><li>b<br></li></ul>", 1), ("li", "<li>b<br></li>", 2), ("br", "<br>", 3),
+        ("li", "<li>c<p>d", 0), ("p", "<p>d", 5), ("div", '<div title="a>b"/>', -1), ("i", "<i>é", -1),
+    ]
+    assert spans("") == [] and [e["name"] for e in spans("<a" * 5000 + "<b>")] in (["b"], [], ["a"])
+
+
 def test_detail_rows_with_all_lines(spark):
     text = '{"jobResult":{"jobTitle":"ML Engineer","jobLocation":"NYC","publishTime":"2026-04-04 20:58:08","publishTimeDesc":"5h ago","originalUrl":"https://example.com/jobs/1","jobId":"x","jobSummary":"Do AI","employmentType":"Full-time","jobSeniority":"Mid","salaryDesc":"$","workModel":"remote","isRemote":true,"applicantsCount":"10"},"companyResult":{"companyName":"Acme"},"displayScore":0.9}'
     snake = '{"job_result":{"job_title":"Cook","apply_link":"https://example.com/2","isRemote":false,"publish_time":"soon"},"company_result":{}}'

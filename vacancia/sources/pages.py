@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, text as X
 from ..operators.filters import first_per
 from ..schema import ADDRESS_PARTS, CONTAINERS, META_DATES, NEXT_DATE_KEYS, PAY_KEYS
+from .markup import attribute, elements, inner_html, inside
 
 
 def one_per_url(pages: DataFrame, order: str = "page_id") -> DataFrame:
@@ -42,25 +43,77 @@ def kept_links(found: DataFrame, phrases: DataFrame) -> DataFrame:
     return found.join(phrases.where(F.char_length("phrase") >= 3).select("phrase").distinct(), F.contains(blob, F.col("phrase")), "left_semi")
 
 
+# Classes by which cards, titles, companies, places and badges are known, in the
+# order in which they count.
+CARD_CLASSES = "job-card|jobs-search|entity-lockup|base-card"
+TITLE_CLASSES = ("data-test-job-card-title", "job-card-list__title", "base-search-card__title")
+COMPANY_CLASSES = ("primary-description", "subtitle", "company")
+PLACE_CLASSES = ("metadata-item", "metadata-wrapper", "job-card-list__metadata", "bullet", "location")
+BADGE_CLASSES = "easy-apply|easyapply|apply-method|footer-item"
+NO_VALUE = ("", "promoted", "easy apply")
+
+
 def result_rows(pages: DataFrame, base: str, html: str = "html", id_col: str = "page_id") -> DataFrame:
-    """Posting rows of result lists: each list item or card with an anchor gives its address
-    (a job view in canonical form), and title, company and location from the markup around
-    it: headings and elements whose class names them. First row per address of a page."""
-    cards = F.regexp_extract_all(html, F.lit(r"(?is)<(li|article)\b[^>]*>(.*?)</\1>"), F.lit(2))
-    rows = pages.select(id_col, F.posexplode(cards).alias("pos", "card"))
-
-    def named(*names: str) -> Column:
-        kinds = "|".join(names)
-        return X.html_text(F.regexp_extract("card", rf"""(?is)<([a-z0-9]+)\b[^>]*\bclass\s*=\s*["'][^"']*(?:{kinds})[^"']*["'][^>]*>(.*?)</\1>""", 2))
-
-    heads = F.transform(F.regexp_extract_all("card", F.lit(r"(?is)<(h[1-6])\b[^>]*>(.*?)</\1>"), F.lit(2)), X.html_text)
-    anchor = lambda i: F.regexp_extract("card", ANCHOR, i)
-    rows = rows.withColumns({"_href": X.unwrapped(F.concat(anchor(1), anchor(2))), "_text": X.html_text(anchor(3)), "_heads": heads, "_company": named("subtitle", "company"), "_place": named("location")})
-    url = F.coalesce(X.filled(X.canonical_job_url(F.col("_href"), base)), X.absolute(F.col("_href"), F.lit(base)))
-    title = X.single_title(F.coalesce(X.filled(F.get("_heads", F.lit(0))), F.col("_text")))
-    company = F.coalesce(X.filled(F.col("_company")), F.get("_heads", F.lit(1)), F.lit(""))
-    made = rows.where("_href <> ''").select(id_col, "pos", url.alias("url"), title.alias("title"), company.alias("company"), F.col("_place").alias("location"), X.job_view_id(url).alias("job_id"))
-    return first_per(made.where("title <> '' and url <> ''"), [id_col, "url"], ["pos"])
+    """Posting rows of result lists: id, pos, url, title, company, location, job_id, apply_type.
+
+    Every link to a job view gives a row, and so does the first link of a list item or article
+    that has none. Its card is the nearest list item around it, else the nearest article, else
+    the nearest block of a card's class, else its parent. Title, company and place come from the
+    card's elements of known classes, then from headings, the link's text and its label
+    ('Role at Company'). Of the rows of one address the first stays, its blank fields filled from
+    the others in order; an easy-apply badge on any of them counts."""
+    h = F.col(html)
+    found = pages.select(id_col, h.alias("_html"), elements(h).alias("_all"))
+    classes = lambda x: F.lower(F.concat_ws(" ", attribute(x, "class"), F.regexp_extract(x["tag"], r"(?i)\s(data-test-[a-z-]+)", 1)))
+    href = lambda x: X.unwrapped(attribute(x, "href"))
+    anchors = F.filter("_all", lambda x: (x["name"] == "a") & (href(x) != ""))
+    found = found.withColumn("_anchors", F.transform(anchors, lambda x: F.struct(*(x[c].alias(c) for c in ("name", "tag", "start", "inner", "stop", "end", "parent")), href(x).alias("href"))))
+    rows = found.select("*", F.posexplode("_anchors").alias("pos", "_a"))
+
+    def nearest(test) -> Column:
+        """The innermost element around the link that passes the test."""
+        return F.element_at(F.filter("_all", lambda x: inside(F.col("_a"), x) & test(x)), -1)
+
+    is_block = lambda x: (x["name"] == "div") & classes(x).rlike(CARD_CLASSES)
+    listed = F.coalesce(*(F.when(F.size(F.filter("_all", lambda x: inside(F.col("_a"), x) & t(x))) > 0, nearest(t)) for t in (lambda x: x["name"] == "li", lambda x: x["name"] == "article")))
+    rows = rows.withColumn("_listed", listed)
+    block = F.when(F.size(F.filter("_all", lambda x: inside(F.col("_a"), x) & is_block(x))) > 0, nearest(is_block))
+    parent = F.when(F.col("_a.parent") >= 0, F.get("_all", F.col("_a.parent")))
+    rows = rows.withColumn("_card", F.coalesce("_listed", block, parent, F.get("_all", F.array_position(F.transform("_all", lambda x: x["start"]), F.col("_a.start")).cast("int") - 1)))
+    view = lambda x: F.contains(x["href"], F.lit("/jobs/view/"))
+    mine = F.filter("_anchors", lambda x: inside(x, F.col("_card")))
+    first = F.col("_listed").isNotNull() & ~F.exists(mine, view) & (F.get(mine, F.lit(0))["start"] == F.col("_a.start"))
+    rows = rows.where(view(F.col("_a")) | first)
+    rows = rows.withColumn("_inside", F.filter("_all", lambda x: inside(x, F.col("_card")))).drop("_all", "_anchors")
+    value = lambda x: X.html_text(inner_html(F.col("_html"), x))
+    good = lambda v: ~F.lower(v).isin(*NO_VALUE)
+
+    def by_class(*names: str, keep=lambda v: F.lit(True)) -> Column:
+        """The first filled text among the card's elements of these classes, by class."""
+        def first_of(name: str) -> Column:
+            of_class = F.filter("_inside", lambda x: F.contains(classes(x), F.lit(name)))
+            return F.get(F.filter(F.transform(of_class, value), lambda v: good(v) & keep(v)), F.lit(0))
+
+        return F.coalesce(*map(first_of, names))
+
+    text, label = value(F.col("_a")), F.regexp_replace(X.strip(attribute(F.col("_a"), "aria-label")), r"(?i)\s+with verification\s*$", "")
+    heads = F.filter(F.transform(F.filter("_inside", lambda x: x["name"].rlike("^h[1-6]$")), value), lambda v: v != "")
+    split = F.regexp_extract(label, r"(?s)^(.+) at (.*)$", 1)
+    rows = rows.withColumns({"_text": text, "_heads": heads, "_label": F.coalesce(F.nullif(X.strip(split), F.lit("")), label), "_firm": X.strip(F.regexp_extract(label, r"(?s)^(.+) at (.*)$", 2))})
+    places = ",|remote|on-?site|hybrid"
+    rows = rows.withColumns({
+        "_title": X.single_title(F.coalesce(by_class(*TITLE_CLASSES), F.get("_heads", F.lit(0)), X.filled(F.col("_text")), F.regexp_replace("_label", r"(?i)\s+with verification\s*$", ""))),
+        "_company": F.coalesce(by_class(*COMPANY_CLASSES), X.filled(F.col("_firm")), F.get(F.filter("_heads", lambda v: good(v)), F.lit(1)), F.lit("")),
+        "_place": F.coalesce(by_class(*PLACE_CLASSES, keep=lambda v: F.lower(v).rlike(places)), by_class("metadata-item", "location"), F.lit("")),
+        "_easy": F.exists(F.transform(F.filter("_inside", lambda x: classes(x).rlike(BADGE_CLASSES)), value), lambda v: F.contains(F.lower(v), F.lit("easy apply")) & (F.char_length(v) <= 120)),
+    })
+    address = F.col("_a.href")
+    url = F.coalesce(X.filled(X.canonical_job_url(address, base)), X.absolute(address, F.lit(base)))
+    made = rows.select(id_col, "pos", url.alias("url"), F.col("_title").alias("title"), F.col("_company").alias("company"), F.col("_place").alias("location"), X.job_view_id(url).alias("job_id"), F.when(F.col("_easy"), "easy_apply").otherwise("external").alias("apply_type"))
+    made = made.where("title <> '' and url <> ''")
+    filled = {c: F.coalesce(F.min_by(c, F.when(F.col(c) != "", F.col("pos"))), F.lit("")) for c in ("company", "location", "job_id")}
+    merged = made.groupBy(id_col, "url").agg(F.min("pos").alias("pos"), F.min_by("title", "pos").alias("title"), *(v.alias(c) for c, v in filled.items()), F.bool_or(F.col("apply_type") == "easy_apply").alias("_easy"))
+    return merged.select(id_col, "pos", "url", "title", "company", "location", "job_id", F.when(F.col("_easy"), "easy_apply").otherwise("external").alias("apply_type"))
 
 
 # Embedded state: scripts are cut out by patterns and read as VARIANT. `with_state` does that
