@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,27 +42,50 @@ def stale_stop(pages: DataFrame, k: int = 3) -> DataFrame:
     return _until(run, F.col("stale_run") == k)
 
 
-def numbered(df: DataFrame, groups: list[str], order: list[str], buckets: int = 1024) -> DataFrame:
-    """df with `_n`, the 0-based position of each row in its group. A group of any size is
-    spread out: the range of its first order column (a number or an instant) is cut into
-    equal buckets, rows are numbered inside a bucket, and the counts of the buckets before
-    are added. The rows of other types of columns fall into one bucket."""
-    kind = df.schema[order[0]].dataType
-    x = F.unix_micros(F.col(order[0]).cast("timestamp")) if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)) else F.col(order[0]) if isinstance(kind, T.NumericType) else F.lit(0)
-    x = F.coalesce(x.cast("double"), F.lit(0.0))
-    rows = df.withColumn("_x", x)
-    own = lambda other: reduce(and_, (F.col(g).eqNullSafe(F.col(f"{other}{g}")) for g in groups))
-    ends = rows.groupBy(*(F.col(g).alias(f"_e_{g}") for g in groups)).agg(F.min("_x").alias("_low"), F.max("_x").alias("_high"))
-    width = F.greatest((F.col("_high") - F.col("_low")) / buckets, F.lit(1e-9))
-    null_first = F.when(F.col(order[0]).isNull(), -1).otherwise(F.least(F.floor((F.col("_x") - F.col("_low")) / width), F.lit(buckets - 1)))
-    placed = rows.join(ends, own("_e_")).withColumn("_bucket", null_first).drop("_low", "_high", *(f"_e_{g}" for g in groups))
-    counts = placed.groupBy(*(F.col(g).alias(f"_c_{g}") for g in groups), F.col("_bucket").alias("_c_bucket")).agg(F.count("*").alias("_many"))
-    # A row for each bucket of a group: at most `buckets` and one.
-    before = Window.partitionBy(*(f"_c_{g}" for g in groups)).orderBy("_c_bucket").rowsBetween(Window.unboundedPreceding, -1)
+#: Tables of up to so many rows are numbered by one window, group by group.
+RANGE_ROWS = 1_000_000
+MOST_RANGES, SAMPLES_A_RANGE = 10_000, 30
+
+
+def _edges(df: DataFrame, key: Column, total: int, ranges: int) -> Column:
+    """Sorted quantiles of a sample of key, as a constant array: at most `ranges` - 1 values."""
+    chance = min(1.0, SAMPLES_A_RANGE * ranges / total)
+    sample = F.array_sort(F.collect_list("key"))
+    drawn = df.select(key.alias("key")).where(F.rand(17) < chance).agg(sample.alias("s"))
+    picked = F.transform(F.sequence(F.lit(1), F.lit(ranges - 1)), lambda i: F.get("s", F.floor(F.size("s") * i / ranges).cast("int")))
+    kind = T.ArrayType(df.select(key.alias("key")).schema["key"].dataType)
+    text = drawn.select(F.to_json(F.array_distinct(F.filter(picked, lambda x: x.isNotNull())))).first()[0]
+    return F.from_json(F.lit(text), kind)
+
+
+def _range_number(key: Column, edges: Column, most: int) -> Column:
+    """How many of the sorted edges are at most key: a binary search as a fold."""
+    def step(low: Column, j: Column) -> Column:
+        return F.when((low + j <= F.size(edges)) & (F.get(edges, low + j - 1) <= key), low + j).otherwise(low)
+
+    return F.aggregate(F.array(*(F.lit(1 << j) for j in reversed(range(most.bit_length())))), F.lit(0), step)
+
+
+def numbered(df: DataFrame, groups: list[str], order: list[str], range_rows: int = RANGE_ROWS) -> DataFrame:
+    """df with `_n`, the 0-based position of each row in its group.
+
+    A table of more than range_rows rows is cut at sampled quantiles of (groups, order), columns
+    of any type, so that a group of any size spreads out and no odd value makes a large range:
+    rows are numbered inside a range of their group, and the counts of the ranges before are
+    added. The sample (30 rows a range, 10,000 ranges at most) is all that reaches the driver."""
+    total = df.count()
+    ranges = min(MOST_RANGES, -(-total // range_rows))
+    if ranges <= 1:
+        return df.withColumn("_n", F.row_number().over(Window.partitionBy(*groups).orderBy(*order)) - 1)
+    key = F.struct(*(F.col(c).alias(f"k{i}") for i, c in enumerate([*groups, *order])))
+    placed = df.withColumn("_range", _range_number(key, _edges(df, key, total, ranges), ranges))
+    own = reduce(and_, (F.col(g).eqNullSafe(F.col(f"_c_{g}")) for g in groups), F.col("_range") == F.col("_c_range"))
+    counts = placed.groupBy(*(F.col(g).alias(f"_c_{g}") for g in groups), F.col("_range").alias("_c_range")).agg(F.count("*").alias("_many"))
+    # A row for each range of a group.
+    before = Window.partitionBy(*(f"_c_{g}" for g in groups)).orderBy("_c_range").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.withColumn("_base", F.coalesce(F.sum("_many").over(before), F.lit(0))).drop("_many")
-    inside = F.row_number().over(Window.partitionBy(*groups, "_bucket").orderBy(*order)) - 1
-    joined = placed.withColumn("_inside", inside).join(base, own("_c_") & (F.col("_bucket") == F.col("_c_bucket")))
-    return joined.select(*df.columns, (F.col("_base") + F.col("_inside")).alias("_n"))
+    inside = F.row_number().over(Window.partitionBy(*groups, "_range").orderBy(*order)) - 1
+    return placed.withColumn("_inside", inside).join(base, own).select(*df.columns, (F.col("_base") + F.col("_inside")).alias("_n"))
 
 
 def batches(df: DataFrame, groups: list[str], order: list[str], size: int = 24) -> DataFrame:
