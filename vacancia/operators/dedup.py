@@ -21,58 +21,70 @@ def richness() -> Column:
     return sum((F.when(~X.is_blank(F.col(c)), w).otherwise(0) for c, w in weights.items()), F.lit(0))
 
 
-def _keyed(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    both = df.withColumns({"_t": X.key(F.col("title")), "_c": X.key(F.col("company"))})
-    has = (F.col("_t") != "") & (F.col("_c") != "")
-    return both.where(has), both.where(~has).drop("_t", "_c")
+def _whole(n: int) -> Column:
+    return F.lit(str(n)).cast("decimal(20,0)")
+
 
+def _rank(score: Column, order: str) -> Column:
+    """(score, row), the smaller row ahead, as one number that a hash aggregate can hold: 2 ** 64
+    times the score plus how far the row's order is below the largest."""
+    return score.cast("decimal(11,0)") * _whole(1 << 64) + (_whole((1 << 63) - 1) - F.col(order).cast("decimal(20,0)"))
 
-#: How values are kept in a merge: (value, key) with the value of the least or greatest key.
-LEAST, GREATEST = "least", "greatest"
 
+def _ranked(rank: Column) -> Column:
+    """The order of the row of a rank."""
+    return (_whole((1 << 63) - 1) - F.pmod(rank, _whole(1 << 64))).cast("long")
 
-def _merge(df: DataFrame, row: tuple[str, Column], extra: dict[str, tuple[str, Column, Column]], final: dict[str, Column], order: str) -> DataFrame:
-    """One row per title and company: row, a kind and the key that ranks rows, says which;
-    extra are further values (kind, value, key), final the columns made of both.
 
-    Rows are combined by (title, company, location) first and the few results by (title,
-    company), in one pass over df. Collected locations are distinct per group, so a hot key's
-    array holds its locations, not its rows."""
-    keyed, rest = _keyed(df)
-    by = {LEAST: (F.min_by, F.min), GREATEST: (F.max_by, F.max)}
-    kept = {"_row": (row[0], F.struct(*df.columns), row[1])} | extra
-    one = [f(value, key).alias(n) for n, (kind, value, key) in kept.items() for f in (by[kind][0],)]
-    one += [by[kind][1](key).alias(f"_k{n}") for n, (kind, _, key) in kept.items()]
-    parts = keyed.groupBy("_t", "_c", X.strip(X.text(F.col("location"))).alias("_where")).agg(*one, F.count("*").alias("_n"), F.min(order).alias("_at"))
-    again = [by[kind][0](n, f"_k{n}").alias(n) for n, (kind, *_) in kept.items()]
-    places = X.merged_locations(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_where"))), lambda x: x["_where"]))
-    groups = parts.groupBy("_t", "_c").agg(*again, F.sum("_n").alias("_n"), places.alias("_all"))
+def _merge(df: DataFrame, picks: dict[str, tuple[Column | None, Column, str]], final: dict[str, Column], order: str) -> DataFrame:
+    """One row per title and company: that of the pick `_row`. A pick is (score, condition, field):
+    of the row of the greatest score (None: all alike), and of these the first, among those that
+    meet the condition, that field or the whole row (`*`); final are columns made of the picks.
+
+    Only keys, ranks and places are aggregated, by (title, company, location) first and the few
+    results by (title, company): a hot title gathers its locations and none of its rows. The
+    picked rows alone are then fetched by their order, an integer, and put together; rows with a
+    blank key come along, each by itself."""
+    both = df.withColumns({"_t": X.key(F.col("title")), "_c": X.key(F.col("company"))})
+    has = (F.col("_t") != "") & (F.col("_c") != "")
+    ranks = [(F.min(F.when(test, F.col(order).cast("long"))) if score is None else F.max(F.when(test, _rank(score, order)))).alias(n) for n, (score, test, _) in picks.items()]
+    parts = both.where(has).groupBy("_t", "_c", X.strip(X.text(F.col("location"))).alias("_where")).agg(*ranks, F.count("*").alias("_n"), F.min(order).alias("_at"))
+    places = F.transform(F.array_sort(F.collect_list(F.struct("_at", "_where"))), lambda x: x["_where"])
+    groups = parts.groupBy("_t", "_c").agg(*((F.min if score is None else F.max)(n).alias(n) for n, (score, *_) in picks.items()), F.sum("_n").alias("_n"), places.alias("_places"))
+    groups = groups.withColumns({n: _ranked(F.col(n)) for n, (score, *_) in picks.items() if score is not None})
+    wanted = groups.withColumn("_id", F.explode(F.array_distinct(F.array_compact(F.array(*picks))))).withColumnsRenamed({"_t": "_gt", "_c": "_gc"})
+    rows = both.select("_t", "_c", F.when(has, F.col(order)).cast("long").alias("_at"), F.when(~has, F.struct(*df.columns)).alias("_alone"), F.struct(*df.columns).alias("_full"))
+    same = (F.col("_id") == F.col("_at")) & (F.col("_t") == F.col("_gt")) & (F.col("_c") == F.col("_gc"))
+    found = rows.join(wanted, same, "left").where(F.col("_id").isNotNull() | F.col("_alone").isNotNull())
+    mine = {n: (F.col("_id") == F.col(n)) | (F.col("_alone").isNotNull() if n == "_row" else F.lit(False)) for n in picks}
+    values = [F.any_value(F.when(mine[n], F.col("_full") if field == "*" else F.col(f"_full.{field}")), True).alias(n) for n, (_, _, field) in picks.items()]
+    one = found.groupBy("_t", "_c", "_alone").agg(*values, F.coalesce(F.any_value("_n", True), F.lit(1).cast("long")).alias("_n"), F.any_value("_places", True).alias("_places"), F.count("*").alias("_times"))
+    one = one.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.when(F.col("_alone").isNotNull(), F.col("_times")).otherwise(1))))
     single = F.col("_n") == 1
-    values = {c: F.when(single, F.col(f"_row.{c}")).otherwise(v) for c, v in (final | {"location": F.col("_all")}).items()}
-    merged = groups.select(*(values.get(c, F.col(f"_row.{c}")).alias(c) for c in df.columns), F.col("_n").alias("merged_rows"))
-    return merged.unionByName(rest.withColumn("merged_rows", F.lit(1).cast("long")))
+    columns = {c: F.when(single, F.col(f"_row.{c}")).otherwise(v) for c, v in (final | {"location": X.merged_locations(F.col("_places"))}).items()}
+    return one.select(*(columns.get(c, F.col(f"_row.{c}")).alias(c) for c in df.columns), F.col("_n").alias("merged_rows"))
 
 
 def cross_source(df: DataFrame, order: str = "row_id") -> DataFrame:
     """One row per title and company: the richest (ties: the first), its blank fields filled
     from the first row that has them, locations merged in order. Rows with a blank key pass.
     merged_rows counts the rows behind each; single rows stay as they are."""
-    first = {f"_f_{c}": (LEAST, F.col(c), F.when(~X.is_blank(F.col(c)), F.col(order))) for c in FILL}
-    final = {c: F.coalesce(X.filled(F.col(f"_row.{c}")), F.when(F.col(f"_f_{c}").isNotNull(), F.col(f"_f_{c}")), F.col(f"_row.{c}")) for c in FILL}
-    return _merge(df, (GREATEST, F.struct(richness().alias("rich"), (-F.col(order)).alias("first"))), first, final, order)
+    picks = {"_row": (richness(), F.lit(True), "*")} | {f"_f_{c}": (None, ~X.is_blank(F.col(c)), c) for c in FILL}
+    final = {c: F.coalesce(X.filled(F.col(f"_row.{c}")), F.col(f"_f_{c}"), F.col(f"_row.{c}")) for c in FILL}
+    return _merge(df, picks, final, order)
 
 
 def board_rows(df: DataFrame, order: str = "row_id") -> DataFrame:
     """One row per title and company: the first, with the longest description (ties: the
     first) and locations merged in order."""
-    longest = (GREATEST, F.col("job_description"), F.struct(F.char_length(X.text(F.col("job_description"))).alias("long"), (-F.col(order)).alias("first")))
-    final = {"job_description": F.when(F.char_length(X.text(F.col("_d"))) > F.char_length(X.text(F.col("_row.job_description"))), F.col("_d")).otherwise(F.col("_row.job_description"))}
-    return _merge(df, (LEAST, F.col(order)), {"_d": longest}, final, order)
+    picks = {"_row": (None, F.lit(True), "*"), "_d": (F.char_length(X.text(F.col("job_description"))), F.lit(True), "job_description")}
+    longer = F.char_length(X.text(F.col("_d"))) > F.char_length(X.text(F.col("_row.job_description")))
+    return _merge(df, picks, {"job_description": F.when(longer, F.col("_d")).otherwise(F.col("_row.job_description"))}, order)
 
 
 def in_run(df: DataFrame, order: str = "row_id") -> DataFrame:
     """One row per title and company: the first, with locations merged into it."""
-    return _merge(df, (LEAST, F.col(order)), {}, {}, order)
+    return _merge(df, {"_row": (None, F.lit(True), "*")}, {}, order)
 
 
 def first_by_url(df: DataFrame, order: str = "row_id") -> DataFrame:
