@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, text as X
@@ -39,19 +39,28 @@ FEW_PHRASES = 2_000
 GRAM = 3
 
 
+def grams(c: Column) -> Column:
+    """The distinct three-character substrings of a text; none of a shorter one."""
+    at = F.sequence(F.lit(1), F.char_length(c) - (GRAM - 1))
+    return F.when(F.char_length(c) >= GRAM, F.array_distinct(F.transform(at, lambda i: F.substring(c, i, F.lit(GRAM)))))
+
+
 def matching_titles(titles: DataFrame, phrases: DataFrame, few: int = FEW_PHRASES) -> DataFrame:
     """Every (name, phrase) with the phrase in the title, for distinct normal titles (name).
 
-    Up to `few` phrases, which is counted, are broadcast. More are joined by their first three
-    characters with the three-character substrings of the titles, and then tested; phrases
-    shorter than that, of which there can only be few, are always tried one by one."""
+    Up to `few` phrases, which is counted, are broadcast. More are joined by one of their
+    three-character substrings with those of the titles, and then tested: by the one that the
+    fewest titles have, so that a common beginning makes no hot key. A phrase with a substring
+    that no title has is in none. Phrases shorter than that, of which there can only be few, are
+    always tried one by one."""
     known = phrases.select("phrase").where("phrase <> ''").distinct()
     if known.limit(few + 1).count() <= few:
         return titles.join(F.broadcast(known), F.contains("name", F.col("phrase")))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length("name") - (GRAM - 1)), lambda i: F.substring(F.col("name"), i, F.lit(GRAM))))
-    cut = titles.where(F.char_length("name") >= GRAM).select("name", F.explode(grams).alias("gram"))
-    long = known.where(F.char_length("phrase") >= GRAM).select("phrase", F.substring("phrase", 1, GRAM).alias("p_gram"))
-    found = cut.join(long, F.col("gram") == F.col("p_gram")).where(F.contains("name", F.col("phrase"))).select("name", "phrase")
+    cut = titles.select("name", F.explode(grams(F.col("name"))).alias("gram"))
+    often = cut.groupBy(F.col("gram").alias("t_gram")).agg(F.count("*").alias("n"))
+    parts = known.select("phrase", F.explode(grams(F.col("phrase"))).alias("p_gram")).join(often, F.col("p_gram") == F.col("t_gram"), "left")
+    rarest = parts.groupBy("phrase").agg(F.min_by("p_gram", F.struct(F.coalesce("n", F.lit(0)), "p_gram")).alias("p_gram"), F.count_if(F.col("n").isNull()).alias("absent")).where("absent = 0")
+    found = cut.join(rarest, F.col("gram") == F.col("p_gram")).where(F.contains("name", F.col("phrase"))).select("name", "phrase")
     short = known.where(F.char_length("phrase") < GRAM)
     return found.unionByName(titles.join(short, F.contains("name", F.col("phrase"))).select("name", "phrase"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, text as X
 from ..operators.filters import first_per
+from ..operators.joins import FEW_PHRASES, matching_titles
 from ..schema import ADDRESS_PARTS, CONTAINERS, META_DATES, NEXT_DATE_KEYS, PAY_KEYS
 from .markup import attribute, elements, inner_html, inside
 
@@ -37,10 +38,13 @@ def links(pages: DataFrame, html: str = "html", url: str = "url", id_col: str =
     return first_per(rows, [id_col, "link"], ["pos"])
 
 
-def kept_links(found: DataFrame, phrases: DataFrame) -> DataFrame:
-    """Links whose address or text holds a phrase of three or more characters."""
+def kept_links(found: DataFrame, phrases: DataFrame, few: int = FEW_PHRASES) -> DataFrame:
+    """Links whose address or text holds a phrase of three or more characters; each distinct
+    address and text is tried once."""
     blob = F.concat_ws(" ", F.lower("href"), F.lower("text"))
-    return found.join(phrases.where(F.char_length("phrase") >= 3).select("phrase").distinct(), F.contains(blob, F.col("phrase")), "left_semi")
+    long = phrases.where(F.char_length("phrase") >= 3).select("phrase")
+    held = matching_titles(found.select(blob.alias("name")).distinct(), long, few).select(F.col("name").alias("_blob")).distinct()
+    return found.join(held, blob == F.col("_blob"), "left_semi")
 
 
 # Classes by which cards, titles, companies, places and badges are known, in the
