@@ -20,36 +20,64 @@ ACCEPTED = "url string, row_id long, found_us long"
 class RollingWindow(StatefulProcessor):
     """Accepts a row of a URL if no accepted row is younger than the window. State: the
     instant (microseconds) of the last accepted row. Rows of one batch are taken in time
-    order; a row older than the last accepted one never reopens its window."""
+    order; a row older than the last accepted one never reopens its window.
 
-    def __init__(self, days: int):
-        self.gap = max(1, days) * 86_400_000_000
+    Chunks of a batch are combined as they come: rows inside the last window go, of rows of one
+    instant the least stays. With timers, state goes when the watermark has passed its window,
+    after which it could refuse no row that is not late itself."""
+
+    def __init__(self, days: int, timers: bool = False):
+        self.gap, self.timers = max(1, days) * 86_400_000_000, timers
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.last = handle.getValueState("last", "us long")
 
+    def _until(self, us: int) -> int:
+        """When the window of an accepted row has surely passed, in milliseconds."""
+        return (us + self.gap) // 1000 + 1
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        parts = [(f["found_us"].to_numpy(), f["row_id"].to_numpy()) for f in rows]
-        us, ids = (np.concatenate(c) for c in zip(*parts))
-        order = np.lexsort((ids, us))
-        us, ids = us[order], ids[order]
-        at = int(np.searchsorted(us, self.last.get()[0] + self.gap)) if self.last.exists() else 0
-        kept = []
+        old = self.last.get()[0] if self.last.exists() else None
+        us, ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for f in rows:
+            new, new_ids = f["found_us"].to_numpy(np.int64), f["row_id"].to_numpy(np.int64)
+            late = np.zeros(len(new), bool) if old is None else new < old + self.gap
+            us, ids = np.concatenate([us, new[~late]]), np.concatenate([ids, new_ids[~late]])
+            order = np.lexsort((ids, us))
+            us, ids = us[order], ids[order]
+            first = np.ones(len(us), bool)
+            first[1:] = us[1:] != us[:-1]
+            us, ids = us[first], ids[first]
+        kept, at = [], 0
         while at < len(us):  # from one accepted row to the next
             kept.append(at)
             at = int(np.searchsorted(us, us[at] + self.gap))
         if kept:
-            self.last.update((int(us[kept[-1]]),))
+            newest = int(us[kept[-1]])
+            self.last.update((newest,))
+            if self.timers:
+                if old is not None:
+                    self.handle.deleteTimer(self._until(old))
+                self.handle.registerTimer(self._until(newest))
         yield pd.DataFrame({"url": pd.Series([key[0]] * len(kept), dtype=object), "row_id": ids[kept].astype("int64"), "found_us": us[kept].astype("int64")})
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        yield pd.DataFrame({"url": pd.Series([], dtype=object), "row_id": pd.Series([], dtype="int64"), "found_us": pd.Series([], dtype="int64")})
+
     def close(self) -> None:
         pass
 
 
-def rolling_stream(rows: DataFrame, days: int, at: str = "found_at", order: str = "row_id") -> DataFrame:
-    """Accepted rows of a stream of postings. Needs the RocksDB state store provider."""
-    keyed = rows.select(F.trim("url").alias("url"), F.col(order).alias("row_id"), F.unix_micros(F.col(at).cast("timestamp")).alias("found_us")).where("url <> ''")
-    return keyed.groupBy("url").transformWithStateInPandas(RollingWindow(days), ACCEPTED, "Append", "None")
+def rolling_stream(rows: DataFrame, days: int, at: str = "found_at", order: str = "row_id", late: str | None = None) -> DataFrame:
+    """Accepted rows of a stream of postings. Needs the RocksDB state store provider. With `late`
+    ('2 days') rows may come that much behind the newest, older ones are dropped, and the state of
+    a URL is removed once its window has passed; without it nothing is late and all state stays."""
+    timed = rows.select(F.trim("url").alias("url"), F.col(order).cast("long").alias("row_id"), F.col(at).cast("timestamp").alias("found")).where("url <> ''").withColumn("found_us", F.unix_micros("found"))
+    if late is None:
+        return timed.drop("found").groupBy("url").transformWithStateInPandas(RollingWindow(days), ACCEPTED, "Append", "None")
+    return timed.withWatermark("found", late).groupBy("url").transformWithStateInPandas(RollingWindow(days, True), ACCEPTED, "Append", "EventTime")
 
 
 def progress_counts(events: DataFrame, at: str = "ts", kind: str = "event_type", window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
