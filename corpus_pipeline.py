@@ -16,7 +16,10 @@ from vacancia.llm.shared import read_table, written
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier does not reject (score >= 0.3)."""
+    """Documents that the compression classifier does not reject (score >= 0.3). Rows without an
+    id stay or go by their text like others, null and empty texts are scored as empty ones, long
+    texts are scored whole, equal rows get equal scores; an empty table stays empty, and where no
+    label can be learnt from nothing is rejected. All columns are kept, whatever their names."""
     return quality.keep_good(docs, read_table(spark, sf_dir, "labels"), 0.3)
 
 
@@ -32,17 +35,24 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any benchmark window."""
+    """Documents without any benchmark window. Null texts and those without words have none and
+    stay; long texts are searched whole, repeated rows each by itself; an empty table or an empty
+    benchmark drops nothing. All columns are kept, whatever their names."""
     return decontaminate.keep_clean(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets replaced by the name of their kind."""
+    """All documents, with secrets replaced by the name of their kind; where spans overlap, one
+    name stands for all. n_chars follows a changed text. Null and empty texts and texts without
+    secrets stay as they are, rows without an id and repeated rows are each treated by their
+    text; an empty table stays empty. All columns are kept, whatever their names."""
     return secrets.redact(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of the remaining documents in sequences of at most 1024."""
+    """Token pieces of the remaining documents in sequences of at most 1024. Null and empty texts
+    give their end id, long texts full pieces and a rest, repeated rows are packed each, null ids
+    stay null; an empty table gives no piece. Other columns are not read."""
     return queries.pack_documents(docs)
 
 
