@@ -169,3 +169,11 @@ def test_compressed_sizes_by_a_second_path():
         assert np.allclose(got[:5], want)
         z = sum((f - a) / b * w for f, a, b, w in zip(got, model.shift, model.scale, model.weights)) + model.weights[-1]
         assert abs(1 / (1 + np.exp(-np.clip(z, -30, 30))) - model.score(np.array([got]))[0]) < 1e-9
+
+
+def test_sample_of_repeated_ids_is_repeatable(spark):
+    """Rows of one id with unlike texts, in any order and partitioning, give one and the same text."""
+    rows = [(i, f"text {i} {j}") for i in range(1, 40) for j in range(5)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 40)], "doc_id long, quality int")
+    found = [sample(spark.createDataFrame(x, "doc_id long, text string").repartition(n), labels, "quality", {0: 50, 1: 50}, 100, 3) for x, n in ((rows, 1), (rows[::-1], 3), (rows[7:] + rows[:7], 5))]
+    assert found[0] == found[1] == found[2] and len(found[0][0]) == len(set(found[0][0])) > 20

@@ -22,6 +22,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: dict[int,
     # At most sum(per_class) ids, so the broadcast is bounded.
     few = docs.sparkSession.createDataFrame(drawn, "s_id long, s_label int")
     own = docs.select(F.col(id_col).cast("long").alias("d_id"), F.col(text_col).cast("string").alias("d_text")).where(F.octet_length("d_text") <= max_bytes)
-    rows = own.join(F.broadcast(few), F.col("d_id") == F.col("s_id")).select("s_id", F.col("d_text").alias("s_text"), "s_label").dropDuplicates(["s_id"]).collect()
+    # Of rows of one id the text of the least hash, so that the sample depends on the tables alone.
+    rows = own.join(F.broadcast(few), F.col("d_id") == F.col("s_id")).groupBy("s_id", "s_label").agg(F.min_by("d_text", F.struct(F.xxhash64("d_text"), "d_text")).alias("s_text")).collect()
     rows.sort(key=lambda r: r["s_id"])
     return [r["s_text"] for r in rows], [r["s_label"] for r in rows]

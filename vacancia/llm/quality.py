@@ -3,8 +3,8 @@
 Two zstandard dictionaries are trained on good and on bad labelled texts. A text is cut
 into chunks of `chunk` bytes; each is compressed with either dictionary, and the
 differences of the two sizes, normalised by the chunk's length, are summed up (mean, least
-and greatest), with the mean ratios of either dictionary, in a logistic calibration fitted
-on labelled texts the dictionaries have not seen.
+and greatest), with the mean ratios of either dictionary and the log of the text's length, in a
+logistic calibration fitted on labelled texts the dictionaries have not seen.
 
 The model is fitted on a bounded sample (`per_class` rows of each label, texts of at most
 `max_bytes`); every whole text is scored. Defined cases: null and empty texts get the
