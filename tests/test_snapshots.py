@@ -158,3 +158,14 @@ def test_reads_of_a_window_list_its_days_only(spark, tmp_path):
     plain = stored.drop("found_date")
     for given in ({"date_from": "2024-03-03 05:00:00"}, {"date_to": "2024-03-03"}, {"date_from": "2024-03-02", "date_to": "2024-03-04 10:00:00"}):
         assert ids(filters.history_search(stored, **given)) == ids(filters.history_search(plain, **given)) != Counter()
+
+
+def test_work_folders_can_be_removed(spark):
+    from vacancia.plans import catalogue
+
+    before, catalogue._made[:] = catalogue._made[:], []
+    path = catalogue.work_folder(spark)
+    catalogue.work_folder(spark)  # never written
+    spark.range(3).write.parquet(path)
+    assert catalogue.remove_work(spark) == 1 and catalogue._made == []
+    catalogue._made[:] = before

@@ -23,7 +23,22 @@ def work_folder(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    return f"{root.rstrip('/')}/work-{uuid.uuid4().hex}"
+    _made.append(f"{root.rstrip('/')}/work-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+_made: list[str] = []
+
+
+def remove_work(spark: SparkSession) -> int:
+    """Delete the folders that queries have written in this session, once their results have been
+    stored; returns how many there were."""
+    paths, _made[:] = _made[:], []
+    deleted = 0
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        deleted += bool(folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True))
+    return deleted
 
 
 def query(sql: str | None, *views: str):

@@ -99,8 +99,8 @@ def incremental_run(stream: DataFrame, path: str, params: Params, as_of: str, ch
     of the window and writes in its place, so nothing is stored twice."""
     def step(rows: DataFrame, batch_id: int) -> None:
         spark, batch = rows.sparkSession, f"stream-{batch_id}"
-        sources = {s: rows.where(F.col("source") == s) for s in SOURCES}
+        known = {"": rows.where(F.col("source").isin(*SOURCES))}  # rows name their source, so one scan does
         stored = history.scan_other_batches(spark, path, batch)
-        history.append(pipeline.run(sources, stored, params, as_of), path, as_of, batch)
+        history.append(pipeline.run(known, stored, params, as_of), path, as_of, batch)
 
     return incremental(stream, step, checkpoint)
