@@ -73,10 +73,26 @@ def test_no_labels(spark, tables, none):
 
 def test_windows_overlap_and_cover():
     t = toxicity.Texts(pa.array([" ".join(f"w{i}" for i in range(61)), "", "one two"], pa.large_string()))
-    windows, owner = t.windows()
-    assert owner.tolist() == [0, 0, 0, 0, 0, 1, 2]
-    assert set(windows[owner == 0].ravel().tolist()) == set(t.index[:61].tolist())
+    begin, owner = t.starts()
+    windows = t.windows(begin, owner)
+    assert owner.tolist() == [0] * (61 - toxicity.WINDOW + 1) + [1, 2]
+    assert windows[owner == 0].tolist() == [t.index[i : i + toxicity.WINDOW].tolist() for i in range(61 - toxicity.WINDOW + 1)]
     assert (windows[owner == 1] == -1).all()
+    assert windows[owner == 2].tolist() == [t.index[61:].tolist() + [-1] * (toxicity.WINDOW - 2)]
+
+
+def test_windows_side_by_side_score_as_each_alone():
+    """slide() against the forward pass of one window after another."""
+    r = np.random.default_rng(2)
+    texts = [" ".join(f"w{i}" for i in r.integers(0, 50, n)) for n in (0, 1, 23, 24, 25, 300, 24, 3)] + [None]
+    corpus, net = toxicity.Texts(pa.array(texts, pa.large_string())), toxicity.BiGru(4)
+    net.p = {k: v + r.normal(0, 0.5, v.shape).astype(np.float32) for k, v in net.p.items()}
+    begin, owner = corpus.starts()
+    gates = net.project(net.embed(corpus.word, corpus.grams, corpus.gram_pointers))
+    want = net.forward(gates, corpus.windows(begin, owner))
+    assert np.abs(net.every(corpus, begin, owner) - want).max() < 1e-4
+    assert np.abs(net.slide(gates, corpus.index, 7) - net.slide(gates, corpus.index)).max() < 1e-5
+    assert len(toxicity.BiGru(4).every(toxicity.Texts(pa.array([], pa.large_string())), *(np.zeros(0, np.int64),) * 2)) == 0
 
 
 def test_gradients():
@@ -84,7 +100,7 @@ def test_gradients():
     net = toxicity.BiGru(1)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
     words = toxicity.Texts(pa.array(["a bc def a gh ij", "kl mn"], pa.large_string()))
-    windows = words.windows()[0]
+    windows = words.windows(*words.starts())
     x = net.embed(words.word, words.grams, words.gram_pointers).astype(np.float64)
     error = np.array([0.7, -0.4])
     loss = lambda: float(net.forward(net.project(x).astype(np.float64), windows) @ error)
@@ -109,7 +125,7 @@ def test_forward_pass_by_plain_loops():
     net = toxicity.BiGru(3)
     texts = pa.array(["one two three two, one!", "", "a" * 40 + " b c"], pa.large_string())
     corpus = toxicity.Texts(texts)
-    windows, owner = corpus.windows()
+    windows = corpus.windows(*corpus.starts())
     gates = net.project(net.embed(corpus.word, corpus.grams, corpus.gram_pointers))
     got = net.forward(gates, windows)
     p = {k: v.tolist() for k, v in net.p.items()}

@@ -2,10 +2,10 @@
 
 Each word enters as a word embedding (hashed) beside the mean embedding of its character
 n-grams (hashed, with the word's start marked). A forward and a backward gated recurrent
-unit read windows of `WINDOW` words at every `STRIDE` words, so windows overlap; attention
-pools their states into a logit. A text is scored from its greatest window logit by a
-logistic calibration. Everything is trained in numpy by gradient descent; of a toxic text
-the windows that score highest are the positive examples, since labels are by text.
+unit read the window of `WINDOW` words that begins at each word; attention pools their
+states into a logit. A text is scored from its greatest window logit by a logistic
+calibration. Everything is trained in numpy by gradient descent; of a toxic text the windows
+that score highest are the positive examples, since labels are by text.
 
 The model is fitted on a bounded sample (`per_class` rows of label 0 and 1, texts of at most
 `max_bytes`); every window of every whole text, however long, is scored. Defined cases: null and empty
@@ -28,7 +28,7 @@ from .labelled import sample
 from .quality import logistic
 from .shared import slices, text_buffer
 
-WINDOW, STRIDE = 24, 12
+WINDOW = 24
 BUCKETS, DIM, HIDDEN = 1 << 15, 6, 8
 GRAMS = (4, 5)
 SCORED = "doc_id long, score double"
@@ -67,18 +67,20 @@ class Texts:
         self.word = (distinct % np.uint64(BUCKETS)).astype(np.int64)
         self.grams, self.gram_pointers = char_grams(buf, starts[first], ends[first])
 
-    def windows(self) -> tuple[np.ndarray, np.ndarray]:
-        """Index of each window's words (-1: none) and the text it belongs to. The last
-        window of a text ends with it; a text without words has one empty window."""
+    def starts(self) -> tuple[np.ndarray, np.ndarray]:
+        """The word at which each window begins, for every whole window of every text, and the
+        text it belongs to; a text of less than a window has one that is padded."""
         n = np.diff(self.pointers)
-        many = np.maximum(1, -(-np.maximum(n - WINDOW, 0) // STRIDE) + 1)
+        many = np.maximum(1, n - WINDOW + 1)
         owner = np.repeat(np.arange(len(n)), many)
-        nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        begin = np.minimum(nth * STRIDE, np.maximum(n[owner] - WINDOW, 0))
+        return self.pointers[:-1][owner] + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many), owner
+
+    def windows(self, begin: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """Index of the words (-1: none) of windows that begin at the given words."""
         at = begin[:, None] + np.arange(WINDOW)
-        inside = at < n[owner][:, None]
+        inside = at < self.pointers[1:][owner][:, None]
         index = np.append(self.index, -1)
-        return np.where(inside, index[np.where(inside, at + self.pointers[:-1][owner][:, None], -1)], -1), owner
+        return np.where(inside, index[np.where(inside, at, -1)], -1)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -137,6 +139,59 @@ class BiGru:
             keep += [states, a, pooled, real]
         return pooled @ self.p["out"] + self.p["bias"][0]
 
+    def slide(self, gates: np.ndarray, index: np.ndarray, chunk: int = 2048) -> np.ndarray:
+        """Logit of the whole window at every place of one word sequence, as forward() gives
+        it. Windows side by side read the gates of a word from one array, and one product a
+        step gives both the recurrent part and the state's share of attention and logit."""
+        h, many = HIDDEN, max(0, len(index) - WINDOW + 1)
+        logits = np.empty(many, np.float32)
+        half = np.repeat(np.float32([0.5, 1]), [2 * h, h])[:, None]  # sigmoid(x) is (1 + tanh(x / 2)) / 2
+        known = np.ascontiguousarray(gates.T) * np.concatenate([half, half])
+        weights = [np.concatenate([self.p[f"u{d}"].T * half, self.p["attend"][None, h * d : h * (d + 1)], self.p["out"][None, h * d : h * (d + 1)]]) for d in (0, 1)]
+        for a in weights:
+            a[2 * h : 3 * h] *= np.float32(0.5)  # for the reset gate's half
+        for a in range(0, many, chunk):
+            n = min(chunk, many - a)
+            read = np.take(known, index[a : a + n + WINDOW - 1], axis=1)
+            parts = np.zeros((WINDOW, 2, n), np.float32)
+            made, new, step = np.empty((3 * h + 2, n), np.float32), np.empty((h, n), np.float32), np.empty((h, n), np.float32)
+            for d in (0, 1):
+                g, state, before = read[3 * h * d : 3 * h * (d + 1)], np.zeros((h, n), np.float32), None
+                for t in range(WINDOW) if d == 0 else reversed(range(WINDOW)):
+                    np.matmul(weights[d], state, out=made)
+                    if before is not None:
+                        parts[before] += made[3 * h :]
+                    gate, s = made[: 2 * h], made[2 * h : 3 * h]
+                    gate += g[: 2 * h, t : t + n]
+                    np.tanh(gate, out=gate)
+                    np.multiply(gate[h:], s, out=new)
+                    new += s
+                    new += g[2 * h :, t : t + n]
+                    np.tanh(new, out=new)
+                    state -= new
+                    state *= np.float32(0.5)
+                    np.multiply(gate[:h], state, out=step)
+                    state += step
+                    state += new
+                    before = t
+                parts[before] += weights[d][3 * h :] @ state
+            scores, values = parts[:, 0], parts[:, 1]
+            scores -= scores.max(0)
+            np.exp(scores, out=scores)
+            logits[a : a + n] = (scores * values).sum(0) / scores.sum(0)
+        return logits + self.p["bias"][0]
+
+    def every(self, texts: Texts, begin: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """Logit of each window of texts."""
+        gates = self.project(self.embed(texts.word, texts.grams, texts.gram_pointers))
+        whole = begin + WINDOW <= texts.pointers[1:][owner]
+        logits = np.empty(len(begin), np.float32)
+        logits[whole] = self.slide(gates, texts.index)[begin[whole]]
+        short = np.flatnonzero(~whole)
+        for some in np.split(short, range(4096, len(short), 4096)):
+            logits[some] = self.forward(gates, texts.windows(begin[some], owner[some]))
+        return logits
+
     def backward(self, keep: list, error: np.ndarray, windows: np.ndarray, x: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
         """Gradients of all but the embeddings, and that of the embedded words x."""
         h = HIDDEN
@@ -177,10 +232,8 @@ class ToxicityModel:
     def logits(self, column: pa.Array) -> np.ndarray:
         """The greatest window logit of each text."""
         texts = Texts(column)
-        windows, owner = texts.windows()
-        gates = self.network.project(self.network.embed(texts.word, texts.grams, texts.gram_pointers))
-        logits = np.concatenate([self.network.forward(gates, windows[a : a + 4096]) for a in range(0, len(windows), 4096)])
-        return np.maximum.reduceat(logits, np.searchsorted(owner, np.arange(len(column))))
+        begin, owner = texts.starts()
+        return np.maximum.reduceat(self.network.every(texts, begin, owner), np.searchsorted(owner, np.arange(len(column))))
 
     def score(self, column: pa.Array) -> np.ndarray:
         return sigmoid(self.logits(column) * self.calibration[0] + self.calibration[1])
@@ -192,25 +245,24 @@ class ToxicityModel:
         r = np.random.default_rng(seed)
         y = np.array(labels)
         corpus = Texts(pa.array(texts, pa.large_string()))
-        windows, owner = corpus.windows()
+        begin, owner = corpus.starts()
         network = BiGru(seed)
         network_start(network, corpus, y)
         p, moment = network.p, {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in network.p.items()}
         first = np.searchsorted(owner, np.arange(len(y)))
+        clean = np.flatnonzero((y[owner] == 0) & ((begin - corpus.pointers[owner]) % (WINDOW // 2) == 0))  # neighbours teach the same
         step = epoch = 0
         while epoch < epochs or step < steps:  # a small sample is read more often
             epoch += 1
-            gates = network.project(network.embed(corpus.word, corpus.grams, corpus.gram_pointers))
-            logits = np.concatenate([network.forward(gates, windows[a : a + 4096]) for a in range(0, len(windows), 4096)])
+            logits = network.every(corpus, begin, owner)
             top = np.lexsort((logits, owner))[np.append(first[1:], len(owner)) - 1]  # of each text
-            clean = np.flatnonzero(y[owner] == 0)
             hard = clean[np.argsort(-logits[clean])[: len(y)]]
             chosen = np.unique(np.concatenate([top, hard, r.choice(clean, min(len(clean), len(y)), False)]))
             r.shuffle(chosen)
             size = max(32, min(batch, len(chosen) // 8))
             for at in range(0, len(chosen), size):
                 some = chosen[at : at + size]
-                used, index = np.unique(windows[some], return_inverse=True)
+                used, index = np.unique(corpus.windows(begin[some], owner[some]), return_inverse=True)
                 index = index.reshape(len(some), -1)
                 if len(used) and used[0] < 0:
                     used, index = used[1:], index - 1
