@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from vacancia.llm import decontaminate, minhash, secrets, sharding, sketches, substrings
 from vacancia.llm.queries import QUERIES
 
+from ..conftest import SF
+
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -167,19 +169,28 @@ def test_contamination(spark, docs, rows):
     items = contamination_items(rows)
     bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, row string")
     want = Counter(str(brute_contamination(t, items)) + str(i) for i, t in rows)
-    for block in (16 << 20, 60):  # one block, and several
+    for block in (16 << 20, 60):  # by a broadcast, and by a join
         got = decontaminate.find_contamination(docs, bench, block_bytes=block).collect()
         shown = Counter(str((r["n_words"], sorted({p for h in r["hits"] for p in range(h["start"], h["stop"])}), r["items"])) + str(r["doc_id"]) for r in got)
         assert shown == want
         assert all(a["stop"] < b["start"] for r in got for a, b in zip(r["hits"], r["hits"][1:]))
-    clean = decontaminate.keep_clean(docs, bench)
-    assert clean.count() == sum(not brute_contamination(t, items)[1] for _, t in rows) and clean.columns == docs.columns
+        clean = decontaminate.keep_clean(docs, bench, block_bytes=block)
+        assert clean.count() == sum(not brute_contamination(t, items)[1] for _, t in rows) and clean.columns == docs.columns
 
 
 def test_contamination_of_nothing(spark, none, docs):
     empty = spark.createDataFrame([], "item_id long, text string")
-    assert decontaminate.find_contamination(none, empty).count() == 0
-    assert decontaminate.find_contamination(docs, empty).where("size(hits) > 0").count() == 0
+    for block in (16 << 20, -1):
+        assert decontaminate.find_contamination(none, empty, block_bytes=block).count() == decontaminate.keep_clean(none, empty, block_bytes=block).count() == 0
+        assert decontaminate.find_contamination(docs, empty, block_bytes=block).where("size(hits) > 0").count() == 0
+
+
+def test_contamination_of_copies_by_join_and_broadcast(spark):
+    """Both ways give the same rows on given tables, with a passage that every row holds."""
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    rows = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(150).select("doc_id", F.concat_ws(" ", "text", F.lit(bench.orderBy("item_id").first()["text"])).alias("text"))
+    one, other = (decontaminate.find_contamination(rows, bench, block_bytes=b).drop("row").collect() for b in (16 << 20, 1000))
+    assert len(one) == 150 and all(r["hits"] for r in one) and Counter(map(str, one)) == Counter(map(str, other))
 
 
 # Operator 8.
