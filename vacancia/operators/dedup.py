@@ -103,7 +103,7 @@ def passes(df: DataFrame, order: str = "pass_no") -> DataFrame:
     return groups.select(*(values.get(c, F.col(f"_row.{c}")).alias(c) for c in df.columns))
 
 
-def _accepted(gap: int):
+def accepted(gap: int):
     """A fold over rows (url, us, id) sorted by url and instant that keeps the id of each row
     whose URL has no accepted row younger than gap. Its state is one accepted instant."""
 
@@ -159,8 +159,8 @@ def rolling(df: DataFrame, days: int, order: str = "row_id", at: str = "found_at
     gap = max(1, days) * 86_400_000_000
     rows = df.where(~X.is_blank(F.col("url"))).withColumns({"_url": X.strip(F.col("url")), "_us": F.unix_micros(F.col(at).cast("timestamp"))})
     first = rows.where("_us is not null").groupBy("_url", "_us").agg(F.min(order).cast("long").alias("_id"))
-    accepted = first.repartition("_url").sortWithinPartitions("_url", "_us").mapInArrow(_accepted(gap), "_ok long")
-    return df.join(accepted, F.col(order) == F.col("_ok"), "left_semi")
+    kept = first.repartition("_url").sortWithinPartitions("_url", "_us").mapInArrow(accepted(gap), "_ok long")
+    return df.join(kept, F.col(order) == F.col("_ok"), "left_semi")
 
 
 def ordered_distinct(values: Column) -> Column:
