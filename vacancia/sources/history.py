@@ -62,12 +62,19 @@ def to_store(df: DataFrame, found_at: str | None = None) -> DataFrame:
     return rows.withColumn("found_date", F.to_date("found_at"))
 
 
-def append(df: DataFrame, path: str, found_at: str | None = None, batch: str | None = None) -> int:
+def by_day(df: DataFrame) -> DataFrame:
+    """Rows with their found_date, those of a day brought together, a large day in several parts."""
+    return df.withColumn("found_date", F.to_date("found_at")).hint("rebalance", "found_date")
+
+
+def append(df: DataFrame, path: str, found_at: str | None = None, batch: str | None = None, grouped: bool = False) -> int:
     """Append rows to the history; the count comes with the write, not from a second job.
     A batch that is named and written again takes the place of its first writing, so a retry
-    does not double rows."""
+    does not double rows. Rows of a day are brought together first, unless they come `grouped`,
+    or every task would write a file of its own to every day."""
     seen = Observation("append")
-    rows = to_store(df, found_at).withColumn("batch", F.lit(batch or uuid.uuid4().hex)).observe(seen, F.count(F.lit(1)).alias("n"))
+    stored = to_store(df, found_at)
+    rows = (stored if grouped else by_day(stored)).withColumn("batch", F.lit(batch or uuid.uuid4().hex)).observe(seen, F.count(F.lit(1)).alias("n"))
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(path)
     return seen.get["n"]
 
