@@ -43,3 +43,18 @@ def test_batches_of_small_and_of_large_tables_agree(skewed, monkeypatch):
     monkeypatch.setattr(windows.numbered, "__defaults__", (500,))
     many = windows.batches(skewed, ["g"], ["id"], 24)
     assert few.exceptAll(many).count() == 0 and windows.batches(skewed.where("false"), ["g"], ["id"]).count() == 0
+
+
+def test_counted_and_drawn_in_one_pass(skewed):
+    """A table is numbered by one job before its result; edges are found in that job too."""
+    key = F.struct(F.col("g").alias("k0"), F.col("id").alias("k1"))
+    tracker, group = skewed.sparkSession.sparkContext.statusTracker(), "ranges"
+    skewed.sparkSession.sparkContext.setJobGroup(group, group)
+    ranges, edges = windows._ranges(skewed, key, 1000)
+    drawn = len(tracker.getJobIdsForGroup(group))
+    skewed.sparkSession.sparkContext.setJobGroup("count", "count")
+    skewed.count()
+    assert ranges == 20 and drawn <= len(tracker.getJobIdsForGroup("count"))
+    sizes = [r["count"] for r in skewed.groupBy(windows._range_number(key, edges, 20)).count().collect()]
+    assert len(sizes) == 20 and max(sizes) <= 2 * 1000
+    assert windows._ranges(skewed.where("false"), key, 1000) == (0, None)

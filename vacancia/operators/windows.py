@@ -47,15 +47,31 @@ RANGE_ROWS = 1_000_000
 MOST_RANGES, SAMPLES_A_RANGE = 10_000, 30
 
 
+def _drawn(df: DataFrame, key: Column, chance: float, ranges: Column) -> tuple[int, str]:
+    """Rows, and as JSON the sorted quantiles of a sample of key: at most `ranges` - 1 values."""
+    keys = df.select(F.when(F.rand(17) < chance, key).alias("key")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("key")).alias("s"))
+    at = F.when(ranges > 1, F.sequence(F.lit(1), ranges - 1)).otherwise(F.array().cast("array<int>"))
+    picked = F.transform(at, lambda i: F.get("s", F.floor(F.size("s") * i / ranges).cast("int")))
+    return tuple(keys.select("n", F.to_json(F.array_distinct(F.filter(picked, lambda x: x.isNotNull())))).first())
+
+
+def _constant(df: DataFrame, key: Column, text: str) -> Column:
+    return F.from_json(F.lit(text), T.ArrayType(df.select(key.alias("key")).schema["key"].dataType))
+
+
 def _edges(df: DataFrame, key: Column, total: int, ranges: int) -> Column:
     """Sorted quantiles of a sample of key, as a constant array: at most `ranges` - 1 values."""
-    chance = min(1.0, SAMPLES_A_RANGE * ranges / total)
-    sample = F.array_sort(F.collect_list("key"))
-    drawn = df.select(key.alias("key")).where(F.rand(17) < chance).agg(sample.alias("s"))
-    picked = F.transform(F.sequence(F.lit(1), F.lit(ranges - 1)), lambda i: F.get("s", F.floor(F.size("s") * i / ranges).cast("int")))
-    kind = T.ArrayType(df.select(key.alias("key")).schema["key"].dataType)
-    text = drawn.select(F.to_json(F.array_distinct(F.filter(picked, lambda x: x.isNotNull())))).first()[0]
-    return F.from_json(F.lit(text), kind)
+    return _constant(df, key, _drawn(df, key, min(1.0, SAMPLES_A_RANGE * ranges / total), F.lit(ranges))[1])
+
+
+def _ranges(df: DataFrame, key: Column, range_rows: int) -> tuple[int, Column | None]:
+    """The number of ranges and their edges: rows are counted and drawn in one pass. Only where
+    MOST_RANGES cuts the number of ranges, a second pass draws at a lower chance."""
+    total, text = _drawn(df, key, min(1.0, SAMPLES_A_RANGE / range_rows), F.least(F.lit(MOST_RANGES), F.ceil(F.col("n") / range_rows).cast("int")))
+    if total > MOST_RANGES * range_rows:
+        return MOST_RANGES, _edges(df, key, total, MOST_RANGES)
+    ranges = -(-total // range_rows)
+    return ranges, _constant(df, key, text) if ranges > 1 else None
 
 
 def _range_number(key: Column, edges: Column, most: int) -> Column:
@@ -73,12 +89,11 @@ def numbered(df: DataFrame, groups: list[str], order: list[str], range_rows: int
     of any type, so that a group of any size spreads out and no odd value makes a large range:
     rows are numbered inside a range of their group, and the counts of the ranges before are
     added. The sample (30 rows a range, 10,000 ranges at most) is all that reaches the driver."""
-    total = df.count()
-    ranges = min(MOST_RANGES, -(-total // range_rows))
+    key = F.struct(*(F.col(c).alias(f"k{i}") for i, c in enumerate([*groups, *order])))
+    ranges, edges = _ranges(df, key, range_rows)
     if ranges <= 1:
         return df.withColumn("_n", F.row_number().over(Window.partitionBy(*groups).orderBy(*order)) - 1)
-    key = F.struct(*(F.col(c).alias(f"k{i}") for i, c in enumerate([*groups, *order])))
-    placed = df.withColumn("_range", _range_number(key, _edges(df, key, total, ranges), ranges))
+    placed = df.withColumn("_range", _range_number(key, edges, ranges))
     own = reduce(and_, (F.col(g).eqNullSafe(F.col(f"_c_{g}")) for g in groups), F.col("_range") == F.col("_c_range"))
     counts = placed.groupBy(*(F.col(g).alias(f"_c_{g}") for g in groups), F.col("_range").alias("_c_range")).agg(F.count("*").alias("_many"))
     # A row for each range of a group.
