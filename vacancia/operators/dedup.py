@@ -52,10 +52,13 @@ def _merge(df: DataFrame, picks: dict[str, tuple[Column | None, Column, str]], f
     places = F.transform(F.array_sort(F.collect_list(F.struct("_at", "_where"))), lambda x: x["_where"])
     groups = parts.groupBy("_t", "_c").agg(*((F.min if score is None else F.max)(n).alias(n) for n, (score, *_) in picks.items()), F.sum("_n").alias("_n"), places.alias("_places"))
     groups = groups.withColumns({n: _ranked(F.col(n)) for n, (score, *_) in picks.items() if score is not None})
-    wanted = groups.withColumn("_id", F.explode(F.array_distinct(F.array_compact(F.array(*picks))))).withColumnsRenamed({"_t": "_gt", "_c": "_gc"})
-    rows = both.select("_t", "_c", F.when(has, F.col(order)).cast("long").alias("_at"), F.when(~has, F.struct(*df.columns)).alias("_alone"), F.struct(*df.columns).alias("_full"))
-    same = (F.col("_id") == F.col("_at")) & (F.col("_t") == F.col("_gt")) & (F.col("_c") == F.col("_gc"))
-    found = rows.join(wanted, same, "left").where(F.col("_id").isNotNull() | F.col("_alone").isNotNull())
+    wanted = groups.withColumn("_id", F.explode(F.array_distinct(F.array_compact(F.array(*picks)))))
+    wanted = wanted.select("_id", F.xxhash64("_t", "_c").alias("_gh"), F.col("_t").alias("_gt"), F.col("_c").alias("_gc"), *picks, "_n", F.when(F.col("_id") == F.col("_row"), F.col("_places")).alias("_places"))
+    # One row of each shuffled: keys as a number, and compared as they are once they meet.
+    rows = both.select(F.col(order).cast("long").alias("_at"), F.when(has, F.xxhash64("_t", "_c")).alias("_h"), F.struct(*df.columns).alias("_full"))
+    t, c = X.key(F.col("_full.title")), X.key(F.col("_full.company"))
+    found = rows.join(wanted, (F.col("_id") == F.col("_at")) & (F.col("_gh") == F.col("_h")) & (F.col("_gt") == t) & (F.col("_gc") == c), "left")
+    found = found.where(F.col("_id").isNotNull() | F.col("_h").isNull()).withColumns({"_t": t, "_c": c, "_alone": F.when(F.col("_h").isNull(), F.col("_full"))})
     mine = {n: (F.col("_id") == F.col(n)) | (F.col("_alone").isNotNull() if n == "_row" else F.lit(False)) for n in picks}
     values = [F.any_value(F.when(mine[n], F.col("_full") if field == "*" else F.col(f"_full.{field}")), True).alias(n) for n, (_, _, field) in picks.items()]
     one = found.groupBy("_t", "_c", "_alone").agg(*values, F.coalesce(F.any_value("_n", True), F.lit(1).cast("long")).alias("_n"), F.any_value("_places", True).alias("_places"), F.count("*").alias("_times"))
