@@ -17,10 +17,13 @@ from __future__ import annotations
 import json
 import os
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, replace
 from datetime import datetime, timedelta
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +36,8 @@ ROWS = T.StructType([*STORED.fields, T.StructField("batch", T.StringType()), T.S
 COUNTS = "found_date date, batch string, source string, role string, n long, write string"
 BLOCK, WORD = 32_768, 32
 PROBES, BITS_A_URL = 4, 10
+#: So many days are compacted at a time, each by tasks of its own.
+DAYS_AT_ONCE = 8
 
 
 class Conflict(RuntimeError):
@@ -61,6 +66,36 @@ def block_and_bits(url: Column, blocks: Column) -> tuple[Column, Column]:
     return F.pmod(F.xxhash64(url, F.lit(1)), blocks).cast("int"), F.array(*(F.shiftrightunsigned(h, 15 * i).bitwiseAND(BLOCK - 1) for i in range(PROBES)))
 
 
+def maps_of(blocks: int):
+    """A pass over rows (f, block, h), h being xxhash64 of the URL: the bits of block_and_bits as
+    one map of every block of a file that a task reads. It holds the maps of one file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, maps = None, np.zeros((blocks, BLOCK // 8), np.uint8)
+
+        def done() -> pa.RecordBatch:
+            some = np.flatnonzero(maps.any(axis=1))
+            kept = pa.array([maps[i].tobytes() for i in some], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(some), file, np.int64)), pa.array(some.astype(np.int32)), kept], ["f", "block", "map"])
+
+        for batch in batches:
+            f, block, h = (batch.column(i).to_numpy() for i in range(3))
+            for a, b in zip(*(lambda e: (e[:-1], e[1:]))(np.r_[0, np.flatnonzero(f[1:] != f[:-1]) + 1, len(f)])):
+                if a == b:
+                    continue
+                if file is not None and f[a] != file:
+                    yield done()
+                    maps[:] = 0
+                file = f[a]
+                for i in range(PROBES):
+                    bit = (h[a:b].view(np.uint64) >> np.uint64(15 * i)).astype(np.int64) & (BLOCK - 1)
+                    np.bitwise_or.at(maps, (block[a:b], bit >> 3), (1 << (bit & 7)).astype(np.uint8))
+        if file is not None:
+            yield done()
+
+    return run
+
+
 def words_of(bitmap: Column) -> Column:
     """The 4-byte words of a bitmap as numbers, so that single bits can be tested."""
     size = WORD // 8
@@ -229,36 +264,39 @@ class Snapshots:
 
     # Writing
 
-    def _write(self, rows: DataFrame, files: int | None = None) -> list[Part]:
+    def _write(self, rows: DataFrame, files: int | None = None, grouped: bool = False) -> list[Part]:
         """Rows (as stored, with their batch) to a new folder, with counts and Bloom filters. Rows
-        of a day are brought together, a large day in several files, so that small ones are few."""
+        of a day are brought together, a large day in several files, so that small ones are few;
+        those that come `grouped` by day, as from files of this table, are written as they come."""
         write = uuid.uuid4().hex
-        (rows.repartition(files) if files else rows.hint("rebalance", "found_date")).write.partitionBy("found_date").parquet(f"{self.path}/data/write={write}")
-        back = self.spark.read.schema(ROWS).option("basePath", f"{self.path}/data").parquet(f"{self.path}/data/write={write}")
+        (rows.coalesce(files) if files else rows if grouped else rows.hint("rebalance", "found_date")).write.partitionBy("found_date").parquet(f"{self.path}/data/write={write}")
+        back = self.spark.read.schema(ROWS).option("basePath", f"{self.path}/data").parquet(f"{self.path}/data/write={write}").withColumn("file", F.col("_metadata.file_path"))
         role, source = F.coalesce(X.filled(F.col("search_role")), F.lit("Unknown")), F.coalesce(X.filled(F.col("source")), F.lit(""))
-        back.groupBy("found_date", "batch", source.alias("source"), role.alias("role")).agg(F.count("*").alias("n")).coalesce(1).write.parquet(f"{self.path}/counts/write={write}")
-        urls = back.select(F.col("_metadata.file_path").alias("file"), F.col("found_date").cast("string").alias("day"), "batch", "url")
-        found = urls.groupBy("day", "file").agg(F.count("*").alias("n"), F.collect_set("batch").alias("batches")).collect()  # a row for each new file
+        counts = f"{self.path}/counts/write={write}"
+        back.groupBy("found_date", "batch", source.alias("source"), role.alias("role"), "file").agg(F.count("*").alias("n")).coalesce(1).write.parquet(counts)
+        by_file = self.spark.read.parquet(counts).groupBy(F.col("found_date").cast("string").alias("day"), "file")
+        files_of = by_file.agg(F.sum("n").alias("n"), F.collect_set("batch").alias("batches"), F.xxhash64("file").alias("f"))
+        found = files_of.collect()  # a row for each new file
         if not found:
             return []
         blocks = 1
         while blocks * BLOCK < BITS_A_URL * max(r["n"] for r in found):
             blocks *= 2
-        block, bits = block_and_bits(F.col("url"), F.lit(blocks))
-        noted = urls.select("file", "day", block.alias("block"), F.explode(bits).alias("bit"))
-        maps = noted.groupBy("file", "day", "block").agg(F.bitmap_construct_agg("bit").alias("map"))
-        maps.select("file", "day", F.lit(blocks).alias("blocks"), "block", words_of(F.col("map")).alias("words")).write.parquet(f"{self.path}/blooms/write={write}")
+        noted = back.select(F.xxhash64("file").alias("f"), block_and_bits(F.col("url"), F.lit(blocks))[0].alias("block"), F.xxhash64("url").alias("h"))
+        maps = noted.mapInArrow(maps_of(blocks), "f long, block int, map binary").groupBy("f", "block").agg(F.bitmap_or_agg("map").alias("map"))
+        named = maps.join(F.broadcast(files_of.select("f", "file", "day")), "f")  # files of one hash would share their maps
+        named.select("file", "day", F.lit(blocks).alias("blocks"), "block", words_of(F.col("map")).alias("words")).write.parquet(f"{self.path}/blooms/write={write}")
         out: dict[str | None, Part] = {}
         for r in found:
             p = out.get(r["day"], Part(write, r["day"], 0, 0, (), blocks))
             out[r["day"]] = replace(p, rows=p.rows + r["n"], files=p.files + 1, batches=tuple(sorted({*p.batches, *r["batches"]})))
         return list(out.values())
 
-    def append(self, df: DataFrame, found_at: str | None = None, batch: str | None = None) -> int:
+    def append(self, df: DataFrame, found_at: str | None = None, batch: str | None = None, grouped: bool = False) -> int:
         """Store rows; returns how many. A batch that is stored again takes the place of its
         first writing."""
         name = batch or uuid.uuid4().hex
-        added = self._write(to_store(df, found_at).withColumn("batch", F.lit(name)).select(*(c for c in ROWS.names if c in {*df.columns, "found_at", "found_date", "batch"})))
+        added = self._write(to_store(df, found_at).withColumn("batch", F.lit(name)).select(*(c for c in ROWS.names if c in {*df.columns, "found_at", "found_date", "batch"})), grouped=grouped)
         mixed: dict[Part, list[Part]] = {}
 
         def change(parts: list[Part]) -> list[Part]:
@@ -268,7 +306,7 @@ class Snapshots:
                     left.append(p)
                 elif len(p.batches) > 1:  # compacted together with others
                     if p not in mixed:
-                        mixed[p] = self._write(self._rows([p]).where(F.col("batch") != name).drop("write"))
+                        mixed[p] = self._write(self._rows([p]).where(F.col("batch") != name).drop("write"), grouped=True)
                     left += mixed[p]
             return left + added
 
@@ -304,9 +342,13 @@ class Snapshots:
         for p in self.parts():
             days.setdefault(p.day, []).append(p)
         chosen = {d: ps for d, ps in days.items() if sum(p.files for p in ps) - -(-sum(p.rows for p in ps) // rows_a_file) >= least}
-        for parts in chosen.values():
-            files = -(-sum(p.rows for p in parts) // rows_a_file)
-            self._replace(parts, self._write(self._rows(parts).drop("write"), files))
+
+        def write(parts: list[Part]) -> list[Part]:
+            return self._write(self._rows(parts).drop("write"), -(-sum(p.rows for p in parts) // rows_a_file))
+
+        with ThreadPoolExecutor(DAYS_AT_ONCE) as pool:
+            for parts, new in zip(chosen.values(), pool.map(write, chosen.values())):
+                self._replace(parts, new)
         return len(chosen)
 
     def clear(self) -> int:
