@@ -50,3 +50,28 @@ def test_an_append_writes_a_day_once(spark, tmp_path):
     assert stored.count() == 4000 and len(stored.inputFiles()) == 20
     assert history.append(history.by_day(rows), f"{tmp_path}/h", batch="a", grouped=True) == 4000
     assert history.scan(spark, f"{tmp_path}/h").count() == 4000
+
+
+def test_maps_hold_the_bits_of_every_url(spark, tmp_path):
+    """Maps made a file at a time, with files in turn, are those of the exploded bits."""
+    from vacancia.sources.snapshots import block_and_bits, maps_of
+
+    rows = spark.range(3000).select((F.col("id") % 3).alias("f"), F.concat(F.lit("https://x/"), F.col("id") % 900).alias("url"))
+    block, bits = block_and_bits(F.col("url"), F.lit(4))
+    want = rows.select("f", block.alias("block"), F.explode(bits).alias("bit")).groupBy("f", "block").agg(F.bitmap_construct_agg("bit").alias("map"))
+    noted = rows.select("f", block.alias("block"), F.xxhash64("url").alias("h"))
+    got = noted.mapInArrow(maps_of(4), "f long, block int, map binary").groupBy("f", "block").agg(F.bitmap_or_agg("map").alias("map"))
+    assert got.count() == want.count() == 12 and got.exceptAll(want).count() == 0
+
+
+def test_large_text_columns_evaluate_their_argument_once(spark):
+    """The argument of a split or a listing test is not repeated in every branch."""
+    from vacancia.functions import text as X
+
+    rows = spark.createDataFrame([(x,) for x in ("Dev at A at B", "x at at y", " Dev @ B - C ", "a at ", "Dev", "", None, "Dev with verification at A", "at B")], "t string")
+    old = [F.regexp_extract(X.strip(X.text(F.col("t"))), r"^([\s\S]+) at ([\s\S]*)$", i) for i in (1, 2)]
+    whole = X.strip(X.text(F.col("t")))
+    want = rows.select(X.unverified(F.when(old[0] != "", old[0]).otherwise(whole)).alias("title"), F.when(old[0] != "", X.strip(old[1])).otherwise("").alias("company")).collect()
+    assert rows.select(X.split_label(F.col("t")).alias("l")).select("l.*").collect() == want
+    for f in (X.split_title, X.split_label, X.is_listing_page):
+        assert str(f(F.reverse("t"))._jc.toString()).count("reverse(t)") == 1
