@@ -66,12 +66,16 @@ def test_maps_hold_the_bits_of_every_url(spark, tmp_path):
 
 def test_large_text_columns_evaluate_their_argument_once(spark):
     """The argument of a split or a listing test is not repeated in every branch."""
-    from vacancia.functions import text as X
+    from vacancia.functions import dates, text as X
 
     rows = spark.createDataFrame([(x,) for x in ("Dev at A at B", "x at at y", " Dev @ B - C ", "a at ", "Dev", "", None, "Dev with verification at A", "at B")], "t string")
     old = [F.regexp_extract(X.strip(X.text(F.col("t"))), r"^([\s\S]+) at ([\s\S]*)$", i) for i in (1, 2)]
     whole = X.strip(X.text(F.col("t")))
     want = rows.select(X.unverified(F.when(old[0] != "", old[0]).otherwise(whole)).alias("title"), F.when(old[0] != "", X.strip(old[1])).otherwise("").alias("company")).collect()
     assert rows.select(X.split_label(F.col("t")).alias("l")).select("l.*").collect() == want
-    for f in (X.split_title, X.split_label, X.is_listing_page):
+    for f in (X.split_title, X.split_label, X.is_listing_page, dates.freshness):
         assert str(f(F.reverse("t"))._jc.toString()).count("reverse(t)") == 1
+
+
+def test_a_template_takes_its_own_columns_only(spark, plan):
+    assert "p_type" not in plan(registry.queries()["j9_template"](spark, SF))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip, text
+from .text import once, strip, text
 
 
 def posted_instant(c: Column) -> Column:
@@ -60,8 +60,11 @@ def relative_date(c: Column, as_of: Column) -> Column:
 
 def freshness(posted: Column, window: str = "24h") -> Column:
     """struct(keep, label) of the text beside a posting. Rules hold in their order."""
-    t = strip(text(posted))
-    low = F.lower(t)
+    both = lambda t: F.struct(t.alias("t"), F.lower(t).alias("low"))
+    return once(once(strip(text(posted)), both), lambda x: _freshness(x["t"], x["low"], window))
+
+
+def _freshness(t: Column, low: Column, window: str) -> Column:
     week = window.lower() in ("week", "1w", "7d", "168h")
     line = F.substring(strip(F.regexp_replace(F.split_part(t, F.lit("\n"), F.lit(1)), r"\s+", " ")), 1, 120)
     repost = F.contains(low, F.lit("reposted"))
