@@ -79,3 +79,33 @@ def test_large_text_columns_evaluate_their_argument_once(spark):
 
 def test_a_template_takes_its_own_columns_only(spark, plan):
     assert "p_type" not in plan(registry.queries()["j9_template"](spark, SF))
+
+
+def test_the_date_cascade_is_code_that_the_jvm_compiles(spark, plan):
+    """A date binds its argument once, and no generated method of the cascade or of the patches
+    has more than the 8,000 bytes of code up to which the JVM compiles it."""
+    from vacancia.functions import dates
+    from vacancia.sources import pages
+
+    assert str(dates.posted_text(F.reverse("t"))._jc.toString()).count("reverse(t)") == 1
+    texts = ("2024-03-01", " 2024-03-01T08:30:00Z ", "2024-03-01T08:30+02:00", "2024-13-45", "2024-03-01 and more", "2024-03-01+02:00", "2024-03-01T", "x 2024-03-01", "Then 2024", "", None, "2024-03-01T08:30:00.123&amp;", "2024-02-30T10:00:00Z")
+    rows = spark.createDataFrame([(x,) for x in texts], "t string")
+    trimmed = dates.trimmed_date(F.col("t"))
+    assert rows.select(dates.posted_text(F.col("t"))).collect() == rows.select(F.when(dates.posted_instant(trimmed).isNotNull(), trimmed)).collect()
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    p = fixtures.view(spark, SF, "job_pages")
+    for df in (pages.posted_dates(p, "2000-01-01 12:00:00").select("page_id", "posted_time", "extractor"), pages.page_patches(p).select("page_id", "posted_time")):
+        code = debug.codegenStringSeq(df._jdf.queryExecution().executedPlan())
+        assert max(code.apply(i)._3().maxMethodCodeSize() for i in range(code.size())) <= 8000
+
+
+def test_a_patched_page_is_not_searched_for_a_date(spark):
+    from vacancia.sources import pages
+
+    old, new = ('<script type="application/ld+json">{"@type":"JobPosting","datePosted":"2024-01-02"}</script>', "<p>Posted 2024-03-04</p>")
+    made = spark.createDataFrame([(1, "https://x/1", old), (2, "https://x/2", new), (3, "https://x/3", old + new)], "page_id int, url string, html string")
+    got = pages.posted_dates(made, "2024-06-01 12:00:00", needed=F.col("page_id") != 1).select("page_id", "posted_time", "extractor").orderBy("page_id").collect()
+    assert [tuple(r) for r in got] == [(1, None, None), (2, "2024-03-04", "visible_date"), (3, "2024-01-02", "json_ld")]
+    blank = made.select(F.col("page_id").alias("row_id"), "url", *(F.lit("").alias(c) for c in ("title", "company", "posted_time", "location", "salary", "employment_type", "job_description")))
+    got = pages.enrich(blank, made, "2024-06-01 12:00:00").select("row_id", "posted_time", "extractor").orderBy("row_id").collect()
+    assert [tuple(r) for r in got] == [(1, "2024-01-02", "state"), (2, "2024-03-04", "visible_date"), (3, "2024-01-02", "state")]

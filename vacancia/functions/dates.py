@@ -12,14 +12,21 @@ def posted_instant(c: Column) -> Column:
     """UTC instant (timestamp_ntz) of an ISO date or date-time, else null. A date followed
     by anything but 'T' or an offset counts as that midnight."""
     s = strip(text(c))
-    date = F.regexp_extract(s, r"^(\d{4}-\d{2}-\d{2})", 1)
-    part = lambda i: F.regexp_extract(s, r"^(\d{4}-\d{2}-\d{2})T(\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?)(Z|[+-]\d{2}:?\d{2})?$", i)
-    clock = F.when(F.char_length(part(2)) == 5, F.concat(part(2), F.lit(":00"))).otherwise(part(2))
-    zone = F.when(part(3).isin("", "Z"), F.lit("+00:00")).otherwise(F.regexp_replace(part(3), r"^([+-]\d{2}):?(\d{2})$", "$1:$2"))
+    return _instant(s, F.regexp_extract(s, DATE, 1), *(F.regexp_extract(s, DATE_TIME, i) for i in (1, 2, 3)))
+
+
+DATE = r"^(\d{4}-\d{2}-\d{2})"
+DATE_TIME = r"^(\d{4}-\d{2}-\d{2})T(\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?)(Z|[+-]\d{2}:?\d{2})?$"
+
+
+def _instant(s: Column, date: Column, day: Column, time: Column, offset: Column) -> Column:
+    """The instant of a stripped text whose parts have been cut out."""
+    clock = F.when(F.char_length(time) == 5, F.concat(time, F.lit(":00"))).otherwise(time)
+    zone = F.when(offset.isin("", "Z"), F.lit("+00:00")).otherwise(F.regexp_replace(offset, r"^([+-]\d{2}):?(\d{2})$", "$1:$2"))
     sign = F.when(F.startswith(zone, F.lit("-")), -1).otherwise(1)
     minutes = sign * (F.substring(zone, 2, 2).cast("int") * 60 + F.substring(zone, 5, 2).cast("int"))
-    naive = F.call_function("try_to_timestamp", F.concat_ws(" ", part(1), clock)).cast("timestamp_ntz")
-    instant = F.when(part(1) != "", naive - F.make_dt_interval(mins=minutes))
+    naive = F.call_function("try_to_timestamp", F.concat_ws(" ", day, clock)).cast("timestamp_ntz")
+    instant = F.when(day != "", naive - F.make_dt_interval(mins=minutes))
     midnight = F.call_function("try_to_timestamp", date, F.lit("yyyy-MM-dd")).cast("timestamp_ntz")
     return F.when(F.contains(s, F.lit("T")) | s.rlike(r"^\d{4}-\d{2}-\d{2}[+-]"), instant).when(date != "", midnight)
 
@@ -33,15 +40,24 @@ def trimmed_date(c: Column) -> Column:
 
 
 def posted_text(c: Column) -> Column:
-    """The trimmed string where it parses, else null."""
-    s = trimmed_date(c)
-    return F.when(posted_instant(s).isNotNull(), s)
+    """The trimmed string where it parses, else null. The string and its parts are bound once,
+    and cut out only where it begins with a date."""
+
+    def parsed(v: Column) -> Column:
+        s = strip(v)
+        parts = F.struct(s.alias("s"), F.regexp_extract(s, DATE, 1).alias("date"), *(F.regexp_extract(s, DATE_TIME, i).alias(n) for i, n in ((1, "day"), (2, "time"), (3, "offset"))))
+        instant = once(parts, lambda x: _instant(x["s"], x["date"], x["day"], x["time"], x["offset"]))
+        return F.when(s.rlike(DATE), F.when(instant.isNotNull(), v))
+
+    return once(trimmed_date(c), parsed)
 
 
 def relative_date(c: Column, as_of: Column) -> Column:
     """Date (text) of 'posted 5 days ago' and the like, counted back from as_of."""
-    low = F.lower(text(c))
+    return once(F.lower(text(c)), lambda low: _relative_date(low, as_of))
+
 
+def _relative_date(low: Column, as_of: Column) -> Column:
     def number(words: str, unit: str) -> Column:
         return F.regexp_extract(low, rf"(?:{words})\s*[:\s,.-]*(\d+)\s+{unit}s?\s+ago", 1)
 
