@@ -109,3 +109,18 @@ def test_a_patched_page_is_not_searched_for_a_date(spark):
     blank = made.select(F.col("page_id").alias("row_id"), "url", *(F.lit("").alias(c) for c in ("title", "company", "posted_time", "location", "salary", "employment_type", "job_description")))
     got = pages.enrich(blank, made, "2024-06-01 12:00:00").select("row_id", "posted_time", "extractor").orderBy("row_id").collect()
     assert [tuple(r) for r in got] == [(1, "2024-01-02", "state"), (2, "2024-03-04", "visible_date"), (3, "2024-01-02", "state")]
+
+
+@pytest.mark.parametrize("name", ["s3_union_of_all_sources"])
+def test_a_union_of_one_table_reads_it_once(spark, plan, name):
+    text = plan(registry.queries()[name](spark, SF))
+    assert text.count("Exchange hashpartitioning(l_orderkey") == text.count("FileScan parquet [l_orderkey") == 1
+    assert "ShuffledHashJoin [l_orderkey" in text
+
+
+def test_a_union_in_one_pass_is_that_of_its_sources(spark):
+    p = fixtures.view(spark, SF, "postings")
+    want = history.union_sources({"linkedin": p.where("source = 'linkedin'"), "indeed": p.where("source = 'indeed'"), "board": p.where("source = 'ats'").drop("source", "salary")})
+    got = history.union_in_one_pass(p, {"linkedin": "linkedin", "indeed": "indeed", "ats": "board"}, {"ats": ("salary",)})
+    assert got.columns == want.columns and got.count() == want.count() > 0
+    assert got.exceptAll(want).count() == 0 and got.where("source = 'board' and salary <> ''").count() == 0

@@ -53,6 +53,15 @@ def union_sources(sources: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def union_in_one_pass(df: DataFrame, names: dict[str, str], lacking: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """union_sources where all sources lie in one table: its rows of these sources under their given
+    names, read once and not once a source. Columns that a source is lacking count as missing."""
+    source, lacking = F.col("source"), lacking or {}
+    gone = {c: F.when(~source.isin(*(s for s in lacking if c in lacking[s])), F.col(c)) for c in {c for cs in lacking.values() for c in cs}}
+    rows = df.where(source.isin(*names)).withColumns(gone | {"source": X.labelled(source, names, source)})
+    return canonical(rows, "")
+
+
 def to_store(df: DataFrame, found_at: str | None = None) -> DataFrame:
     """Rows as they are stored: trimmed, blank to null, one run timestamp."""
     optional = [c for c in ("location", "job_id", "posted_time", "freshness", "applicant_count", "job_description", "seniority", "salary", "employment_type") if c in df.columns]
