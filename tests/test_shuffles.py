@@ -82,7 +82,7 @@ def test_a_template_takes_its_own_columns_only(spark, plan):
 
 
 def test_the_date_cascade_is_code_that_the_jvm_compiles(spark, plan):
-    """A date binds its argument once, and no generated method of the cascade or of the patches
+    """A date binds its argument once, and no whole-stage method of the cascade or of the patches
     has more than the 8,000 bytes of code up to which the JVM compiles it."""
     from vacancia.functions import dates
     from vacancia.sources import pages
