@@ -124,3 +124,60 @@ def test_a_union_in_one_pass_is_that_of_its_sources(spark):
     got = history.union_in_one_pass(p, {"linkedin": "linkedin", "indeed": "indeed", "ats": "board"}, {"ats": ("salary",)})
     assert got.columns == want.columns and got.count() == want.count() > 0
     assert got.exceptAll(want).count() == 0 and got.where("source = 'board' and salary <> ''").count() == 0
+
+
+@pytest.mark.parametrize("name", ["d1_cross_source", "d2_board_rows", "d3_in_run"])
+def test_a_merge_shuffles_its_rows_once(spark, plan, name):
+    """By title and company, after the joins; joins of d1 sort no items."""
+    text = plan(registry.queries()[name](spark, SF))
+    assert text.count("Exchange hashpartitioning(_") == text.count("Exchange hashpartitioning(_t") == 1
+    assert name != "d1_cross_source" or text.count("SortMergeJoin [l_orderkey") == text.count("SortMergeJoin [l_partkey") == 0
+
+
+def made_postings(spark, n: int, titles: int):
+    """Postings of a few titles, every row with its own mixture of blank fields and odd characters."""
+    rows = [(i, f"{('Dev', ' dev', 'DEV')[i % 3]}{i % titles}{' ' * (i % 4)}", ("Acme", " ACME")[i % 2] if i % 17 else None, f"u/{i}", (f"City {i * i % 11}", f"city {i % 5} ", "", None, "a\x01b\x02a\x02")[i % 5], *((None, "", " ", f"{c}\x01{i}\x02", f"{c}{'x' * (i * 7 % 13)}")[(i * 31 + 7 * j + i // 50) % 97 % 5 if i > 40 else 0] for j, c in enumerate(dedup.FILL))) for i in range(n)]
+    return spark.createDataFrame([rows[i * 37 % n] for i in range(n)], f"row_id long, title string, company string, url string, location string, {', '.join(f'{c} string' for c in dedup.FILL)}")
+
+
+@pytest.mark.parametrize("titles", [1, 400])
+def test_a_title_sends_what_its_merge_may_take(spark, titles):
+    """A merge is that of rows in order by brute force, and a hot title sends few of its rows."""
+    from vacancia.functions import text as X
+
+    made = made_postings(spark, 1999, titles)
+    groups, want = {}, []
+    blank = lambda v: not (v or "").strip()
+    for r in sorted(made.collect(), key=lambda r: r["row_id"]):
+        if r["company"] is None:
+            want.append((*r, 1))
+        else:
+            groups.setdefault(r["title"].strip().lower(), []).append(r)
+    for rows in groups.values():
+        rich = {r["row_id"]: sum(w for c, w in zip(dedup.FILL, (100, 10, 1, 1, 1)) if not blank(r[c])) for r in rows}
+        best = max(rows, key=lambda r: (rich[r["row_id"]], -r["row_id"]))
+        out = best.asDict()
+        if len(rows) > 1:
+            places = []
+            for r in rows:
+                if not blank(r["location"]) and r["location"].strip().lower() not in [x.lower() for x in places]:
+                    places.append(r["location"].strip())
+            out["location"] = " | ".join(places)
+            out |= {c: next((r[c] for r in rows if not blank(r[c])), best[c]) for c in dedup.FILL if blank(best[c])}
+        want.append((*out.values(), len(rows)))
+    got = [tuple(r) for r in dedup.cross_source(made).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    keyed = made.withColumns({c: X.key(F.col(c)) for c in ("title", "company")})
+    assert sorted((r[0], *r[3:]) for r in map(tuple, dedup.cross_source(keyed, keyed=True).fillna("~").collect())) == sorted((r[0], *r[3:]) for r in map(tuple, dedup.cross_source(made).fillna("~").collect()))
+    picks = {"_row": (dedup.richness(), F.lit(True), "*")}
+    sent = made.where("company is not null").select(X.key(F.col("title")).alias("_t"), F.lit("a").alias("_c"), F.lit(1).cast("long").alias("_n"), F.lit(-1).cast("long").alias("_may"), "row_id", "location", "url", X.strip(X.text(F.col("location"))).alias("_where"), picks["_row"][0].alias("_row"))
+    left = sent.coalesce(1).mapInArrow(dedup._thinned({"_row": (True, "*")}, "row_id"), sent.schema)
+    assert left.agg(F.sum("_n")).first()[0] == sent.count() and left.where("_may <> 0").select("_t").distinct().count() == left.where("_may <> 0").count() == titles
+    assert left.select("_t", "_where").distinct().count() == sent.select("_t", "_where").distinct().count() and left.where("_may = 0 and url is not null").count() == 0
+
+
+def test_packed_texts_are_those_unpacked(spark):
+    values = ["", " ", None, "a", "\x01", "\x02", "\x02a", "\x02b\x01\x01", "\x01\x02", "\n", "\u00e9\U0001f600"]
+    rows = spark.createDataFrame([(i, a, b, c) for i, (a, b, c) in enumerate((a, b, c) for a in values for b in values for c in values)], "i int, a string, b string, c string")
+    parts = rows.withColumn("p", F.split(dedup.packed([F.col(c) for c in "abc"]), "\x01")).select("i", *(dedup.unpacked(F.col("p")[i]).alias(c) for i, c in enumerate("abc")))
+    assert parts.exceptAll(rows).count() == 0 == rows.exceptAll(parts).count()

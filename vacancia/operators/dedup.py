@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import text as X
 from .filters import first_per
@@ -21,60 +22,117 @@ def richness() -> Column:
     return sum((F.when(~X.is_blank(F.col(c)), w).otherwise(0) for c, w in weights.items()), F.lit(0))
 
 
-def _whole(n: int) -> Column:
-    return F.lit(str(n)).cast("decimal(20,0)")
-
-
-def _rank(score: Column, order: str) -> Column:
-    """(score, row), the smaller row ahead, as one number that a hash aggregate can hold: 2 ** 64
-    times the score plus how far the row's order is below the largest."""
-    return score.cast("decimal(11,0)") * _whole(1 << 64) + (_whole((1 << 63) - 1) - F.col(order).cast("decimal(20,0)"))
+def packed(values: list[Column]) -> Column:
+    """Strings, or nulls, as one string, which takes less room in a shuffle; for unpacked."""
+    return F.concat_ws("\x01", *(F.coalesce(F.replace(F.replace(v, F.lit("\x02"), F.lit("\x02b")), F.lit("\x01"), F.lit("\x02a")), F.lit("\x02")) for v in values))
+
+
+def unpacked(part: Column) -> Column:
+    """A value of packed, from its part between the separators."""
+    return F.when(part != "\x02", F.replace(F.replace(part, F.lit("\x02a"), F.lit("\x01")), F.lit("\x02b"), F.lit("\x02")))
+
+
+def _thinned(picks: dict[str, tuple[bool, str]], order: str, most: int = 1 << 18, most_bytes: int = 64 << 20):
+    """A map over rows that lets go of what cannot matter to a merge: of the rows of a key in a slice
+    of the task's rows, those stay that a pick (whether it has scores, its field) may take, which
+    `_may` has a bit for, and the first of each location; columns for which a row does not stay are
+    null. `_n` of the key's first row counts the rows let go."""
+
+    def first(runs: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(np.diff(runs, prepend=-1))
+
+    def thin(slice_: pa.Table) -> pa.Table:
+        t, c, place = (slice_.column(n).combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64) for n in ("_t", "_c", "_where"))
+        key = np.unique(t * (c.max() + 1) + c, return_inverse=True)[1]
+        ahead = np.lexsort((slice_.column(order).to_numpy(), key))
+        runs = key[ahead]
+        begin = first(runs)
+        if len(begin) == len(runs):
+            return slice_
+        may = np.zeros(len(runs), np.int64)
+        for i, (name, (scored, _)) in enumerate(picks.items()):
+            score = slice_.column(name).combine_chunks()
+            ok = score.is_valid().to_numpy(zero_copy_only=False)[ahead]
+            if scored:
+                score = score.cast(pa.int64()).fill_null(np.iinfo(np.int64).min).to_numpy()[ahead]
+                ok &= score == np.maximum.reduceat(score, begin)[runs]
+            at = np.flatnonzero(ok)
+            may[at[first(runs[at])]] |= 1 << i
+        kept = may != 0
+        kept[np.unique(runs * (place.max() + 1) + place[ahead], return_index=True)[1]] = True
+        times = np.ones(len(runs), np.int64)
+        times[begin] += np.bincount(runs[~kept], minlength=len(begin))
+        alone = np.diff(begin, append=len(runs))[runs] == 1
+        may[alone] = -1
+        out, may = slice_.take(pa.array(ahead[kept])), may[kept]
+        made = {"_n": pa.array(times[kept]), "_may": pa.array(may)}
+        bits = {n: sum(1 << i for i, (_, field) in enumerate(picks.values()) if field in ("*", n)) for n in out.column_names if n not in {"_t", "_c", "_where", "location", order, *picks, *made}}
+        for n, bit in bits.items():
+            made[n] = pc.if_else(pa.array(may & bit != 0), out.column(n), pa.scalar(None, out.schema.field(n).type))
+        return pa.table([made.get(n, out.column(n)) for n in out.column_names], names=out.column_names)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, size = [], 0, 0
+        for batch in batches:
+            held.append(batch)
+            rows, size = rows + batch.num_rows, size + batch.nbytes
+            if rows >= most or size >= most_bytes:
+                yield from thin(pa.Table.from_batches(held)).to_batches(max_chunksize=10_000)
+                held, rows, size = [], 0, 0
+        if rows:
+            yield from thin(pa.Table.from_batches(held)).to_batches(max_chunksize=10_000)
 
-def _ranked(rank: Column) -> Column:
-    """The order of the row of a rank."""
-    return (_whole((1 << 63) - 1) - F.pmod(rank, _whole(1 << 64))).cast("long")
+    return run
 
 
-def _merge(df: DataFrame, picks: dict[str, tuple[Column | None, Column, str]], final: dict[str, Column], order: str) -> DataFrame:
+def _merge(df: DataFrame, picks: dict[str, tuple[Column | None, Column, str]], final: dict[str, Column], order: str, keyed: bool = False) -> DataFrame:
     """One row per title and company: that of the pick `_row`. A pick is (score, condition, field):
     of the row of the greatest score (None: all alike), and of these the first, among those that
-    meet the condition, that field or the whole row (`*`); final are columns made of the picks.
-
-    Only keys, ranks and places are aggregated, by (title, company, location) first and the few
-    results by (title, company): a hot title gathers its locations and none of its rows. The
-    picked rows alone are then fetched by their order, an integer, and put together; rows with a
-    blank key come along, each by itself."""
-    both = df.withColumns({"_t": X.key(F.col("title")), "_c": X.key(F.col("company"))})
-    has = (F.col("_t") != "") & (F.col("_c") != "")
-    ranks = [(F.min(F.when(test, F.col(order).cast("long"))) if score is None else F.max(F.when(test, _rank(score, order)))).alias(n) for n, (score, test, _) in picks.items()]
-    parts = both.where(has).groupBy("_t", "_c", X.strip(X.text(F.col("location"))).alias("_where")).agg(*ranks, F.count("*").alias("_n"), F.min(order).alias("_at"))
+    meet the condition, that field or the whole row (`*`); score and condition are made of that
+    field alone, or of the whole row. final are columns made of the picks.
+    keyed: title and company are keys already, as X.key makes them.
+
+    Rows are shuffled once, by title and company, and all else is done where they then lie. Each
+    task first lets go of rows that cannot matter, so that a hot title sends a few rows of each
+    slice and its locations. Rows with a blank key are not shuffled."""
+    t, c = (F.col(n) if keyed else X.key(F.col(n)) for n in ("title", "company"))
+    has, place = F.coalesce((t != "") & (c != ""), F.lit(False)), X.strip(X.text(F.col("location")))
+    sent = [n for n in df.columns if not keyed or n not in ("title", "company")]
+    scores = [F.when(test, F.lit(0) if score is None else score).alias(n) for n, (score, test, _) in picks.items()]
+    rows = df.where(has).select(t.alias("_t"), c.alias("_c"), F.lit(1).cast("long").alias("_n"), F.lit(-1).cast("long").alias("_may"), *sent, place.alias("_where"), *scores)
+    thin = rows.mapInArrow(_thinned({n: (score is not None, field) for n, (score, _, field) in picks.items()}, order), StructType([StructField(f.name, f.dataType) for f in rows.schema]))
+    texts = [n for n in sent if df.schema[n].dataType == StringType()]
+    dealt = thin.select("_t", "_c", "_n", "_may", *(n for n in sent if n not in texts), packed([F.col(n) for n in texts]).alias("_texts")).repartition("_t", "_c")
+    dealt = dealt.withColumn("_texts", F.split("_texts", "\x01")).withColumns({n: unpacked(F.col("_texts")[i]) for i, n in enumerate(texts)})
+
+    def best(values: dict[str, Column], ranks: dict[str, Column]) -> list[Column]:
+        made = []
+        for n, (score, *_) in picks.items():
+            by, of = (F.min_by, F.min) if score is None else (F.max_by, F.max)
+            made += [by(values[n], ranks[n]).alias(n), of(ranks[n]).alias(f"{n}_rank")]
+        return made
+
+    values = {n: F.struct(*sent) if field == "*" else F.col(field) for n, (_, _, field) in picks.items()}
+    may = {n: F.col("_may").bitwiseAND(F.lit(1 << i).cast("long")) != 0 for i, n in enumerate(picks)}
+    ranks = {n: F.when(may[n] & test, F.col(order) if score is None else F.struct(score, F.bitwise_not(F.col(order)))) for n, (score, test, _) in picks.items()}
+    parts = dealt.groupBy("_t", "_c", place.alias("_where")).agg(*best(values, ranks), F.sum("_n").alias("_n"), F.min(order).alias("_at"))
     places = F.transform(F.array_sort(F.collect_list(F.struct("_at", "_where"))), lambda x: x["_where"])
-    groups = parts.groupBy("_t", "_c").agg(*((F.min if score is None else F.max)(n).alias(n) for n, (score, *_) in picks.items()), F.sum("_n").alias("_n"), places.alias("_places"))
-    groups = groups.withColumns({n: _ranked(F.col(n)) for n, (score, *_) in picks.items() if score is not None})
-    wanted = groups.withColumn("_id", F.explode(F.array_distinct(F.array_compact(F.array(*picks)))))
-    wanted = wanted.select("_id", F.xxhash64("_t", "_c").alias("_gh"), F.col("_t").alias("_gt"), F.col("_c").alias("_gc"), *picks, "_n", F.when(F.col("_id") == F.col("_row"), F.col("_places")).alias("_places"))
-    # One row of each shuffled: keys as a number, and compared as they are once they meet.
-    rows = both.select(F.col(order).cast("long").alias("_at"), F.when(has, F.xxhash64("_t", "_c")).alias("_h"), F.struct(*df.columns).alias("_full"))
-    t, c = X.key(F.col("_full.title")), X.key(F.col("_full.company"))
-    found = rows.join(wanted, (F.col("_id") == F.col("_at")) & (F.col("_gh") == F.col("_h")) & (F.col("_gt") == t) & (F.col("_gc") == c), "left")
-    found = found.where(F.col("_id").isNotNull() | F.col("_h").isNull()).withColumns({"_t": t, "_c": c, "_alone": F.when(F.col("_h").isNull(), F.col("_full"))})
-    mine = {n: (F.col("_id") == F.col(n)) | (F.col("_alone").isNotNull() if n == "_row" else F.lit(False)) for n in picks}
-    values = [F.any_value(F.when(mine[n], F.col("_full") if field == "*" else F.col(f"_full.{field}")), True).alias(n) for n, (_, _, field) in picks.items()]
-    one = found.groupBy("_t", "_c", "_alone").agg(*values, F.coalesce(F.any_value("_n", True), F.lit(1).cast("long")).alias("_n"), F.any_value("_places", True).alias("_places"), F.count("*").alias("_times"))
-    one = one.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.when(F.col("_alone").isNotNull(), F.col("_times")).otherwise(1))))
+    one = parts.groupBy("_t", "_c").agg(*best({n: F.col(n) for n in picks}, {n: F.col(f"{n}_rank") for n in picks}), F.sum("_n").alias("_n"), places.alias("_places"))
     single = F.col("_n") == 1
-    columns = {c: F.when(single, F.col(f"_row.{c}")).otherwise(v) for c, v in (final | {"location": X.merged_locations(F.col("_places"))}).items()}
-    return one.select(*(columns.get(c, F.col(f"_row.{c}")).alias(c) for c in df.columns), F.col("_n").alias("merged_rows"))
+    columns = {n: F.when(single, F.col(f"_row.{n}")).otherwise(v) for n, v in (final | {"location": X.merged_locations(F.col("_places"))}).items()}
+    columns |= {"title": F.col("_t"), "company": F.col("_c")} if keyed else {}
+    merged = one.select(*(columns.get(n, F.col(f"_row.{n}") if n in sent else F.lit(None)).alias(n) for n in df.columns), F.col("_n").alias("merged_rows"))
+    return merged.unionByName(df.where(~has).withColumn("merged_rows", F.lit(1).cast("long")))
 
 
-def cross_source(df: DataFrame, order: str = "row_id") -> DataFrame:
+def cross_source(df: DataFrame, order: str = "row_id", keyed: bool = False) -> DataFrame:
     """One row per title and company: the richest (ties: the first), its blank fields filled
     from the first row that has them, locations merged in order. Rows with a blank key pass.
-    merged_rows counts the rows behind each; single rows stay as they are."""
+    merged_rows counts the rows behind each; single rows stay as they are. keyed: title and
+    company are keys already, as X.key makes them."""
     picks = {"_row": (richness(), F.lit(True), "*")} | {f"_f_{c}": (None, ~X.is_blank(F.col(c)), c) for c in FILL}
     final = {c: F.coalesce(X.filled(F.col(f"_row.{c}")), F.col(f"_f_{c}"), F.col(f"_row.{c}")) for c in FILL}
-    return _merge(df, picks, final, order)
+    return _merge(df, picks, final, order, keyed)
 
 
 def board_rows(df: DataFrame, order: str = "row_id") -> DataFrame:
