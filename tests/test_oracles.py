@@ -62,3 +62,19 @@ def test_whole_jobs(spark, duck):
     known = some["new_url"].str.len() % 3 == 0
     assert 0 < known.sum() < len(some) < len(new) + known.sum()
     assert set(some["new_url"][~known]) <= set(new["new_url"]) and not set(some["new_url"][known]) & set(new["new_url"])
+
+
+def test_new_links_are_not_those_of_known_pages(spark):
+    """j12_new_links leaves out the links of odd pages, and nothing else of even ones."""
+    from pyspark.sql import functions as F
+
+    from vacancia import fixtures
+    from vacancia.sources import pages
+
+    board = F.regexp_replace("link", "^https?://[^/]+", "https://jobs.lever.co").alias("new_url")
+    found = pages.links(fixtures.view(spark, SF, "pages")).where("not startswith(href, '/url?')").select("page_id", "page_url", board).collect()
+    even, odd = ([r for r in found if r["page_id"] % 2 == i] for i in (0, 1))
+    known = {r["new_url"] for r in odd}
+    got = registry.queries()["j12_new_links"](spark, SF).select("page_url", "new_url").collect()
+    assert known & {r["new_url"] for r in even}
+    assert sorted(map(tuple, got)) == sorted({(r["page_url"], r["new_url"]) for r in even if r["new_url"] not in known})
