@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from ..functions import text as X
 from .filters import first_per
@@ -22,21 +22,28 @@ def richness() -> Column:
     return sum((F.when(~X.is_blank(F.col(c)), w).otherwise(0) for c, w in weights.items()), F.lit(0))
 
 
-def packed(values: list[Column]) -> Column:
-    """Strings, or nulls, as one string, which takes less room in a shuffle; for unpacked."""
-    return F.concat_ws("\x01", *(F.coalesce(F.replace(F.replace(v, F.lit("\x02"), F.lit("\x02b")), F.lit("\x01"), F.lit("\x02a")), F.lit("\x02")) for v in values))
+def packed(values: pa.Array, offsets: np.ndarray) -> pa.Array:
+    """The values from each offset to the next: strings, or nulls, as one string, others as a list."""
+    if pa.types.is_string(values.type):
+        clear = pc.replace_substring(pc.replace_substring(values, "\x02", "\x02b"), "\x01", "\x02a").fill_null("\x02")
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), clear), "\x01")
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
 
 
-def unpacked(part: Column) -> Column:
-    """A value of packed, from its part between the separators."""
-    return F.when(part != "\x02", F.replace(F.replace(part, F.lit("\x02a"), F.lit("\x01")), F.lit("\x02b"), F.lit("\x02")))
+def unpacked(df: DataFrame, texts: list[str], others: list[str], beside: list[str]) -> DataFrame:
+    """The rows of packed columns, with the columns beside them."""
+    lists = df.withColumns({n: F.split(n, "\x01") for n in texts})
+    rows = lists.select(*beside, F.inline(F.arrays_zip(*texts, *others)))
+    plain = lambda n: F.replace(F.replace(F.col(n), F.lit("\x02a"), F.lit("\x01")), F.lit("\x02b"), F.lit("\x02"))
+    return rows.withColumns({n: F.when(F.col(n) != "\x02", plain(n)) for n in texts})
 
 
-def _thinned(picks: dict[str, tuple[bool, str]], order: str, most: int = 1 << 18, most_bytes: int = 64 << 20):
+def _thinned(picks: dict[str, tuple[bool, str]], order: str, sent: list[str], most: int = 1 << 18, most_bytes: int = 64 << 20):
     """A map over rows that lets go of what cannot matter to a merge: of the rows of a key in a slice
     of the task's rows, those stay that a pick (whether it has scores, its field) may take, which
     `_may` has a bit for, and the first of each location; columns for which a row does not stay are
-    null. `_n` of the key's first row counts the rows let go."""
+    null. `_n` of the key's first row counts the rows let go. The rows of a slice and a bucket `_b` are
+    sent as one, column by column, which takes much less room in a shuffle."""
 
     def first(runs: np.ndarray) -> np.ndarray:
         return np.flatnonzero(np.diff(runs, prepend=-1))
@@ -66,21 +73,29 @@ def _thinned(picks: dict[str, tuple[bool, str]], order: str, most: int = 1 << 18
         may[alone] = -1
         out, may = slice_.take(pa.array(ahead[kept])), may[kept]
         made = {"_n": pa.array(times[kept]), "_may": pa.array(may)}
-        bits = {n: sum(1 << i for i, (_, field) in enumerate(picks.values()) if field in ("*", n)) for n in out.column_names if n not in {"_t", "_c", "_where", "location", order, *picks, *made}}
+        bits = {n: sum(1 << i for i, (_, field) in enumerate(picks.values()) if field in ("*", n)) for n in out.column_names if n not in {"_b", "_t", "_c", "_where", "location", order, *picks, *made}}
         for n, bit in bits.items():
             made[n] = pc.if_else(pa.array(may & bit != 0), out.column(n), pa.scalar(None, out.schema.field(n).type))
         return pa.table([made.get(n, out.column(n)) for n in out.column_names], names=out.column_names)
 
+    def together(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        rows = rows.take(pa.array(np.argsort(rows.column("_b").to_numpy(), kind="stable")))
+        bucket = rows.column("_b").to_numpy()
+        begin = np.flatnonzero(np.diff(bucket, prepend=bucket[0] - 1))
+        offsets = np.append(begin, len(bucket))
+        columns = [packed(rows.column(n).combine_chunks(), offsets) for n in sent]
+        yield from pa.table([pa.array(bucket[begin]), *columns], names=["_b", *sent]).to_batches(max_chunksize=100)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows, size = [], 0, 0
         for batch in batches:
             held.append(batch)
             rows, size = rows + batch.num_rows, size + batch.nbytes
             if rows >= most or size >= most_bytes:
-                yield from thin(pa.Table.from_batches(held)).to_batches(max_chunksize=10_000)
+                yield from together(thin(pa.Table.from_batches(held)))
                 held, rows, size = [], 0, 0
         if rows:
-            yield from thin(pa.Table.from_batches(held)).to_batches(max_chunksize=10_000)
+            yield from together(thin(pa.Table.from_batches(held)))
 
     return run
 
@@ -92,18 +107,21 @@ def _merge(df: DataFrame, picks: dict[str, tuple[Column | None, Column, str]], f
     field alone, or of the whole row. final are columns made of the picks.
     keyed: title and company are keys already, as X.key makes them.
 
-    Rows are shuffled once, by title and company, and all else is done where they then lie. Each
+    Rows are shuffled once, by the bucket of title and company, and all else is done where they then lie. Each
     task first lets go of rows that cannot matter, so that a hot title sends a few rows of each
     slice and its locations. Rows with a blank key are not shuffled."""
     t, c = (F.col(n) if keyed else X.key(F.col(n)) for n in ("title", "company"))
     has, place = F.coalesce((t != "") & (c != ""), F.lit(False)), X.strip(X.text(F.col("location")))
     sent = [n for n in df.columns if not keyed or n not in ("title", "company")]
     scores = [F.when(test, F.lit(0) if score is None else score).alias(n) for n, (score, test, _) in picks.items()]
-    rows = df.where(has).select(t.alias("_t"), c.alias("_c"), F.lit(1).cast("long").alias("_n"), F.lit(-1).cast("long").alias("_may"), *sent, place.alias("_where"), *scores)
-    thin = rows.mapInArrow(_thinned({n: (score is not None, field) for n, (score, _, field) in picks.items()}, order), StructType([StructField(f.name, f.dataType) for f in rows.schema]))
-    texts = [n for n in sent if df.schema[n].dataType == StringType()]
-    dealt = thin.select("_t", "_c", "_n", "_may", *(n for n in sent if n not in texts), packed([F.col(n) for n in texts]).alias("_texts")).repartition("_t", "_c")
-    dealt = dealt.withColumn("_texts", F.split("_texts", "\x01")).withColumns({n: unpacked(F.col("_texts")[i]) for i, n in enumerate(texts)})
+    buckets = 8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    made = {"_b": F.pmod(F.xxhash64(t, c), F.lit(buckets)).cast("int"), "_t": t, "_c": c, "_n": F.lit(1).cast("long"), "_may": F.lit(-1).cast("long")}
+    rows = df.where(has).select(*(v.alias(n) for n, v in made.items()), *sent, place.alias("_where"), *scores)
+    types = {n: rows.schema[n].dataType for n in ("_t", "_c", "_n", "_may", *sent)}
+    texts = [n for n, kind in types.items() if kind == StringType()]
+    thin = _thinned({n: (score is not None, field) for n, (score, _, field) in picks.items()}, order, [*types])
+    slices = rows.mapInArrow(thin, StructType([StructField("_b", IntegerType()), *(StructField(n, kind if n in texts else ArrayType(kind)) for n, kind in types.items())]))
+    dealt = unpacked(slices.repartition("_b"), texts, [n for n in types if n not in texts], ["_b"])
 
     def best(values: dict[str, Column], ranks: dict[str, Column]) -> list[Column]:
         made = []
@@ -115,9 +133,9 @@ def _merge(df: DataFrame, picks: dict[str, tuple[Column | None, Column, str]], f
     values = {n: F.struct(*sent) if field == "*" else F.col(field) for n, (_, _, field) in picks.items()}
     may = {n: F.col("_may").bitwiseAND(F.lit(1 << i).cast("long")) != 0 for i, n in enumerate(picks)}
     ranks = {n: F.when(may[n] & test, F.col(order) if score is None else F.struct(score, F.bitwise_not(F.col(order)))) for n, (score, test, _) in picks.items()}
-    parts = dealt.groupBy("_t", "_c", place.alias("_where")).agg(*best(values, ranks), F.sum("_n").alias("_n"), F.min(order).alias("_at"))
+    parts = dealt.groupBy("_b", "_t", "_c", place.alias("_where")).agg(*best(values, ranks), F.sum("_n").alias("_n"), F.min(order).alias("_at"))
     places = F.transform(F.array_sort(F.collect_list(F.struct("_at", "_where"))), lambda x: x["_where"])
-    one = parts.groupBy("_t", "_c").agg(*best({n: F.col(n) for n in picks}, {n: F.col(f"{n}_rank") for n in picks}), F.sum("_n").alias("_n"), places.alias("_places"))
+    one = parts.groupBy("_b", "_t", "_c").agg(*best({n: F.col(n) for n in picks}, {n: F.col(f"{n}_rank") for n in picks}), F.sum("_n").alias("_n"), places.alias("_places"))
     single = F.col("_n") == 1
     columns = {n: F.when(single, F.col(f"_row.{n}")).otherwise(v) for n, v in (final | {"location": X.merged_locations(F.col("_places"))}).items()}
     columns |= {"title": F.col("_t"), "company": F.col("_c")} if keyed else {}
